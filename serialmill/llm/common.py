@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serialmill.session import ship_code
+
 #: White space that separates words: ``[\x20\x09-\x0D]``.
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,3 +57,29 @@ def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0) -> list:
     small = spark.createDataFrame(pa.table({key: pa.array(chosen, pa.int64())}))
     rows = df.join(F.broadcast(small), key, "left_semi").collect()
     return sorted(rows, key=lambda r: (r[key], str(r)))
+
+
+def append_by_text(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, str]], make) -> DataFrame:
+    """Append columns computed from one text column, an Arrow batch at a time.
+
+    ``fields``: (name, Arrow type, Spark type). ``make()`` is called once in each task and returns a
+    function from a list of texts (or None) to one list or array for each field. Input columns whose
+    names clash with new ones are replaced.
+    """
+    ship_code(df.sparkSession)
+    new = {f[0] for f in fields}
+    kept = [c for c in df.columns if c not in new]
+    reads = kept if text in kept else [*kept, text]
+    src = df.select(*[F.col(f"`{c}`") for c in reads])
+    at, n_kept = reads.index(text), len(kept)
+    names, kinds = [f[0] for f in fields], [f[1] for f in fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n_kept]] + [f"`{n}` {s}" for n, _, s in fields])
+
+    def run(batches):
+        fn = make()
+        for b in batches:
+            made = fn(b.column(at).to_pylist())
+            cols = [b.column(i) for i in range(n_kept)] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:n_kept], *names])
+
+    return src.mapInArrow(run, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import quality
-from serialmill.llm.common import table
+from serialmill.llm import langid, quality, toxicity
+from serialmill.llm.common import id_bucket, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(id_bucket("doc_id", 5) != 0)
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(id_bucket("doc_id", 4) != 2))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL = {
