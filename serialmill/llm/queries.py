@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import langid, quality, toxicity
+from serialmill.llm import bpe, langid, quality, tokenbin, toxicity
 from serialmill.llm.common import id_bucket, table
 
 
@@ -32,10 +32,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path())
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path())
+
+
 QUERIES = {
+    "op4_token_binary": op4_token_binary,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLE_SQL = {
     "op9_quality_rules": quality.ORACLE,

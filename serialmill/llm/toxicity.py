@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Words of a text are tagged clean or toxic. Training tokens come from labelled documents: a greedy
-cover picks the words that explain the toxic documents and (almost) never occur in clean ones;
-their occurrences in toxic documents are the toxic tokens, all others clean ones. The field has word,
-prefix and suffix weights and free transitions, fitted by gradient ascent. Forward-backward marginals
+cover picks the words and word beginnings that explain the toxic documents and (almost) never occur in
+clean ones; their occurrences in toxic documents are the toxic tokens, all others clean ones. The field
+has word, prefix and suffix weights and free transitions, fitted by gradient ascent. Forward-backward marginals
 give a toxic probability for each word; a logistic layer over their sum and maximum gives the
 document's score, and words over one half give the offending offsets.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from serialmill.llm.common import append_by_text, bounded_sample
 
 WORD = re.compile(r"\w+")
-AFFIX = 4
+PREFIXES, SUFFIX = (4, 5, 6), 4
 CACHE = 400_000
 
 
@@ -41,7 +41,7 @@ class ToxicityModel:
 
 def features(word: str) -> list[str]:
     w = word.lower()
-    return [f"w:{w}", f"p:{w[:AFFIX]}", f"s:{w[-AFFIX:]}"] if len(w) > AFFIX else [f"w:{w}"]
+    return [f"w:{w}", *(f"p:{w[:n]}" for n in PREFIXES if len(w) > n), *([f"s:{w[-SUFFIX:]}"] if len(w) > SUFFIX else [])]
 
 
 def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, lane: int = 512) -> np.ndarray:
@@ -95,22 +95,25 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float,
 
 
 def _cover(toxic: list[set[str]], clean: Counter, n_clean: int, times: int = 2) -> list[str]:
-    """Words that, picked greedily, explain each toxic text ``times`` times."""
+    """Words ``w:`` and beginnings ``p:`` that, picked greedily, explain each toxic text ``times`` times."""
     holds = defaultdict(set)
     for i, s in enumerate(toxic):
-        for w in s:
-            holds[w].add(i)
+        for f in s:
+            if f[0] != "s":
+                holds[f].add(i)
     need = np.full(len(toxic), times)
     least = max(2, len(toxic) // 100)
-    cand = {w: np.fromiter(d, int) for w, d in holds.items() if len(d) >= least and clean[w] / max(n_clean, 1) < 0.02 * len(d) / len(toxic)}
+    cand = {f: np.fromiter(d, int) for f, d in holds.items() if len(d) >= least and clean[f] / max(n_clean, 1) < 0.02 * len(d) / len(toxic)}
     picked: list[str] = []
     while cand:
-        gain = {w: int((need[d] > 0).sum()) for w, d in cand.items()}
-        w = min(gain, key=lambda x: (-gain[x], x))
-        if gain[w] < least:
+        gain = {f: int((need[d] > 0).sum()) for f, d in cand.items()}
+        best = min(gain, key=lambda f: (-gain[f], clean[f], f))
+        if gain[best] < least:
             break
-        need[cand.pop(w)] -= 1
-        picked.append(w)
+        need[cand[best]] -= 1
+        picked.append(best)
+        nested = lambda f: f[2:].startswith(best[2:]) or best[2:].startswith(f[2:])  # noqa: B023, E731  the same words again
+        cand = {f: d for f, d in cand.items() if not nested(f)}
     return picked
 
 
@@ -120,12 +123,15 @@ def fit_rows(texts: list[str | None], toxic: list[int], weights: list[float], st
         return None
     toks = [WORD.findall(t or "") for t in texts]
     low = [[w.lower() for w in ws] for ws in toks]
-    clean = Counter(w for ws, x in zip(low, y, strict=True) if not x for w in set(ws))
-    picked = set(_cover([set(ws) for ws, x in zip(low, y, strict=True) if x], clean, int((y == 0).sum())))
+    held = [{f for w in set(ws) for f in features(w)} for ws in low]
+    clean = Counter(f for fs, x in zip(held, y, strict=True) if not x for f in fs)
+    picked = set(_cover([fs for fs, x in zip(held, y, strict=True) if x], clean, int((y == 0).sum())))
+    del held
     # unique words -> features
     vocab: dict[str, int] = {}
     ids = np.concatenate([np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int64) for ws in low] or [np.zeros(0, np.int64)])
-    tags = np.concatenate([np.array([x and w in picked for w in ws], dtype=float) for ws, x in zip(low, y, strict=True)])
+    bad = np.array([not picked.isdisjoint(features(w)) for w in vocab], dtype=float)
+    tags = bad[ids] * np.repeat(y, [len(ws) for ws in low])
     first = np.concatenate([np.arange(len(ws)) == 0 for ws in low]).astype(bool)
     doc = np.repeat(np.arange(len(low)), [len(ws) for ws in low])
     if not len(ids):
