@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import bpe, langid, quality, tokenbin, toxicity
+from serialmill.llm import bpe, langid, quality, simjoin, tokenbin, toxicity
 from serialmill.llm.common import id_bucket, table
 
 
@@ -32,6 +32,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
@@ -47,6 +51,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_token_binary": op4_token_binary,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
@@ -54,5 +59,6 @@ QUERIES = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLE_SQL = {
+    "op3_ngram_jaccard_join": simjoin.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }
