@@ -19,12 +19,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label")
-        least = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("bigint").alias("was"))
+        own = labels.select("node", "label", F.col("label").alias("was"))
+        least = own.unionByName(near).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = least.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"))
-        old = labels.select("node", F.col("label").alias("was"))
-        new = materialise(jumped.join(old, "node"))
+        new = materialise(least.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "was"))
         moved = new.where("label <> was").limit(1).count()
         labels = new.select("node", "label")
         if not moved:

@@ -6,14 +6,14 @@ those fingerprints: nothing is sampled or capped.
 
 1. Equal sets become one node, so copies never meet each other.
 2. Linked sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of any fixed order. The order
-   puts shingles that are frequent (found by an exact-threshold count over blocks of documents) last,
-   least frequent first, and the rest by fingerprint. Tasks combine their postings first: of the nodes
-   they hold for one shingle, only the smallest is sent on, with an edge to each of the others.
-3. Components of these candidate edges are the groups to search. In a group, each node of a signature
-   tree holds the OR of its members' token bitmaps, their size range and collision slack; a dual
-   traversal drops pairs of tree nodes whose greatest possible overlap cannot reach the threshold.
-   Members that are already connected are skipped; the rest are compared exactly. Large groups are
-   cut into parts and searched part against part, in separate tasks.
+   puts shingles that are frequent (found by counts over blocks of documents) last, least frequent first,
+   and the rest by fingerprint. The nodes that share such a shingle form a group; groups with the same
+   members are one. Large groups are cut into parts and searched part against part.
+3. In a group, each node of a signature tree holds the OR of its members' token bitmaps, their size range
+   and collision slack; a dual traversal drops pairs of tree nodes whose greatest possible overlap cannot
+   reach the threshold. The members of surviving pairs form blocks (components), which then hold little
+   but true links. A second dual traversal in each block compares surviving pairs exactly, leaving out
+   pairs that are already connected.
 4. Components of the verified links give each document's class.
 
 Defined results: documents without words (or with a null text) have no shingles, link with nothing and
@@ -33,7 +33,6 @@ from serialmill.llm.components import connected_components
 from serialmill.session import ship_code
 
 WORDS = 5
-BITS = 1024
 FANOUT = 8
 FREQUENT = 0.002  # of the documents; at most (mean set size / FREQUENT) shingles can be frequent
 LEAST_FREQUENT = 8
@@ -87,6 +86,14 @@ def set_id(s: np.ndarray) -> int:
     return int(_mix(np.array([x ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A token bitmap of at least two bits for each member, 64 at least; its width doubles with the size."""
+    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles of ``s`` that a linked set must share one of."""
     n = len(s)
@@ -108,8 +115,8 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _describe(batches):
     """A row for each document (n, node) and rows for shingles frequent within a block of documents."""
-    names = ["rk", "doc_id", "n", "node", "count"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["rk", "doc_id", "n", "node", "count", "sig"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
     held, docs, size = [], 0, 0
 
@@ -118,103 +125,135 @@ def _describe(batches):
         edge = np.flatnonzero(np.concatenate([[True], all_h[1:] != all_h[:-1], [True]]))
         count = np.diff(edge)
         big = np.flatnonzero(count >= max(2, FREQUENT / 2 * docs))
-        return batch([all_h[edge[big]].view(np.int64), [None] * len(big), [None] * len(big), [None] * len(big), count[big]])
+        return batch([all_h[edge[big]].view(np.int64), [None] * len(big), [None] * len(big), [None] * len(big), count[big], [None] * len(big)])
 
     for b in batches:
         rk, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-        ns, nodes = [], []
+        ns, nodes, sigs = [], [], []
         for t in b.column(2).to_pylist():
             s = shingles(t)
             ns.append(len(s))
             nodes.append(set_id(s) if len(s) else None)
+            sigs.append(bitmap(s).tobytes() if len(s) else None)
             if len(s):
                 held.append(s)
                 docs, size = docs + 1, size + len(s)
                 if size >= CHUNK_SHINGLES:
                     yield frequent()
                     held, docs, size = [], 0, 0
-        yield batch([rk, ids, ns, nodes, [None] * len(ns)])
+        yield batch([rk, ids, ns, nodes, [None] * len(ns), sigs])
     if held:
         yield frequent()
 
 
-# --- 2. candidate edges
-
-_BLOB = "bucket int, kind int, a binary, b binary"
-_BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-
-
-def _groups(keys: np.ndarray, nodes: np.ndarray):
-    """Postings sorted by key then node; the first of each key, and for each posting the first's index."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return keys, nodes, first, np.flatnonzero(first)[np.cumsum(first) - 1]
+# --- 2. groups
 
+_BLOB = "bucket int, keys binary, nodes binary"
+_BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
 
-def _pairs(a: np.ndarray, b: np.ndarray):
-    """Distinct (a, b) with a <> b."""
-    ok = a != b
-    a, b = a[ok], b[ok]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    return a[new], b[new]
 
+def _postings(shared, buckets: int, part: int):
+    """Packed (shingle, node) pairs for each bucket. A shingle held by many documents is dealt as part pairs: s parts of its
+    nodes by a hash, a place for each pair of parts, and every node at the s places of its own part."""
 
-def _postings(shared, buckets: int):
     def run(batches):
-        frequent, rank = shared.value
+        frequent, rank, count = shared.value
         keys, nodes, size = [], [], 0
 
         def flush():
-            k, v, first, head = _groups(np.concatenate(keys), np.concatenate(nodes))
-            a, b = _pairs(v[~first], v[head[~first]])
-            k, v = k[first], v[first]
-            for kind, x, y, by in ((0, k, v, k), (1, a, b, _mix(a.view(np.uint64)))):
-                to = (by % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(buckets + 1))
-                rows = [{"bucket": i, "kind": kind, "a": x[order[lo:hi]].tobytes(), "b": y[order[lo:hi]].tobytes()} for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_BLOB_ARROW)
+            k, v = np.concatenate(keys), np.concatenate(nodes)
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+            k, v = k[new], v[new]
+            to = ((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            rows = [{"bucket": i, "keys": k[order[lo:hi]].tobytes(), "nodes": v[order[lo:hi]].tobytes()} for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+            yield pa.RecordBatch.from_pylist(rows, schema=_BLOB_ARROW)
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t)
-                if len(s):
-                    p = prefix(s, frequent, rank)
-                    keys.append(p)
-                    nodes.append(np.full(len(p), set_id(s), np.int64))
-                    size += len(p)
-                    if size >= 4 * CHUNK_SHINGLES:
-                        yield from flush()
-                        keys, nodes, size = [], [], 0
+                if not len(s):
+                    continue
+                p, node = prefix(s, frequent, rank), set_id(s)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, p), len(frequent) - 1)
+                    hot = (frequent[at] == p) & (count[at] > part)
+                    if hot.any():
+                        p = np.concatenate([p[~hot], *(_places(h, node, -(-int(c) // part)) for h, c in zip(p[hot], count[at[hot]], strict=True))])
+                keys.append(p)
+                nodes.append(np.full(len(p), node, np.int64))
+                size += len(p)
+                if size >= 2 * CHUNK_SHINGLES:
+                    yield from flush()
+                    keys, nodes, size = [], [], 0
         if keys:
             yield from flush()
 
     return run
 
 
-def _meet(batches):
-    """Postings of the same shingle from all tasks -> an edge from each node to the smallest."""
-    k, v, a, b = ([np.zeros(0, d)] for d in (np.uint64, np.int64, np.int64, np.int64))
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"]:
-                a.append(np.frombuffer(r["a"], np.int64))
-                b.append(np.frombuffer(r["b"], np.int64))
-            else:
-                k.append(np.frombuffer(r["a"], np.uint64))
-                v.append(np.frombuffer(r["b"], np.int64))
-    keys, nodes = np.concatenate(k), np.concatenate(v)
-    if len(keys):
-        _, nodes, first, head = _groups(keys, nodes)
-        a.append(nodes[~first])
-        b.append(nodes[head[~first]])
-    x, y = _pairs(np.concatenate(a), np.concatenate(b))
-    for lo in range(0, len(x), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]), pa.array(y[lo : lo + 100_000])], names=["a", "b"])
+def _places(h: np.uint64, node: int, parts: int) -> np.ndarray:
+    mine = int(_mix(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(parts))
+    other = np.arange(parts)
+    pair = np.minimum(mine, other) * parts + np.maximum(mine, other)
+    return _mix(np.full(parts, h, np.uint64) + pair.astype(np.uint64) * _R)
+
+
+def _meet(part: int):
+    """All postings of a shingle -> groups of two nodes or more, each set of members once for each task."""
+
+    def run(batches):
+        k, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for r in batch.to_pylist():
+                k.append(np.frombuffer(r["keys"], np.uint64))
+                v.append(np.frombuffer(r["nodes"], np.int64))
+        keys, nodes = np.concatenate(k), np.concatenate(v)
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        if len(keys):
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+            keys, nodes = keys[new], nodes[new]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        seen: set[int] = set()
+        rows: list[tuple[int, bytes]] = []
+        for i in np.flatnonzero(np.diff(edge) > 1):
+            for m in _cut(nodes[edge[i] : edge[i + 1]], part):
+                g = set_id(m.view(np.uint64))
+                if g not in seen:
+                    seen.add(g)
+                    rows.append((g, m.tobytes()))
+            if len(rows) >= 5000:
+                yield _rows(rows)
+                rows = []
+        if rows:
+            yield _rows(rows)
+
+    def _rows(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "members"])
+
+    return run
+
+
+def _cut(m: np.ndarray, part: int):
+    """A group, or the unions of two of its parts if it is large."""
+    if len(m) <= 2 * part:
+        yield m
+        return
+    parts = np.array_split(m, -(-len(m) // part))
+    for i, x in enumerate(parts):
+        for y in parts[i + 1 :]:
+            yield np.concatenate([x, y])
+
+
+def _members(batches):
+    for b in batches:
+        g, m = b.column(0).to_numpy(), [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        if len(m):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g, [len(x) for x in m])), pa.array(np.concatenate(m))], names=["grp", "node"])
 
 
 # --- 3. signature trees
@@ -223,15 +262,9 @@ def _meet(batches):
 class SignatureTree:
     """Levels from the members up; a level has OR-bitmaps, least and greatest sizes and greatest slack (tokens beyond one for each set bit)."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        m = len(sets)
-        bitmap = np.zeros((m, BITS // 64), np.uint64)
-        for i, s in enumerate(sets):
-            bit = s & np.uint64(BITS - 1)
-            np.bitwise_or.at(bitmap[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        n = np.array([len(s) for s in sets], np.int64)
-        slack = n - np.bitwise_count(bitmap).sum(1, dtype=np.int64)
-        self.levels = [(bitmap, n, n, slack)]
+    def __init__(self, maps: np.ndarray, n: np.ndarray):
+        slack = n - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        self.levels = [(maps, n, n, slack)]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, sl = self.levels[-1]
             at = np.arange(0, len(b), FANOUT)
@@ -284,47 +317,78 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * o >= 80 * (len(s) + len(t) - o)
 
 
-def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all that are linked: within ``left``, or between ``left`` and ``right`` (numbered from 0 each)."""
-    if not left or right is not None and not right:
-        return []
-    x, y = SignatureTree(left), SignatureTree(right) if right is not None else None
-    label = np.arange(len(left) + len(right or ()))
-    shift = len(left) if right is not None else 0
-    every, out = [*left, *(right or ())], []
-    for i, j in _candidates(x, y):
-        open_ = label[i] != label[j + shift]
-        for a, b in zip(i[open_].tolist(), (j[open_] + shift).tolist(), strict=True):
-            if label[a] != label[b] and linked(every[a], every[b]):
-                out.append((a, b - shift))
-                label[label == label[b]] = label[a]
-    return out
-
-
-def _search(batches):
-    """Rows (grp, i, j, part, node, s) sorted by group -> verified links that connect each group's linked nodes."""
-    now, rows = None, {}
-
-    def links():
-        (_, i, j) = now
-        pick = lambda p: sorted(((int(s[0]), k, s) for k, (q, s) in rows.items() if q == p), key=lambda r: r[:2])  # noqa: E731  like sets have like least shingles
-        left = pick(i)
-        right = pick(j) if i != j else None
-        got = join_sets([s for *_, s in left], None if right is None else [s for *_, s in right])
-        if got:
-            a = [left[p][1] for p, _ in got]
-            b = [(right or left)[q][1] for _, q in got]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _surviving(maps: list[np.ndarray], n: np.ndarray):
+    """Pairs of members that no bound excludes, as index arrays. Members meet those of their own bitmap width and of the next,
+    folded to their own; sizes under wider bitmaps differ by more than the threshold allows."""
+    width = np.array([len(m) for m in maps])
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        own = SignatureTree(np.stack([maps[i] for i in at]), n[at])
+        for i, j in _candidates(own, None):
+            yield at[i], at[j]
+        up = np.flatnonzero(width == 2 * w)
+        if len(up):
+            wide = np.stack([maps[i] for i in up])
+            for i, j in _candidates(own, SignatureTree(wide[:, :w] | wide[:, w:], n[up])):
+                yield at[i], up[j]
 
-    for b in batches:
-        for g, i, j, part, node, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (g, i, j) != now:
-                if rows:
-                    yield from links()
-                now, rows = (g, i, j), {}
-            rows[node] = (part, np.frombuffer(s, np.uint64))
-    if rows:
-        yield from links()
+
+def _connect(pairs, m: int, test=None) -> np.ndarray:
+    """Labels of ``m`` members, joined along ``pairs`` that pass ``test``; pairs already joined are not tested."""
+    label = np.arange(m)
+    for i, j in pairs:
+        open_ = label[i] != label[j]
+        for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+            if label[a] != label[b] and (test is None or test(a, b)):
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+    return label
+
+
+def join_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """A label for each set, equal for sets that links connect; sets should be ordered so that like ones are near."""
+    if len(sets) < 2:
+        return np.arange(len(sets))
+    pairs = _surviving([bitmap(s) for s in sets], np.array([len(s) for s in sets], np.int64))
+    return _connect(pairs, len(sets), lambda a, b: linked(sets[a], sets[b]))
+
+
+def _edges(nodes: np.ndarray, label: np.ndarray):
+    """From each node to the first of its label."""
+    on = np.flatnonzero(label != np.arange(len(label)))
+    if len(on):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(nodes[label[on]])], names=["a", "b"])
+
+
+def _by_group(n_keys: int, work):
+    """Streams rows sorted by their first ``n_keys`` columns, a group at a time."""
+
+    def run(batches):
+        now, rows = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:n_keys] != now:
+                    if len(rows) > 1:
+                        yield from work(rows)
+                    now, rows = r[:n_keys], []
+                rows.append(r[n_keys:])
+        if len(rows) > 1:
+            yield from work(rows)
+
+    return run
+
+
+def _prune(rows):
+    """(node, n, sig) of a group -> edges along pairs that may link."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    maps, n = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], np.int64)
+    yield from _edges(np.array([r[0] for r in rows], np.int64), _connect(_surviving(maps, n), len(rows)))
+
+
+def _verify(rows):
+    """(node, s) of a block or of two of its parts -> edges along verified links."""
+    each = {node: np.frombuffer(s, np.uint64) for node, s in rows}
+    nodes = sorted(each, key=lambda k: (int(each[k][0]), k))  # like sets have like least shingles
+    yield from _edges(np.array(nodes, np.int64), join_sets([each[k] for k in nodes]))
 
 
 def _sets(batches):
@@ -341,31 +405,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     spark = docs.sparkSession
     ship_code(spark)
     source = docs.select(F.coalesce(F.col(key).cast("bigint"), F.xxhash64(text)).alias("rk"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    base = materialise(source.mapInArrow(_describe, "rk bigint, doc_id bigint, n bigint, node bigint, count bigint"))
-    each = base.where("count IS NULL").drop("count")
+    base = materialise(source.mapInArrow(_describe, "rk bigint, doc_id bigint, n bigint, node bigint, count bigint, sig binary"))
+    each = base.where("count IS NULL").select("rk", "doc_id", "n", "node")
     n_docs = each.where("n > 0").count()
     # at most 2 * mean set size / FREQUENT shingles pass, whatever the number of documents
     often = base.where("count IS NOT NULL").groupBy("rk").agg(F.sum("count").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, FREQUENT / 2 * n_docs)).toPandas()
     often = often.sort_values(["c", "rk"])
-    h, rank = often["rk"].to_numpy(np.int64).view(np.uint64), np.arange(len(often))
+    h, rank, count = often["rk"].to_numpy(np.int64).view(np.uint64), np.arange(len(often)), often["c"].to_numpy(np.int64)
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[order], rank[order]))
+    shared = spark.sparkContext.broadcast((h[order], rank[order], count[order]))
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = source.select("text").mapInArrow(_postings(shared, 4 * n_parts), _BLOB)
-    edges = posts.repartition(n_parts, "bucket").mapInArrow(_meet, "a bigint, b bigint")
-    groups = connected_components(edges)
-
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    member = groups.join(sizes, "label").select(F.col("label").alias("grp"), F.ceil(F.col("m") / part).cast("bigint").alias("parts"), "node")
+    posts = source.select("text").mapInArrow(_postings(shared, 4 * n_parts, part), _BLOB)
+    groups = posts.repartition(n_parts, "bucket").mapInArrow(_meet(part), "grp bigint, members binary").dropDuplicates(["grp"])
+    signed = base.where("node IS NOT NULL").select("node", "n", "sig").dropDuplicates(["node"])
+    met = groups.mapInArrow(_members, "grp bigint, node bigint").join(signed, "node").select("grp", "node", "n", "sig")
+    may = met.repartition(n_parts, "grp").sortWithinPartitions("grp").mapInArrow(_by_group(1, _prune), "a bigint, b bigint")
+    blocks = connected_components(may)
+
+    sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    member = blocks.join(sizes, "label").select(F.col("label").alias("grp"), F.ceil(F.col("m") / part).cast("bigint").alias("parts"), "node")
     one = each.where("node IS NOT NULL").groupBy("node").agg(F.min("rk").alias("rk"))
     wanted = member.join(one, "node")
     sets = source.select("rk", "text").join(wanted, "rk").select("grp", "parts", "node", "text").mapInArrow(_sets, "grp bigint, parts bigint, node bigint, s binary")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
     dealt = sets.select("grp", "parts", "node", "s", mine).select(
         "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"), "part", "node", "s"
-    ).select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "s")
-    links = dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_search, "a bigint, b bigint")
+    ).select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "s")
+    links = dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_by_group(3, _verify), "a bigint, b bigint")
     classes = connected_components(links)
 
     named = each.join(classes, "node", "left").withColumn("class_key", F.coalesce("label", "node"))
