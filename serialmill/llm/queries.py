@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import bpe, langid, quality, simjoin, tokenbin, toxicity
+from serialmill.llm import ann, bpe, langid, packing, pii, quality, simjoin, tokenbin, toxicity, warc
 from serialmill.llm.common import id_bucket, table
 
 
@@ -32,6 +32,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs, pii.fit(docs))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.audit(stored, warc.rotten(stored)).select("page_id", "status", "length", "expected_sha256")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
 
@@ -51,6 +69,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_warc_audit": op7_warc_audit,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_token_binary": op4_token_binary,
     "op5_toxicity": op5_toxicity,
@@ -59,6 +81,8 @@ QUERIES = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLE_SQL = {
+    "op6_nearest_neighbours": ann.ORACLE,
+    "op7_warc_audit": warc.ORACLE,
     "op3_ngram_jaccard_join": simjoin.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }
