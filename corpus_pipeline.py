@@ -1,9 +1,66 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: language ID, quality rules, near-duplicate removal, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes every stage's result as Parquet in the shared folder and reads it again as the
+next stage's input, so a lost executor repeats one stage at most.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from serialmill.llm import langid, packing, pii, quality, simjoin
+from serialmill.llm.common import materialise, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (null text, or no letter in it) go."""
+    out = langid.predict(docs, langid.fit(docs), out="_lang", score="_score")
+    return out.where(F.col("_lang") != langid.UNKNOWN).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of policy v1 go."""
+    return quality.apply_policy(quality.ledger(docs), "v1", "_kept").where("_kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class stays: one with the smallest id (null ids last). Documents without words all stay."""
+    classes = simjoin.near_duplicates(docs.select("doc_id", "text"))
+    first = classes.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m"))
+    keyed = docs.select(*COLUMNS, simjoin.row_key("doc_id", "text").alias("_key"), F.size(quality.words(F.col("text"))).alias("_words"))
+    kept = keyed.where("_words > 0").join(first.select(F.col("m.row_key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.unionByName(keyed.where("_words = 0")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind; n_chars follows the text."""
+    out = pii.detect(docs, pii.fit(docs), out="_spans", masked="_masked")
+    return out.select("doc_id", F.col("_masked").alias("text"), "lang", "source", F.length("_masked").cast("bigint").alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every word of every document has its place in a bin."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Trained models, and a greedy search over an order, have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

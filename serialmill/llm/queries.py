@@ -51,7 +51,7 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
+    return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key", "row_key")
 
 
 def byte_bpe_path() -> str:

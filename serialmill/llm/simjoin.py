@@ -400,11 +400,16 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["grp", "parts", "node", "s"])
 
 
+def row_key(key: str, text: str):
+    """Names a row by its id and text; rows that agree in both are repeats."""
+    return F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
-    """(doc_id, n_shingles, component_id) and ``class_key``, which names the class also where ids are null."""
+    """(doc_id, n_shingles, component_id), ``class_key``, which names the class also where ids are null, and ``row_key``."""
     spark = docs.sparkSession
     ship_code(spark)
-    source = docs.select(F.coalesce(F.col(key).cast("bigint"), F.xxhash64(text)).alias("rk"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(row_key(key, text).alias("rk"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     base = materialise(source.mapInArrow(_describe, "rk bigint, doc_id bigint, n bigint, node bigint, count bigint, sig binary"))
     each = base.where("count IS NULL").select("rk", "doc_id", "n", "node")
     n_docs = each.where("n > 0").count()
@@ -438,7 +443,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     named = each.join(classes, "node", "left").withColumn("class_key", F.coalesce("label", "node"))
     least = named.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "class_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key",
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key", F.col("rk").alias("row_key"),
     )
 
 
