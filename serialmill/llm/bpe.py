@@ -27,6 +27,7 @@ from serialmill.llm.common import append_by_text
 #: Fixed value: the pre-tokenization pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 400_000
+TAIL = ".,;:!?"
 _PLAIN = re.compile(r" (?:\s|$)")
 _EDGE = re.compile(r"(?= \S)")
 
@@ -115,25 +116,35 @@ class Vocabulary:
 
     def merge_rows(self, ids: np.ndarray) -> np.ndarray:
         """Rows of byte ids padded with -1 -> rows of token ids padded with -1: the merge of least rank, leftmost first, in all rows at once."""
-        out, rows, none = ids.copy(), np.arange(len(ids)), len(self.made)
-        while len(rows) and ids.shape[1] > 1:
-            rank = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        out, rows, none = np.full_like(ids, -1), np.arange(len(ids)), len(self.made)
+        if ids.shape[1] < 2:
+            return ids.copy()
+        rank = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        while len(rows):
             at = rank.argmin(1)
-            least = rank[np.arange(len(rows)), at]
+            here = np.arange(len(rows))
+            least = rank[here, at]
             live = least < none
             if not live.all():
                 out[rows[~live], : ids.shape[1]] = ids[~live]
-                out[rows[~live], ids.shape[1] :] = -1
-                rows, ids, at, least = rows[live], ids[live], at[live], least[live]
+                rows, ids, rank, at, least = rows[live], ids[live], rank[live], at[live], least[live]
+                here = np.arange(len(rows))
             if not len(rows):
                 break
-            cols = np.arange(ids.shape[1] - 1)[None]
-            moved = np.where(cols <= at[:, None], ids[:, :-1], ids[:, 1:])  # the right half of the pair falls out
-            moved[np.arange(len(rows)), at] = self.made[least]
-            ids = moved
+            cols = np.arange(ids.shape[1] - 1)[None] <= at[:, None]
+            ids = np.where(cols, ids[:, :-1], ids[:, 1:])  # the right half of the pair falls out
+            ids[here, at] = self.made[least]
+            if ids.shape[1] < 2:
+                break
+            # ranks move along; only the two pairs beside the new token are looked up
+            rank = np.where(cols[:, :-1], rank[:, :-1], rank[:, 1:])
+            last = ids.shape[1] - 1
+            on = np.flatnonzero(at < last)
+            rank[on, at[on]] = self.ranks_of(ids[on, at[on]], ids[on, at[on] + 1])
+            on = np.flatnonzero(at > 0)
+            rank[on, at[on] - 1] = self.ranks_of(ids[on, at[on] - 1], ids[on, at[on]])
         if len(rows):
             out[rows, : ids.shape[1]] = ids
-            out[rows, ids.shape[1] :] = -1
         return out
 
     def merge_long(self, part: bytes) -> list[int]:
@@ -162,6 +173,10 @@ class Vocabulary:
         find = self.pattern.findall
         words, owner = [], []
         for k, p in enumerate(parts):
+            if p.isalpha() or p[0] == " " and p[1:].isalpha():
+                words.append(p.encode("utf-8", "replace"))
+                owner.append(k)
+                continue
             w = [x.encode("utf-8", "replace") for x in find(p)]
             words += w
             owner += [k] * len(w)
@@ -230,13 +245,25 @@ class PieceMemo:
         for s in self.special:
             if s not in memo:
                 memo[s] = np.array([self.special[s]], self.dtype).tobytes()
-        new = [p for p in new if p not in memo]
-        long = {p for p in new if len(p) > 64}
-        memo.update(zip(new, self.make(new), strict=True))
+        whole, split = set(), []
+        for p in new:
+            if p in memo:
+                continue
+            q = p.rstrip(TAIL)  # a letter or digit before punctuation is a certain cut, too
+            if q and q != p and q[-1].isalnum() and ord(q[-1]) < 0x250:
+                split.append((p, q, p[len(q) :]))
+                whole.update(split[-1][1:])
+            else:
+                whole.add(p)
+        ask = [p for p in whole if p not in memo]
+        memo.update(zip(ask, self.make(ask), strict=True))
+        for p, q, tail in split:
+            memo[p] = memo[q] + memo[tail]
         for x in lists:
             yield b"".join(map(memo.__getitem__, x))
-        for p in long:
-            memo.pop(p, None)
+        for p in (*ask, *(x[0] for x in split)):
+            if len(p) > 64:
+                memo.pop(p, None)
 
 
 class Encoder:

@@ -135,9 +135,23 @@ def library_coder(spec: str) -> PieceMemo:
         tk.no_padding()
         dtype = np.uint16 if tk.get_vocab_size() <= 1 << 16 else np.uint32
         special = {t.content: i for i, t in tk.get_added_tokens_decoder().items() if t.special}
-        run = lambda parts: [np.array(e.ids, dtype).tobytes() for e in tk.encode_batch_fast(parts, add_special_tokens=False)]
+        mark, gap = next(iter(special.items())) if special else (None, None)
+
+        def run(parts):
+            if mark is None:
+                return [np.array(e.ids, dtype).tobytes() for e in tk.encode_batch_fast(parts, add_special_tokens=False)]
+            # one call for many pieces: the special token stands between them, and its id parts their ids
+            out: list[bytes] = []
+            for lo in range(0, len(parts), 256):
+                some = parts[lo : lo + 256]
+                ids = np.array(tk.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype)
+                cut = np.flatnonzero(ids == gap)
+                flat, w = ids.tobytes(), ids.itemsize
+                out += [flat[a * w : b * w] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
+            return out
+
         _coders.clear()
-        _coders[key] = PieceMemo(run, special, dtype)
+        _coders[key] = PieceMemo(run, special, dtype, most=700_000)
         _coders[key].vocab_size = tk.get_vocab_size()
     return _coders[key]
 
