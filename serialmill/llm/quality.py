@@ -59,13 +59,17 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     )
     df = df.select("*", F.size(_TMP[0]).cast("long").alias("n_words"), _windows(F.col(_TMP[0])).alias(_TMP[2]))
     df = df.select("*", _repeated_positions(F.col(_TMP[2])).alias(_TMP[3]))
-    df = df.select(
-        "*",
+    measured = F.struct(
+        "n_words",
         F.length(F.array_join(_TMP[0], "")).cast("long").alias("word_chars"),
-        F.size(_TMP[1]).cast("long").alias("n_lines"),
+        "n_symbols",
         (F.size(_TMP[1]) - F.size(F.array_distinct(_TMP[1]))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(F.flatten(F.transform(_TMP[3], lambda i: F.array(i, i + 1, i + 2))))).cast("long").alias("n_repeat_words"),
-    ).drop(*_TMP)
+        F.size(_TMP[1]).cast("long").alias("n_lines"),
+        "n_exclaims",
+    )
+    # a generator, so that a filter on the ledger is not pushed below the measurements and does not repeat them
+    df = df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(measured)))
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
