@@ -1,5 +1,5 @@
 """Operators over libraries of serial fiction, by the tables they read."""
 
-from serialmill.operators import library
+from serialmill.operators import corpus, library
 
-MODULES = [library]
+MODULES = [library, corpus]
