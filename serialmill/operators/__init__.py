@@ -1,5 +1,5 @@
 """Operators over libraries of serial fiction, by the tables they read."""
 
-from serialmill.operators import corpus, library
+from serialmill.operators import corpus, library, listening
 
-MODULES = [library, corpus]
+MODULES = [library, corpus, listening]
