@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -144,12 +145,24 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
+_STYLE = re.compile(r"<style[^>]*>([^<]*)</style>", re.I)
+_HIDES = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def hidden_classes(html: str) -> set[str]:
+    """Classes that a rule of the page's own stylesheets hides."""
+    out: set[str] = set()
+    for sheet in _STYLE.findall(html):
+        for rule in sheet.split("}"):
+            selector, _, body = rule.partition("{")
+            if _HIDES.search(body):
+                out.update(re.findall(r"\.([A-Za-z0-9_-]+)", selector))
+    return out
+
+
 def page_blocks(html: str | None) -> list[tuple[str, str]]:
     p = _Blocks()
-    import re
-
-    for rule in re.finditer(r"([^{}]+)\{[^{}]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)[^{}]*?\}", html or "", re.I | re.S):
-        p.hidden.update(re.findall(r"\.([A-Za-z0-9_-]+)", rule[1]))
+    p.hidden = hidden_classes(html or "")
     p.feed(html or "")
     p.close()
     p.flush()
