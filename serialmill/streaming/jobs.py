@@ -41,7 +41,11 @@ def stages(events: DataFrame) -> DataFrame:
     return events.groupBy("chapter").agg(F.max(rank).alias("furthest_rank"), F.count_if(e == "error").alias("n_errors"))
 
 
-_POSITION_STATE = "stamp long, event_id long, chapter int, seconds double, furthest int"
+_POSITION_STATE = (("stamp", S.LongType()), ("event_id", S.LongType()), ("chapter", S.IntegerType()), ("seconds", S.DoubleType()), ("furthest", S.IntegerType()))
+
+
+def _struct(*fields) -> S.StructType:
+    return S.StructType([S.StructField(n, t) for n, t in fields])
 
 
 def positions(events: DataFrame) -> DataFrame:
@@ -62,8 +66,8 @@ def positions(events: DataFrame) -> DataFrame:
             yield pd.DataFrame({"profile": [key[0]], "chapter": [chapter], "t": [seconds], "furthest": [furthest]})
 
     rows = events.select("profile", "event_id", F.unix_micros("ts").alias("stamp"), "chapter", "seconds")
-    out = S.StructType().add("profile", "long").add("chapter", "int").add("t", "double").add("furthest", "int")
-    return rows.groupBy("profile").applyInPandasWithState(fold, out, _POSITION_STATE, "update", "NoTimeout")
+    out = _struct(("profile", S.LongType()), ("chapter", S.IntegerType()), ("t", S.DoubleType()), ("furthest", S.IntegerType()))
+    return rows.groupBy("profile").applyInPandasWithState(fold, out, _struct(*_POSITION_STATE), "update", "NoTimeout")
 
 
 def access_log(events: DataFrame, quiet: int = 600) -> DataFrame:
@@ -85,8 +89,8 @@ def access_log(events: DataFrame, quiet: int = 600) -> DataFrame:
             yield pd.DataFrame({"profile": [key[0]] * len(logged), "event_type": [key[1]] * len(logged), "stamp": logged})
 
     rows = events.select("profile", "event_type", F.unix_micros("ts").alias("stamp"))
-    out = S.StructType().add("profile", "long").add("event_type", "string").add("stamp", "long")
-    kept = rows.groupBy("profile", "event_type").applyInPandasWithState(fold, out, "last long", "append", "NoTimeout")
+    out = _struct(("profile", S.LongType()), ("event_type", S.StringType()), ("stamp", S.LongType()))
+    kept = rows.groupBy("profile", "event_type").applyInPandasWithState(fold, out, _struct(("last", S.LongType())), "append", "NoTimeout")
     return kept.select("profile", "event_type", F.timestamp_micros("stamp").alias("ts"))
 
 
