@@ -59,7 +59,7 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> tupl
 
 
 def _pack_group(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
         plain = lambda c: [None if pd.isna(x) else x for x in pdf[c]]
         bins, room = pack(pdf["n_words"].tolist(), plain("source"), plain("cluster"), capacity)
