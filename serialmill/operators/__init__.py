@@ -1,5 +1,5 @@
 """Operators over libraries of serial fiction, by the tables they read."""
 
-from serialmill.operators import corpus, dialogue, library, listening, pages
+from serialmill.operators import corpus, dialogue, library, listening, pages, rules
 
-MODULES = [library, corpus, listening, dialogue, pages]
+MODULES = [library, corpus, listening, dialogue, pages, rules]
