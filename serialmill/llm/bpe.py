@@ -241,14 +241,12 @@ class PieceMemo:
         if len(self.memo) > self.most:
             self.memo.clear()
         memo, lists = self.memo, [self.cut(t) for t in texts]
-        new = list(set().union(*lists).difference(memo))
         for s in self.special:
             if s not in memo:
                 memo[s] = np.array([self.special[s]], self.dtype).tobytes()
+        new = set().union(*lists) - memo.keys()
         whole, split = set(), []
         for p in new:
-            if p in memo:
-                continue
             q = p.rstrip(TAIL)  # a letter or digit before punctuation is a certain cut, too
             if q and q != p and q[-1].isalnum() and ord(q[-1]) < 0x250:
                 split.append((p, q, p[len(q) :]))

@@ -92,7 +92,7 @@ def encode_block(ids: np.ndarray, freqs: np.ndarray, lanes: int = LANES, every:
 
 
 def slots(freqs: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(freqs)), freqs)
+    return np.repeat(np.arange(len(freqs), dtype=np.uint16 if len(freqs) <= 1 << 16 else np.uint32), freqs)  # small enough for the cache
 
 
 def decode_block(payload: bytes, states: bytes, n: int, freqs: np.ndarray, slot_ids: np.ndarray, lanes: int, step: int = 0, word: int = 0, until: int | None = None) -> np.ndarray:
@@ -151,7 +151,7 @@ def library_coder(spec: str) -> PieceMemo:
             return out
 
         _coders.clear()
-        _coders[key] = PieceMemo(run, special, dtype, most=700_000)
+        _coders[key] = PieceMemo(run, special, dtype, most=900_000)
         _coders[key].vocab_size = tk.get_vocab_size()
     return _coders[key]
 
