@@ -235,3 +235,95 @@ def proposed_rules(spark, d):
     from serialmill.operators.corpus import compounds
 
     return compounds(spark, d).select(F.col("word").alias("surface"), F.lit("").alias("pos"), F.concat_ws("-", "left_part", "right_part").alias("respell"), F.concat(F.lit("used "), F.col("n").cast("string")).alias("notes"))
+
+
+@query("str17_handles", "SELECT c_custkey, 'Forever ' || c_custkey || CASE WHEN c_custkey < 10000 THEN 'st' ELSE ' st' END || ' Fan' || CASE WHEN c_custkey % 2 = 0 THEN ' x' ELSE '' END AS said FROM customer")
+def handles(spark, d):
+    """Handles in words: camel case, letters against digits, separators."""
+    h = F.concat(F.lit("@Forever"), F.col("c_custkey").cast("string"), F.lit("stFan"), F.when(F.col("c_custkey") % 2 == 0, "_x:").otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", T.spoken_handle(h).alias("said"))
+
+
+@query("str14_stat_lines", "SELECT o_orderkey, 'hit points: ' || (o_orderkey % 100) || ' out of 100, Strength equals ' || (o_orderkey % 30) || ', 5' AS said FROM orders")
+def stat_lines(spark, d):
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("[HP: "), (k % 100).cast("string"), F.lit("/100, STR = "), (k % 30).cast("string"), F.lit("|5]"))
+    return table(spark, d, "orders").select("o_orderkey", T.stat_text(line).alias("said"))
+
+
+@query("str12_romans", "SELECT o_orderkey, CASE WHEN o_orderkey % 45 BETWEEN 1 AND 39 THEN (o_orderkey % 45)::INT END AS value FROM orders")
+def romans(spark, d):
+    """Canonical numerals from 1 to 39; other strings have no value."""
+    n = (F.col("o_orderkey") % 45).cast("int")
+    ones = F.array(*[F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]])
+    token = F.when(n >= 40, F.lit("XL")).otherwise(F.concat(F.repeat(F.lit("X"), F.floor(n / 10).cast("int")), F.get(ones, n % 10)))
+    return table(spark, d, "orders").select("o_orderkey", T.roman_value(token).alias("value"))
+
+
+@query("str10_star_ratings", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 >= 2 THEN 'Offense: ' || (o_orderkey % 6) || ' stars, f*** it' WHEN o_orderkey % 6 = 1 THEN 'Offense: *, f*** it' ELSE 'Offense: , f*** it' END AS said FROM orders")
+def star_ratings(spark, d):
+    line = F.concat(F.lit("Offense: "), F.repeat(F.lit("*"), (F.col("o_orderkey") % 6).cast("int")), F.lit(", f*** it"))
+    return table(spark, d, "orders").select("o_orderkey", T.star_rating(line).alias("said"))
+
+
+@query("joi22_config_overlay", """SELECT c_custkey AS series, CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS rate, CASE WHEN c_custkey % 5 = 0 THEN 'de' ELSE 'en' END AS lang,
+  'narrator=' || CASE WHEN c_custkey % 3 = 0 THEN 'warm' ELSE 'plain' END || CASE WHEN c_custkey % 3 = 0 THEN ',thought=soft' ELSE '' END AS effects FROM customer""")
+def config_overlay(spark, d):
+    """A series' own settings change only the keys they name; effect maps merge key by key."""
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("series"))
+    own = s.where("series % 3 = 0 OR series % 5 = 0").select(
+        "series", F.when(F.col("series") % 3 == 0, 0.9).alias("o_rate"), F.when(F.col("series") % 5 == 0, "de").alias("o_lang"),
+        F.when(F.col("series") % 3 == 0, F.create_map(F.lit("narrator"), F.lit("warm"), F.lit("thought"), F.lit("soft"))).alias("o_effects"),
+    )
+    base = F.create_map(F.lit("narrator"), F.lit("plain"))
+    merged = F.map_zip_with(base, F.coalesce("o_effects", F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+    pairs = F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return s.join(own, "series", "left").select("series", F.coalesce("o_rate", F.lit(1.0)).alias("rate"), F.coalesce("o_lang", F.lit("en")).alias("lang"), F.array_join(pairs, ",").alias("effects"))
+
+
+_VERBS = ["said", "asked", "the", "of"]  # the corpus has no speech verbs; its commonest words stand in for them
+
+
+@query("str25_speech_tags", f"""WITH {TOKENS_SQL} SELECT lower(token) AS verb, prev AS name, count(*) AS n FROM tokens WHERE lower(token) IN ({", ".join(f"'{v}'" for v in _VERBS)}) AND regexp_matches(prev, '^[A-Z][a-z]+$') GROUP BY 1, 2""")
+def speech_tags(spark, d):
+    """A speech verb with a name right before it."""
+    t = tokens(spark, d).where(F.lower("token").isin(_VERBS) & F.col("prev").rlike("^[A-Z][a-z]+$"))
+    return t.groupBy(F.lower("token").alias("verb"), F.col("prev").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("joi2_phrase_rules", """SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^\\p{L}])(of the|in the|and the|de la|in der)(?:$|[^\\p{L}])'))::INT AS n_phrases FROM documents""")
+def phrase_rules(spark, d):
+    """Phrases of the rule table, longest first, in one alternation; whole phrases only."""
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)(?:^|[^\p{L}])(of the|in the|and the|de la|in der)(?:$|[^\p{L}])"), F.lit(1))).alias("n_phrases"))
+
+
+@query("win11_machine_runs", """WITH p AS (SELECT doc_id, string_split(text, '*') AS ps FROM documents WHERE contains(text, '*')), q AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
+SELECT doc_id, count(*) FILTER (i % 2 = 0 AND trim(ps[i]) <> '') AS n_machine, count(*) FILTER (i % 2 = 1 AND trim(ps[i]) <> '') AS n_plain, len(any_value(ps)) % 2 = 0 AS unclosed FROM q GROUP BY doc_id""")
+def machine_runs(spark, d):
+    """A marker toggles the machine voice; an odd number of markers leaves the last run open."""
+    ps = F.split("text", r"\*", -1)
+    full = lambda odd: F.size(F.filter(F.transform(ps, lambda x, i: F.when((i % 2 == odd) & (F.trim(x) != ""), x)), lambda x: x.isNotNull())).cast("bigint")
+    return table(spark, d, "documents").where(F.contains("text", F.lit("*"))).select("doc_id", full(1).alias("n_machine"), full(0).alias("n_plain"), (F.size(ps) % 2 == 0).alias("unclosed"))
+
+
+@query("win20_emphasis_share", r"""SELECT page_id, length(regexp_replace(array_to_string(regexp_extract_all(html, '<b>([^<]*)', 1), ''), '\s', '', 'g')) AS n_bold, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS n_article FROM pages""")
+def emphasis_share(spark, d):
+    """Characters under emphasis beside the article's length."""
+    bold = F.regexp_replace(F.array_join(F.regexp_extract_all("html", F.lit("<b>([^<]*)"), F.lit(1)), ""), r"\s", "")
+    return table(spark, d, "pages").select("page_id", F.length(bold).cast("bigint").alias("n_bold"), F.length(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)).cast("bigint").alias("n_article"))
+
+
+@query("str22_sound_classes", """WITH p AS (SELECT p_partkey, p_name AS whole, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'n', 'ng') WHEN 1 THEN replace(p_name, 's', 'z') WHEN 2 THEN replace(p_name, 'e', 'a') ELSE p_name || 't' END AS parts FROM part)
+SELECT p_partkey, CASE WHEN parts = whole THEN 'same' WHEN replace(parts, 'ng', 'n') = replace(whole, 'ng', 'n') THEN 'n/ng' WHEN replace(parts, 'z', 's') = replace(whole, 'z', 's') THEN 's/z'
+  WHEN translate(parts, 'aeiou', '') = translate(whole, 'aeiou', '') THEN 'vowel' ELSE 'other' END AS difference FROM p""")
+def sound_classes(spark, d):
+    """How two phoneme strings differ; here a part's name and a changed copy stand for them."""
+    n = F.col("p_name")
+    rep = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    k = F.col("p_partkey") % 4
+    parts = F.when(k == 0, rep(n, "n", "ng")).when(k == 1, rep(n, "s", "z")).when(k == 2, rep(n, "e", "a")).otherwise(F.concat(n, F.lit("t")))
+    p = table(spark, d, "part").select("p_partkey", n.alias("whole"), parts.alias("parts"))
+    a, b = F.col("parts"), F.col("whole")
+    same = lambda f: f(a) == f(b)
+    out = F.when(a == b, "same").when(same(lambda x: rep(x, "ng", "n")), "n/ng").when(same(lambda x: rep(x, "z", "s")), "s/z").when(same(lambda x: F.translate(x, "aeiou", "")), "vowel").otherwise("other")
+    return p.select("p_partkey", out.alias("difference"))

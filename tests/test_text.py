@@ -68,3 +68,23 @@ def test_page_blocks():
     )
     assert page_blocks(html) == [("heading", "One"), ("paragraph", "First line."), ("scene_break", ""), ("system", "HP: 5"), ("paragraph", "Last")]
     assert page_blocks(None) == page_blocks("") == []
+
+
+@pytest.mark.parametrize(("line", "want"), [("[HP: 5/27]", "hit points: 5 out of 27"), ("STR = 6|30", "Strength equals 6, 30")])
+def test_stat_text(spark, line, want):
+    assert one(spark, line, T.stat_text) == want
+
+
+@pytest.mark.parametrize(("token", "want"), [("IV", 4), ("XXXIX", 39), ("IIII", None), ("", None), ("L", None)])
+def test_roman(spark, token, want):
+    assert one(spark, token, T.roman_value) == want
+
+
+@pytest.mark.parametrize(("line", "want"), [("Offense: *****", "Offense: 5 stars"), ("Maximum 5* Rating", "Maximum 5 stars Rating"), ("f*** that", "f*** that")])
+def test_stars(spark, line, want):
+    assert one(spark, line, T.star_rating) == want
+
+
+@pytest.mark.parametrize(("handle", "want"), [("Forever1stCommenter", "Forever 1st Commenter"), ("???", "unknown"), ("dark_lord-9", "dark lord 9")])
+def test_handle(spark, handle, want):
+    assert one(spark, handle, T.spoken_handle) == want
