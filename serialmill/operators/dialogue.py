@@ -69,20 +69,26 @@ def bracket_runs(spark, d):
 SYSTEM_WORDS = """target objective quest mission system warning alert error notice status update analysis scan scanning
 affirmative negative ping alarm note task designation species race class rank level skill title""".split()
 
+# The two shapes of a chat line, the letters of a handle, what a stat value may hold and what is set aside in it.
+PLACED = r"(?s)^\s*(.{2,40}?)\s*\(\s*([^)]{1,30}?)\s*\)\s*:\s*(.+)$"
+BARE = r"(?s)^\s*([^:()\[\]]{2,40}?)\s*:\s*(.+)$"
+HANDLE = "^[A-Za-z0-9][A-Za-z0-9_. ]*$"
+STAT_VALUE = r"^[\d\s.,/|%+\-:=<>]*$"
+SET_ASIDE = r"\([^)]*\)|[^\x00-\x7f]"
+
 
 def parse_chat(line):
     """struct<user, location, message> of ``[Handle (Place): message]`` or ``[Handle: message]``, or null."""
     inner = F.trim(F.regexp_replace(F.regexp_replace(F.trim(line), r"^\[+", ""), r"\]+$", ""))
-    placed, bare = r"(?s)^\s*(.{2,40}?)\s*\(\s*([^)]{1,30}?)\s*\)\s*:\s*(.+)$", r"(?s)^\s*([^:()\[\]]{2,40}?)\s*:\s*(.+)$"
-    has_place = inner.rlike(placed)
-    user = F.trim(F.rtrim(F.when(has_place, F.regexp_extract(inner, placed, 1)).otherwise(F.regexp_extract(inner, bare, 1)), F.lit(":")))
-    place = F.when(has_place, F.trim(F.regexp_extract(inner, placed, 2))).otherwise("")
-    message = F.trim(F.when(has_place, F.regexp_extract(inner, placed, 3)).otherwise(F.regexp_extract(inner, bare, 2)))
-    core = F.regexp_replace(message, r"\([^)]*\)|[^\x00-\x7f]", " ")
-    stat = core.rlike("[0-9]") & core.rlike(r"^[\d\s.,/|%+\-:=<>]*$")
+    has_place = inner.rlike(PLACED)
+    user = F.trim(F.rtrim(F.when(has_place, F.regexp_extract(inner, PLACED, 1)).otherwise(F.regexp_extract(inner, BARE, 1)), F.lit(":")))
+    place = F.when(has_place, F.trim(F.regexp_extract(inner, PLACED, 2))).otherwise("")
+    message = F.trim(F.when(has_place, F.regexp_extract(inner, PLACED, 3)).otherwise(F.regexp_extract(inner, BARE, 2)))
+    core = F.regexp_replace(message, SET_ASIDE, " ")
+    stat = core.rlike("[0-9]") & core.rlike(STAT_VALUE)
     letters = user.rlike(r"^\p{L}+$")
     bad_bare = F.lower(user).isin(SYSTEM_WORDS) | user.contains(" ") | (letters & (F.upper(user) == user) & (F.length(user) >= 3)) | (letters & stat)
-    ok = F.startswith(line, F.lit("[")) & F.rtrim(line).endswith("]") & (has_place | inner.rlike(bare)) & (user != "") & user.rlike("^[A-Za-z0-9][A-Za-z0-9_. ]*$") & ((place != "") | ~bad_bare)
+    ok = F.startswith(line, F.lit("[")) & F.rtrim(line).endswith("]") & (has_place | inner.rlike(BARE)) & (user != "") & user.rlike(HANDLE) & ((place != "") | ~bad_bare)
     return F.when(ok, F.struct(user.alias("user"), place.alias("location"), message.alias("message")))
 
 
