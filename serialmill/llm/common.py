@@ -47,7 +47,7 @@ def id_bucket(col: str, n: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0) -> list:
-    """At most ``n`` rows with the smallest key hash. Only keys are sorted; the rows are fetched by a join with those n keys."""
+    """At most ``n`` rows with the smallest key hash, one for each key. Only keys are sorted; the rows are fetched by a join with those n keys."""
     order = F.xxhash64(F.col(key), F.lit(salt))
     ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(order, key).limit(n)
     chosen = [r[0] for r in ids.collect()]
@@ -55,7 +55,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0) -> list:
         return []
     spark = df.sparkSession
     small = spark.createDataFrame(pa.table({key: pa.array(chosen, pa.int64())}))
-    rows = df.join(F.broadcast(small), key, "left_semi").collect()
+    rows = df.join(F.broadcast(small), key, "left_semi").dropDuplicates([key]).collect()
     return sorted(rows, key=lambda r: (r[key], str(r)))
 
 

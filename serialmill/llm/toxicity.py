@@ -63,23 +63,22 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float,
 
     def sweep(a, b, c, d):
         """odds' = (c + d * odds) / (a + b * odds), along each block; the matrices have shape (blocks, size)."""
-        m = np.broadcast_to(np.eye(2)[None], (blocks, 2, 2)).copy()
+        a, b, c, d = (np.ascontiguousarray(x.T) for x in (a, b, c, d))  # a step is a row
+        m = (np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks))
         for k in range(size):
-            m0, m1 = m[:, 0], m[:, 1]
-            x = a[:, k, None] * m0 + b[:, k, None] * m1
-            y = c[:, k, None] * m0 + d[:, k, None] * m1
-            top = np.maximum(np.abs(x).max(1), np.abs(y).max(1))[:, None]
-            m = np.stack([x / top, y / top], 1)
+            x, y, u, v = m
+            m = (a[k] * x + b[k] * u, a[k] * y + b[k] * v, c[k] * x + d[k] * u, c[k] * y + d[k] * v)
+            scale = 1 / (m[0] + m[1] + m[2] + m[3])
+            m = tuple(z * scale for z in m)
         odds, into = 1.0, np.empty(blocks)
         for k in range(blocks):
             into[k] = odds
-            num, den = m[k, 1, 0] + m[k, 1, 1] * odds, m[k, 0, 0] + m[k, 0, 1] * odds
-            odds = min(max(num / max(den, 1e-300), 1e-30), 1e30)
-        out, r = np.empty((blocks, size)), into
+            odds = min(max((m[2][k] + m[3][k] * odds) / max(m[0][k] + m[1][k] * odds, 1e-300), 1e-30), 1e30)
+        out, r = np.empty((size, blocks)), into
         for k in range(size):
-            r = np.clip((c[:, k] + d[:, k] * r) / (a[:, k] + b[:, k] * r), 1e-30, 1e30)
-            out[:, k] = r
-        return out
+            r = np.clip((c[k] + d[k] * r) / (a[k] + b[k] * r), 1e-30, 1e30)
+            out[k] = r
+        return out.T
 
     one = np.ones_like(ex)
     # forward: alpha1/alpha0 after each word; at a start the odds before do not matter
@@ -99,8 +98,7 @@ def _cover(toxic: list[set[str]], clean: Counter, n_clean: int, times: int = 2)
     holds = defaultdict(set)
     for i, s in enumerate(toxic):
         for f in s:
-            if f[0] != "s":
-                holds[f].add(i)
+            holds[f].add(i)
     need = np.full(len(toxic), times)
     least = max(2, len(toxic) // 100)
     cand = {f: np.fromiter(d, int) for f, d in holds.items() if len(d) >= least and clean[f] / max(n_clean, 1) < 0.02 * len(d) / len(toxic)}
@@ -123,10 +121,16 @@ def fit_rows(texts: list[str | None], toxic: list[int], weights: list[float], st
         return None
     toks = [WORD.findall(t or "") for t in texts]
     low = [[w.lower() for w in ws] for ws in toks]
-    held = [{f for w in set(ws) for f in features(w)} for ws in low]
-    clean = Counter(f for fs, x in zip(held, y, strict=True) if not x for f in fs)
-    picked = set(_cover([fs for fs, x in zip(held, y, strict=True) if x], clean, int((y == 0).sum())))
-    del held
+    held = lambda ws: {f for w in set(ws) for f in features(w) if f[0] != "s"}
+    bad_sets = [held(ws) for ws, x in zip(low, y, strict=True) if x]
+    n_held = Counter(f for fs in bad_sets for f in fs)
+    often = {f for f, c in n_held.items() if c >= max(2, len(bad_sets) // 100)}  # only these can be picked
+    bad_sets = [fs & often for fs in bad_sets]
+    clean: Counter = Counter()
+    for ws, x in zip(low, y, strict=True):
+        if not x:
+            clean.update(held(ws) & often)
+    picked = set(_cover(bad_sets, clean, int((y == 0).sum())))
     # unique words -> features
     vocab: dict[str, int] = {}
     ids = np.concatenate([np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int64) for ws in low] or [np.zeros(0, np.int64)])
