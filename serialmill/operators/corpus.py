@@ -140,7 +140,9 @@ SELECT family, source, count(*) AS n, count(DISTINCT core) AS spellings, count(D
 def interjections(spark, d):
     t = table(spark, d, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'’-]*"), F.lit(0))).alias("raw"))
     core = F.regexp_replace(F.regexp_replace("raw", "^['-]+|['-]+$", ""), "'s$", "")
-    f = t.groupBy("doc_id", "source", core.alias("core")).count().select("*", family_of(F.col("core")).alias("family")).where("family IS NOT NULL")
+    # generators, so that the filter on the family is not pushed below the grouping, where it would repeat every pattern
+    words = t.select("doc_id", "source", F.inline(F.array(F.struct(core.alias("core"))))).groupBy("doc_id", "source", "core").count()
+    f = words.select("*", F.inline(F.array(F.struct(family_of(F.col("core")).alias("family"))))).where("family IS NOT NULL")
     return f.groupBy("family", "source").agg(F.sum("count").alias("n"), F.count_distinct("core").alias("spellings"), F.count_distinct("doc_id").alias("n_docs"))
 
 
