@@ -142,8 +142,8 @@ def library_coder(spec: str) -> PieceMemo:
                 return [np.array(e.ids, dtype).tobytes() for e in tk.encode_batch_fast(parts, add_special_tokens=False)]
             # one call for many pieces: the special token stands between them, and its id parts their ids
             out: list[bytes] = []
-            for lo in range(0, len(parts), 256):
-                some = parts[lo : lo + 256]
+            for lo in range(0, len(parts), 32):
+                some = parts[lo : lo + 32]
                 ids = np.array(tk.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype)
                 cut = np.flatnonzero(ids == gap)
                 flat, w = ids.tobytes(), ids.itemsize
