@@ -1,16 +1,19 @@
 """Personal data: fixed patterns, and a character BiLSTM with a CRF that adds spans.
 
-The patterns give the base spans. The model reads characters in overlapping windows: a bidirectional
+The patterns give the base spans. The model reads characters in overlapping stretches: a bidirectional
 LSTM gives each character's scores for the tags (outside, and begin and inside of each kind), a linear
-chain with learned transitions decodes each window, and windows are reconciled globally: a span counts
-only where a window sees beyond both its ends, equal spans merge, and of overlapping ones the surest
-stays. Base spans always stay; a span of the model is added where it overlaps none, holds a digit or
-an at sign, passes the same digit checks as the patterns' spans and is sure enough. As every such span
-holds a digit or an at sign, windows without either are not read.
+chain with learned transitions decodes each stretch, and stretches are reconciled globally: a span counts
+only where a stretch sees beyond both its ends, equal spans merge, and of overlapping ones the surest
+stays. Base spans always stay; a span of the model is added where it overlaps none, passes the same digit
+checks as the patterns' spans (an address holds an at sign or the word "at", and a dot before a letter or
+digit) and is sure enough. So every added span holds a digit, an at sign, or the word "at" with such a dot
+within LONGEST characters; a stretch reaches LONGEST characters to either side of each of these, so all
+spans of up to LONGEST characters are seen whole, and text beyond cannot hold one.
 
 Trained in numpy on labelled spans: the patterns' spans in at most ``sample_rows`` documents, and variants
-of them (other separators, no country code), which have no pattern. Defined results: null counts as empty;
-without any labelled span in the sample the templates alone train the model.
+of them (other separators, no country code), which have no pattern, and cut-outs of invented addresses of
+all lengths, with and without digits. Defined results: null counts as empty; without any labelled span in
+the sample the templates alone train the model.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from serialmill.llm.common import append_by_text, bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 64, 32
+WINDOW = 64
 SURE = 0.9
+LONGEST = 260  # characters of an added span: an address has 254 at most, and its at sign may be written out
+STRETCH = 2048
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,6 +43,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_AT = re.compile(r"(?<!\w)at(?!\w)")
+_DOT = re.compile(r"\.\w")
 
 
 # --- base patterns
@@ -276,8 +283,24 @@ def _invented(kind: int, rng) -> str:
     return f"+{rng.integers(1, 60)} ({num(3)}) {num(3)}-{num(4)}"
 
 
-def labelled_windows(texts: list[str | None], n_templates: int = 320, per_kind: int = 260, n_clean: int = 240, seed: int = 3):
-    """Windows with tags: pattern spans, their variants, invented ones in real surroundings, and windows without."""
+def _word(rng, known: list[str]) -> str:
+    return known[int(rng.integers(len(known)))] if known and rng.random() < 0.5 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 11))))
+
+
+def _address(rng, least: int, known: list[str]) -> str:
+    """An invented address of ``least`` characters or a few more, most of them with the at sign written out."""
+    word = lambda: _word(rng, known)
+    local, host = [word() for _ in range(int(rng.integers(1, 3)))], [word()]
+    while sum(map(len, local)) + sum(map(len, host)) + len(local) + len(host) + 7 < least:
+        (local if rng.random() < 0.5 else host).append(word())
+    digits = str(rng.integers(1, 100)) if rng.random() < 0.3 else ""
+    at = rng.choice(["@", " at ", " [at] ", "(at)", " at ", "[at]", " (at) "])
+    join = rng.choice([".", ".", "_", "-"])
+    return f"{join.join(local)}{digits}{at}{rng.choice(['.', '.', '-']).join(host)}.{rng.choice(['com', 'org', 'net', 'de', 'io', 'example', 'co.uk'])}"
+
+
+def labelled_windows(texts: list[str | None], n_templates: int = 320, per_kind: int = 260, n_clean: int = 240, seed: int = 3, n_addresses: int = 480):
+    """Windows with tags: pattern spans, their variants, invented ones in real surroundings, cut-outs of addresses, and windows without."""
     rng = np.random.default_rng(seed)
     texts = [t for t in texts if t]
     found: list[list[tuple[str, int, int]]] = [[] for _ in KINDS]
@@ -325,6 +348,24 @@ def labelled_windows(texts: list[str | None], n_templates: int = 320, per_kind:
             add(a[:30] + " ", datum, " " + a[30:], k)
     for s in clean:
         add("", "", s, -1)
+    known = sorted({w for x in around for w in re.findall(r"\b[a-z]{2,10}\b", x)})
+    for i in range(n_addresses):  # addresses are of the words around them, so that only their form tells them apart
+        a, b = (re.sub(r"[0-9@+]", "", around[int(rng.integers(len(around)))]) if rng.random() < 0.5 else " ".join(_word(rng, known) for _ in range(12)) for _ in range(2))
+        if i % 4:
+            datum = _address(rng, int(rng.integers(12, 40 if i % 2 else LONGEST - 12)), known)
+        else:  # the word alone, in prose with stops and joined words
+            datum = f" at {rng.choice(['', 'the ', 'a '])}"
+            b = b.replace(" ", rng.choice([" ", ". ", "."]), 1)
+        s = a + (" " if i % 4 else "") + datum + (rng.choice([" ", ". ", ", "]) if i % 4 else "") + b
+        y = np.zeros(len(s), np.int64)
+        if i % 4:
+            y[len(a) + 1 : len(a) + 1 + len(datum)] = 2
+            y[len(a) + 1] = 1
+        first = max(0, len(a) - 40)
+        lo = int(rng.integers(first, max(first, len(s) - WINDOW) + 1))
+        piece = s[lo : lo + WINDOW]
+        ids.append(np.concatenate([char_ids(piece), np.full(WINDOW - len(piece), PAD)]))
+        tags.append(np.concatenate([y[lo : lo + WINDOW], np.zeros(WINDOW - len(piece), np.int64)]))
     return np.stack(ids), np.stack(tags)
 
 
@@ -336,10 +377,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: i
 # --- decoding whole texts
 
 
-def _checks(kind: int, s: str) -> bool:
+def _checks(kind: int, text: str, lo: int, hi: int) -> bool:
+    s = text[lo:hi]
     d = digits_of(s)
     if kind == 0:
-        return bool(re.search(r"@|\bat\b|\(at\)|\[at\]", s)) and "." in s
+        at = _AT.search(text, lo, hi + 1)  # a word of the text, not of the cut-out
+        return bool(_DOT.search(s)) and ("@" in s or bool(at and at.end() <= hi))
     if kind == 1:
         p = re.findall(r"[0-9]+", s)
         return len(p) == 4 and _ip_ok(p)
@@ -348,15 +391,34 @@ def _checks(kind: int, s: str) -> bool:
     return 10 <= len(d) <= 15 and not re.search(r"[A-Za-z]", s)
 
 
-def _window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a trigger."""
-    out: set[int] = set()
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        out.add(k * STRIDE)
-        if k:
-            out.add((k - 1) * STRIDE)
-    return sorted(out)
+def _triggers(text: str) -> list[int]:
+    """Places one of which every added span holds, in order."""
+    out = [m.start() for m in _TRIGGER.finditer(text)]
+    ats = [m.start() for m in _AT.finditer(text)]
+    dots = np.array([m.start() for m in _DOT.finditer(text)] if ats else [], np.int64)
+    if len(dots):
+        first = np.searchsorted(dots, np.array(ats) - LONGEST)
+        near = (first < len(dots)) & (dots[np.minimum(first, len(dots) - 1)] <= np.array(ats) + LONGEST)
+        out = sorted([*out, *np.array(ats)[near].tolist()])
+    return out
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of what is read: all within LONGEST of a trigger, cut so that any LONGEST characters are inside a piece."""
+    wide: list[list[int]] = []
+    for at in _triggers(text):
+        lo, hi = max(0, at - LONGEST), min(len(text), at + LONGEST + 2)
+        if wide and lo <= wide[-1][1]:
+            wide[-1][1] = hi
+        else:
+            wide.append([lo, hi])
+    out = []
+    for lo, hi in wide:
+        while hi - lo > STRETCH:
+            out.append((lo, lo + STRETCH))
+            lo += STRETCH - LONGEST - WINDOW
+        out.append((lo, hi))
+    return out
 
 
 def find_spans(model: SpanModel, texts: list[str | None], block: int = 1024) -> list[list[tuple[int, int, int]]]:
@@ -364,26 +426,35 @@ def find_spans(model: SpanModel, texts: list[str | None], block: int = 1024) ->
     return _added(model, texts, [base_spans(t) for t in texts], block)
 
 
+def _blocks(queue, block: int):
+    """(text number, start, end) by like length; a block has ``block`` windows' characters at most, or one stretch."""
+    queue = sorted(queue, key=lambda x: (x[2] - x[1], x))
+    lo = 0
+    while lo < len(queue):
+        hi = lo + 1
+        while hi < len(queue) and (hi + 1 - lo) * (queue[hi][2] - queue[hi][1]) <= block * WINDOW:
+            hi += 1
+        yield queue[lo:hi]
+        lo = hi
+
+
 def _added(model: SpanModel, texts, base, block: int = 1024):
     found: list[dict] = [{} for _ in texts]
-    queue: list[tuple[int, int]] = [(i, s) for i, t in enumerate(texts) if t for s in _window_starts(t)]
     p = model.p
-    for lo in range(0, len(queue), block):
-        part = queue[lo : lo + block]
-        ids = np.full((len(part), WINDOW), PAD, np.int64)
-        for r, (i, s) in enumerate(part):
-            c = char_ids(texts[i][s : s + WINDOW])
-            ids[r, : len(c)] = c
+    for part in _blocks([(i, a, b) for i, t in enumerate(texts) if t for a, b in _stretches(t)], block):
+        ids = np.full((len(part), max(b - a for _, a, b in part)), PAD, np.int64)
+        for r, (i, a, b) in enumerate(part):
+            ids[r, : b - a] = char_ids(texts[i][a:b])
         e, _ = emissions(p, ids)
         tags = viterbi(e, p["T"], p["S"])
-        spans = [(w, x) for w in np.flatnonzero((tags > 0).any(0)) for x in _collect(tags[:, w], part[w][1], texts[part[w][0]])]
-        spans = [(w, x) for w, x in spans if _checks(x[1], texts[part[w][0]][x[0] : x[2]]) and not _overlaps(base[part[w][0]], x)]
+        spans = [(w, x) for w in np.flatnonzero((tags > 0).any(0)) for x in _collect(tags[:, w], *part[w][1:], len(texts[part[w][0]]))]
+        spans = [(w, x) for w, x in spans if _checks(x[1], texts[part[w][0]], x[0], x[2]) and not _overlaps(base[part[w][0]], x)]
         if not spans:
             continue
         hit = sorted({w for w, _ in spans})
         _, marg, _ = forward_backward(e[:, hit], p["T"], p["S"])
         for w, (a, kind, b) in spans:
-            i, s = part[w]
+            i, s, _ = part[w]
             m = marg[:, hit.index(w)]
             each = m[np.arange(a - s, b - s), tags[a - s : b - s, w]]
             score = float(each.mean()) if each.min() >= 0.5 else 0.0
@@ -395,19 +466,18 @@ def _overlaps(spans, x) -> bool:
     return any(x[0] < hi and x[2] > lo for lo, _, hi in spans)
 
 
-def _collect(tags, s, text):
-    """Spans that one window sees whole."""
-    k, out = 0, []
-    while k < WINDOW:
+def _collect(tags, lo, hi, size):
+    """Spans that one stretch, from ``lo`` to ``hi`` of a text of ``size`` characters, sees whole."""
+    k, n, out = 0, hi - lo, []
+    while k < n:
         if not tags[k]:
             k += 1
             continue
         kind, end = (tags[k] - 1) // 2, k + 1
-        while end < WINDOW and tags[end] == 2 + 2 * kind:
+        while end < n and tags[end] == 2 + 2 * kind:
             end += 1
-        inner = (k > 0 or s == 0) and (end < WINDOW or s + end >= len(text))
-        if inner and s + end <= len(text):
-            out.append((s + k, int(kind), s + end))
+        if (k > 0 or lo == 0) and (end < n or hi == size):
+            out.append((lo + k, int(kind), lo + end))
         k = end
     return out
 

@@ -139,3 +139,33 @@ def test_added_spans(spans_model):
     assert any(found)  # written as no pattern has them
     for t, spans in zip(texts, found, strict=True):
         assert all(pii.digits_of(t[a:b]) for a, _, b in spans)
+
+
+def test_spans_of_all_lengths_are_seen_whole():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        length = rng.randint(8, pii.LONGEST)
+        before, after = sentence(rng.randrange(99), rng.randint(0, 400)), sentence(rng.randrange(99), rng.randint(0, 400))
+        at, dot = rng.randrange(1, length - 6), rng.randrange(1, length - 6)
+        datum = "x" * at + rng.choice([" at ", "(at)", "@", "7"]) + "y" * (length - at - 4)
+        datum = datum[:length] if at <= dot < at + 4 else datum[:dot] + ".z" + datum[dot + 2 : length]
+        t = f"{before} {datum} {after}"
+        lo, hi = len(before) + 1, len(before) + 1 + len(datum)
+        if pii._checks(0, t, lo, hi):
+            assert any((a < lo or a == 0) and (b > hi or b == len(t)) for a, b in pii._stretches(t)), t
+    many = "9" * 20000
+    for lo in range(1, 19000, 37):
+        assert any(a < lo and b > lo + pii.LONGEST for a, b in pii._stretches(many))
+
+
+def test_written_addresses_without_digits_and_long_ones(spans_model):
+    where = lambda t, v: any(t[a:b] == v for a, _, b in pii.find_spans(spans_model, [t])[0])
+    place = lambda k, v: f"{sentence(k, 40)[: 80 + k]} {v} {sentence(k + 70, 12)}"
+    short = [v for v in ("anna.bell at mail.example.org", "anna.bell [at] mail.example.org", "anna.bell(at)mail.example.org") for k in range(32) if where(place(k, v), v)]
+    assert len(set(short)) == 3 and len(short) >= 32
+    for n in (2, 4, 8):
+        v = ".".join(sentence(n, n).split()) + ".hollings [at] customers.mailing.example.org"
+        assert sum(where(place(k, v), v) for k in range(32)) >= 24
+    assert not any(pii.find_spans(spans_model, [f"{sentence(k, 20)} at the door.Then at home. {sentence(k + 9, 20)}" for k in range(16)]))
