@@ -333,23 +333,55 @@ def _surviving(maps: list[np.ndarray], n: np.ndarray):
                 yield at[i], up[j]
 
 
-def _connect(pairs, m: int, test=None) -> np.ndarray:
-    """Labels of ``m`` members, joined along ``pairs`` that pass ``test``; pairs already joined are not tested."""
+def _connect(pairs, m: int) -> np.ndarray:
+    """Labels of ``m`` members, joined along ``pairs``."""
     label = np.arange(m)
     for i, j in pairs:
         open_ = label[i] != label[j]
         for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
-            if label[a] != label[b] and (test is None or test(a, b)):
+            if label[a] != label[b]:
                 label[label == max(label[a], label[b])] = min(label[a], label[b])
     return label
 
 
-def join_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """A label for each set, equal for sets that links connect; sets should be ordered so that like ones are near."""
+def _overlapping(pairs, sets: list[np.ndarray]):
+    """The pairs that link: the members of one set are marked, and marks are counted in all sets it is to meet."""
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    ids, mark = np.split(at, np.cumsum(size)[:-1]), np.zeros(len(every), bool)
+    for i, j in pairs:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(1, np.int64)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            mark[ids[i[lo]]] = True
+            for k in range(lo, hi, 4096):
+                js = j[k : min(k + 4096, hi)]
+                starts = np.concatenate([[0], np.cumsum(size[js])[:-1]])
+                both = np.add.reduceat(mark[np.concatenate([ids[x] for x in js])], starts, dtype=np.int64)
+                js = js[100 * both >= 80 * (size[i[lo]] + size[js] - both)]
+                if len(js):
+                    yield np.full(len(js), i[lo]), js
+            mark[ids[i[lo]]] = False
+
+
+def join_sets(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a label, equal for sets that links connect, and the summed weight of the sets it links with; with ``part``
+    only pairs of different parts are compared. Sets should be ordered so that like ones are near."""
+    label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
     if len(sets) < 2:
-        return np.arange(len(sets))
+        return label, links
     pairs = _surviving([bitmap(s) for s in sets], np.array([len(s) for s in sets], np.int64))
-    return _connect(pairs, len(sets), lambda a, b: linked(sets[a], sets[b]))
+    if part is not None:
+        pairs = ((i[on], j[on]) for i, j in pairs for on in [part[i] != part[j]])
+
+    def counted():
+        for i, j in _overlapping(pairs, sets):
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            yield i, j
+
+    return _connect(counted(), len(sets)), links
 
 
 def _edges(nodes: np.ndarray, label: np.ndarray):
@@ -385,19 +417,25 @@ def _prune(rows):
 
 
 def _verify(rows):
-    """(node, s) of a block or of two of its parts -> edges along verified links."""
-    each = {node: np.frombuffer(s, np.uint64) for node, s in rows}
-    nodes = sorted(each, key=lambda k: (int(each[k][0]), k))  # like sets have like least shingles
-    yield from _edges(np.array(nodes, np.int64), join_sets([each[k] for k in nodes]))
+    """(inner, part, node, copies, s) of a block or of two of its parts -> edges (a, b) along verified links, and the links of nodes (a, links)."""
+    each = {node: (part, copies, np.frombuffer(s, np.uint64)) for _, part, node, copies, s in rows}
+    nodes = sorted(each, key=lambda k: (int(each[k][2][0]), k))  # like sets have like least shingles
+    part, copies = (np.array([each[k][c] for k in nodes], np.int64) for c in (0, 1))
+    label, links = join_sets([each[k][2] for k in nodes], copies, None if rows[0][0] else part)
+    a = np.array(nodes, np.int64)
+    on, some = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(links)
+    if len(some):
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(a[label[on]]), none(len(on))], names=["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[some]), none(len(some)), pa.array(links[some])], names=["a", "b", "links"])
 
 
 def _sets(batches):
-    """(grp, parts, node, text) -> (grp, parts, node, s); a text of another node (repeated ids) is left out."""
+    """(grp, parts, node, copies, text) -> (grp, parts, node, copies, s); a text of another node (repeated ids) is left out."""
     for b in batches:
-        g, p, nodes = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-        out = [(x, y, z, s.tobytes()) for x, y, z, t in zip(g, p, nodes, b.column(3).to_pylist(), strict=True) if len(s := shingles(t)) and set_id(s) == z]
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["grp", "parts", "node", "s"])
+        out = [(*x, s.tobytes()) for *x, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(s := shingles(t)) and set_id(s) == x[2]]
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["grp", "parts", "node", "copies", "s"])
 
 
 def row_key(key: str, text: str):
@@ -406,7 +444,7 @@ def row_key(key: str, text: str):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
-    """(doc_id, n_shingles, component_id), ``class_key``, which names the class also where ids are null, and ``row_key``."""
+    """(doc_id, n_shingles, component_id), ``class_key``, which names the class also where ids are null, ``row_key`` and ``n_links``."""
     spark = docs.sparkSession
     ship_code(spark)
     source = docs.select(row_key(key, text).alias("rk"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -430,20 +468,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
 
     sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     member = blocks.join(sizes, "label").select(F.col("label").alias("grp"), F.ceil(F.col("m") / part).cast("bigint").alias("parts"), "node")
-    one = each.where("node IS NOT NULL").groupBy("node").agg(F.min("rk").alias("rk"))
+    one = each.where("node IS NOT NULL").groupBy("node").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"))
     wanted = member.join(one, "node")
-    sets = source.select("rk", "text").join(wanted, "rk").select("grp", "parts", "node", "text").mapInArrow(_sets, "grp bigint, parts bigint, node bigint, s binary")
+    blob = "grp bigint, parts bigint, node bigint, copies bigint, s binary"
+    sets = source.select("rk", "text").join(wanted, "rk").select("grp", "parts", "node", "copies", "text").mapInArrow(_sets, blob)
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
-    dealt = sets.select("grp", "parts", "node", "s", mine).select(
-        "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"), "part", "node", "s"
-    ).select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "s")
-    links = dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_by_group(3, _verify), "a bigint, b bigint")
-    classes = connected_components(links)
-
-    named = each.join(classes, "node", "left").withColumn("class_key", F.coalesce("label", "node"))
+    dealt = sets.select("grp", "parts", "node", "copies", "s", mine).select(
+        "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"), "part", "node", "copies", "s"
+    ).select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") == F.col("other")).alias("inner"), "part", "node", "copies", "s")
+    found = materialise(dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_by_group(3, _verify), "a bigint, b bigint, links bigint"))
+    classes = connected_components(found)
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    counted = one.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+    named = each.join(classes, "node", "left").join(counted.where("n_links > 0"), "node", "left").withColumn("class_key", F.coalesce("label", "node"))
     least = named.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "class_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key", F.col("rk").alias("row_key"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
 
 
@@ -467,3 +509,6 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(v.doc_id
 FROM w JOIN r ON r.x = w.rid JOIN w v ON v.rid = r.y LEFT JOIN n ON n.rid = w.rid
 GROUP BY w.rid, w.doc_id
 """
+
+#: The classes of ``ORACLE`` with the number of other rows that each row links with.
+ORACLE_LINKS = ORACLE.replace("min(v.doc_id) AS component_id", "min(v.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = w.rid)::BIGINT AS n_links")

@@ -92,3 +92,16 @@ def test_prefix_is_shared_by_linked_sets():
         b = core[rng.random(len(core)) > 0.1]
         if len(a) and len(b) and simjoin.linked(a, b):
             assert np.intersect1d(simjoin.prefix(a, often, rank), simjoin.prefix(b, often, rank)).size
+
+
+@pytest.mark.parametrize("part", [1024, 4])
+def test_every_link_is_counted(spark, part):
+    rng = random.Random(9)
+    base = sentence(61, 120)
+    rows = [(k, mutate(base, rng.choice([0, 1, 2, 3]), rng)) for k in range(30)]
+    rows += [rows[3], (None, rows[5][1]), (40, None), (41, ""), (42, sentence(62, 80))]
+    sets = [set(simjoin.shingles(t).tolist()) for _, t in rows]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = simjoin.near_duplicates(docs(spark, rows), part=part).collect()
+    assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got) == sorted((k or -1, n) for (k, _), n in zip(rows, want, strict=True))
+    assert sum(want) // 2 > len(rows)  # more than the edges that connect a class
