@@ -60,3 +60,12 @@ def test_empty_pipeline(spark, tmp_path):
 def test_row_key_tells_texts_apart(spark):
     df = docs(spark, [(1, "a"), (1, "b"), (1, "a")])
     assert df.select(simjoin.row_key("doc_id", "text")).distinct().count() == 2
+
+
+def test_language_id_rejects_what_no_language_claims(spark):
+    a, b = ["alar", "orim", "enth", "tor", "ish"], ["zuk", "xov", "qiz", "vex", "wug"]
+    known = [(i, sentence(i, 40, a if i % 2 else b), "aa" if i % 2 else "bb") for i in range(60)]
+    other = [(100, "Быстрая коричневая лиса прыгает через ленивую собаку"), (101, "слово"), (102, "12 34"), (103, None)]
+    ids = lambda rows: sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs(spark, rows), "").collect())
+    assert ids(known + other) == [*range(60), 101]
+    assert ids(other) == [100, 101]  # no language to learn from
