@@ -106,8 +106,30 @@ def test_audit_finds_exactly_the_damage(spark):
     assert all(r["n"] == r["end"] for r in ends)
     assert warc.audit(stored, stored).count() == 0
     bad = warc.audit(stored, warc.rotten(stored)).collect()
-    assert sorted((r["page_id"], r["status"]) for r in bad) == sorted((i, "missing" if i % 101 == 0 else "altered") for i in (*range(400), 9999) if i % 97 == 0 or i % 101 == 0)
+    ids = (*range(400), 9999)
+    damage = [(i, "missing" if i % 101 == 0 else "altered") for i in ids if i % 97 == 0 or i % 101 == 0]
+    assert sorted((r["page_id"], r["status"]) for r in bad) == sorted(damage + [(i, "extra") for i in ids if i % 103 == 0])
     extra = warc.audit(stored.where("page_id <> 20"), stored).collect()
     assert {(r["page_id"], r["status"]) for r in extra} >= {(20, "extra")}
     empty = warc.archive(spark.createDataFrame([], PAGES))
     assert empty.count() == 0 and warc.audit(empty, empty).count() == 0
+
+
+def test_audit_of_deep_trees(spark, monkeypatch):
+    """A file with many times FANOUT records needs several levels; damage in each corner of it is found."""
+    monkeypatch.setattr(warc, "FANOUT", 4)
+    n = 4**4 + 3
+    records = spark.createDataFrame([(0, i, 10 * i, 10, i, f"record {i}".encode()) for i in range(n)] + [(1, 0, 0, 10, n, b"alone")], warc.RECORD_SCHEMA)
+    assert warc.levels_of(warc.leaves(records)) == 5
+    hurt = (0, 63, 64, n - 1, n)
+    other = records.withColumn("record", F.when(F.col("page_id").isin(*hurt), F.lit(b"x")).otherwise(F.col("record")))
+    assert sorted(r["page_id"] for r in warc.audit(records, other).collect()) == sorted(hurt)
+    assert warc.audit(records, records).count() == 0
+
+
+def test_archive_reads_only_its_columns(spark):
+    rows = [(1, "u", "h", 5, "x"), (1, "u", "h", 6, "y"), (2, "v", "z" * 400_000, 7, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, seq int, record string")
+    stored = warc.archive(df)
+    assert stored.columns == ["file", "seq", "offset", "length", "page_id", "record"] and stored.count() == 3
+    assert b"\r\nWARC-Date: " in stored.first()["record"]
