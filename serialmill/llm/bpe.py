@@ -7,7 +7,9 @@ pieces are cut again at every other certain pair; fragments are encoded independ
 ids concatenated. Equal fragments have equal ids, so each task keeps a bounded memo of them.
 
 Defined results: null counts as the empty text (no ids); the tokenizer's special tokens written in a
-text are read as those tokens, as the tokenizers library does by default.
+text are read as those tokens, as the tokenizers library does by default; very long texts are encoded
+whole, a long fragment by a heap in near linear time; repeated rows and ties give a row each; input
+columns named like a result are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -168,8 +171,8 @@ class Vocabulary:
                     heapq.heappush(heap, (self.rank[p], a, p))
         return [self.ids[s] for s in syms if s is not None]
 
-    def encode_pieces(self, parts: list[str]) -> list[bytes]:
-        """Ids of each piece, as bytes of ``dtype``. All pieces are cut at certain pairs first; fragments of like length are merged together."""
+    def encode_pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has. All pieces are cut at certain pairs first; fragments of like length are merged together."""
         find = self.pattern.findall
         words, owner = [], []
         for k, p in enumerate(parts):
@@ -181,7 +184,7 @@ class Vocabulary:
             words += w
             owner += [k] * len(w)
         if not words:
-            return [b""] * len(parts)
+            return np.zeros(0, self.dtype), np.zeros(len(parts), np.int64)
         buf = np.frombuffer(b"".join(words), np.uint8)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         begins = np.zeros(len(buf) + 1, bool)
@@ -209,69 +212,155 @@ class Vocabulary:
             spot[start[f] : start[f] + len(got)] = got
         held = spot >= 0
         n = np.bincount(np.repeat(of, size)[held], minlength=len(parts))
-        flat, ends = spot[held].astype(self.dtype).tobytes(), np.cumsum(n) * np.dtype(self.dtype).itemsize
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return spot[held].astype(self.dtype), n
+
+
+def strung(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each run of ``size``, one run after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceMemo:
-    """Texts -> ids (bytes) through a bounded memo of pieces; ``encode_pieces`` gets each batch's new pieces at once."""
+    """Texts -> ids through a bounded memo of pieces.
+
+    Arrow cuts a batch of texts at their spaces and numbers its distinct words, each of which is looked up, or
+    encoded, once; the ids of all texts are then gathered from the memo's one row of ids by a few vector operations.
+    ``encode_pieces(parts, spaced)`` gets the new pieces at once, as (ids in a row, sizes); with ``spaced`` each of
+    them is a space and a word without one.
+    """
 
-    def __init__(self, encode_pieces, special: dict[str, int], dtype, most: int = MEMO, batch_chars: int = 2_000_000):
+    def __init__(self, encode_pieces, special: dict[str, int], dtype, most: int = MEMO, batch_chars: int = 12_000_000):
         self.make, self.special, self.dtype, self.most, self.batch_chars = encode_pieces, special, dtype, most, batch_chars
-        self.memo: dict[str, bytes] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # numbers of pieces, of words after a space
+        self.begin, self.size, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.ids, self.used = np.zeros(1 << 14, self.dtype), 0
+        self.known[False][""] = self._store(self.ids[:0], np.zeros(1, np.int64))
+        for s, i in self.special.items():
+            self.known[False][s] = self._store(np.array([i], self.dtype), np.ones(1, np.int64))
+
+    def _store(self, ids: np.ndarray, size: np.ndarray) -> int:
+        """Append pieces; the number of the first."""
+        while self.n + len(size) > len(self.size):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        at = self.n
+        self.begin[at : at + len(size)] = self.used + np.cumsum(size) - size
+        self.size[at : at + len(size)] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = at + len(size), self.used + len(ids)
+        return at
+
+    def _learn(self, new: list[str], spaced: bool) -> None:
+        known, ask, ends = self.known[spaced], {}, []
+        for p in new:
+            q = p.rstrip(TAIL)  # a letter or digit before punctuation is a certain cut, too
+            if q and q != p and q[-1].isalnum() and ord(q[-1]) < 0x250:
+                ends.append((p, q, p[len(q) :]))
+                if q not in known:
+                    ask[q] = None
+            else:
+                ask[p] = None
+        if ask:
+            at = self._store(*self.make([" " + p for p in ask] if spaced else list(ask), spaced))
+            known.update(zip(ask, range(at, at + len(ask)), strict=True))
+        if ends:
+            tails = self._numbers([e[2] for e in ends], False)
+            pair = np.stack([np.fromiter((known[e[1]] for e in ends), np.int64, len(ends)), tails], 1)
+            sizes = self.size[pair]
+            at = self._store(self.ids[strung(self.begin[pair].reshape(-1), sizes.reshape(-1))], sizes.sum(1))
+            known.update(zip((e[0] for e in ends), range(at, at + len(ends)), strict=True))
+
+    def _numbers(self, names: list[str], spaced: bool) -> np.ndarray:
+        known = self.known[spaced]
+        new = [p for p in names if p not in known]
+        if new:
+            new = list(dict.fromkeys(new))
+            self._learn(new, spaced)
+            self.long += [(spaced, p) for p in new if len(p) > 64]
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+
+    def _special_in(self, text: str) -> bool:
+        return any(s in text for s in self.special)
 
     def cut(self, text: str) -> list[str]:
-        if self.split and any(s in text for s in self.special):
+        if self._special_in(text):
             return [p for bit in self.split.split(text) for p in ([bit] if bit in self.special else pieces(bit) if bit else [])]
         return pieces(text)
 
     def encode(self, texts: list[str | None]):
-        """An iterator over the ids of each text, as bytes."""
+        """Batch by batch: the ids of its texts in a row, and how many each text has."""
         part, held = [], 0
         for t in texts:
             part.append(t or "")
             held += len(part[-1])
             if held >= self.batch_chars:
-                yield from self._encode(part)
+                yield self._encode(part)
                 part, held = [], 0
-        yield from self._encode(part)
-
-    def _encode(self, texts: list[str]):
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo, lists = self.memo, [self.cut(t) for t in texts]
-        for s in self.special:
-            if s not in memo:
-                memo[s] = np.array([self.special[s]], self.dtype).tobytes()
-        new = set().union(*lists) - memo.keys()
-        whole, split = set(), []
-        for p in new:
-            q = p.rstrip(TAIL)  # a letter or digit before punctuation is a certain cut, too
-            if q and q != p and q[-1].isalnum() and ord(q[-1]) < 0x250:
-                split.append((p, q, p[len(q) :]))
-                whole.update(split[-1][1:])
-            else:
-                whole.add(p)
-        ask = [p for p in whole if p not in memo]
-        memo.update(zip(ask, self.make(ask), strict=True))
-        for p, q, tail in split:
-            memo[p] = memo[q] + memo[tail]
-        for x in lists:
-            yield b"".join(map(memo.__getitem__, x))
-        for p in (*ask, *(x[0] for x in split)):
-            if len(p) > 64:
-                memo.pop(p, None)
+        if part:
+            yield self._encode(part)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.n > self.most or self.used > 16 * self.most:
+            self._clear()
+        self.long: list[tuple[bool, str]] = []
+        odd = np.array([bool(_PLAIN.search(t)) or self._special_in(t) for t in texts], bool)
+        numbers, counts = self._plain([t for t, o in zip(texts, odd, strict=True) if not o])
+        if odd.any():
+            cut = [self.cut(t) for t, o in zip(texts, odd, strict=True) if o]
+            other = np.concatenate([self._odd(x) for x in cut])
+            size = np.zeros(len(texts), np.int64)
+            size[~odd], size[odd] = counts, [len(x) for x in cut]
+            begin = np.zeros(len(texts), np.int64)
+            begin[~odd], begin[odd] = np.cumsum(size[~odd]) - size[~odd], len(numbers) + np.cumsum(size[odd]) - size[odd]
+            numbers, counts = np.concatenate([numbers, other])[strung(begin, size)], size
+        size = self.size[numbers]
+        out = self.ids[strung(self.begin[numbers], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+        for spaced, p in self.long:
+            self.known[spaced].pop(p, None)
+        return out, lengths
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of texts in which every space starts a word, and how many each text has."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edge = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        inner = np.ones(len(code), bool)
+        inner[edge[:-1]] = False
+        used = np.flatnonzero(np.bincount(code[inner], minlength=len(names)))
+        of = np.zeros(len(names), np.int64)
+        of[used] = self._numbers([names[i] for i in used.tolist()], True)
+        numbers = of[code]
+        numbers[edge[:-1]] = self._numbers([names[i] for i in code[edge[:-1]].tolist()], False)
+        return numbers, np.diff(edge).astype(np.int64)
+
+    def _odd(self, parts: list[str]) -> np.ndarray:
+        spaced = np.array([len(p) > 1 and p[0] == " " and " " not in p[1:] and not p[1].isspace() for p in parts], bool)
+        out = np.zeros(len(parts), np.int64)
+        out[spaced] = self._numbers([p[1:] for p, s in zip(parts, spaced, strict=True) if s], True)
+        out[~spaced] = self._numbers([p for p, s in zip(parts, spaced, strict=True) if not s], False)
+        return out
 
 
 class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.memo = PieceMemo(vocab.encode_pieces, vocab.special, vocab.dtype)
+        self.memo = PieceMemo(lambda parts, spaced: vocab.encode_pieces(parts), vocab.special, vocab.dtype)
         self.names = list(map(str, range(len(vocab.bytes))))
 
     def encode(self, texts):
-        return (np.frombuffer(b, self.v.dtype) for b in self.memo.encode(texts))
+        for ids, lengths in self.memo.encode(texts):
+            yield from np.split(ids, np.cumsum(lengths)[:-1])
 
     def decode(self, ids) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -1,16 +1,17 @@
 """Token ids in a compact binary format: static range asymmetric numeral system (rANS).
 
-Documents are dealt by ranges of their id, so files follow each other in ascending order. Each file
-has one frequency table over all its ids; its blocks share that table, each with a copy, so that any
-block can be decoded alone.
-A block interleaves many lanes (symbol k belongs to lane k mod lanes), so a whole row of lanes is coded
-by one vector operation. Every block holds checkpoints (lane states and word offsets) from which
-decoding can start in the middle, and checksums of its ids and of its payload.
-
-The container is Parquet, written and read by Spark alone. Documents may be longer than a block's
-target; a block then holds one document. Defined results: a null text is encoded as the empty
-text and holds the end id alone; repeated ids keep one entry for each row, ordered by the text's hash;
-null ids come first; an empty table gives no files' rows.
+Texts are encoded where they lie and counted; one frequency table over all ids is shared by every block.
+Documents are then dealt by ranges of their id, so files follow each other in ascending order, and each
+file's ids are cut into blocks that are decoded independently. A block interleaves many lanes (symbol k
+belongs to lane k mod lanes), so a whole row of lanes is coded by one vector operation. Every block has
+checksums of its ids and of its payload, and a checkpoint (lane states and word offset) for every
+CHECKPOINT_IDS ids, from which ``fetch`` decodes a range of documents without what stands before.
+
+The container is Parquet, written and read by Spark alone: ``table`` (the frequencies) and ``blocks``. A task
+holds one block at a time. Documents may be longer than a block's target; a block then holds one document.
+Defined results: a null text is encoded as the empty text and holds the end id alone; repeated ids keep one
+entry for each row, ordered by the text's hash, and equal rows are equal entries; null ids come first; only
+the id and the text are read, whatever other columns are named; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -24,21 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm.bpe import PieceMemo, read_spec
-from serialmill.llm.common import work_dir
+from serialmill.llm.bpe import PieceMemo, byte_alphabet, read_spec
+from serialmill.llm.common import materialise, work_dir
 from serialmill.session import ship_code
 
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 20
 LANES = 2048
-CHECKPOINT_STEPS = 256
+CHECKPOINT_IDS = 1 << 18
 END_ID = 2
 
+TABLE_SCHEMA = "freqs binary"
 BLOCK_SCHEMA = (
-    "file int, block int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, lanes int, "
+    "file int, block int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, lengths array<int>, n_ids bigint, lanes int, "
     "states binary, checkpoints array<struct<step:int,word:bigint,states:binary>>, payload binary, "
-    "payload_crc32 bigint, ids_crc32 bigint, before bigint, freqs binary"
+    "payload_crc32 bigint, ids_crc32 bigint, before bigint"
 )
 
 
@@ -60,9 +62,10 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return f
 
 
-def encode_block(ids: np.ndarray, freqs: np.ndarray, lanes: int = LANES, every: int = CHECKPOINT_STEPS) -> dict:
+def encode_block(ids: np.ndarray, freqs: np.ndarray, lanes: int = LANES, checkpoint_ids: int = CHECKPOINT_IDS) -> dict:
     n = len(ids)
     lanes = int(max(1, min(lanes, n // 128)))
+    every = max(1, checkpoint_ids // lanes)
     steps = -(-n // lanes)
     start = (np.cumsum(freqs) - freqs).astype(np.uint64)
     f64 = freqs.astype(np.uint64)
@@ -135,20 +138,26 @@ def library_coder(spec: str) -> PieceMemo:
         tk.no_padding()
         dtype = np.uint16 if tk.get_vocab_size() <= 1 << 16 else np.uint32
         special = {t.content: i for i, t in tk.get_added_tokens_decoder().items() if t.special}
-        mark, gap = next(iter(special.items())) if special else (None, None)
-
-        def run(parts):
-            if mark is None:
-                return [np.array(e.ids, dtype).tobytes() for e in tk.encode_batch_fast(parts, add_special_tokens=False)]
-            # one call for many pieces: the special token stands between them, and its id parts their ids
-            out: list[bytes] = []
-            for lo in range(0, len(parts), 256):
-                some = parts[lo : lo + 256]
-                ids = np.array(tk.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype)
-                cut = np.flatnonzero(ids == gap)
-                flat, w = ids.tobytes(), ids.itemsize
-                out += [flat[a * w : b * w] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
-            return out
+        space = next(c for c, b in byte_alphabet().items() if b == 32)
+        starts = np.zeros(tk.get_vocab_size(), bool)
+        starts[[i for t, i in tk.get_vocab().items() if t[0] == space]] = True
+        own = any(" " in s for s in special)
+
+        def apart(parts):
+            each = [e.ids for e in tk.encode_batch_fast(parts, add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], dtype), np.array([len(ids) for ids in each], np.int64)
+
+        def run(parts, spaced):
+            """One call for many words after spaces: each begins with the one token that holds its space."""
+            if not spaced or own:
+                return apart(parts)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo in range(0, len(parts), 128):
+                some = parts[lo : lo + 128]
+                ids = np.array(tk.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype)
+                first = np.flatnonzero(starts[ids])
+                out.append((ids, np.diff(first, append=len(ids))) if len(first) == len(some) else apart(some))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
         _coders.clear()
         _coders[key] = PieceMemo(run, special, dtype, most=900_000)
@@ -156,89 +165,173 @@ def library_coder(spec: str) -> PieceMemo:
     return _coders[key]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Encode every whole text and write the blocks in ascending order of ``key``."""
-    ship_code(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))  # a file of fixed size
+_CODED = "k bigint, tie bigint, ids binary, counts array<bigint>"
+_CODED_ARROW = pa.schema([("k", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.int64()))])
+_BLOCK_ARROW = pa.schema([
+    ("file", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()),
+    ("lanes", pa.int32()), ("states", pa.binary()), ("checkpoints", pa.list_(pa.struct([("step", pa.int32()), ("word", pa.int64()), ("states", pa.binary())]))),
+    ("payload", pa.binary()), ("payload_crc32", pa.int64()), ("ids_crc32", pa.int64()), ("before", pa.int64()),
+])
+
+
+def _code(spec, end_id: int):
+    """(k, tie, text) -> the ids of each text with the end id (little-endian, 4 bytes each if the vocabulary needs it, else 2), then one row of counts for the task."""
 
     def run(batches):
         coder = library_coder(spec.value)
-        end = np.array([end_id], coder.dtype).tobytes()
+        counts = np.zeros(max(coder.vocab_size, end_id + 1), np.int64)
+        width = np.dtype(coder.dtype).itemsize
+        for b in batches:
+            at = 0
+            for ids, lengths in coder.encode(b.column(2).to_pylist()):
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                counts += np.bincount(ids, minlength=len(counts))
+                edge = np.concatenate([[0], np.cumsum(lengths + 1)]) * width
+                n = len(lengths)
+                held = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), held, pa.nulls(n, pa.list_(pa.int64()))], schema=_CODED_ARROW)
+                at += n
+        if counts.any():
+            yield pa.RecordBatch.from_pylist([{"counts": counts}], schema=_CODED_ARROW)
+
+    return run
+
+
+def _lay_out(shared, dtype):
+    """Coded documents in order -> blocks of about BLOCK_IDS ids; one block is held at a time."""
+    width = np.dtype(dtype).itemsize
+
+    def run(batches):
+        freqs, file, block, before = shared.value, TaskContext.get().partitionId(), 0, 0
         keys: list = []
         parts: list[bytes] = []
-        for b in batches:
-            keys += b.column(0).to_pylist()
-            parts += [x + end for x in coder.encode(b.column(1).to_pylist())]
-        if not keys:
-            return
-        width, file = np.dtype(coder.dtype).itemsize, TaskContext.get().partitionId()
-        counts = np.zeros(max(coder.vocab_size, end_id + 1), np.int64)
-        for i in range(0, len(parts), 4096):
-            counts += np.bincount(np.frombuffer(b"".join(parts[i : i + 4096]), coder.dtype), minlength=len(counts))
-        freqs = quantise(counts)
-        table = zlib.compress(freqs.astype(np.int32).tobytes(), 3)
-        lo, block, before = 0, 0, 0
-        while lo < len(keys):
-            hi, held = lo, 0
-            while hi < len(keys) and (hi == lo or held + len(parts[hi]) // width <= BLOCK_IDS):
-                held += len(parts[hi]) // width
-                hi += 1
-            ids = np.frombuffer(b"".join(parts[lo:hi]), coder.dtype).astype(np.int64)
+        held = 0
+
+        def flush():
+            ids = np.frombuffer(b"".join(parts), dtype).astype(np.int64)
+            known = [k for k in keys if k is not None]
             row = encode_block(ids, freqs) | {
-                "file": file, "block": block, "doc_ids": keys[lo:hi], "lengths": [len(p) // width for p in parts[lo:hi]],
-                "n_ids": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "before": before, "freqs": table,
+                "file": file, "block": block, "doc_ids": keys, "lengths": [len(p) // width for p in parts], "n_ids": len(ids),
+                "first_doc": min(known, default=None), "last_doc": max(known, default=None), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "before": before,
             }
             row["payload_crc32"] = zlib.crc32(row["payload"])
-            parts[lo:hi] = [b""] * (hi - lo)
-            lo, block, before = hi, block + 1, before + len(ids)
-            yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
-    arrow = pa.schema([
-        ("file", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("lanes", pa.int32()), ("states", pa.binary()),
-        ("checkpoints", pa.list_(pa.struct([("step", pa.int32()), ("word", pa.int64()), ("states", pa.binary())]))),
-        ("payload", pa.binary()), ("payload_crc32", pa.int64()), ("ids_crc32", pa.int64()), ("before", pa.int64()), ("freqs", pa.binary()),
-    ])
-    ranged = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).repartitionByRange(F.col("k"), F.xxhash64("t"))
-    blocks = ranged.sortWithinPartitions("k", F.xxhash64("t")).mapInArrow(run, BLOCK_SCHEMA)
-    blocks.write.option("compression", "none").parquet(path)
+        for b in batches:
+            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = len(p) // width
+                if keys and held + n > BLOCK_IDS:
+                    yield flush()
+                    block, before = block + 1, before + held
+                    keys, parts, held = [], [], 0
+                keys.append(k)
+                parts.append(p)
+                held += n
+        if keys:
+            yield flush()
 
+    return run
 
-def read(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame:
-    """Decode the blocks: doc_id, start, n_tokens, ids_crc32 and, unless ``digest_only``, ids. A damaged block raises."""
+
+def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
+    """Encode every whole text and write the blocks in ascending order of ``key``."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    tokens = read_spec(tokenizer)
+    spec = spark.sparkContext.broadcast(tokens)  # a file of fixed size
+    size = max(library_coder(tokens).vocab_size, end_id + 1)
+    coded = materialise(docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("tie"), F.col(text).alias("t")).mapInArrow(_code(spec, end_id), _CODED))
+    sums = coded.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    counts = np.zeros(size, np.int64)
+    for r in sums.collect():  # a row for each id of the vocabulary
+        counts[r["id"]] = r["n"]
+    freqs = quantise(counts)
+    spark.createDataFrame([(bytearray(zlib.compress(freqs.astype(np.int32).tobytes())),)], TABLE_SCHEMA).coalesce(1).write.parquet(f"{path}/table")
+    shared = spark.sparkContext.broadcast(freqs)  # as many numbers as the vocabulary has ids
+    ranged = coded.where("ids IS NOT NULL").select("k", "tie", "ids").repartitionByRange("k", "tie").sortWithinPartitions("k", "tie")
+    blocks = ranged.select("k", "ids").mapInArrow(_lay_out(shared, library_coder(tokens).dtype), BLOCK_SCHEMA)
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+
+
+def _open(spark: SparkSession, path: str):
+    """The blocks, and broadcasts of the shared table and of the number of ids before each file (as many as files)."""
     ship_code(spark)
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    # the number of ids of each file, as many rows as files
-    files = sorted(blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["file"])
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    freqs = np.frombuffer(zlib.decompress(spark.read.schema(TABLE_SCHEMA).parquet(f"{path}/table").first()["freqs"]), np.int32).astype(np.int64)
     first, at = {}, 0
-    for r in files:
+    for r in sorted(blocks.groupBy("file").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["file"]):
         first[r["file"]] = at
         at += r["n"]
-    shared = spark.sparkContext.broadcast(first)
-    cols = ["file", "doc_ids", "lengths", "n_ids", "lanes", "states", "payload", "payload_crc32", "ids_crc32", "freqs", "before"]
+    return blocks, spark.sparkContext.broadcast((freqs, first))
+
+
+def _documents(ids: np.ndarray, keys, lengths: np.ndarray, begins: np.ndarray, origin: int, digest_only: bool):
+    """A row for each document whose ids start at ``begins`` in ``ids``; ``origin`` is the place of the first of them in the whole."""
+    each = [ids[s : s + n] for s, n in zip(begins, lengths, strict=True)]
+    out = [pa.array(keys, pa.int64()), pa.array(begins + origin, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if not digest_only:
+        out.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _result(digest_only: bool) -> str:
+    return "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ("" if digest_only else ", ids array<int>")
+
+
+def _checked(r: dict) -> bytes:
+    if zlib.crc32(r["payload"]) != r["payload_crc32"]:
+        raise ValueError(f"file {r['file']}, block {r['block']}: payload checksum differs")
+    return r["payload"]
+
+
+def read(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame:
+    """Decode the blocks: doc_id, start, n_tokens, ids_crc32 and, unless ``digest_only``, ids. A damaged block raises."""
+    blocks, shared = _open(spark, path)
 
     def run(batches):
-        held: tuple = (None, None, None)
+        freqs, first = shared.value
+        slot_ids = slots(freqs)
         for b in batches:
-            for r in b.to_pylist():
-                if zlib.crc32(r["payload"]) != r["payload_crc32"]:
-                    raise ValueError(f"file {r['file']}: payload checksum differs")
-                if held[0] != r["file"]:
-                    freqs = np.frombuffer(zlib.decompress(r["freqs"]), np.int32).astype(np.int64)
-                    held = (r["file"], freqs, slots(freqs))
-                ids = decode_block(r["payload"], r["states"], r["n_ids"], held[1], held[2], r["lanes"]).astype("<u4")
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                ids = decode_block(_checked(r), r["states"], r["n_ids"], freqs, slot_ids, r["lanes"]).astype("<u4")
                 if zlib.crc32(ids.tobytes()) != r["ids_crc32"]:
-                    raise ValueError(f"file {r['file']}: ids checksum differs")
-                ends = np.cumsum(r["lengths"])
-                begins, origin = ends - r["lengths"], shared.value[r["file"]] + r["before"]
-                each = [ids[s:e] for s, e in zip(begins, ends, strict=True)]
-                out = [pa.array(r["doc_ids"], pa.int64()), pa.array(begins + origin, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if not digest_only:
-                    out.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return blocks.select(*cols).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ("" if digest_only else ", ids array<int>"))
+                    raise ValueError(f"file {r['file']}, block {r['block']}: ids checksum differs")
+                lengths = np.array(r["lengths"], np.int64)
+                yield _documents(ids, r["doc_ids"], lengths, np.cumsum(lengths) - lengths, first[r["file"]] + r["before"], digest_only)
+
+    cols = ["file", "block", "doc_ids", "lengths", "n_ids", "lanes", "states", "payload", "payload_crc32", "ids_crc32", "before"]
+    return blocks.select(*cols).mapInArrow(run, _result(digest_only))
+
+
+def fetch(spark: SparkSession, path: str, least: int, most: int) -> DataFrame:
+    """The rows of ``read`` for documents with ids from ``least`` to ``most``. Other blocks are skipped by their id ranges, and a block
+    is decoded from the last checkpoint before the first such document to the end of the last one."""
+    blocks, shared = _open(spark, path)
+
+    def run(batches):
+        freqs, first = shared.value
+        slot_ids = slots(freqs)
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                on = [j for j, k in enumerate(r["doc_ids"]) if k is not None and least <= k <= most]
+                if not on:
+                    continue
+                lengths = np.array(r["lengths"], np.int64)
+                ends = np.cumsum(lengths)
+                begins, lanes = (ends - lengths)[on], r["lanes"]
+                past = [c for c in r["checkpoints"] if c["step"] * lanes <= begins[0]]
+                from_ = past[-1] if past else {"step": 0, "word": 0, "states": r["states"]}
+                until = -(-int(ends[on[-1]]) // lanes)
+                ids = decode_block(_checked(r), from_["states"], r["n_ids"], freqs, slot_ids, lanes, from_["step"], from_["word"], until).astype("<u4")
+                skipped = from_["step"] * lanes
+                yield _documents(ids, [r["doc_ids"][j] for j in on], lengths[on], begins - skipped, first[r["file"]] + r["before"] + skipped, False)
+
+    cols = ["file", "block", "doc_ids", "lengths", "n_ids", "lanes", "states", "checkpoints", "payload", "payload_crc32", "before"]
+    return blocks.where((F.col("last_doc") >= least) & (F.col("first_doc") <= most)).select(*cols).mapInArrow(run, _result(False))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_rans_blocks(n):
     ids = np.minimum(rng.zipf(1.3, n), 5000).astype(np.int64)
     freqs = tokenbin.quantise(np.bincount(ids, minlength=5001))
     assert n == 0 or freqs.sum() == 1 << tokenbin.SCALE
-    b = tokenbin.encode_block(ids, freqs, lanes=64, every=16)
+    b = tokenbin.encode_block(ids, freqs, lanes=64, checkpoint_ids=1024)
     slots = tokenbin.slots(freqs)
     assert (tokenbin.decode_block(b["payload"], b["states"], n, freqs, slots, b["lanes"]) == ids).all()
     for c in b["checkpoints"][:3]:  # from the middle, as parallel readers do
@@ -80,7 +80,33 @@ def test_token_files(spark, lib):
 
 def test_damage_is_noticed(spark, tmp_path):
     tokenbin.write(docs(spark, [(1, sentence(2, 500))]).select("doc_id", "text"), str(tmp_path / "a"), byte_bpe_path())
-    blocks = spark.read.schema(tokenbin.BLOCK_SCHEMA).parquet(str(tmp_path / "a"))
-    blocks.withColumn("payload", F.concat("payload", F.lit(b"x"))).write.parquet(str(tmp_path / "b"))
+    spark.read.parquet(str(tmp_path / "a" / "table")).write.parquet(str(tmp_path / "b" / "table"))
+    blocks = spark.read.schema(tokenbin.BLOCK_SCHEMA).parquet(str(tmp_path / "a" / "blocks"))
+    blocks.withColumn("payload", F.concat("payload", F.lit(b"x"))).write.parquet(str(tmp_path / "b" / "blocks"))
     with pytest.raises(Exception, match="checksum"):
         tokenbin.read(spark, str(tmp_path / "b")).collect()
+
+
+def test_ranges_are_read_from_checkpoints(spark, tmp_path, monkeypatch):
+    """A range of documents equals the same rows of the whole; the last ones of a long block start at a checkpoint."""
+    spec = bpe.read_spec(byte_bpe_path())
+    coder = tokenbin.library_coder(spec)
+    ids, lengths = next(coder.encode([sentence(i, 900) for i in range(40)]))
+    freqs = tokenbin.quantise(np.bincount(ids.astype(np.int64), minlength=coder.vocab_size))
+    block = tokenbin.encode_block(ids.astype(np.int64), freqs, checkpoint_ids=1 << 14)
+    assert len(block["checkpoints"]) >= 2 and len(ids) == lengths.sum()
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(i, sentence(i, 50 + i), "t", i) for i in range(30)] + [(31, None, "t", 0)], "doc_id bigint, text string, ids string, k int")
+    tokenbin.write(df, path, byte_bpe_path())
+    every = {r["doc_id"]: r for r in tokenbin.read(spark, path).collect()}
+    got = tokenbin.fetch(spark, path, 20, 31).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(20, 30), 31] and all(r == every[r["doc_id"]] for r in got)
+
+
+def test_memo_survives_its_limit(lib):
+    """The memo is emptied between batches, and texts with odd spaces and long words stand beside plain ones."""
+    coder = bpe.Encoder(bpe.Vocabulary(bpe.read_spec(byte_bpe_path())))
+    coder.memo.most, coder.memo.batch_chars = 50, 300
+    texts = [f"{sentence(i, 30)},{'  ' * (i % 2)} w{'y' * (70 * (i % 3))}. <|endoftext|>{i}" if i % 5 else sentence(i, 20) for i in range(60)]
+    for t, got in zip(texts, coder.encode(texts), strict=True):
+        assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
