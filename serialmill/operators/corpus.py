@@ -58,12 +58,15 @@ NAMES_SQL = f"""names AS (
 )"""
 
 
+#: A capitalised word in mid-sentence: a token before it, which ends no sentence even without its quotes.
+_NAME = r"""(?=[A-Z][a-z]{2})(?<=\S )(?<![.!?…]["']{0,20} )([A-Z][a-z]{2,})(?![A-Za-z'-])"""
+
+
 def names(spark, d: str) -> DataFrame:
-    """Capitalised words in mid-sentence."""
-    word = F.regexp_extract("token", "^[A-Za-z][A-Za-z'-]+", 0)
-    starts = F.regexp_replace("prev", "[\"']+$", "").rlike("[.!?…]$")
-    t = tokens(spark, d).where(F.col("prev").isNotNull() & ~starts)
-    return t.select("source", "doc_id", "line_no", "pos", word.alias("word")).where(F.col("word").rlike("^[A-Z][a-z][a-z]+$") & ~F.col("word").isin(STOPWORDS))
+    """Capitalised words in mid-sentence, found by one pattern; no other token is ever a row."""
+    line = F.trim(F.regexp_replace("line", r"\s+", " "))
+    t = lines(spark, d).select("source", "doc_id", "line_no", F.explode(F.regexp_extract_all(line, F.lit(_NAME), F.lit(1))).alias("word"))
+    return t.where(~F.col("word").isin(STOPWORDS))
 
 
 @query("agg1_unknown_names", f"WITH {TOKENS_SQL}, {NAMES_SQL} SELECT source, word, count(*) AS n FROM names GROUP BY source, word")
@@ -108,7 +111,9 @@ _EDGES = "\"'’“”‘()\\[\\]{}.,!?;:…—–*"  # fixed values: punctuatio
 SELECT core AS word, count(*) AS n, arg_min(snippet, (doc_id, i)) AS snippet FROM h GROUP BY core""")
 def heteronyms(spark, d, context: int = 6):
     """Each known heteronym: occurrences, and the first in its context."""
-    ws = table(spark, d, "documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("ws"))
+    known = F.array(*map(F.lit, HETERONYMS))
+    some = table(spark, d, "documents").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z]+"), known))  # letters alone decide which texts are looked at
+    ws = some.select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("ws"))
     core = lambda w: F.lower(F.regexp_replace(w, f"^[{_EDGES}]+|[{_EDGES}]+$", ""))
     hit = F.filter(F.transform("ws", lambda w, i: F.struct(core(w).alias("core"), i.alias("i"))), lambda x: x["core"].isin(HETERONYMS))
     h = ws.select("doc_id", "ws", F.inline(hit))
@@ -128,6 +133,10 @@ def family_of(core):
 _RUNS = " OR ".join(f"contains(core, '{c * 3}')" for c in "abcdefghijklmnopqrstuvwxyz")
 
 
+#: What every word of a family looks like before its edges are trimmed; few other words do.
+_PERHAPS = "^['-]*(?:" + "|".join(x.strip("^$") for _, p in FAMILIES for x in p.split("|")) + r")(?:'s)?['-]*$|(.)\1{2,}|^[^aeiouy]{3,}$"
+
+
 @query("agg5_interjections", f"""WITH t AS (
   SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z][a-z''’-]*')) AS raw FROM documents
 ), c AS (
@@ -138,11 +147,11 @@ _RUNS = " OR ".join(f"contains(core, '{c * 3}')" for c in "abcdefghijklmnopqrstu
 )
 SELECT family, source, count(*) AS n, count(DISTINCT core) AS spellings, count(DISTINCT doc_id) AS n_docs FROM f WHERE family IS NOT NULL GROUP BY family, source""")
 def interjections(spark, d):
+    """Only words that may belong to a family are shuffled, counted for each document first."""
     t = table(spark, d, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'’-]*"), F.lit(0))).alias("raw"))
     core = F.regexp_replace(F.regexp_replace("raw", "^['-]+|['-]+$", ""), "'s$", "")
-    # generators, so that the filter on the family is not pushed below the grouping, where it would repeat every pattern
-    words = t.select("doc_id", "source", F.inline(F.array(F.struct(core.alias("core"))))).groupBy("doc_id", "source", "core").count()
-    f = words.select("*", F.inline(F.array(F.struct(family_of(F.col("core")).alias("family"))))).where("family IS NOT NULL")
+    few = t.where(F.col("raw").rlike(_PERHAPS)).select("doc_id", "source", core.alias("core")).groupBy("doc_id", "source", "core").count()
+    f = few.withColumn("family", family_of(F.col("core"))).where("family IS NOT NULL")
     return f.groupBy("family", "source").agg(F.sum("count").alias("n"), F.count_distinct("core").alias("spellings"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -160,30 +169,80 @@ def vocabulary(spark, d):
     return word_counts(spark, d).where(F.col("n") >= LEAST_USES)
 
 
-@query("agg7_compounds", f"""WITH {WORDS_SQL}, v AS (SELECT word, count(*) AS n FROM words GROUP BY word), used AS (SELECT word FROM v WHERE n >= {LEAST_USES} AND length(word) >= 3),
-s AS (SELECT word, n, k, left(word, k) AS a, substr(word, k + 1) AS b, length(word) AS len FROM (SELECT *, unnest(range(3, greatest(length(word) - 2, 3))) AS k FROM v WHERE length(word) >= 8 AND n >= 2))
-SELECT word, n, a AS left_part, b AS right_part FROM s WHERE a IN (SELECT word FROM used) AND b IN (SELECT word FROM used) AND (least(k, len - k) > 3 OR greatest(k, len - k) >= 5)
-QUALIFY row_number() OVER (PARTITION BY word ORDER BY least(k, len - k) DESC, k) = 1""")
+# Endings that are read weakly and so are no second half, and endings of inflected words.
+WEAK_ENDINGS = "less able ible ness ment ship hood ful fully ward wards wise ish ling ings man men land worth ways time".split()
+INFLECTIONS = "ing ed es s ly er ers est ist ists ier ies ie ate ity ities".split()
+#: The stems that an ending may have cut short: as it stands, with an e, without its last letter, and that with a y.
+_INFLECTION = f"({'|'.join(INFLECTIONS)})$"
+
+_STEMS_SQL = f"""stems AS (SELECT word, unnest([stem, stem || 'e', left(stem, -1), left(stem, -1) || 'y']) AS stem FROM (SELECT word, regexp_replace(word, '(ities|ists|ing|ers|est|ist|ier|ies|ate|ity|ed|es|ly|er|ie|s)$', '') AS stem FROM v)
+  WHERE stem <> word AND stem <> '')"""
+
+
+def dictionary(spark, d: str) -> DataFrame:
+    """The word list that a compound is not in and its halves are: here the words of ``benchmark``."""
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+
+
+@query("agg7_compounds", rf"""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, source, count(*) AS n FROM w GROUP BY 1, 2),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM c GROUP BY word), dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+used AS (SELECT word FROM v WHERE n >= {LEAST_USES} AND length(word) >= 3 AND word IN (SELECT word FROM dict)), {_STEMS_SQL},
+cand AS (SELECT word, n FROM v WHERE length(word) >= 8 AND word NOT IN (SELECT word FROM dict) AND word NOT IN (SELECT s.word FROM stems s JOIN dict ON dict.word = s.stem)),
+s AS (SELECT word, n, left(word, k) AS a, substr(word, k + 1) AS b, least(k, length(word) - k) AS even, greatest(k, length(word) - k) AS most, k FROM (SELECT *, unnest(range(3, length(word) - 2)) AS k FROM cand)),
+best AS (SELECT word, n, a, b FROM s WHERE a IN (SELECT word FROM used) AND b IN (SELECT word FROM used) AND (even > 3 OR most >= 5) AND b NOT IN ({_sql_list(WEAK_ENDINGS)}) QUALIFY row_number() OVER (PARTITION BY word ORDER BY even DESC, k) = 1),
+top AS (SELECT word, string_agg(source, ',' ORDER BY n DESC, source) AS labels FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, source) <= 4) GROUP BY word)
+SELECT best.word, best.n, a AS left_part, b AS right_part, labels FROM best JOIN top USING (word)""")
 def compounds(spark, d):
-    """JOI4 and WIN16: words of two frequent halves; the most even split, the first of equals. A half of three needs one of five."""
-    v = word_counts(spark, d).select("word", "n")
-    used = v.where((F.col("n") >= LEAST_USES) & (F.length("word") >= 3)).select("word")
+    """JOI4 and WIN16: words outside the dictionary, and no inflections of its words, that split into two of its words which the corpus
+    uses often. The most even split decides, the first of equals; a half of three letters needs one of five; with the sources that use the word most."""
+    w = table(spark, d, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    c = w.groupBy("word", "source").agg(F.count("*").alias("n"))
+    v = c.groupBy("word").agg(F.sum("n").alias("n"))
+    known = dictionary(spark, d)
+    used = v.where((F.col("n") >= LEAST_USES) & (F.length("word") >= 3)).join(known, "word", "left_semi").select("word")
     size = F.length("word")
-    s = v.where((size >= 8) & (F.col("n") >= 2)).select("word", "n", size.alias("len"), F.explode(F.sequence(F.lit(3), size - 3)).alias("k"))
-    s = s.select("*", F.expr("left(word, k)").alias("left_part"), F.expr("substring(word, k + 1)").alias("right_part"))
+    unknown = v.where(size >= 8).join(known, "word", "left_anti")
+    s = unknown.select("word", "n", size.alias("len"), F.explode(F.sequence(F.lit(3), size - 3)).alias("k"))
+    s = s.select("*", F.expr("left(word, k)").alias("left_part"), F.expr("substring(word, k + 1)").alias("right_part")).where(~F.col("right_part").isin(WEAK_ENDINGS))
     s = s.where((F.least("k", F.col("len") - F.col("k")) > 3) | (F.greatest("k", F.col("len") - F.col("k")) >= 5))
     s = s.join(used.withColumnRenamed("word", "left_part"), "left_part").join(used.withColumnRenamed("word", "right_part"), "right_part")
-    best = F.max_by(F.struct("left_part", "right_part"), F.struct(F.least("k", F.col("len") - F.col("k")), -F.col("k")))
-    return s.groupBy("word", "n").agg(best.alias("b")).select("word", "n", "b.left_part", "b.right_part")
+    split = F.max_by(F.struct("left_part", "right_part"), F.struct(F.least("k", F.col("len") - F.col("k")), -F.col("k")))
+    found = s.groupBy("word", "n").agg(split.alias("b"))
+    stem = F.regexp_replace("word", _INFLECTION, "")
+    cut = F.expr("left(stem, length(stem) - 1)")
+    stems = found.select("word", stem.alias("stem")).where("stem <> word AND stem <> ''").select("word", F.explode(F.array("stem", F.concat("stem", F.lit("e")), cut, F.concat(cut, F.lit("y")))).alias("stem"))
+    inflected = stems.join(known.withColumnRenamed("word", "stem"), "stem", "left_semi").select("word")
+    kept = found.join(inflected, "word", "left_anti")
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.col("n").desc(), "source"))
+    labels = c.join(kept.select("word"), "word", "left_semi").withColumn("place", place).where("place <= 4").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "source"))).alias("l"))
+    return kept.join(labels, "word").select("word", "n", "b.left_part", "b.right_part", F.array_join("l.source", ",").alias("labels"))
 
 
 # --- blocks and segments
 
 
-@query("src2_blocks", f"""WITH {LINES_SQL} SELECT doc_id, line_no, CASE WHEN trim(line) IN ('***', '* * *', '---', '###', '• • •', '· · ·', '= = =')
-  OR (length(trim(line)) <= 12 AND regexp_matches(trim(line), '^\\s*([*#~•·\\-—–_=]\\s*){{3,}}\\s*$')) THEN 'scene_break' ELSE 'paragraph' END AS kind, trim(line) AS body FROM lines""")
+def text_blocks(t):
+    """Array of struct<kind, body>: blank lines part the blocks, wrapped lines are joined, scene breaks typed."""
+    unix = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    chunks = F.filter(F.transform(F.split(unix, r"\n\s*\n", -1), strip), lambda x: x != "")
+    one = lambda x: F.when(T.is_scene_break(x), F.struct(F.lit("scene_break").alias("kind"), F.lit("").alias("body"))).otherwise(F.struct(F.lit("paragraph").alias("kind"), F.regexp_replace(x, r"\s*\n\s*", " ").alias("body")))
+    return F.transform(chunks, one)
+
+
+@query("src2_blocks", r"""WITH c AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cs FROM documents),
+b AS (SELECT doc_id, unnest(range(len(cs)))::INT AS block_no, unnest(cs) AS x FROM c), k AS (SELECT *, x IN ('***', '* * *', '---', '###', '• • •', '· · ·', '= = =') OR (length(x) <= 12 AND regexp_matches(x, '^\s*([*#~•·\-—–_=]\s*){3,}\s*$')) AS brk FROM b)
+SELECT doc_id, block_no, CASE WHEN brk THEN 'scene_break' ELSE 'paragraph' END AS kind, CASE WHEN brk THEN '' ELSE regexp_replace(x, '\s*\n\s*', ' ', 'g') END AS body FROM k""")
 def blocks(spark, d):
-    """FLT8: lines as typed blocks."""
+    """Plain texts as typed blocks."""
+    b = table(spark, d, "documents").select("doc_id", F.posexplode(text_blocks(F.col("text"))).alias("block_no", "b"))
+    return b.select("doc_id", "block_no", "b.kind", "b.body")
+
+
+@query("flt8_scene_breaks", f"""WITH {LINES_SQL} SELECT doc_id, line_no, CASE WHEN trim(line) IN ('***', '* * *', '---', '###', '• • •', '· · ·', '= = =')
+  OR (length(trim(line)) <= 12 AND regexp_matches(trim(line), '^\\s*([*#~•·\\-—–_=]\\s*){{3,}}\\s*$')) THEN 'scene_break' ELSE 'paragraph' END AS kind, trim(line) AS body FROM lines""")
+def line_kinds(spark, d):
+    """Every line by itself, typed."""
     kind = F.when(T.is_scene_break(F.col("line")), "scene_break").otherwise("paragraph")
     return lines(spark, d).select("doc_id", "line_no", kind.alias("kind"), F.trim("line").alias("body"))
 
@@ -223,14 +282,13 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sent_no)
   CASE WHEN para_end THEN {PAUSES["paragraph"]} ELSE {PAUSES["sentence"]} END + CASE WHEN regexp_matches(sentence, '^[\\s.…]+$') THEN {PAUSES["ellipsis"]} ELSE 0 END AS pause_ms
 FROM s""")
 def segments(spark, d):
-    """FLT16, WIN12, WIN22: the segment script; lines without a letter or digit become pauses."""
-    w = Window.partitionBy("doc_id").orderBy("line_no", "sent_no")
-    in_line = lines(spark, d).select("doc_id", "line_no", T.sentences(F.col("line")).alias("s"))
-    rows = in_line.select("doc_id", "line_no", F.size("s").alias("m"), F.posexplode("s").alias("sent_no", "body"))
+    """FLT16, WIN12, WIN22: the segment script; lines without a letter or digit become pauses. A chapter's segments are numbered on its own row, without a shuffle."""
+    ended = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("body"), (i == F.size(s) - 1).alias("para_end")))
+    whole = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: T.bound(T.sentences(x), ended)))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(whole).alias("seg_no", "s")).select("doc_id", "seg_no", "s.body", "s.para_end")
     ellipsis, silent = F.col("body").rlike(r"^[\s.…]+$"), ~F.col("body").rlike(r"[\p{L}\p{N}]")
-    end = F.col("sent_no") == F.col("m") - 1
-    pause = F.when(end, PAUSES["paragraph"]).otherwise(PAUSES["sentence"]) + F.when(ellipsis, PAUSES["ellipsis"]).otherwise(0)
-    return rows.select("doc_id", (F.row_number().over(w) - 1).alias("seg_no"), "body", end.alias("para_end"), F.when(ellipsis | silent, "pause").otherwise("speech").alias("kind"), pause.alias("pause_ms"))
+    pause = F.when(F.col("para_end"), PAUSES["paragraph"]).otherwise(PAUSES["sentence"]) + F.when(ellipsis, PAUSES["ellipsis"]).otherwise(0)
+    return rows.select("doc_id", "seg_no", "body", "para_end", F.when(ellipsis | silent, "pause").otherwise("speech").alias("kind"), pause.alias("pause_ms"))
 
 
 @query("hsh1_segment_keys", f"WITH {SENTENCES_SQL} SELECT sha1(sentence || '|narrator|narration|1.0|1.0|24000') AS key, count(*) AS uses, count(DISTINCT doc_id) AS n_docs FROM sentences GROUP BY 1")
@@ -242,9 +300,10 @@ def segment_keys(spark, d):
 
 @query("agg24_recipe_hash", f"""WITH {SENTENCES_SQL} SELECT doc_id, left(sha256(string_agg(sentence, chr(1) ORDER BY line_no, sent_no) || '|24000'), 32) AS recipe FROM sentences GROUP BY doc_id""")
 def recipe_hash(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "sent_no", "sentence")))
-    joined = F.concat(F.array_join(F.transform(ordered, lambda x: x["sentence"]), T.CUT), F.lit("|24000"))
-    return sentence_rows(spark, d).groupBy("doc_id").agg(F.left(F.sha2(joined, 256), F.lit(32)).alias("recipe"))
+    """A digest of a chapter's segments and settings, on its own row."""
+    whole = F.flatten(F.transform(F.split("text", "\n", -1), T.sentences))
+    docs = table(spark, d, "documents").select("doc_id", whole.alias("s")).where(F.size("s") > 0)
+    return docs.select("doc_id", F.left(F.sha2(F.concat(F.array_join("s", T.CUT), F.lit("|24000")), 256), F.lit(32)).alias("recipe"))
 
 
 @query("agg18_chapter_stats", f"""WITH {LINES_SQL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents),
@@ -285,27 +344,6 @@ def markdown(spark, d):
 # --- scalar functions over whole columns
 
 
-@query("str4_straight_quotes", "SELECT doc_id, translate(text, '‘’‚‛“”„‟′″«»', '''''''''\"\"\"\"''\"\"\"') AS body FROM documents")
-def quotes(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.straight_quotes(F.col("text")).alias("body"))
-
-
-@query("str6_latin_only", "SELECT doc_id, length(regexp_replace(text, '[^\\x00-\\x{24F}]', '', 'g')) AS n_latin FROM documents")
-def latin_only(spark, d):
-    """Letters outside the Latin blocks are dropped."""
-    return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace("text", r"[^\x00-\x{24F}]", "")).cast("bigint").alias("n_latin"))
-
-
-_ONES_SQL, _TENS_SQL = "[" + _sql_list(T.ONES) + "]", "[" + _sql_list(T.TENS) + "]"
-
-
-@query("str7_number_words", f"""SELECT o_orderkey AS k, concat_ws(' ', CASE WHEN n >= 1000 THEN {_ONES_SQL}[n // 1000 + 1] || ' thousand' END, CASE WHEN n % 1000 >= 100 THEN {_ONES_SQL}[n % 1000 // 100 + 1] || ' hundred' END,
-  CASE WHEN n % 100 > 0 OR n = 0 THEN CASE WHEN n % 100 < 20 THEN {_ONES_SQL}[n % 100 + 1] ELSE {_TENS_SQL}[n % 100 // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || {_ONES_SQL}[n % 10 + 1] ELSE '' END END END) AS words
-FROM (SELECT o_orderkey, (o_orderkey % 10000)::INT AS n FROM orders)""")
-def number_words(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), T.number_words((F.col("o_orderkey") % 10000).cast("int")).alias("words"))
-
-
 @query("str18_short_titles", r"""SELECT p_partkey, CASE WHEN b <> '' THEN b ELSE trim(t) END AS title FROM (
   SELECT p_partkey, t, regexp_replace(regexp_replace(regexp_replace(t, '\s*(\[[^\]]*\]|\([^)]*\))', '', 'g'), '[ \t\n\r]+', ' ', 'g'), '^[ \-–—:,;]+|[ \-–—:,;]+$', '', 'g') AS b
   FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' [Book 1 Completed]' WHEN 1 THEN '(' || p_type || ')' ELSE p_name || ' (' || p_brand || ') - ' END AS t FROM part))""")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,6 @@ from serialmill.functions import text as T
 from serialmill.operators.corpus import NAMES_SQL, TOKENS_SQL, names, tokens, word_counts
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
-from serialmill.session import ship_code
 from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, table
 
 QUERIES, ORACLES, query = registry()
@@ -106,44 +102,6 @@ def lead_from_tags(spark, d):
 # --- normalisation steps
 
 
-@query("str9_symbols", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\be\.g\.', 'for example', 'g'), '(?i)\bi\.e\.', 'that is', 'g'), '\s*&\s*', ' and ', 'g'), '([0-9])\s*%', '\1 percent', 'g') AS body FROM documents""")
-def symbols(spark, d):
-    t = F.regexp_replace(F.regexp_replace("text", r"(?i)\be\.g\.", "for example"), r"(?i)\bi\.e\.", "that is")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s*&\s*", " and "), r"(?<=[0-9])\s*%", " percent")
-    return table(spark, d, "documents").select("doc_id", t.alias("body"))
-
-
-@query("str13_punctuation", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(text, '...', '…'), '—', ' — '), '--', ' — '), '[ \t\n\r]+', ' ', 'g'), ' +([,.;:!?])', '\1', 'g')) AS body FROM documents""")
-def punctuation(spark, d):
-    """Ellipsis, dashes, white space, and no space before punctuation."""
-    t = F.replace(F.replace(F.replace("text", F.lit("..."), F.lit("…")), F.lit("—"), F.lit(" — ")), F.lit("--"), F.lit(" — "))
-    return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\n\r]+", " "), " +([,.;:!?])", "$1")).alias("body"))
-
-
-@query("str8_number_forms", r"""SELECT k, replace(regexp_replace(regexp_replace(t, '([0-9])[-–]([0-9])', '\1 to \2', 'g'), '#\s?([0-9]{1,4})\b', 'number \1', 'g'), ',', '') AS body
-FROM (SELECT o_orderkey AS k, 'pages ' || o_orderkey || '-' || (o_orderkey + 7) || ' of #' || (o_orderkey % 1000) || ' cost ' || (o_orderkey % 900 + 100) || ',000' AS t FROM orders)""")
-def number_forms(spark, d):
-    """Ranges, hash numbers and thousands separators."""
-    k = F.col("o_orderkey")
-    s = lambda c: c.cast("string")
-    t = F.concat(F.lit("pages "), s(k), F.lit("-"), s(k + 7), F.lit(" of #"), s(k % 1000), F.lit(" cost "), s(k % 900 + 100), F.lit(",000"))
-    t = F.regexp_replace(F.regexp_replace(t, "(?<=[0-9])[-–](?=[0-9])", " to "), r"#\s?([0-9]{1,4})\b", "number $1")
-    return table(spark, d, "orders").select(k.alias("k"), F.regexp_replace(t, r"(?<=\d),(?=\d{3}(\D|$))", "").alias("body"))
-
-
-@query("str16_headings", r"""SELECT source_id, 'Chapter ' || n || CASE WHEN rest <> '' THEN '. ' || rest ELSE '' END AS heading FROM (
-  SELECT source_id, regexp_extract(t, '(?i)^\s*(?:chapter\s+|ch\.?\s*)?([0-9]{1,4})\s*[.\-:)\]]*\s*(.*)$', 1) AS n, trim(regexp_extract(t, '(?i)^\s*(?:chapter\s+|ch\.?\s*)?([0-9]{1,4})\s*[.\-:)\]]*\s*(.*)$', 2), ' .:-–—') AS rest
-  FROM (SELECT o_orderkey AS source_id, CASE o_orderkey % 3 WHEN 0 THEN 'Ch. ' || (o_orderkey % 1000) || ': ' || o_orderpriority WHEN 1 THEN (o_orderkey % 1000) || '- ' || o_orderpriority || ' -' ELSE 'CHAPTER ' || (o_orderkey % 1000) END AS t FROM orders))""")
-def headings(spark, d):
-    """A leading number becomes "Chapter N."."""
-    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
-    n = (k % 1000).cast("string")
-    t = F.when(k % 3 == 0, F.concat(F.lit("Ch. "), n, F.lit(": "), p)).when(k % 3 == 1, F.concat(n, F.lit("- "), p, F.lit(" -"))).otherwise(F.concat(F.lit("CHAPTER "), n))
-    pattern = r"(?i)^\s*(?:chapter\s+|ch\.?\s*)?(\d{1,4})\s*[.\-:)\]]*\s*(.*)$"
-    rest = F.regexp_replace(F.regexp_extract(t, pattern, 2), r"^[ .:\-–—]+|[ .:\-–—]+$", "")
-    return table(spark, d, "orders").select(k.alias("source_id"), F.concat(F.lit("Chapter "), F.regexp_extract(t, pattern, 1), F.when(rest != "", F.concat(F.lit(". "), rest)).otherwise("")).alias("heading"))
-
-
 @query("str15_system_clauses", f"""WITH {LINES_SQL} SELECT doc_id, trim(string_agg(trim(line) || CASE WHEN regexp_matches(trim(line), '[.!?:,;]$') THEN ' ' ELSE '. ' END, '' ORDER BY line_no)) AS body FROM lines GROUP BY doc_id""")
 def system_clauses(spark, d):
     """Lines of a box become clauses; a line without closing punctuation gets a period."""
@@ -165,32 +123,6 @@ def match_case(spark, d):
     return names(spark, d).groupBy("word", said.alias("respell")).agg(F.count("*").alias("n"))
 
 
-@query("win14_damp_capitals", r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ws FROM documents),
-f AS (SELECT doc_id, ws, list_transform(ws, lambda x: regexp_matches(x, '^[^A-Za-z]*[A-Z][A-Z]+[^A-Za-z]*$')) AS fs FROM w)
-SELECT doc_id, array_to_string(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN fs[i] AND (coalesce(fs[i - 1], false) OR coalesce(fs[i + 1], false) OR length(regexp_replace(ws[i], '[^A-Z]', '', 'g')) <= 2) THEN lower(ws[i]) ELSE ws[i] END), ' ') AS body FROM f""")
-def damp_capitals(spark, d):
-    """Shouted words are lowered when short or beside another; neighbours are judged on the text as it was."""
-    ws = table(spark, d, "documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("ws"))
-    flagged = ws.select("doc_id", "ws", F.transform("ws", lambda x: x.rlike("^[^A-Za-z]*[A-Z][A-Z]+[^A-Za-z]*$")).alias("fs"))
-    near = lambda i: F.coalesce(F.get("fs", i - 1), F.lit(False)) | F.coalesce(F.get("fs", i + 1), F.lit(False))
-    damp = lambda x, i: F.when(F.get("fs", i) & (near(i) | (F.length(F.regexp_replace(x, "[^A-Z]", "")) <= 2)), F.lower(x)).otherwise(x)
-    return flagged.select("doc_id", F.array_join(F.transform("ws", damp), " ").alias("body"))
-
-
-@query("str5_normal_form")
-def normal_form(spark, d):
-    """Unicode NFC without stacked marks. ASCII texts never leave the JVM."""
-    ship_code(spark)
-
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    wide = F.col("text").rlike(r"[^\x00-\x7F]")
-    return docs.where(~wide | F.col("text").isNull()).unionByName(docs.where(wide).select("doc_id", nfc("text").alias("text")))
-
-
 @query("str23_nearest_word", """WITH v AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 40),
 b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS ref FROM benchmark),
 m AS (SELECT word, ref, levenshtein(word, ref) AS dist FROM v JOIN b ON left(v.word, 2) = left(b.ref, 2) AND abs(length(v.word) - length(b.ref)) <= 2)
@@ -237,35 +169,6 @@ def proposed_rules(spark, d):
     return compounds(spark, d).select(F.col("word").alias("surface"), F.lit("").alias("pos"), F.concat_ws("-", "left_part", "right_part").alias("respell"), F.concat(F.lit("used "), F.col("n").cast("string")).alias("notes"))
 
 
-@query("str17_handles", "SELECT c_custkey, 'Forever ' || c_custkey || CASE WHEN c_custkey < 10000 THEN 'st' ELSE ' st' END || ' Fan' || CASE WHEN c_custkey % 2 = 0 THEN ' x' ELSE '' END AS said FROM customer")
-def handles(spark, d):
-    """Handles in words: camel case, letters against digits, separators."""
-    h = F.concat(F.lit("@Forever"), F.col("c_custkey").cast("string"), F.lit("stFan"), F.when(F.col("c_custkey") % 2 == 0, "_x:").otherwise(""))
-    return table(spark, d, "customer").select("c_custkey", T.spoken_handle(h).alias("said"))
-
-
-@query("str14_stat_lines", "SELECT o_orderkey, 'hit points: ' || (o_orderkey % 100) || ' out of 100, Strength equals ' || (o_orderkey % 30) || ', 5' AS said FROM orders")
-def stat_lines(spark, d):
-    k = F.col("o_orderkey")
-    line = F.concat(F.lit("[HP: "), (k % 100).cast("string"), F.lit("/100, STR = "), (k % 30).cast("string"), F.lit("|5]"))
-    return table(spark, d, "orders").select("o_orderkey", T.stat_text(line).alias("said"))
-
-
-@query("str12_romans", "SELECT o_orderkey, CASE WHEN o_orderkey % 45 BETWEEN 1 AND 39 THEN (o_orderkey % 45)::INT END AS value FROM orders")
-def romans(spark, d):
-    """Canonical numerals from 1 to 39; other strings have no value."""
-    n = (F.col("o_orderkey") % 45).cast("int")
-    ones = F.array(*[F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]])
-    token = F.when(n >= 40, F.lit("XL")).otherwise(F.concat(F.repeat(F.lit("X"), F.floor(n / 10).cast("int")), F.get(ones, n % 10)))
-    return table(spark, d, "orders").select("o_orderkey", T.roman_value(token).alias("value"))
-
-
-@query("str10_star_ratings", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 >= 2 THEN 'Offense: ' || (o_orderkey % 6) || ' stars, f*** it' WHEN o_orderkey % 6 = 1 THEN 'Offense: *, f*** it' ELSE 'Offense: , f*** it' END AS said FROM orders")
-def star_ratings(spark, d):
-    line = F.concat(F.lit("Offense: "), F.repeat(F.lit("*"), (F.col("o_orderkey") % 6).cast("int")), F.lit(", f*** it"))
-    return table(spark, d, "orders").select("o_orderkey", T.star_rating(line).alias("said"))
-
-
 @query("joi22_config_overlay", """SELECT c_custkey AS series, CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS rate, CASE WHEN c_custkey % 5 = 0 THEN 'de' ELSE 'en' END AS lang,
   'narrator=' || CASE WHEN c_custkey % 3 = 0 THEN 'warm' ELSE 'plain' END || CASE WHEN c_custkey % 3 = 0 THEN ',thought=soft' ELSE '' END AS effects FROM customer""")
 def config_overlay(spark, d):

@@ -70,21 +70,45 @@ def test_page_blocks():
     assert page_blocks(None) == page_blocks("") == []
 
 
-@pytest.mark.parametrize(("line", "want"), [("[HP: 5/27]", "hit points: 5 out of 27"), ("STR = 6|30", "Strength equals 6, 30")])
-def test_stat_text(spark, line, want):
-    assert one(spark, line, T.stat_text) == want
-
-
 @pytest.mark.parametrize(("token", "want"), [("IV", 4), ("XXXIX", 39), ("IIII", None), ("", None), ("L", None)])
 def test_roman(spark, token, want):
     assert one(spark, token, T.roman_value) == want
 
 
-@pytest.mark.parametrize(("line", "want"), [("Offense: *****", "Offense: 5 stars"), ("Maximum 5* Rating", "Maximum 5 stars Rating"), ("f*** that", "f*** that")])
-def test_stars(spark, line, want):
-    assert one(spark, line, T.star_rating) == want
-
-
 @pytest.mark.parametrize(("handle", "want"), [("Forever1stCommenter", "Forever 1st Commenter"), ("???", "unknown"), ("dark_lord-9", "dark lord 9")])
 def test_handle(spark, handle, want):
     assert one(spark, handle, T.spoken_handle) == want
+
+
+def test_text_blocks(spark):
+    from serialmill.operators.corpus import text_blocks
+
+    raw = "Para one,\r\n  wrapped.\r\n\r\n***\n \t\nPara two.\n\n\n"
+    assert [tuple(b) for b in one(spark, raw, text_blocks)] == [("paragraph", "Para one, wrapped."), ("scene_break", ""), ("paragraph", "Para two.")]
+    assert one(spark, "", text_blocks) == []
+    assert one(spark, None, text_blocks) is None
+
+
+@pytest.mark.parametrize(("n", "want"), [(12_345, "twelve thousand three hundred forty-five"), (999_999, "nine hundred ninety-nine thousand nine hundred ninety-nine"), (20_000, "twenty thousand")])
+def test_large_number_words(spark, n, want):
+    assert spark.range(1).select(T.number_words(F.lit(n))).first()[0] == want
+
+
+def test_names_in_mid_sentence(spark, tmp_path):
+    from serialmill.operators import corpus
+
+    rows = [(1, "Then Mara left. Resk ran to Bo-Li and  Egbert.", "s"), (2, 'He said "Stop." \' Then Vane came', "s"), (3, None, "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "'en' AS lang", "0L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["word"] for r in corpus.names(spark, str(tmp_path)).collect()) == ["Egbert", "Mara", "Vane"]
+
+
+def test_compounds(spark, tmp_path):
+    """An inflected word, a weak ending and a word of the dictionary are no compounds; a word used once is one."""
+    from serialmill.operators import corpus
+
+    text = "night shade hover bus less " * 40 + "nightshade hoverbus hoverbus shadeless nightings nightbus"
+    docs = [(1, text, "a"), (2, "hoverbus hoverbus hoverbus", "b"), (3, "hoverbus", "c"), (4, "hoverbus", "d"), (5, "hoverbus", "e")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "night shade hover bus less nightbus")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["word"]: tuple(r)[1:] for r in corpus.compounds(spark, str(tmp_path)).collect()}
+    assert got == {"nightshade": (1, "night", "shade", "a"), "hoverbus": (8, "hover", "bus", "b,a,c,d")}
