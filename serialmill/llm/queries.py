@@ -51,11 +51,6 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key", "row_key", "n_links")
-
-
-def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join's classes with the number of links of each document; the twin of ``op3_ngram_jaccard_join`` has no such column."""
     return simjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key", "row_key")
 
 
@@ -79,7 +74,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_warc_audit": op7_warc_audit,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op3_ngram_jaccard_links": op3_ngram_jaccard_links,
+    "op3_ngram_jaccard_links": op3_ngram_jaccard_join,  # the name under which the number of links came first
     "op4_token_binary": op4_token_binary,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
@@ -90,6 +85,6 @@ ORACLE_SQL = {
     "op6_nearest_neighbours": ann.ORACLE,
     "op7_warc_audit": warc.ORACLE,
     "op3_ngram_jaccard_join": simjoin.ORACLE,
-    "op3_ngram_jaccard_links": simjoin.ORACLE_LINKS,
+    "op3_ngram_jaccard_links": simjoin.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

@@ -12,19 +12,25 @@ those fingerprints: nothing is sampled or capped.
 3. In a group, each node of a signature tree holds the OR of its members' token bitmaps, their size range
    and collision slack; a dual traversal drops pairs of tree nodes whose greatest possible overlap cannot
    reach the threshold. The members of surviving pairs form blocks (components), which then hold little
-   but true links. A second dual traversal in each block compares surviving pairs exactly, leaving out
-   pairs that are already connected.
-4. Components of the verified links give each document's class.
+   but true links. A second dual traversal in each block compares every surviving pair exactly, once; a
+   large block is dealt as pairs of small parts, so no task holds a whole one.
+4. Components of the verified links give each document's class, and their counts its number of links.
+
+A shingle's fingerprint mixes strong 64-bit hashes of its words one after another, so two different
+shingles agree with probability 2^-64; a set is named by a 64-bit hash of its fingerprints.
 
 Defined results: documents without words (or with a null text) have no shingles, link with nothing and
 are their own class; with fewer than five words the whole sequence is the one shingle; repeated rows
-get equal rows; a class whose ids are all null has a null id; an empty table gives no rows.
+get equal rows, and each counts the others as links; very long texts are read whole; the least id names a
+class, so ties do not arise; only the id and the text are read, whatever other columns are named; a class
+whose ids are all null has a null id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +42,26 @@ WORDS = 5
 FANOUT = 8
 FREQUENT = 0.002  # of the documents; at most (mean set size / FREQUENT) shingles can be frequent
 LEAST_FREQUENT = 8
-PART = 1024
+MOST_FREQUENT = 1 << 20  # entries of the broadcast table of frequent shingles; which shingles it holds never changes a result
+PART = 1024  # nodes of a group that are searched at once
+BLOCK_PART = 256  # nodes of a block, half of what one task compares
 CHUNK_SHINGLES = 2_000_000
+WORD_MEMO = 1_000_000
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_RI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in (("up", _R), ("down", _RI)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+class _WordHashes(dict):
+    """The hash of each word seen; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _WordHashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,23 +75,20 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    buf = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[:-1], out=total[1:])
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    k = min(WORDS, len(words))
-    a, b = starts[: len(words) - k + 1], ends[k - 1 :]
-    h = (total[b] - total[a]) * down[a]
-    return np.unique(_mix(h ^ (b - a).astype(np.uint64)))
+    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    k = min(WORDS, len(w))
+    m = len(w) - k + 1
+    h = w[:m].copy()
+    for i in range(1, k):
+        h = (h ^ (h >> np.uint64(32))) * _R + w[i : i + m]
+    return np.unique(_mix(h ^ np.uint64(k)))
 
 
 def set_id(s: np.ndarray) -> int:
     """A fingerprint of a set, as a signed 64-bit number."""
-    x = _mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) + np.bitwise_xor.reduce(s) * np.uint64(31)
-    return int(_mix(np.array([x ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    x = _mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF))
+    both = np.array([x.sum(dtype=np.uint64), np.bitwise_xor.reduce(s)], np.uint64) * np.array([1, 31], np.uint64)
+    return int(_mix(both[:1] + both[1:] ^ np.uint64(len(s))).view(np.int64)[0])
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -186,7 +191,7 @@ def _postings(shared, buckets: int, part: int):
                 keys.append(p)
                 nodes.append(np.full(len(p), node, np.int64))
                 size += len(p)
-                if size >= 2 * CHUNK_SHINGLES:
+                if size >= CHUNK_SHINGLES:
                     yield from flush()
                     keys, nodes, size = [], [], 0
         if keys:
@@ -203,22 +208,29 @@ def _places(h: np.uint64, node: int, parts: int) -> np.ndarray:
 
 
 def _meet(part: int):
-    """All postings of a shingle -> groups of two nodes or more, each set of members once for each task."""
+    """Postings in order of their buckets, one bucket at a time -> groups of two nodes or more, each set of members once for each task."""
 
     def run(batches):
-        k, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        seen: set[int] = set()
+        now, k, v = None, [], []
         for batch in batches:
-            for r in batch.to_pylist():
-                k.append(np.frombuffer(r["keys"], np.uint64))
-                v.append(np.frombuffer(r["nodes"], np.int64))
+            for bucket, keys, nodes in zip(*batch.columns, strict=True):
+                if bucket.as_py() != now:
+                    yield from groups(k, v, seen)
+                    now, k, v = bucket.as_py(), [], []
+                k.append(np.frombuffer(keys.as_py(), np.uint64))
+                v.append(np.frombuffer(nodes.as_py(), np.int64))
+        yield from groups(k, v, seen)
+
+    def groups(k, v, seen):
+        if not k:
+            return
         keys, nodes = np.concatenate(k), np.concatenate(v)
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
-        if len(keys):
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
-            keys, nodes = keys[new], nodes[new]
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-        seen: set[int] = set()
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+        keys, nodes = keys[new], nodes[new]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         rows: list[tuple[int, bytes]] = []
         for i in np.flatnonzero(np.diff(edge) > 1):
             for m in _cut(nodes[edge[i] : edge[i + 1]], part):
@@ -443,33 +455,44 @@ def row_key(key: str, text: str):
     return F.xxhash64(F.col(key).cast("bigint"), F.col(text))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
-    """(doc_id, n_shingles, component_id), ``class_key``, which names the class also where ids are null, ``row_key`` and ``n_links``."""
+def _frequent(base: DataFrame, n_docs: int) -> DataFrame:
+    """(rk, c): frequent shingles with their counts. At most 2 * mean set size / FREQUENT pass the first bar; it is raised while more
+    than MOST_FREQUENT do, which changes the order of shingles in a prefix, not the links."""
+    bar = max(LEAST_FREQUENT, FREQUENT / 2 * n_docs)
+    often = materialise(base.where("count IS NOT NULL").groupBy("rk").agg(F.sum("count").alias("c")).where(F.col("c") >= bar))
+    while often.where(F.col("c") >= bar).count() > MOST_FREQUENT:
+        bar *= 2
+    return often.where(F.col("c") >= bar)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART, block_part: int = BLOCK_PART) -> DataFrame:
+    """(doc_id, n_shingles, component_id), ``class_key``, which names the class also where ids are null, ``row_key`` and ``n_links``.
+
+    Tables that are joined by a key some rows share (a set with many copies, a class, a large block) are written first and hold
+    that key once, so that both sides of the join are plain shuffles and a hot key is split by the adaptive skew join.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     source = docs.select(row_key(key, text).alias("rk"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     base = materialise(source.mapInArrow(_describe, "rk bigint, doc_id bigint, n bigint, node bigint, count bigint, sig binary"))
     each = base.where("count IS NULL").select("rk", "doc_id", "n", "node")
-    n_docs = each.where("n > 0").count()
-    # at most 2 * mean set size / FREQUENT shingles pass, whatever the number of documents
-    often = base.where("count IS NOT NULL").groupBy("rk").agg(F.sum("count").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, FREQUENT / 2 * n_docs)).toPandas()
-    often = often.sort_values(["c", "rk"])
+    one = materialise(each.where("node IS NOT NULL").groupBy("node").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"), F.min("doc_id").alias("least")))
+    often = _frequent(base, one.agg(F.sum("copies")).first()[0] or 0).toPandas().sort_values(["c", "rk"])
     h, rank, count = often["rk"].to_numpy(np.int64).view(np.uint64), np.arange(len(often)), often["c"].to_numpy(np.int64)
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], rank[order], count[order]))
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posts = source.select("text").mapInArrow(_postings(shared, 4 * n_parts, part), _BLOB)
-    groups = posts.repartition(n_parts, "bucket").mapInArrow(_meet(part), "grp bigint, members binary").dropDuplicates(["grp"])
+    groups = posts.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(part), "grp bigint, members binary").dropDuplicates(["grp"])
     signed = base.where("node IS NOT NULL").select("node", "n", "sig").dropDuplicates(["node"])
     met = groups.mapInArrow(_members, "grp bigint, node bigint").join(signed, "node").select("grp", "node", "n", "sig")
     may = met.repartition(n_parts, "grp").sortWithinPartitions("grp").mapInArrow(_by_group(1, _prune), "a bigint, b bigint")
     blocks = connected_components(may)
 
-    sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    member = blocks.join(sizes, "label").select(F.col("label").alias("grp"), F.ceil(F.col("m") / part).cast("bigint").alias("parts"), "node")
-    one = each.where("node IS NOT NULL").groupBy("node").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"))
-    wanted = member.join(one, "node")
+    large = materialise(blocks.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_part).select("label", F.ceil(F.col("m") / block_part).cast("bigint").alias("parts")))
+    member = blocks.join(large, "label", "left").select(F.col("label").alias("grp"), F.coalesce("parts", F.lit(1).cast("bigint")).alias("parts"), "node")
+    wanted = member.join(one.select("node", "rk", "copies"), "node")
     blob = "grp bigint, parts bigint, node bigint, copies bigint, s binary"
     sets = source.select("rk", "text").join(wanted, "rk").select("grp", "parts", "node", "copies", "text").mapInArrow(_sets, blob)
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
@@ -479,14 +502,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     found = materialise(dealt.repartition(n_parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_by_group(3, _verify), "a bigint, b bigint, links bigint"))
     classes = connected_components(found)
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    counted = one.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
-    named = each.join(classes, "node", "left").join(counted.where("n_links > 0"), "node", "left").withColumn("class_key", F.coalesce("label", "node"))
-    least = named.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "class_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key", F.col("rk").alias("row_key"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    named = materialise(
+        one.join(classes, "node", "left").join(links, "node", "left")
+        .select("node", "least", F.coalesce("label", "node").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    firsts = materialise(named.groupBy("class_key").agg(F.min("least").alias("component_id")))
+    facts = materialise(named.join(firsts, "class_key").select("node", "class_key", "component_id", "n_links"))
+    own = F.col("rk").alias("row_key")
+    alone = each.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("class_key"), own, F.lit(0).cast("bigint").alias("n_links"))
+    return each.where("node IS NOT NULL").join(facts, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_key", own, "n_links").unionByName(alone)
 
 
 ORACLE = r"""
@@ -505,10 +530,7 @@ WITH RECURSIVE w AS (
 ), r(x, y) AS (
   SELECT rid, rid FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
 )
-SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(v.doc_id) AS component_id
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(v.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = w.rid)::BIGINT AS n_links
 FROM w JOIN r ON r.x = w.rid JOIN w v ON v.rid = r.y LEFT JOIN n ON n.rid = w.rid
 GROUP BY w.rid, w.doc_id
 """
-
-#: The classes of ``ORACLE`` with the number of other rows that each row links with.
-ORACLE_LINKS = ORACLE.replace("min(v.doc_id) AS component_id", "min(v.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = w.rid)::BIGINT AS n_links")

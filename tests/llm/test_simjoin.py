@@ -51,10 +51,11 @@ def cases(seed):
 
 @pytest.mark.parametrize(("seed", "part"), [(1, 1024), (2, 4)])
 def test_classes_match_brute_force(spark, monkeypatch, seed, part):
-    if part < 10:  # small parts, so that groups and blocks are cut
+    if part < 10:  # small parts, so that groups and blocks are cut, and a low bar for the table of frequent shingles
         monkeypatch.setattr(simjoin, "PART", part)
+        monkeypatch.setattr(simjoin, "MOST_FREQUENT", 3)
     rows = cases(seed)
-    got = simjoin.near_duplicates(docs(spark, rows), part=part)
+    got = simjoin.near_duplicates(docs(spark, rows), part=part, block_part=part)
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=key) == sorted(brute(rows), key=key)
 
@@ -102,6 +103,20 @@ def test_every_link_is_counted(spark, part):
     rows += [rows[3], (None, rows[5][1]), (40, None), (41, ""), (42, sentence(62, 80))]
     sets = [set(simjoin.shingles(t).tolist()) for _, t in rows]
     want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
-    got = simjoin.near_duplicates(docs(spark, rows), part=part).collect()
+    got = simjoin.near_duplicates(docs(spark, rows), part=part, block_part=part).collect()
     assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got) == sorted((k or -1, n) for (k, _), n in zip(rows, want, strict=True))
     assert sum(want) // 2 > len(rows)  # more than the edges that connect a class
+
+
+def test_structured_texts_differ(spark):
+    """Words of 2,048 characters whose letters follow the Thue-Morse sequence and its complement: a polynomial modulo 2^64 takes them for one."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert simjoin.shingles(one).tolist() != simjoin.shingles(other).tolist()
+    got = simjoin.near_duplicates(docs(spark, [(1, one), (2, other), (3, one)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, "x", 1.0), (2, "a b c d e", 6, None, 2.0)], "doc_id bigint, text string, node bigint, class_key string, n double")
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in simjoin.near_duplicates(df).collect()) == [(1, 1, 1, 1), (2, 1, 1, 1)]
