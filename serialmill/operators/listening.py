@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from serialmill.operators.registry import registry
+from serialmill.session import ship_code
 from serialmill.sources.bindings import PLAYS_SQL, plays, table
 
 QUERIES, ORACLES, query = registry()
 
 RUN_GAP = 900
 NOW = "2024-02-01 00:00:00"
+
+
 def _w():
     return Window.partitionBy("profile").orderBy("ts", "event_id")
 
@@ -28,27 +32,31 @@ def position_writes(spark, d):
     return plays(spark, d).select("event_id", "profile", t.alias("t"), verdict.alias("verdict"))
 
 
-@query("stm1_positions", _with("""SELECT profile, arg_max(chapter, (ts, event_id)) AS chapter, arg_max(seconds, (ts, event_id)) AS t, max(chapter) AS furthest, max(ts) AS updated_at FROM plays WHERE chapter IS NOT NULL GROUP BY profile"""))
+@query("stm1_positions", _with("""SELECT profile, arg_max(chapter, (ts, event_id)) AS chapter, arg_max(seconds, (ts, event_id)) AS t, max(chapter) AS furthest, arg_max(seconds, (chapter, ts, event_id)) AS furthest_t,
+  max(ts) AS updated_at FROM plays WHERE chapter IS NOT NULL GROUP BY profile"""))
 def positions(spark, d):
-    """Current place: the last write; furthest chapter: only forward."""
+    """Current place: the last write; furthest chapter: only forward, its time that of the last write there."""
     last = F.max_by(F.struct("chapter", "seconds"), F.struct("ts", "event_id"))
-    p = plays(spark, d).where("chapter IS NOT NULL").groupBy("profile").agg(last.alias("l"), F.max("chapter").alias("furthest"), F.max("ts").alias("updated_at"))
-    return p.select("profile", "l.chapter", F.col("l.seconds").alias("t"), "furthest", "updated_at")
+    far = F.max_by("seconds", F.struct("chapter", "ts", "event_id"))
+    p = plays(spark, d).where("chapter IS NOT NULL").groupBy("profile").agg(last.alias("l"), F.max("chapter").alias("furthest"), far.alias("furthest_t"), F.max("ts").alias("updated_at"))
+    return p.select("profile", "l.chapter", F.col("l.seconds").alias("t"), "furthest", "furthest_t", "updated_at")
 
 
 @query("stm2_furthest_listened", _with("""
 , s AS (SELECT *, lag(seconds) OVER w AS was, lag(chapter) OVER w AS was_chapter FROM plays WINDOW w AS (PARTITION BY profile ORDER BY ts, event_id))
 , g AS (SELECT *, sum((was_chapter IS DISTINCT FROM chapter)::INT) OVER (PARTITION BY profile ORDER BY ts, event_id) AS visit, CASE WHEN was_chapter = chapter AND seconds - was BETWEEN 0 AND 2 THEN seconds - was ELSE 0 END AS step FROM s)
-, h AS (SELECT profile, visit, any_value(chapter) AS chapter, sum(round(step * 1000)::BIGINT) AS ms FROM g GROUP BY profile, visit)
-SELECT profile, max(chapter) FILTER (ms >= 1) AS furthest, sum(ms)::BIGINT AS listened_ms FROM h GROUP BY profile"""))
-def furthest_listened(spark, d, least_ms: int = 1):
-    """Only steps of 0 to 2 s of the playhead count as listening; a change of chapter starts anew. A chapter counts once it was really listened to."""
+, h AS (SELECT profile, visit, any_value(chapter) AS chapter, sum(round(step * 1000)::BIGINT) AS ms, bool_or(event_type = 'purchase') AS finished FROM g GROUP BY profile, visit)
+SELECT profile, max(chapter) FILTER (ms >= 30000 OR finished) AS furthest, sum(ms)::BIGINT AS listened_ms FROM h GROUP BY profile"""))
+def furthest_listened(spark, d, least_ms: int = 30_000):
+    """Only steps of 0 to 2 s of the playhead count as listening; a change of chapter starts anew. A chapter counts once it was listened to for
+    half a minute in one visit, or finished (a purchase event)."""
     s = plays(spark, d).select("*", F.lag("seconds").over(_w()).alias("was"), F.lag("chapter").over(_w()).alias("was_chapter"))
     same = F.col("was_chapter") == F.col("chapter")
     step = F.col("seconds") - F.col("was")
-    g = s.select("profile", "chapter", F.sum((~F.col("was_chapter").eqNullSafe(F.col("chapter"))).cast("int")).over(_w()).alias("visit"), F.when(same & step.between(0, 2), step).otherwise(0.0).alias("step"))
-    h = g.groupBy("profile", "visit").agg(F.any_value("chapter").alias("chapter"), F.sum(F.round(F.col("step") * 1000).cast("bigint")).alias("ms"))
-    return h.groupBy("profile").agg(F.max(F.when(F.col("ms") >= least_ms, F.col("chapter"))).alias("furthest"), F.sum("ms").alias("listened_ms"))
+    visit = F.sum((~F.col("was_chapter").eqNullSafe(F.col("chapter"))).cast("int")).over(_w())
+    g = s.select("profile", "chapter", "event_type", visit.alias("visit"), F.when(same & step.between(0, 2), step).otherwise(0.0).alias("step"))
+    h = g.groupBy("profile", "visit").agg(F.any_value("chapter").alias("chapter"), F.sum(F.round(F.col("step") * 1000).cast("bigint")).alias("ms"), F.bool_or(F.col("event_type") == "purchase").alias("finished"))
+    return h.groupBy("profile").agg(F.max(F.when((F.col("ms") >= least_ms) | F.col("finished"), F.col("chapter"))).alias("furthest"), F.sum("ms").alias("listened_ms"))
 
 
 @query("stm3_access_log", f"""WITH RECURSIVE {PLAYS_SQL}, a AS (
@@ -61,15 +69,26 @@ def furthest_listened(spark, d, least_ms: int = 1):
 def access_log(spark, d, quiet: int = 600):
     """One entry for a client and path in ``quiet`` seconds since the last entry that was logged.
 
-    A suppressed hit does not extend the window, so the rule is a fold over a client's hits in order; the fold carries the
-    list of logged times.
+    A suppressed hit does not extend the window, so the rule is a fold over a client's hits in order. Sorted hits stream past
+    one held time, so a client of any size takes constant memory.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    hits = plays(spark, d).groupBy("profile", "event_type").agg(F.array_sort(F.collect_list(us)).alias("ts"))
-    none = F.array().cast("array<bigint>")
-    last = lambda acc: F.element_at(acc, -1)
-    folded = F.aggregate("ts", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - last(acc) >= quiet * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc))
-    return hits.select("profile", "event_type", F.explode(folded).alias("t")).select("profile", "event_type", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+    ship_code(spark)
+    gap = quiet * 1_000_000
+
+    def run(batches):
+        now, last = None, 0
+        for b in batches:
+            keep = []
+            for i, (who, kind, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if (who, kind) != now or t - last >= gap:
+                    now, last = (who, kind), t
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    hits = plays(spark, d).select("profile", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    ordered = hits.repartition("profile", "event_type").sortWithinPartitions("profile", "event_type", "t")
+    kept = ordered.mapInArrow(run, "profile bigint, event_type string, t bigint")
+    return kept.select("profile", "event_type", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stm5_stage_from_events", _with("""SELECT chapter, max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE -1 END) AS furthest_rank,
@@ -81,14 +100,17 @@ def stage_from_events(spark, d):
     return plays(spark, d).groupBy("chapter").agg(F.max(rank).alias("furthest_rank"), F.max(F.when(e != "error", F.col("ts"))).alias("updated_at"), F.count_if(e == "error").alias("n_errors"))
 
 
-@query("stm6_live_counters", _with("""
-, x AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY profile ORDER BY ts, event_id) AS sync_no FROM plays)
-SELECT profile, sync_no, greatest(0, sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END))::BIGINT AS pending FROM x GROUP BY profile, sync_no"""))
+@query("stm6_live_counters", f"""WITH RECURSIVE {PLAYS_SQL}, a AS (SELECT profile, event_type, row_number() OVER (PARTITION BY profile ORDER BY ts, event_id) AS k FROM plays),
+r AS (SELECT profile, k, CASE event_type WHEN 'purchase' THEN 1 ELSE 0 END AS pending FROM a WHERE k = 1
+  UNION ALL SELECT a.profile, a.k, CASE a.event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN r.pending + 1 WHEN 'error' THEN greatest(0, r.pending - 1) ELSE r.pending END FROM r JOIN a ON a.profile = r.profile AND a.k = r.k + 1)
+SELECT profile, arg_max(pending, k)::BIGINT AS pending FROM r GROUP BY profile""")
 def live_counters(spark, d):
-    """Sums of deltas since the last resync (a signup event), floored at 0."""
+    """Deltas since the last resync (a signup event), floored at 0 after each. A floored sum is the sum less its least running value, if that is below 0."""
     x = plays(spark, d).select("*", F.sum((F.col("event_type") == "signup").cast("int")).over(_w()).alias("sync_no"))
     delta = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return x.groupBy("profile", "sync_no").agg(F.greatest(F.lit(0).cast("bigint"), F.sum(delta)).alias("pending"))
+    run = x.select("profile", "sync_no", delta.alias("delta"), F.sum(delta).over(Window.partitionBy("profile", "sync_no").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    last = run.groupBy("profile", "sync_no").agg((F.sum("delta") - F.least(F.lit(0), F.min("s"))).alias("pending"))
+    return last.groupBy("profile").agg(F.max_by("pending", "sync_no").alias("pending"))
 
 
 @query("stm7_run_sessions", _with("""
@@ -111,11 +133,19 @@ def run_report(spark, d):
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "done", "errors", "skipped", "centiseconds")
 
 
-@query("stm9_playback_log", _with("""SELECT profile, event_id, ts FROM plays WHERE event_type IN ('error', 'view') QUALIFY row_number() OVER (PARTITION BY profile ORDER BY ts DESC, event_id DESC) <= 50"""))
-def playback_log(spark, d):
-    """The newest 50 entries of each client."""
+@query("stm9_playback_log", _with("""
+, s AS (SELECT profile, max((ts, event_id)) FILTER (event_type = 'signup') AS sent FROM plays GROUP BY profile)
+, d AS (SELECT p.profile, coalesce(bool_or(event_type IN ('error', 'view') AND (sent IS NULL OR (ts, event_id) > sent)), false) AS due FROM plays p JOIN s USING (profile) GROUP BY p.profile)
+SELECT p.profile, event_id, ts, due FROM (SELECT * FROM plays WHERE event_type <> 'signup' QUALIFY row_number() OVER (PARTITION BY profile ORDER BY ts DESC, event_id DESC) <= 50) p JOIN d USING (profile)"""))
+def playback_log(spark, d, newest: int = 50):
+    """The newest entries of each client, and whether one worth sending (an error, a view) came after the last sending (a signup)."""
+    e, kind = plays(spark, d), F.col("event_type")
+    last = lambda on: F.max(F.when(on, F.struct("ts", "event_id")))
+    due = e.groupBy("profile").agg(last(kind == "signup").alias("sent"), last(kind.isin("error", "view")).alias("news"))
+    due = due.select("profile", F.coalesce(F.col("news").isNotNull() & (F.col("sent").isNull() | (F.col("news") > F.col("sent"))), F.lit(False)).alias("due"))
     w = Window.partitionBy("profile").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return plays(spark, d).where(F.col("event_type").isin("error", "view")).withColumn("r", F.row_number().over(w)).where("r <= 50").select("profile", "event_id", "ts")
+    kept = e.where(kind != "signup").withColumn("r", F.row_number().over(w)).where(F.col("r") <= newest)
+    return kept.join(due, "profile").select("profile", "event_id", "ts", "due")
 
 
 @query("win5_current_run", _with("""

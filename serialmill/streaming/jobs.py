@@ -1,6 +1,9 @@
 """Structured Streaming jobs. Each takes a streaming DataFrame and returns one; sinks and triggers are the caller's.
 
-``events`` streams have event_id, ts, user_id, event_type, value, props. Late rows are dropped by the watermark.
+``events`` streams have event_id, ts, user_id, event_type, value, props. Windows drop late rows by their watermark.
+Jobs whose rule depends on the order of a key's rows keep one small state for each key; rows of one trigger are taken in
+time order, and a key's state expires ``keep_ms`` of processing time after its last row. The state of ``stages`` and
+``positions`` is a row for each chapter or profile, as is the table that they keep.
 """
 
 from __future__ import annotations
@@ -8,9 +11,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from serialmill.session import ship_code
 
 WATERMARK = "10 minutes"
+KEEP_MS = 30 * 24 * 3600 * 1000
+BUCKETS = 64
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -41,72 +48,150 @@ def stages(events: DataFrame) -> DataFrame:
     return events.groupBy("chapter").agg(F.max(rank).alias("furthest_rank"), F.count_if(e == "error").alias("n_errors"))
 
 
-_POSITION_STATE = (("stamp", S.LongType()), ("event_id", S.LongType()), ("chapter", S.IntegerType()), ("seconds", S.DoubleType()), ("furthest", S.IntegerType()))
+def positions(events: DataFrame) -> DataFrame:
+    """STM1: the place of each profile. The latest write wins by (time, id); the furthest chapter only moves forward, and its
+    time follows the writes there (update mode)."""
+    e = events.where("chapter IS NOT NULL")
+    last = F.max_by(F.struct("chapter", "seconds"), F.struct("ts", "event_id"))
+    far = F.max_by(F.struct("chapter", "seconds"), F.struct("chapter", "ts", "event_id"))
+    p = e.groupBy("profile").agg(last.alias("l"), far.alias("f"), F.max("ts").alias("updated_at"))
+    return p.select("profile", "l.chapter", F.col("l.seconds").alias("t"), F.col("f.chapter").alias("furthest"), F.col("f.seconds").alias("furthest_t"), "updated_at")
+
+
+class _Fold:
+    """Folds a key's rows, in time order, into one state; a subclass names the state's schema and gives ``start`` and ``fold``."""
+
+    schema = ""
+
+    def __init__(self, keep_ms: int = KEEP_MS):
+        self.keep_ms = keep_ms
+
+    def __call__(self, key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(frames)).sort_values(["stamp", "event_id"], kind="stable")
+        held, out = self.fold(key, tuple(state.get) if state.exists else self.start, pdf)
+        state.update(held)
+        state.setTimeoutDuration(self.keep_ms)
+        if len(out):
+            yield pd.DataFrame(out)
+
+
+class _AccessLog(_Fold):
+    schema, start = "last bigint", (None,)
+
+    def __init__(self, quiet: int, keep_ms: int):
+        super().__init__(keep_ms)
+        self.quiet = quiet * 1_000_000
+
+    def fold(self, key, held, pdf):
+        (last,), logged = held, []
+        for t in pdf["stamp"]:
+            if last is None or t - last >= self.quiet:
+                last = int(t)
+                logged.append({"profile": key[0], "event_type": key[1], "stamp": last})
+        return (last,), logged
+
+
+class _Listened(_Fold):
+    schema, start = "chapter int, seconds double, ms bigint, furthest int, total bigint", (-1, 0.0, 0, -1, 0)
+
+    def __init__(self, least_ms: int, keep_ms: int):
+        super().__init__(keep_ms)
+        self.least_ms = least_ms
+
+    def fold(self, key, held, pdf):
+        chapter, seconds, ms, furthest, total = held
+        for c, t, kind in zip(pdf["chapter"].fillna(-1).astype(int), pdf["seconds"], pdf["event_type"], strict=True):
+            if c != chapter:
+                chapter, ms = int(c), 0
+            elif c >= 0 and 0 <= t - seconds <= 2:
+                step = round((t - seconds) * 1000)
+                ms, total = ms + step, total + step
+            seconds = float(t)
+            if c > furthest and (ms >= self.least_ms or kind == "purchase"):
+                furthest = int(c)
+        return (chapter, seconds, ms, furthest, total), [{"profile": key[0], "furthest": furthest, "listened_ms": total}]
+
+
+class _Counters(_Fold):
+    schema, start = "pending bigint", (0,)
+
+    def fold(self, key, held, pdf):
+        (pending,) = held
+        for kind in pdf["event_type"]:
+            pending = 0 if kind == "signup" else max(0, pending + (kind == "purchase") - (kind == "error"))
+        return (int(pending),), [{"profile": key[0], "pending": int(pending)}]
+
+
+class _Playback(_Fold):
+    schema, start = "stamps array<bigint>, ids array<bigint>, due boolean", ([], [], False)
+
+    def __init__(self, newest: int, keep_ms: int):
+        super().__init__(keep_ms)
+        self.newest = newest
+
+    def fold(self, key, held, pdf):
+        stamps, ids, due = list(held[0]), list(held[1]), bool(held[2])
+        for t, i, kind in zip(pdf["stamp"], pdf["event_id"], pdf["event_type"], strict=True):
+            if kind == "signup":
+                due = False
+            else:
+                stamps, ids = [*stamps, int(t)][-self.newest :], [*ids, int(i)][-self.newest :]
+                due = due or kind in ("error", "view")
+        return (stamps, ids, due), [{"profile": key[0], "entries": ids, "due": due}]
+
+
+def _folded(events: DataFrame, keys: list[str], processor: _Fold, out: str, mode: str) -> DataFrame:
+    ship_code(events.sparkSession)
+    rows = events.select("profile", "event_type", "event_id", F.unix_micros("ts").alias("stamp"), "chapter", "seconds")
+    step = lambda key, frames, state: processor(key, frames, state)
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, processor.schema, mode, GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def access_log(events: DataFrame, quiet: int = 600, keep_ms: int = KEEP_MS) -> DataFrame:
+    """STM3: one entry for a client and path in ``quiet`` seconds since the last entry logged; a suppressed hit does not extend it (append mode)."""
+    kept = _folded(events, ["profile", "event_type"], _AccessLog(quiet, keep_ms), "profile bigint, event_type string, stamp bigint", "append")
+    return kept.select("profile", "event_type", F.timestamp_micros("stamp").alias("ts"))
 
 
-def _struct(*fields) -> S.StructType:
-    return S.StructType([S.StructField(n, t) for n, t in fields])
+def furthest_listened(events: DataFrame, least_ms: int = 30_000, keep_ms: int = KEEP_MS) -> DataFrame:
+    """STM2: the furthest chapter that was listened to for ``least_ms`` in one visit, or finished; seeks do not count (update mode)."""
+    return _folded(events, ["profile"], _Listened(least_ms, keep_ms), "profile bigint, furthest int, listened_ms bigint", "update")
 
 
-def positions(events: DataFrame) -> DataFrame:
-    """STM1: the place of each profile. The latest write wins by (time, id); the furthest chapter only moves forward (update mode)."""
-
-    def fold(key, frames, state):
-        stamp, eid, chapter, seconds, furthest = state.get if state.exists else (-1, -1, -1, 0.0, -1)
-        for pdf in frames:
-            pdf = pdf[pdf["chapter"].notna()]
-            if not len(pdf):
-                continue
-            furthest = max(furthest, int(pdf["chapter"].max()))
-            last = pdf.sort_values(["stamp", "event_id"]).iloc[-1]
-            if (int(last["stamp"]), int(last["event_id"])) > (stamp, eid):
-                stamp, eid, chapter, seconds = int(last["stamp"]), int(last["event_id"]), int(last["chapter"]), float(last["seconds"])
-        state.update((stamp, eid, chapter, seconds, furthest))
-        if stamp >= 0:
-            yield pd.DataFrame({"profile": [key[0]], "chapter": [chapter], "t": [seconds], "furthest": [furthest]})
-
-    rows = events.select("profile", "event_id", F.unix_micros("ts").alias("stamp"), "chapter", "seconds")
-    out = _struct(("profile", S.LongType()), ("chapter", S.IntegerType()), ("t", S.DoubleType()), ("furthest", S.IntegerType()))
-    return rows.groupBy("profile").applyInPandasWithState(fold, out, _struct(*_POSITION_STATE), "update", "NoTimeout")
-
-
-def access_log(events: DataFrame, quiet: int = 600) -> DataFrame:
-    """STM3: one entry for a client and path in ``quiet`` seconds since the last entry logged; a suppressed hit does not extend it.
-
-    Hits of one trigger are taken in time order; the state is the last logged time of each client and path (append mode).
-    """
-
-    def fold(key, frames, state):
-        last = state.get[0] if state.exists else None
-        logged = []
-        for t in sorted(int(x) for pdf in frames for x in pdf["stamp"]):
-            if last is None or t - last >= quiet * 1_000_000:
-                logged.append(t)
-                last = t
-        if last is not None:
-            state.update((last,))
-        if logged:
-            yield pd.DataFrame({"profile": [key[0]] * len(logged), "event_type": [key[1]] * len(logged), "stamp": logged})
-
-    rows = events.select("profile", "event_type", F.unix_micros("ts").alias("stamp"))
-    out = _struct(("profile", S.LongType()), ("event_type", S.StringType()), ("stamp", S.LongType()))
-    kept = rows.groupBy("profile", "event_type").applyInPandasWithState(fold, out, _struct(("last", S.LongType())), "append", "NoTimeout")
-    return kept.select("profile", "event_type", F.timestamp_micros("stamp").alias("ts"))
+def live_counters(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """STM6: deltas since the last resync, floored at 0 after each (update mode)."""
+    return _folded(events, ["profile"], _Counters(keep_ms), "profile bigint, pending bigint", "update")
+
+
+def playback_log(events: DataFrame, newest: int = 50, keep_ms: int = KEEP_MS) -> DataFrame:
+    """STM9: the newest entries of each client since ever, and whether one worth sending came after the last sending (update mode)."""
+    return _folded(events, ["profile"], _Playback(newest, keep_ms), "profile bigint, entries array<bigint>, due boolean", "update")
 
 
 def ingest_pages(spark: SparkSession, path: str, held: str, checkpoint: str):
-    """STM4: pages arriving as files are appended to ``held`` once by page id; each micro-batch is one anti join and one append."""
+    """STM4: pages arriving as files are appended to ``held`` once by page id, and every arrival to ``<held>-log`` with its outcome.
+
+    ``held`` is parted by a bucket of the id, so a micro-batch reads the ids of its own buckets only."""
     stream = spark.readStream.schema("page_id bigint, url string, html string").parquet(path)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(["page_id"])
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")).persist()
+        buckets = [r[0] for r in batch.select("bucket").distinct().collect()]
+        have = spark.createDataFrame([], "page_id bigint")
         try:
-            have = spark.read.parquet(held).select("page_id")
+            have = spark.read.schema("page_id bigint, bucket int").parquet(held).where(F.col("bucket").isin(buckets)).select("page_id")
         except Exception as e:  # nothing is held yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
-        else:
-            new = new.join(have, "page_id", "left_anti")
-        new.write.mode("append").parquet(held)
+        known = have.distinct().withColumn("known", F.lit(True))
+        marked = batch.dropDuplicates(["page_id"]).join(known, "page_id", "left").persist()
+        outcome = F.when(F.col("page_id").isNull(), "rejected").when(F.col("known"), "have").otherwise("ingested")
+        marked.select("page_id", outcome.alias("outcome"), F.lit(epoch).alias("batch")).write.mode("append").parquet(f"{held}-log")
+        marked.where("known IS NULL AND page_id IS NOT NULL").drop("known").write.mode("append").partitionBy("bucket").parquet(held)
+        marked.unpersist()
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -1,6 +1,6 @@
-"""Streams give what their batch twins give."""
+"""Streams give what their batch twins give, over several micro-batches."""
 
-import shutil
+import time
 
 import pytest
 
@@ -12,41 +12,98 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def feed(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("events")
-    spark.read.parquet(f"{DATA}/events.parquet").repartitionByRange(3, "ts").write.mode("overwrite").parquet(str(folder / "in"))
-    return str(folder / "in")
+    """The events in four files, one after another in time, so that a stream of one file a trigger has four batches."""
+    folder = str(tmp_path_factory.mktemp("events") / "in")
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    ordered = events.selectExpr("*", "row_number() OVER (ORDER BY ts, event_id) AS place")
+    n = ordered.count()
+    for k in range(4):
+        ordered.where(f"place > {n * k // 4} AND place <= {n * (k + 1) // 4}").drop("place").coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def run(df, name, mode):
+    """Runs until four batches had rows; a query with time-outs has batches without rows for as long as it runs."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    q.processAllAvailable()
+    ends, full = time.time() + 60, set()
+    while len(full) < 4 and time.time() < ends:
+        full |= {p["batchId"] for p in q.recentProgress if p["numInputRows"]}
+        time.sleep(0.1)
     q.stop()
+    assert len(full) == 4
     return df.sparkSession.table(name)
 
 
+def latest(rows, *fields):
+    """The last row of each profile of an update stream."""
+    return {r["profile"]: tuple(r[f] for f in fields) for r in rows}
+
+
 def test_positions(spark, feed):
-    got = {}
-    rows = run(jobs.positions(jobs.event_stream(spark, feed, 10)), "positions", "update").collect()
-    for r in rows:
-        got[r["profile"]] = (r["chapter"], round(r["t"], 6), r["furthest"])
-    want = {r["profile"]: (r["chapter"], round(r["t"], 6), r["furthest"]) for r in listening.positions(spark, DATA).collect()}
-    assert got == want
+    out = run(jobs.positions(jobs.event_stream(spark, feed)), "positions", "complete")
+    fields = ("chapter", "t", "furthest", "furthest_t")
+    assert latest(out.collect(), *fields) == latest(listening.positions(spark, DATA).collect(), *fields)
 
 
 def test_access_log(spark, feed):
-    rows = run(jobs.access_log(jobs.event_stream(spark, feed, 10)), "access", "append").collect()
+    rows = run(jobs.access_log(jobs.event_stream(spark, feed)), "access", "append").collect()
     want = listening.access_log(spark, DATA).collect()
     assert sorted((r["profile"], r["event_type"], str(r["ts"])) for r in rows) == sorted((r["profile"], r["event_type"], str(r["ts"])) for r in want)
 
 
+def test_furthest_listened(spark, feed):
+    rows = run(jobs.furthest_listened(jobs.event_stream(spark, feed), least_ms=500), "listened", "update").collect()
+    got = {k: (None if f < 0 else f, ms) for k, (f, ms) in latest(rows, "furthest", "listened_ms").items()}
+    assert got == latest(listening.furthest_listened(spark, DATA, least_ms=500).collect(), "furthest", "listened_ms")
+
+
+def test_half_a_minute_counts(spark, tmp_path):
+    """29 s of listening are not enough, seeks add nothing, a change of chapter starts anew, finishing counts at once."""
+    rows, k = [], 0
+
+    def play(who, chapter, seconds, kind="view"):
+        nonlocal k
+        k += 1
+        rows.append((k, who, kind, float(seconds), f'{{"k": {chapter}}}', f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}"))
+
+    for s in range(0, 30, 1):
+        play(1, 1, s)
+    for s in range(0, 31, 1):
+        play(2, 4, s)
+    for s in (0, 500, 1000):
+        play(3, 2, s)
+    for c in (1, 2, 1, 2):
+        for s in range(0, 20):
+            play(4, c, s)
+    play(5, 6, 0, "purchase")
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string, t string").selectExpr("event_id", "CAST(t AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    want = {1: (None, 29000), 2: (4, 30000), 3: (None, 0), 4: (None, 76000), 5: (6, 0)}
+    assert latest(listening.furthest_listened(spark, str(tmp_path)).collect(), "furthest", "listened_ms") == want
+
+
+def test_live_counters(spark, feed):
+    rows = run(jobs.live_counters(jobs.event_stream(spark, feed)), "counters", "update").collect()
+    assert latest(rows, "pending") == latest(listening.live_counters(spark, DATA).collect(), "pending")
+
+
+def test_playback_log(spark, feed):
+    rows = run(jobs.playback_log(jobs.event_stream(spark, feed), newest=5), "playback", "update").collect()
+    want = {}
+    for r in listening.playback_log(spark, DATA, newest=5).collect():
+        want.setdefault(r["profile"], (set(), r["due"]))[0].add(r["event_id"])
+    got = {k: (set(ids), due) for k, (ids, due) in latest(rows, "entries", "due").items()}
+    assert {k: v for k, v in got.items() if v[0]} == want
+
+
 def test_stages(spark, feed):
-    rows = run(jobs.stages(jobs.event_stream(spark, feed, 10)), "stages", "complete").collect()
+    rows = run(jobs.stages(jobs.event_stream(spark, feed)), "stages", "complete").collect()
     want = listening.stage_from_events(spark, DATA).collect()
     assert sorted((r["chapter"], r["furthest_rank"], r["n_errors"]) for r in rows) == sorted((r["chapter"], r["furthest_rank"], r["n_errors"]) for r in want)
 
 
 def test_sessions(spark, feed):
-    rows = run(jobs.run_sessions(jobs.event_stream(spark, feed, 10)), "sessions", "complete").collect()
+    rows = run(jobs.run_sessions(jobs.event_stream(spark, feed)), "sessions", "complete").collect()
     assert sorted((r["profile"], r["n"]) for r in rows) == sorted((r["profile"], r["n"]) for r in listening.run_sessions(spark, DATA).collect())
 
 
@@ -59,5 +116,6 @@ def test_page_ingest(spark, tmp_path):
             pages.write.mode("append").parquet(src)
         q = jobs.ingest_pages(spark, src, held, str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert spark.read.parquet(held).count() == pages.select("page_id").distinct().count()
-    shutil.rmtree(tmp_path)
+    n = pages.count()
+    assert spark.read.parquet(held).count() == n == spark.read.parquet(held).select("page_id").distinct().count()
+    assert {r["outcome"]: r["count"] for r in spark.read.parquet(held + "-log").groupBy("outcome").count().collect()} == {"ingested": n, "have": n}
