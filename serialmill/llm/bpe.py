@@ -230,7 +230,7 @@ class PieceMemo:
     them is a space and a word without one.
     """
 
-    def __init__(self, encode_pieces, special: dict[str, int], dtype, most: int = MEMO, batch_chars: int = 12_000_000):
+    def __init__(self, encode_pieces, special: dict[str, int], dtype, most: int = MEMO, batch_chars: int = 6_000_000):
         self.make, self.special, self.dtype, self.most, self.batch_chars = encode_pieces, special, dtype, most, batch_chars
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._clear()

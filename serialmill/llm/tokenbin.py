@@ -240,7 +240,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     tokens = read_spec(tokenizer)
     spec = spark.sparkContext.broadcast(tokens)  # a file of fixed size
     size = max(library_coder(tokens).vocab_size, end_id + 1)
-    coded = materialise(docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("tie"), F.col(text).alias("t")).mapInArrow(_code(spec, end_id), _CODED))
+    coded = materialise(docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("tie"), F.col(text).alias("t")).mapInArrow(_code(spec, end_id), _CODED), "zstd")
     sums = coded.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for r in sums.collect():  # a row for each id of the vocabulary
