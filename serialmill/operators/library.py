@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from serialmill.sources.bindings import CACHE_SQL, CHAPTERS_SQL, SERIES_SQL, cache_entries, chapters, series, stage_rank
+from serialmill.sources import files
+from serialmill.sources.bindings import CACHE_SQL, CHAPTERS_SQL, SERIES_SQL, cache_entries, chapters, series, stage_rank, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,13 +69,24 @@ def bulk_status(spark, d):
     return chapters(spark, d).select("series", "source_id", s.alias("status"))
 
 
-@query("flt20_slug_taken", _with(SERIES_SQL) + """
-SELECT w.series, w.slug, EXISTS (SELECT 1 FROM series o WHERE o.slug = w.slug AND o.series <> w.series) AS taken
-FROM (SELECT series, CASE WHEN series % 3 = 0 THEN 'customer-' || lpad((series + 1)::VARCHAR, 9, '0') ELSE slug END AS slug FROM series) w""")
+ALIAS_SQL = "aliases AS (SELECT series, 'old-' || slug AS slug FROM series WHERE series % 2 = 0)"
+
+
+def aliases(spark, d) -> DataFrame:
+    """Former slugs, which still lead to their series: here of every second one."""
+    return series(spark, d).where("series % 2 = 0").select("series", F.concat(F.lit("old-"), "slug").alias("slug"))
+
+
+@query("flt20_slug_taken", _with(SERIES_SQL, ALIAS_SQL) + """,
+w AS (SELECT series, CASE series % 3 WHEN 0 THEN 'customer-' || lpad((series + 1)::VARCHAR, 9, '0') WHEN 1 THEN 'old-customer-' || lpad((series + 1)::VARCHAR, 9, '0') ELSE slug END AS slug FROM series)
+SELECT w.series, w.slug, EXISTS (SELECT 1 FROM (SELECT series, slug FROM series UNION ALL SELECT * FROM aliases) o WHERE o.slug = w.slug AND o.series <> w.series) AS taken FROM w""")
 def slug_taken(spark, d):
+    """A slug is taken if another series has it, now or as an alias."""
     s = series(spark, d)
-    wanted = s.select("series", F.when(F.col("series") % 3 == 0, F.concat(F.lit("customer-"), F.lpad((F.col("series") + 1).cast("string"), 9, "0"))).otherwise(F.col("slug")).alias("slug"))
-    others = s.select(F.col("series").alias("owner"), "slug")
+    after = F.lpad((F.col("series") + 1).cast("string"), 9, "0")
+    slug = F.when(F.col("series") % 3 == 0, F.concat(F.lit("customer-"), after)).when(F.col("series") % 3 == 1, F.concat(F.lit("old-customer-"), after)).otherwise(F.col("slug"))
+    wanted = s.select("series", slug.alias("slug"))
+    others = s.select("series", "slug").unionByName(aliases(spark, d)).withColumnRenamed("series", "owner")
     hit = wanted.join(others, "slug").where("owner <> series").select("series").distinct().withColumn("hit", F.lit(True))
     return wanted.join(hit, "series", "left").select("series", "slug", F.coalesce("hit", F.lit(False)).alias("taken"))
 
@@ -193,21 +205,40 @@ def identity_match(spark, d):
     return inc.join(a, "uuid", "left").join(b, ["provider", "title"], "left").select("inc_id", F.coalesce("m1", "m2").alias("matched"))
 
 
-@query("joi15_alias_resolution", _with(SERIES_SQL) + """,
-k AS (SELECT series AS want, CASE series % 4 WHEN 0 THEN slug WHEN 1 THEN 'old-' || slug WHEN 2 THEN substr(slug, 1, 17) ELSE substr(title, 10) END AS key FROM series WHERE series % 50 = 1 OR series % 50 = 2 OR series % 50 = 3 OR series % 50 = 0),
-m AS (SELECT want, key, s.series, CASE WHEN s.slug = key THEN 0 WHEN 'old-' || s.slug = key THEN 1 WHEN starts_with(s.slug, key) THEN 2 WHEN contains(s.slug, key) THEN 3 ELSE 4 END AS r
-  FROM k JOIN series s ON s.slug = key OR 'old-' || s.slug = key OR starts_with(s.slug, key) OR contains(s.slug, key) OR contains(lower(s.title), lower(key)))
+GRAM = 8
+
+
+def resolve(keys: DataFrame, known: DataFrame, alias: DataFrame) -> DataFrame:
+    """Each key's series and the rank of its match: exact slug 0, alias 1, prefix 2, part of the slug 3, part of the title 4; the best, then the lowest id.
+
+    ``keys``: want, key; ``known``: series, slug, title; ``alias``: series, slug. All by equal values: a key that is part of a name has
+    its last GRAM characters (all, if it has fewer) among the name's grams of that length, and is compared only with those names.
+    """
+    gram = F.lower(F.right("key", F.lit(GRAM)))
+    asked = keys.where("key <> ''").select("want", "key", gram.alias("gram"))
+    exact = asked.join(known.select("series", F.col("slug").alias("key")), "key").select("want", "key", F.lit(0).alias("r"), "series")
+    former = asked.join(alias.select("series", F.col("slug").alias("key")), "key").select("want", "key", F.lit(1).alias("r"), "series")
+    sizes = F.broadcast(asked.select(F.length("gram").alias("n")).distinct())  # GRAM rows at most
+    name = F.lower(F.concat_ws("\u0001", "slug", "title"))
+    spread = known.select("series", "slug", "title", name.alias("name")).join(sizes, F.length("name") >= F.col("n"))
+    grams = spread.select("series", "slug", "title", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n"))))).alias("gram"))
+    rank = F.when(F.col("slug").startswith(F.col("key")), 2).when(F.contains("slug", "key"), 3).when(F.contains(F.lower("title"), F.lower("key")), 4)
+    part = asked.join(grams, "gram").select("want", "key", rank.alias("r"), "series").where("r IS NOT NULL")
+    best = exact.unionByName(former).unionByName(part).groupBy("want", "key").agg(F.min(F.struct("r", "series")).alias("m"))
+    return best.select("want", "key", F.col("m.series").alias("found"), F.col("m.r").alias("match_rank"))
+
+
+@query("joi15_alias_resolution", _with(SERIES_SQL, ALIAS_SQL) + """,
+k AS (SELECT series AS want, CASE series % 5 WHEN 0 THEN slug WHEN 1 THEN 'old-' || slug WHEN 2 THEN substr(slug, 1, 17) WHEN 3 THEN substr(title, 10) ELSE substr(title, 5, 9) END AS key FROM series),
+c AS (SELECT want, key, s.series, CASE WHEN s.slug = key THEN 0 WHEN starts_with(s.slug, key) THEN 2 WHEN contains(s.slug, key) THEN 3 WHEN contains(lower(s.title), lower(key)) THEN 4 END AS r FROM k, series s),
+m AS (SELECT * FROM c WHERE r IS NOT NULL UNION ALL SELECT want, key, a.series, 1 FROM k JOIN aliases a ON a.slug = key)
 SELECT want, key, series AS found, r AS match_rank FROM m QUALIFY row_number() OVER (PARTITION BY want ORDER BY r, series) = 1""")
 def alias_resolution(spark, d):
-    """Exact slug, alias, prefix, substring, then title; the best match of the lowest id. The keys are one small block, checked by a limit of its rule."""
+    """Every series is asked for by its slug, a former one, a part of its slug or a part of its title."""
     s = series(spark, d)
-    r4 = F.col("series") % 4
-    key = F.when(r4 == 0, F.col("slug")).when(r4 == 1, F.concat(F.lit("old-"), "slug")).when(r4 == 2, F.substring("slug", 1, 17)).otherwise(F.expr("substring(title, 10)"))
-    keys = s.where(F.col("series") % 50 < 4).select(F.col("series").alias("want"), key.alias("key"))
-    alias = F.concat(F.lit("old-"), "slug")
-    rank = F.when(F.col("slug") == F.col("key"), 0).when(alias == F.col("key"), 1).when(F.col("slug").startswith(F.col("key")), 2).when(F.col("slug").contains(F.col("key")), 3).when(F.lower("title").contains(F.lower("key")), 4)
-    best = s.join(keys, rank.isNotNull()).select("want", "key", F.struct(rank.alias("r"), "series").alias("m")).groupBy("want", "key").agg(F.min("m").alias("m"))
-    return best.select("want", "key", F.col("m.series").alias("found"), F.col("m.r").alias("match_rank"))
+    r = F.col("series") % 5
+    key = F.when(r == 0, F.col("slug")).when(r == 1, F.concat(F.lit("old-"), "slug")).when(r == 2, F.substring("slug", 1, 17)).when(r == 3, F.expr("substring(title, 10)")).otherwise(F.substring("title", 5, 9))
+    return resolve(s.select(F.col("series").alias("want"), key.alias("key")), s.select("series", "slug", "title"), aliases(spark, d))
 
 
 @query("joi28_cascade_delete", _with(CHAPTERS_SQL) + """
@@ -221,10 +252,17 @@ def cascade_delete(spark, d):
     return n(ch.join(gone, "series", "left_semi"), True).unionByName(n(ch.join(gone, "series", "left_anti"), False))
 
 
-@query("joi30_rename", _with(SERIES_SQL) + "SELECT series, 'vol-' || slug AS slug, slug AS alias FROM series WHERE series % 4 = 1 UNION ALL SELECT series, slug, NULL FROM series WHERE series % 4 <> 1")
+@query("joi30_rename", _with(SERIES_SQL) + """,
+own AS (SELECT series, CASE series % 8 WHEN 1 THEN 'vol-' || slug WHEN 5 THEN 'first-' || slug END AS alias FROM series), moved AS (SELECT series, CASE WHEN series % 4 = 1 THEN 'vol-' || slug ELSE slug END AS slug, slug AS was FROM series)
+SELECT m.series, m.slug, array_to_string(list_sort(list_distinct([x FOR x IN [o.alias, CASE WHEN m.slug <> m.was THEN m.was END] IF x IS NOT NULL AND x <> m.slug])), ',') AS aliases FROM moved m JOIN own o USING (series)""")
 def rename(spark, d):
-    moved = F.col("series") % 4 == 1
-    return series(spark, d).select("series", F.when(moved, F.concat(F.lit("vol-"), "slug")).otherwise(F.col("slug")).alias("slug"), F.when(moved, F.col("slug")).alias("alias"))
+    """A renamed series keeps its old slug as an alias, and an alias of its own that it now takes as its slug goes."""
+    r = F.col("series")
+    slug = F.when(r % 4 == 1, F.concat(F.lit("vol-"), "slug")).otherwise(F.col("slug"))
+    own = F.when(r % 8 == 1, F.concat(F.lit("vol-"), "slug")).when(r % 8 == 5, F.concat(F.lit("first-"), "slug"))
+    s = series(spark, d).select("series", slug.alias("now"), "slug", own.alias("own"))
+    kept = F.filter(F.array("own", F.when(F.col("now") != F.col("slug"), F.col("slug"))), lambda x: x.isNotNull() & (x != F.col("now")))
+    return s.select("series", F.col("now").alias("slug"), F.array_join(F.array_sort(F.array_distinct(kept)), ",").alias("aliases"))
 
 
 @query("joi24_toc_merge", _with(CHAPTERS_SQL) + """
@@ -246,13 +284,13 @@ def toc_merge(spark, d):
 
 @query("agg11_series_summary", _with(CHAPTERS_SQL, OUT_SQL) + """
 SELECT c.series, count(*) AS n_total, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'rendered') AS n_rendered, count(*) FILTER (status = 'error') AS n_error,
-  count(*) FILTER (status = 'skipped') AS n_skipped, (SELECT min(n) FROM out o WHERE o.series = c.series) AS next_n, max(n) FILTER (status = 'rendered') AS last_rendered_n
+  count(*) FILTER (status = 'skipped') AS n_skipped, (SELECT count(*) FROM out o WHERE o.series = c.series) AS n_pending, (SELECT min(n) FROM out o WHERE o.series = c.series) AS next_n, max(n) FILTER (status = 'rendered') AS last_rendered_n
 FROM chapters c GROUP BY c.series""")
 def series_summary(spark, d):
     is_out = F.col("unlocked") & (F.col("status") != "skipped") & (F.col("status") != "rendered")
     count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
     return chapters(spark, d).groupBy("series").agg(
-        F.count("*").alias("n_total"), count("new"), count("rendered"), count("error"), count("skipped"), F.min(F.when(is_out, F.col("n"))).alias("next_n"), F.max(F.when(F.col("status") == "rendered", F.col("n"))).alias("last_rendered_n")
+        F.count("*").alias("n_total"), count("new"), count("rendered"), count("error"), count("skipped"), F.count_if(is_out).alias("n_pending"), F.min(F.when(is_out, F.col("n"))).alias("next_n"), F.max(F.when(F.col("status") == "rendered", F.col("n"))).alias("last_rendered_n")
     )
 
 
@@ -261,18 +299,21 @@ FALLBACK_SECONDS, FALLBACK_RATIO, LEAST_SAMPLES = 900, 0.25, 3
 
 @query("agg12_render_estimate", _with(CHAPTERS_SQL) + """,
 s AS (SELECT series, count(*) FILTER (unlocked AND status NOT IN ('skipped', 'rendered')) AS n_out, median(duration_s) FILTER (status = 'rendered') AS med,
-  count(*) FILTER (status = 'rendered' AND source_id % 3 = 0) AS timed, median((duration_s * (0.15 + (source_id % 10) / 100.0)) / duration_s) FILTER (status = 'rendered' AND source_id % 3 = 0) AS ratio FROM chapters GROUP BY series)
-SELECT series, n_out, round(n_out * coalesce(med, 900) * CASE WHEN timed >= 3 THEN ratio ELSE 0.25 END, 3) AS wall_s FROM s""")
+  count(*) FILTER (status = 'rendered' AND source_id % 3 = 0) AS timed, median((30 + source_id % 97) / duration_s) FILTER (status = 'rendered' AND source_id % 3 = 0) AS ratio FROM chapters GROUP BY series),
+e AS (SELECT series, n_out, round(n_out * coalesce(med, 900) * CASE WHEN timed >= 3 THEN ratio ELSE 0.25 END, 3) AS wall_s FROM s)
+SELECT * FROM e UNION ALL SELECT NULL, sum(n_out)::BIGINT, sum(round(wall_s * 1000)::BIGINT) / 1000.0::DOUBLE FROM e""")
 def render_estimate(spark, d):
-    """Outstanding chapters x median length x median wall/audio ratio of timed renders, with fallbacks below three samples."""
+    """Outstanding chapters x median length x median wall/audio ratio of timed renders, with fallbacks below three samples; a last row with the totals."""
     timed = (F.col("status") == "rendered") & (F.col("source_id") % 3 == 0)
-    ratio = (F.col("duration_s") * (F.lit(0.15) + (F.col("source_id") % 10) / 100.0)) / F.col("duration_s")
+    ratio = (30 + F.col("source_id") % 97) / F.col("duration_s")  # seconds that a render took
     s = chapters(spark, d).groupBy("series").agg(
         F.count_if(F.col("unlocked") & ~F.col("status").isin("skipped", "rendered")).alias("n_out"), F.median(F.when(F.col("status") == "rendered", F.col("duration_s"))).alias("med"),
         F.count_if(timed).alias("timed"), F.median(F.when(timed, ratio)).alias("ratio"),
     )
     rate = F.when(F.col("timed") >= LEAST_SAMPLES, F.col("ratio")).otherwise(F.lit(FALLBACK_RATIO))
-    return s.select("series", "n_out", F.round(F.col("n_out") * F.coalesce("med", F.lit(float(FALLBACK_SECONDS))) * rate, 3).alias("wall_s"))
+    e = s.select("series", "n_out", F.round(F.col("n_out") * F.coalesce("med", F.lit(float(FALLBACK_SECONDS))) * rate, 3).alias("wall_s"))
+    total = e.agg(F.sum("n_out").alias("n_out"), (F.sum(F.round(F.col("wall_s") * 1000).cast("bigint")) / 1000).alias("wall_s"))
+    return e.unionByName(total.select(F.lit(None).cast("bigint").alias("series"), "n_out", "wall_s"))
 
 
 def _ticks():
@@ -316,27 +357,41 @@ def prune_set(spark, d):
     return owned.join(live_keys(ch, cache), ["series", "key"], "left_anti").select("series", "source_id", "line", why.alias("why"))
 
 
-@query("joi13_reclaim", _with(CHAPTERS_SQL, CACHE_SQL, LIVE_SQL) + "SELECT key, count(DISTINCT series) AS n_owners, bool_and(generation = 'F') AS removable FROM owned GROUP BY key")
+@query("joi13_reclaim", _with(CHAPTERS_SQL, CACHE_SQL, LIVE_SQL) + """,
+held AS (SELECT key, series, bool_or(generation = 'F') AS has_copy FROM owned GROUP BY key, series) SELECT key, count(*) AS n_owners, bool_and(has_copy) AS removable FROM held GROUP BY key""")
 def reclaim(spark, d):
-    """A shared entry may go only if every owner holds a copy."""
+    """A shared entry may go only if every owner holds a copy (an entry of that key in its current generation)."""
     ch, cache = chapters(spark, d), cache_entries(spark, d)
-    return cache.join(ch.select("source_id", "series"), "source_id").groupBy("key").agg(F.count_distinct("series").alias("n_owners"), F.every(F.col("generation") == "F").alias("removable"))
+    held = cache.join(ch.select("source_id", "series"), "source_id").groupBy("key", "series").agg(F.bool_or(F.col("generation") == "F").alias("has_copy"))
+    return held.groupBy("key").agg(F.count("*").alias("n_owners"), F.every("has_copy").alias("removable"))
 
 
-@query("agg14_cache_status", _with(CACHE_SQL) + "SELECT generation, backend, count(*) AS files, round(sum(bytes), 2) AS bytes, round(avg(bytes), 4) AS mean_bytes FROM cache GROUP BY GROUPING SETS ((generation, backend), (generation), (backend), ())")
+@query("agg14_cache_status", _with(CHAPTERS_SQL, CACHE_SQL, LIVE_SQL) + """,
+m AS (SELECT o.series, o.generation, o.backend, round(o.bytes * 100)::BIGINT AS cents, l.key IS NULL AS loose FROM owned o LEFT JOIN live l ON l.series = o.series AND l.key = o.key)
+SELECT series, generation, backend, count(*) AS files, sum(cents)::BIGINT AS cents, coalesce(sum(cents) FILTER (loose), 0)::BIGINT AS reclaimable, sum(cents)::BIGINT // count(*) AS mean_cents
+FROM m GROUP BY GROUPING SETS ((series), (generation, backend), (generation), (backend), ())""")
 def cache_status(spark, d):
-    sets = cache_entries(spark, d).groupingSets([["generation", "backend"], ["generation"], ["backend"], []], "generation", "backend")
-    return sets.agg(F.count("*").alias("files"), F.round(F.sum("bytes"), 2).alias("bytes"), F.round(F.avg("bytes"), 4).alias("mean_bytes"))
+    """Files, bytes (in hundredths), what could go and the mean size: for each series, generation, format and in all."""
+    ch, cache = chapters(spark, d), cache_entries(spark, d)
+    live = live_keys(ch, cache).withColumn("live", F.lit(True))
+    m = cache.join(ch.select("source_id", "series"), "source_id").join(live, ["series", "key"], "left").select("series", "generation", "backend", F.round(F.col("bytes") * 100).cast("bigint").alias("cents"), F.col("live").isNull().alias("loose"))
+    sets = m.groupingSets([["series"], ["generation", "backend"], ["generation"], ["backend"], []], "series", "generation", "backend")
+    loose = F.coalesce(F.sum(F.when(F.col("loose"), F.col("cents"))), F.lit(0)).cast("bigint")
+    return sets.agg(F.count("*").alias("files"), F.sum("cents").alias("cents"), loose.alias("reclaimable"), F.expr("sum(cents) div count(*)").alias("mean_cents"))
 
 
 @query("agg15_prune_guard", _with(CHAPTERS_SQL, CACHE_SQL, LIVE_SQL) + """,
-now AS (SELECT o.series, count(*) AS files, count(l.key) AS live_here FROM owned o LEFT JOIN live l ON l.series = o.series AND l.key = o.key GROUP BY o.series)
-SELECT series, files, live_here, CASE WHEN live_here = 0 THEN 'nothing reachable' WHEN live_here < 0.8 * (files * 0.6) THEN 'reachable fell' ELSE 'ok' END AS verdict FROM now""")
+now AS (SELECT o.series, count(*) AS files, count(l.key) AS live_here FROM owned o LEFT JOIN live l ON l.series = o.series AND l.key = o.key GROUP BY o.series),
+last AS (SELECT series, count(*) AS live_then FROM owned WHERE generation = 'F' AND backend <> 'A' GROUP BY series)
+SELECT now.series, files, live_here, live_then, CASE WHEN live_here = 0 THEN 'nothing reachable' WHEN 10 * live_here < 8 * live_then THEN 'reachable fell' ELSE 'ok' END AS verdict FROM now LEFT JOIN last ON last.series = now.series""")
 def prune_guard(spark, d):
-    """Refuses when nothing is reachable, or reachable fell by over a fifth since the last run (here: 60 % of the files)."""
+    """Refuses when nothing is reachable, or reachable fell by over a fifth since the last run. The last run's table has the entries of the current
+    generation that were not yet written in the newest format."""
+    ch, cache = chapters(spark, d), cache_entries(spark, d)
     r = cache_reachability(spark, d).groupBy("series").agg(F.count("*").alias("files"), F.count_if("reachable").alias("live_here"))
-    verdict = F.when(F.col("live_here") == 0, "nothing reachable").when(F.col("live_here") < 0.8 * (F.col("files") * 0.6), "reachable fell").otherwise("ok")
-    return r.select("series", "files", "live_here", verdict.alias("verdict"))
+    last = cache.where("generation = 'F' AND backend <> 'A'").join(ch.select("source_id", "series"), "source_id").groupBy("series").agg(F.count("*").alias("live_then"))
+    verdict = F.when(F.col("live_here") == 0, "nothing reachable").when(10 * F.col("live_here") < 8 * F.col("live_then"), "reachable fell").otherwise("ok")
+    return r.join(last, "series", "left").select("series", "files", "live_here", "live_then", verdict.alias("verdict"))
 
 
 @query("agg20_size_breakdown", _with(CACHE_SQL) + """
@@ -396,9 +451,13 @@ def neighbours(spark, d):
 
 @query("srt1_library_order", _with(SERIES_SQL) + "SELECT series, row_number() OVER (ORDER BY enabled DESC, coalesce(priority, 100) DESC, title) AS place FROM series")
 def library_order(spark, d):
-    """Enabled first, then priority, then title. One row a series; the order is total by its nature."""
-    w = Window.orderBy(F.col("enabled").desc(), F.coalesce("priority", F.lit(100.0)).desc(), "title")
-    return series(spark, d).select("series", F.row_number().over(w).alias("place"))
+    """Enabled first, then priority, then title. Places are counted within steps of priority, and the rows before a step are added: only the
+    steps' counts, as many as there are whole priorities, go through one task."""
+    s = series(spark, d).select("series", "title", F.col("enabled").cast("int").alias("e"), F.coalesce("priority", F.lit(100.0)).alias("p")).withColumn("step", F.floor("p"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("e").desc(), F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = s.groupBy("e", "step").agg(F.count("*").alias("n")).select("e", "step", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("e", "step").orderBy(F.col("p").desc(), "title"))
+    return s.select("series", "e", "step", within.alias("k")).join(steps, ["e", "step"]).select("series", (F.col("before") + F.col("k")).alias("place"))
 
 
 @query("srt2_first_outstanding", _with(CHAPTERS_SQL, OUT_SQL) + "SELECT series, source_id, n FROM out QUALIFY row_number() OVER (PARTITION BY series ORDER BY ord) <= 3")
@@ -457,3 +516,86 @@ def date_parse(spark, d):
     plain = F.regexp_replace(F.regexp_replace(text, r"\.[0-9]+", ""), r"(Z|\+00:00)$", "")
     parsed = F.coalesce(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss")))
     return chapters(spark, d).select("source_id", parsed.cast("timestamp_ntz").alias("parsed"))
+
+
+@query("snk4_feed", _with(CHAPTERS_SQL, SERIES_SQL) + """,
+v AS (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY volume) AS season, row_number() OVER (PARTITION BY series, volume ORDER BY ord) AS episode, published + INTERVAL 1 DAY * ((source_id % 5) * 40) AS stamp FROM chapters),
+r AS (SELECT *, min(stamp) OVER (PARTITION BY series ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS feed_date FROM v WHERE status = 'rendered'),
+f AS (SELECT r.*, s.slug, s.title, '/audio/' || s.slug || '/' || r.source_id || CASE WHEN r.source_id % 3 = 0 THEN '.mp3' WHEN r.source_id % 3 = 1 THEN '.opus' ELSE '.bin' END AS url FROM r JOIN series s ON s.series = r.series)
+SELECT series, 'item' AS kind, 'sm-' || source_id AS guid, 'Chapter ' || n AS title, feed_date, CASE WHEN volume NOT LIKE '5%' THEN season END AS season, CASE WHEN volume NOT LIKE '5%' THEN episode ELSE n END AS episode, url,
+  round(duration_s * 4000)::BIGINT AS length, CASE WHEN url LIKE '%.mp3' THEN 'audio/mpeg' WHEN url LIKE '%.opus' THEN 'audio/ogg' ELSE 'application/octet-stream' END AS type FROM f
+UNION ALL SELECT series, 'channel', 'sm', any_value(title), max(feed_date), NULL, count(*), '/feed/' || any_value(slug) || '.xml', NULL, 'application/rss+xml' FROM f GROUP BY series""")
+def feed(spark, d):
+    """SNK4: the feed of each series: an item for each rendered chapter, with a guid that never changes, a capped date, its place in the volume and its
+    enclosure; and one channel row."""
+    v = chapters(spark, d).select(
+        "*", F.dense_rank().over(Window.partitionBy("series").orderBy("volume")).alias("season"), F.row_number().over(Window.partitionBy("series", "volume").orderBy("ord")).alias("episode"),
+        F.expr("published + make_dt_interval(int((source_id % 5) * 40))").alias("stamp"),
+    ).where("status = 'rendered'")
+    later = Window.partitionBy("series").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    k = F.col("source_id") % 3
+    name = F.concat(F.lit("/audio/"), "slug", F.lit("/"), F.col("source_id").cast("string"), F.when(k == 0, ".mp3").when(k == 1, ".opus").otherwise(".bin"))
+    f = v.withColumn("feed_date", F.min("stamp").over(later)).join(series(spark, d).select("series", "slug", F.col("title").alias("name")), "series").withColumn("url", name)
+    known = F.create_map(*[F.lit(x) for x in ("mp3", "audio/mpeg", "opus", "audio/ogg")])
+    mime = F.coalesce(F.element_at(known, F.substring_index("url", ".", -1)), F.lit("application/octet-stream"))
+    placed = ~F.col("volume").startswith("5")
+    items = f.select(
+        "series", F.lit("item").alias("kind"), F.concat(F.lit("sm-"), F.col("source_id").cast("string")).alias("guid"), F.concat(F.lit("Chapter "), F.col("n").cast("string")).alias("title"), "feed_date",
+        F.when(placed, F.col("season")).alias("season"), F.when(placed, F.col("episode")).otherwise(F.col("n")).cast("bigint").alias("episode"), "url", F.round(F.col("duration_s") * 4000).cast("bigint").alias("length"), mime.alias("type"),
+    )
+    heads = f.groupBy("series").agg(F.any_value("name").alias("title"), F.max("feed_date").alias("feed_date"), F.count("*").alias("episode"), F.any_value("slug").alias("slug"))
+    channel = heads.select(
+        "series", F.lit("channel").alias("kind"), F.lit("sm").alias("guid"), "title", "feed_date", F.lit(None).cast("int").alias("season"), "episode", F.concat(F.lit("/feed/"), "slug", F.lit(".xml")).alias("url"),
+        F.lit(None).cast("bigint").alias("length"), F.lit("application/rss+xml").alias("type"),
+    )
+    return items.unionByName(channel)
+
+
+@query("src3_rules", """SELECT p_type AS surface, CASE p_partkey % 3 WHEN 0 THEN 'VBD' WHEN 1 THEN 'NOUN' ELSE '' END AS pos, CASE p_partkey % 3 WHEN 0 THEN lower(p_brand) ELSE '' END AS lemma, p_name AS respell, '' AS notes FROM part""")
+def rules_from_csv(spark, d):
+    """SRC3: rule rows out of CSV lines; a tag with a lemma is split."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey") % 3
+    line = F.to_csv(F.struct("p_type", F.when(k == 0, F.concat(F.lit("VBD+"), F.lower("p_brand"))).when(k == 1, "NOUN").alias("pos"), "p_name", F.lit(None).cast("string").alias("notes")))
+    return files.rule_rows(p.select(F.from_csv(line, F.lit(files.RULES)).alias("r")).select("r.*"))
+
+
+@query("src4_embedded_chapters", _with(CHAPTERS_SQL) + "SELECT series, source_id::VARCHAR AS id, 'Chapter ' || n AS title, ord::INT AS ord, unlocked FROM chapters WHERE source_id % 13 <> 0")
+def chapters_in_pages(spark, d):
+    """SRC4: the chapter list that a series page assigns in a script; entries without a numeric id go."""
+    c = chapters(spark, d)
+    entry = F.struct(F.when(F.col("source_id") % 13 == 0, "n/a").otherwise(F.col("source_id").cast("string")).alias("id"), F.concat(F.lit("Chapter "), F.col("n").cast("string")).alias("title"), F.col("ord").alias("order"), F.col("unlocked").alias("isUnlocked"))
+    html = F.concat(F.lit("<script>window.volumes = []; window.chapters = "), F.to_json(F.collect_list(entry)), F.lit("; var x = [1];</script>"))
+    rows = c.groupBy("series").agg(html.alias("html")).select("series", F.explode(files.embedded_chapters(F.col("html"))).alias("c"))
+    return rows.select("series", "c.id", "c.title", F.col("c.order").alias("ord"), F.col("c.isUnlocked").alias("unlocked"))
+
+
+@query("src5_toc_rows", _with(CHAPTERS_SQL) + "SELECT series, ord::INT AS ord, source_id::VARCHAR AS id, 'Chapter ' || n AS title, 'chapter-' || n AS slug, date_trunc('minute', published) AS published, ceil(count(*) OVER (PARTITION BY series) / 15.0)::INT AS n_pages FROM chapters")
+def toc(spark, d):
+    """SRC5: the rows of a table of contents, and how many pages of 15 it has."""
+    s = lambda c: F.col(c).cast("string")
+    item = F.concat(F.lit('<li class="toc_w" order="'), s("n"), F.lit('"><a class="toc_a" href="/read/'), s("series"), F.lit("/chapter/"), s("source_id"), F.lit('/">Chapter <b>'), s("n"), F.lit('</b></a><span class="fic_date_pub" title="'), F.date_format("published", "MMM d, yyyy hh:mm a"), F.lit('"></span></li>'))
+    pages = chapters(spark, d).groupBy("series").agg(F.array_join(F.collect_list(item), "").alias("html"), files.toc_page_count(F.count("*"), 15).alias("n_pages"))
+    rows = pages.select("series", "n_pages", F.explode(files.toc_rows(F.col("html"))).alias("t"))
+    return rows.select("series", "t.ord", "t.id", "t.title", "t.slug", F.col("t.published").cast("timestamp_ntz").alias("published"), "n_pages")
+
+
+@query("src7_state_rows", _with(CHAPTERS_SQL) + """SELECT md5(series::VARCHAR) AS uuid, CASE WHEN series % 2 = 0 THEN series::VARCHAR ELSE 'rr' || series END AS source_id, count(*) AS n_chapters, CASE WHEN series % 5 = 0 THEN 'newer schema' END AS problem FROM chapters GROUP BY series""")
+def state_documents(spark, d):
+    """SRC7: state documents read back; the legacy id is taken over, newer schemas are marked."""
+    c = chapters(spark, d).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("source_id").cast("string").alias("source_id"), "status"))).alias("chapters"))
+    n, even = F.col("series").cast("string"), F.col("series") % 2 == 0
+    doc = F.to_json(F.struct(F.when(F.col("series") % 5 == 0, 9).otherwise(3).alias("schema"), F.md5(n).alias("uuid"), F.when(even, n).alias("source_id"), F.when(~even, F.concat(F.lit("rr"), n)).alias("rr_id"), "chapters"))
+    rows = files.state_rows(c.select(F.from_json(doc, files.STATE).alias("s")).select("s.*"))
+    return rows.select("uuid", "source_id", F.size("chapters").cast("bigint").alias("n_chapters"), "problem")
+
+
+@query("stm4_page_ingest", """WITH a AS (SELECT page_id, 0 AS arrival FROM pages UNION ALL SELECT page_id, 1 FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT NULL, 2 FROM pages WHERE page_id % 50 = 0)
+SELECT page_id, arrival, CASE WHEN page_id IS NULL THEN 'rejected' WHEN arrival = 0 THEN 'ingested' ELSE 'have' END AS outcome FROM a""")
+def page_ingest(spark, d):
+    """The batch twin of the page stream: the first arrival of an id is ingested, later ones are already held, pages without an id rejected."""
+    p = table(spark, d, "pages").select("page_id")
+    a = p.withColumn("arrival", F.lit(0)).unionByName(p.where("page_id % 3 = 0").withColumn("arrival", F.lit(1))).unionByName(p.where("page_id % 50 = 0").select(F.lit(None).cast("bigint").alias("page_id"), F.lit(2).alias("arrival")))
+    first = F.row_number().over(Window.partitionBy("page_id").orderBy("arrival")) == 1
+    known = a.where("page_id IS NOT NULL").select("page_id", "arrival", F.when(first, "ingested").otherwise("have").alias("outcome"))
+    return known.unionByName(a.where("page_id IS NULL").select("page_id", "arrival", F.lit("rejected").alias("outcome")))

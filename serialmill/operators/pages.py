@@ -27,12 +27,21 @@ def provenance(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
-@query("flt1_bot_check", f"""SELECT page_id, CASE WHEN contains(left(html, {HEAD}), 'Just a moment...') THEN 'challenge' WHEN contains(left(html, {HEAD}), 'captcha-delivery') THEN 'captcha' WHEN contains(left(html, {HEAD}), 'track(') THEN 'tracker' END AS vendor FROM pages""")
+# Marks of the two bot checks, each searched in its own length of a page's head.
+CHECKS = [("Anubis", 'id="anubis_challenge"', 20000), ("Cloudflare", "<title>Just a moment...</title>", 5000)]
+
+
+def bot_check_of(html):
+    """The bot check that a page is, or null."""
+    out = F.lit(None).cast("string")
+    for vendor, mark, within in reversed(CHECKS):
+        out = F.when(F.contains(F.left(html, F.lit(within)), F.lit(mark)), vendor).otherwise(out)
+    return out
+
+
+@query("flt1_bot_check", "SELECT page_id, CASE " + " ".join(f"WHEN contains(left(html, {n}), '{mark}') THEN '{vendor}'" for vendor, mark, n in CHECKS) + " END AS vendor FROM pages")
 def bot_check(spark, d):
-    """Interstitials by marks in the head of the page; null when it is none."""
-    head = F.left("html", F.lit(HEAD))
-    has = lambda s: F.contains(head, F.lit(s))
-    return table(spark, d, "pages").select("page_id", F.when(has("Just a moment..."), "challenge").when(has("captcha-delivery"), "captcha").when(has("track("), "tracker").alias("vendor"))
+    return table(spark, d, "pages").select("page_id", bot_check_of(F.col("html")).alias("vendor"))
 
 
 _HOST, _PATH = r"^https?://([^/?#]+)", r"^https?://[^/?#]+(/[^?#]*)"
@@ -52,20 +61,57 @@ def _first(tag: str):
     return F.regexp_extract("html", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
 
 
-@query("src6_series_fields", r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title,
-  list_slice(regexp_extract_all(html, '(?s)<li><a href="[^"]*">(.*?)</a></li>', 1), 1, 40) AS tags FROM pages""")
+_META = '(?is)<meta[^>]+(?:property|name)="{0}"[^>]+content="([^"]*)"'
+# Status labels of a series page.
+STATUSES = "ONGOING COMPLETED HIATUS STUB DROPPED INACTIVE".split()
+#: Field, pattern (one group). The label of a status is taken from any element of class "label".
+_FIELDS = [
+    ("lang", '<html lang="([a-z]*)"'), ("og_title", _META.format("og:title")), ("og_url", _META.format("og:url")), ("og_image", _META.format("og:image")), ("title", "(?s)<title[^>]*>(.*?)</title>"),
+    ("author", '(?is)<span[^>]*class="auth_name_fic"[^>]*>([^<]*)<'), ("status", f'(?i)<span[^>]*class="label[^"]*"[^>]*>[ \\t\\n]*({"|".join(STATUSES)})[ \\t\\n]*<'), ("stars", '(?i)"ratingValue":"([0-9.]+)"|books:rating:value"[^>]+content="([0-9.]+)"'),
+]
+_TAG, _WARNING = r'(?s)<li><a href="[^"]*">(.*?)</a></li>', r'(?is)<li[^>]*class="[^"]*warning[^"]*"[^>]*>([^<]*)</li>'
+
+
+def series_page(html):
+    """Columns of a series page; each degrades to empty."""
+    one = {k: F.coalesce(F.regexp_extract(html, p, 1), F.lit("")) for k, p in _FIELDS}
+    stars = F.concat(one.pop("stars"), F.coalesce(F.regexp_extract(html, dict(_FIELDS)["stars"], 2), F.lit("")))
+    one["status"] = F.upper(one["status"])
+    many = lambda p, n: F.slice(F.coalesce(F.regexp_extract_all(html, F.lit(p), F.lit(1)), F.array().cast("array<string>")), 1, n)
+    rating = F.coalesce(F.round(F.when(stars.rlike(r"^[0-9]+(\.[0-9]*)?$"), stars).cast("double"), 2), F.lit(0.0))
+    return [v.alias(k) for k, v in one.items()] + [many(_TAG, 40).alias("tags"), many(_WARNING, 20).alias("warnings"), rating.alias("rating")]
+
+
+_STARS_SQL = f"concat(regexp_extract(html, '{_FIELDS[-1][1]}', 1), regexp_extract(html, '{_FIELDS[-1][1]}', 2))"
+
+
+@query("src6_series_fields", "SELECT page_id, " + ", ".join(f"upper(regexp_extract(html, '{p}', 1)) AS {k}" if k == "status" else f"regexp_extract(html, '{p}', 1) AS {k}" for k, p in _FIELDS[:-1]) + f""",
+  list_slice(regexp_extract_all(html, '{_TAG}', 1), 1, 40) AS tags, list_slice(regexp_extract_all(html, '{_WARNING}', 1), 1, 20) AS warnings, coalesce(round(try_cast({_STARS_SQL} AS DOUBLE), 2), 0.0)::DOUBLE AS rating FROM pages""")
 def series_fields(spark, d):
-    """Fields of a series page; each degrades to empty."""
-    tags = F.slice(F.regexp_extract_all("html", F.lit(r'(?s)<li><a href="[^"]*">(.*?)</a></li>'), F.lit(1)), 1, 40)
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), _first("title").alias("title"), tags.alias("tags"))
+    return table(spark, d, "pages").select("page_id", *series_page(F.col("html")))
+
+
+_NEXT, _POSITION = r'(?is)<a[^>]+href="([^"]*)"[^>]*>(?:\s|<[^>]*>)*next chapter', r"window\.readingProgress\s*=\s*([0-9]+)"
+
+
+def chapter_page(html):
+    """Chapter and series titles (the page's own heading first, else the last dash of the page's title), next link by its text, reader's place."""
+    h1 = F.regexp_extract(html, "(?s)<h1[^>]*>(.*?)</h1>", 1)
+    og = F.regexp_extract(html, dict(_FIELDS)["og_title"], 1)
+    whole = F.when(og != "", og).otherwise(F.regexp_extract(html, dict(_FIELDS)["title"], 1))
+    own, dash = (h1 != "") & whole.startswith(F.concat(h1, F.lit(" - "))), whole.rlike("(?s)^.* - .*$")
+    chapter = F.when(own, h1).when(dash, F.regexp_extract(whole, "(?s)^(.*) - ", 1)).when(whole != "", whole).otherwise(h1)
+    series = F.when(own, F.substring(whole, F.length(h1) + 4, F.length(whole))).when(dash, F.regexp_extract(whole, "(?s)^.* - (.*)$", 1)).otherwise("")
+    position = F.regexp_extract(html, _POSITION, 1)
+    return [F.trim(chapter).alias("chapter"), F.trim(series).alias("series"), F.regexp_extract(html, _NEXT, 1).alias("next_url"), F.when(position != "", position).alias("position")]
 
 
-@query("src8_chapter_fields", r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '<a href="(/t[^"]*)"', 1) AS next_url FROM pages)
-SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE regexp_replace(title, ' - [^-]*$', '') END AS chapter, next_url FROM t""")
+@query("src8_chapter_fields", rf"""WITH t AS (SELECT page_id, html, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, coalesce(nullif(regexp_extract(html, '{dict(_FIELDS)["og_title"]}', 1), ''), regexp_extract(html, '{dict(_FIELDS)["title"]}', 1)) AS whole FROM pages)
+SELECT page_id, trim(CASE WHEN h1 <> '' AND starts_with(whole, h1 || ' - ') THEN h1 WHEN contains(whole, ' - ') THEN regexp_extract(whole, '(?s)^(.*) - ', 1) WHEN whole <> '' THEN whole ELSE h1 END) AS chapter,
+  trim(CASE WHEN h1 <> '' AND starts_with(whole, h1 || ' - ') THEN substr(whole, length(h1) + 4) WHEN contains(whole, ' - ') THEN regexp_extract(whole, '(?s)^.* - (.*)$', 1) ELSE '' END) AS series,
+  regexp_extract(html, '{_NEXT}', 1) AS next_url, nullif(regexp_extract(html, '{_POSITION}', 1), '') AS position FROM t""")
 def chapter_fields(spark, d):
-    """The page's own heading, else the page title without its series; the link of the next chapter."""
-    h1, title = _first("h1"), _first("title")
-    return table(spark, d, "pages").select("page_id", F.when(h1 != "", h1).otherwise(F.regexp_replace(title, " - [^-]*$", "")).alias("chapter"), F.regexp_extract("html", '<a href="(/t[^"]*)"', 1).alias("next_url"))
+    return table(spark, d, "pages").select("page_id", *chapter_page(F.col("html")))
 
 
 @query("str24_url_norm", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS url FROM pages")
@@ -89,16 +135,44 @@ def page_filing(spark, d):
     return j.select("page_id", out.alias("outcome"))
 
 
+CONTAINERS = {"body", "div", "main", "section"}
+_STYLE = re.compile(r"<style[^>]*>([^<]*)</style>", re.I)
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|speak\s*:\s*never", re.I)
+
+
+class _Counts(HTMLParser):
+    """Paragraphs directly under each container, in the order in which containers open."""
+
+    def __init__(self):
+        super().__init__()
+        self.counts: list[int] = []
+        self.open: list[int] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in CONTAINERS:
+            self.open.append(len(self.counts))
+            self.counts.append(0)
+        elif tag == "p" and self.open:
+            self.counts[self.open[-1]] += 1
+
+    def handle_endtag(self, tag):
+        if tag in CONTAINERS and self.open:
+            self.open.pop()
+
+
 class _Blocks(HTMLParser):
-    """Paragraphs, headings, system boxes and rules of a page's article; hidden and advertising elements are left out."""
+    """Paragraphs, headings, system boxes and rules of a page's article, or of the container that is number ``root``; hidden and
+    advertising elements are left out. A cell's visual lines are blocks of their own."""
 
     DROP = {"script", "style", "nav", "footer", "aside"}
+    in_cell = False
     TYPES = {"p": "paragraph", "blockquote": "system", "pre": "system", "td": "system", **{f"h{i}": "heading" for i in range(1, 7)}}
 
-    def __init__(self):
+    def __init__(self, hidden=frozenset(), root: int | None = None):
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, str]] = []
-        self.kind, self.text, self.skip, self.inside, self.hidden = None, [], [], 0, set()
+        self.kind, self.text, self.skip, self.inside, self.hidden = None, [], [], 0, hidden
+        self.root, self.n, self.open = root, -1, []
 
     def flush(self):
         body = " ".join("".join(self.text).split())
@@ -113,19 +187,27 @@ class _Blocks(HTMLParser):
                 self.skip.append(tag)
             return
         classes = set(a.get("class", "").split())
-        off = tag in self.DROP or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or classes & ({"ad", "author-note"} | self.hidden)
+        off = tag in self.DROP or "hidden" in a or a.get("aria-hidden") == "true" or _HIDES.search(a.get("style", "")) or classes & ({"ad", "author-note"} | self.hidden)
+        if tag in CONTAINERS:
+            self.n += 1
+            if not off and self.root is not None:
+                self.open.append(self.n)
+                self.inside += self.n == self.root
         if off and tag not in ("br", "hr"):
             self.flush()
             self.skip.append(tag)
-        elif tag == "article":
+        elif tag == "article" and self.root is None:
             self.inside += 1
         elif tag == "hr" and self.inside:
             self.flush()
             self.out.append(("scene_break", ""))
         elif tag in self.TYPES and self.inside:
             self.flush()
-            self.kind = self.TYPES[tag]
+            self.kind, self.in_cell = self.TYPES[tag], tag == "td"
         elif tag == "br" and self.kind:
+            if self.in_cell:
+                self.flush()
+                self.kind = "system"
             self.text.append("\n")
 
     def handle_endtag(self, tag):
@@ -134,7 +216,11 @@ class _Blocks(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
-        if tag == "article":
+        if tag in CONTAINERS and self.open:
+            if self.open.pop() == self.root:
+                self.flush()
+                self.inside = 0
+        if tag == "article" and self.root is None:
             self.flush()
             self.inside = max(0, self.inside - 1)
         elif self.TYPES.get(tag) == self.kind:
@@ -145,10 +231,6 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
-_STYLE = re.compile(r"<style[^>]*>([^<]*)</style>", re.I)
-_HIDES = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-
-
 def hidden_classes(html: str) -> set[str]:
     """Classes that a rule of the page's own stylesheets hides."""
     out: set[str] = set()
@@ -161,9 +243,15 @@ def hidden_classes(html: str) -> set[str]:
 
 
 def page_blocks(html: str | None) -> list[tuple[str, str]]:
-    p = _Blocks()
-    p.hidden = hidden_classes(html or "")
-    p.feed(html or "")
+    """Blocks of the article; without one, of the container with the most paragraphs (the first of equals)."""
+    html = html or ""
+    root = None
+    if "<article" not in html.lower():
+        c = _Counts()
+        c.feed(html)
+        root = c.counts.index(max(c.counts)) if any(c.counts) else None
+    p = _Blocks(hidden_classes(html), root)
+    p.feed(html)
     p.close()
     p.flush()
     return p.out

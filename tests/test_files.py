@@ -29,3 +29,13 @@ def test_state(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps(doc))
     rows = {r["source_id"]: r["problem"] for r in files.read_state(spark, str(tmp_path)).collect()}
     assert rows == {"77": None, "5": "newer schema", "6": "no uuid"}
+
+
+def test_toc_rows(spark):
+    html = (
+        '<ol><li class="toc_w" order="2"><a class="toc_a" href="https://h/read/9-x/chapter/77/">Two <b>Towers</b></a><span class="fic_date_pub" title="Mar 4, 2024 05:06 PM">x</span></li>'
+        '<li class="toc_w" order="0"><a class="toc_a" href="/chapter/78/">none</a></li><li class="toc_w" order="3"><a class="toc_a" href="/other">no id</a></li></ol>'
+    )
+    r = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(files.toc_rows(F.col("h")).alias("t")).collect()
+    assert [(x["ord"], x["id"], x["title"], x["slug"], str(x["published"])) for x in r[0]["t"]] == [(1, "77", "Two Towers", "two-towers", "2024-03-04 17:06:00")]
+    assert not r[1]["t"] and r[2]["t"] == []
