@@ -253,12 +253,14 @@ def stat_hints(spark, d):
     return lines(spark, d).where(T.has_stat_hint(F.col("line"))).select("doc_id", "line_no")
 
 
+_HOLD = "\u0002"  # stands for an abbreviation's period where a pattern cannot look back
+
 SENTENCES_SQL = LINES_SQL + f""", cut AS (
-  SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(line, '\\b({"|".join(T.ABBREVIATIONS)})\\.', '\\1{T.MARK}', 'g'),
+  SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(line, '\\b({"|".join(T.ABBREVIATIONS)})\\.', '\\1{_HOLD}', 'g'),
     '([.!?…][.!?…"'')\\]]*)[ \\t\\n]*([\\p{{Lu}}"''(\\[])', '\\1{T.CUT}\\2', 'g'), '{T.CUT}') AS parts FROM lines
 ), sentences AS (
   SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS sent_no, s AS sentence
-  FROM (SELECT doc_id, line_no, k, trim(replace(parts[k], '{T.MARK}', '.')) AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut)) WHERE s <> ''
+  FROM (SELECT doc_id, line_no, k, trim(replace(parts[k], '{_HOLD}', '.')) AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut)) WHERE s <> ''
 )"""
 
 
@@ -306,13 +308,21 @@ def recipe_hash(spark, d):
     return docs.select("doc_id", F.left(F.sha2(F.concat(F.array_join("s", T.CUT), F.lit("|24000")), 256), F.lit(32)).alias("recipe"))
 
 
-@query("agg18_chapter_stats", f"""WITH {LINES_SQL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents),
-b AS (SELECT doc_id, count(*) AS n_blocks FROM lines GROUP BY doc_id)
-SELECT doc_id, n_blocks, n_words, round(n_words / 155.0, 2)::DOUBLE AS minutes, round(n_words / 2.7, 1)::DOUBLE AS seconds FROM w JOIN b USING (doc_id)""")
+@query("agg18_chapter_stats", f"""WITH {SENTENCES_SQL}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents),
+b AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (trim(line) IN ('***', '* * *', '---', '###', '• • •', '· · ·', '= = =') OR (length(trim(line)) <= 12 AND regexp_matches(trim(line), '^\\s*([*#~•·\\-—–_=]\\s*){{3,}}\\s*$'))) AS n_breaks FROM lines GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) FILTER (regexp_matches(sentence, '[\\p{{L}}\\p{{N}}]')) AS n_speech, count(*) FILTER (NOT regexp_matches(sentence, '[\\p{{L}}\\p{{N}}]')) AS n_pauses FROM sentences GROUP BY doc_id)
+SELECT doc_id, n_blocks, n_breaks, coalesce(n_speech, 0) AS n_speech, coalesce(n_pauses, 0) AS n_pauses, n_words, round(n_words / 155.0, 2)::DOUBLE AS minutes, round(n_words / 2.7, 1)::DOUBLE AS seconds FROM w JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def chapter_stats(spark, d):
+    """Kinds of blocks and of segments, words, and time at 155 words a minute and 2.7 a second, on a chapter's own row."""
     n = F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint")
-    b = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)).cast("bigint")
-    return table(spark, d, "documents").select("doc_id", b.alias("n_blocks"), n.alias("n_words")).where("n_blocks > 0").select("*", F.round(F.col("n_words") / 155.0, 2).alias("minutes"), F.round(F.col("n_words") / 2.7, 1).alias("seconds"))
+    count = lambda a, on: F.size(F.filter(a, on)).cast("bigint")
+    full = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    said = lambda x: x.rlike(r"[\p{L}\p{N}]")
+    docs = table(spark, d, "documents").select("doc_id", n.alias("n_words"), full.alias("lines")).where(F.size("lines") > 0).select("*", F.flatten(F.transform("lines", T.sentences)).alias("s"))
+    return docs.select(
+        "doc_id", F.size("lines").cast("bigint").alias("n_blocks"), count("lines", T.is_scene_break).alias("n_breaks"), count("s", said).alias("n_speech"), count("s", lambda x: ~said(x)).alias("n_pauses"), "n_words",
+        F.round(F.col("n_words") / 155.0, 2).alias("minutes"), F.round(F.col("n_words") / 2.7, 1).alias("seconds"),
+    )
 
 
 @query("agg21_shared_keys", f"WITH {LINES_SQL} SELECT sha1(line) AS key, count(DISTINCT source) AS n_series, count(*) AS uses FROM lines GROUP BY 1 HAVING count(DISTINCT source) >= 2")
@@ -353,11 +363,14 @@ def short_titles(spark, d):
     return table(spark, d, "part").select("p_partkey", T.short_title(t).alias("title"))
 
 
-@query("str19_slugs", r"""SELECT p_partkey, regexp_replace(CASE WHEN length(s) > 40 THEN CASE WHEN contains(left(s, 41), '-') THEN regexp_replace(left(s, 41), '-[^-]*$', '') ELSE left(s, 40) END ELSE s END, '-+$', '') AS slug
-FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(p_name || ' [' || p_brand || '] ' || p_type || ' and ' || p_name, '\[[^\]]*\]|\([^)]*\)|\{[^}]*\}', ' ', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)""")
+@query("str19_slugs", r"""SELECT p_partkey, regexp_replace(CASE WHEN length(s) > 40 THEN CASE WHEN contains(left(s, 41), '-') THEN regexp_replace(left(s, 41), '-[^-]*$', '') ELSE left(s, 40) END ELSE s END, '-+$', '') AS slug,
+  left(regexp_replace(regexp_replace(trim(t), '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 120) AS path_token
+FROM (SELECT p_partkey, t, regexp_replace(regexp_replace(lower(regexp_replace(t, '\[[^\]]*\]|\([^)]*\)|\{[^}]*\}', ' ', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s
+  FROM (SELECT *, p_name || ' [' || p_brand || '] ' || p_type || ' and ' || p_name AS t FROM part))""")
 def slugs(spark, d):
+    """A short handle, and a token that is safe in a path."""
     title = F.concat("p_name", F.lit(" ["), "p_brand", F.lit("] "), "p_type", F.lit(" and "), "p_name")
-    return table(spark, d, "part").select("p_partkey", T.series_slug(title).alias("slug"))
+    return table(spark, d, "part").select("p_partkey", T.series_slug(title).alias("slug"), T.path_token(title).alias("path_token"))
 
 
 @query("flt15_slug_problems", r"""SELECT p_partkey, CASE WHEN s = '' THEN 'empty' WHEN length(s) > 60 THEN 'too long' WHEN NOT regexp_matches(s, '^[a-z0-9][a-z0-9-]*$') OR ends_with(s, '-') OR contains(s, '--') THEN 'bad characters' END AS problem

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from serialmill.functions import text as T
+from serialmill.functions.speakers import attribute
 from serialmill.operators.registry import registry
+from serialmill.session import ship_code
 from serialmill.sources.bindings import table, turns
 
 QUERIES, ORACLES, query = registry()
@@ -166,13 +170,16 @@ def quote_split(spark, d):
 
 @query("win9_speaker_fold")
 def speaker_fold(spark, d):
-    """Attribution along a conversation: the named speaker, else the one before last (dialogue alternates), else the last; a fold over a bounded struct."""
-    item = F.struct("turn", F.when(F.col("turn") % 3 != 1, F.col("speaker")).alias("named"))
-    rows = turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("t"))
-    start = F.struct(F.lit("").alias("last"), F.lit("").alias("before"), F.array().cast("array<struct<turn:bigint,speaker:string>>").alias("out"))
-
-    def step(acc, x):
-        who = F.coalesce(x["named"], F.when(acc["before"] != "", acc["before"]).otherwise(acc["last"]))
-        return F.struct(who.alias("last"), F.when(who != acc["last"], acc["last"]).otherwise(acc["before"]).alias("before"), F.concat(acc["out"], F.array(F.struct(x["turn"].alias("turn"), who.alias("speaker")))).alias("out"))
-
-    return rows.select("conv_id", F.inline(F.aggregate("t", start, step, lambda a: a["out"])))
+    """Each quote and stretch of narration of a chapter with its speaker: tag, pronoun by gender, subject, last speaker, vocative guard. A chapter is one
+    row, and its fold carries a few names; chapters without a quote never leave the JVM."""
+    ship_code(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in attribute(t.split("\n"))]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "block_no", "piece", "kind", "speaker", "body"])
+
+    docs = table(spark, d, "documents").select("doc_id", T.straight_quotes(F.col("text")).alias("t")).where(F.contains("t", F.lit('"')))
+    return docs.mapInArrow(run, "doc_id bigint, block_no int, piece int, kind string, speaker string, body string")

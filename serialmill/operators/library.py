@@ -496,15 +496,22 @@ def tag_map(spark, d):
     return chapters(spark, d).select("series", "source_id", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"))
 
 
-@query("dat3_formats", _with(CHAPTERS_SQL) + """
-SELECT source_id, strftime(published, '%a, %d %b %Y %H:%M:%S +0000') AS rfc822, floor(duration_s)::INT // 3600 || ':' || lpad((floor(duration_s)::INT % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((floor(duration_s)::INT % 60)::VARCHAR, 2, '0') AS hms,
-  floor(duration_s)::INT // 60 || ':' || lpad((floor(duration_s)::INT % 60)::VARCHAR, 2, '0') AS player FROM chapters""")
+@query("dat3_formats", _with(CHAPTERS_SQL) + """, t AS (SELECT *, floor(duration_s)::INT AS s, floor(duration_s * duration_s * 40)::BIGINT AS size FROM chapters)
+SELECT source_id, strftime(published, '%a, %d %b %Y %H:%M:%S +0000') AS rfc822, s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS hms, s // 60 || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS player,
+  CASE WHEN s < 90 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' ELSE s // 3600 || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' END AS human,
+  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.1f GB', size / 1073741824.0) END AS bytes FROM t""")
 def formats(spark, d):
-    t = F.floor("duration_s").cast("int")
-    return chapters(spark, d).select(
-        "source_id", F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("rfc822"),
-        F.format_string("%d:%02d:%02d", F.expr("int(floor(duration_s)) div 3600"), F.expr("int(floor(duration_s)) % 3600 div 60"), t % 60).alias("hms"),
-        F.format_string("%d:%02d", F.expr("int(floor(duration_s)) div 60"), t % 60).alias("player"),
+    """RFC 822 date, h:mm:ss, player time, a duration and a size for people."""
+    t, size = F.floor("duration_s").cast("int"), F.floor(F.col("duration_s") * F.col("duration_s") * 40).cast("bigint")
+    c = chapters(spark, d).select("source_id", "published", t.alias("s"), size.alias("size"))
+    minutes, hours = F.expr("s % 3600 div 60"), F.expr("s div 3600")
+    human = F.when(F.col("s") < 90, F.format_string("%ds", "s")).when(F.col("s") < 3600, F.format_string("%dm", F.expr("s div 60"))).otherwise(F.format_string("%dh %02dm", hours, minutes))
+    in_units = F.format_string("%d B", "size")
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
+        in_units = F.when(F.col("size") >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(F.col("size") / 1024.0**power, 1))).otherwise(in_units)
+    return c.select(
+        "source_id", F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("rfc822"), F.format_string("%d:%02d:%02d", hours, minutes, F.expr("s % 60")).alias("hms"),
+        F.format_string("%d:%02d", F.expr("s div 60"), F.expr("s % 60")).alias("player"), human.alias("human"), in_units.alias("bytes"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from serialmill.operators.registry import registry
 from serialmill.session import ship_code
-from serialmill.sources.bindings import PLAYS_SQL, plays, table
+from serialmill.sources.bindings import PLAYS_SQL, chapters, plays, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -24,12 +24,20 @@ def _with(sql: str) -> str:
     return f"WITH {PLAYS_SQL} {sql}"
 
 
-@query("flt14_position_writes", _with("""SELECT event_id, profile, least(greatest(seconds, 0), 604800)::DOUBLE AS t, CASE WHEN chapter IS NULL THEN 'unknown chapter' WHEN event_type = 'error' THEN 'rejected' ELSE 'ok' END AS verdict FROM plays"""))
+WEEK = 604800.0
+
+
+@query("flt14_position_writes", _with("""
+, c AS (SELECT o_custkey AS series, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ord FROM orders)
+SELECT event_id, profile, least(greatest(seconds, 0), 604800)::DOUBLE AS t, CASE WHEN n.c_custkey IS NULL THEN 'unknown series' WHEN NOT regexp_matches(n.c_name, '^[A-Za-z0-9#][A-Za-z0-9 #._-]{0,39}$') THEN 'bad name'
+  WHEN chapter IS NULL OR c.ord IS NULL THEN 'unknown chapter' ELSE 'ok' END AS verdict FROM plays LEFT JOIN customer n ON n.c_custkey = profile LEFT JOIN c ON c.series = profile AND c.ord = chapter"""))
 def position_writes(spark, d):
-    """Seconds are clamped to a week; writes without a known chapter are rejected."""
-    t = F.least(F.greatest("seconds", F.lit(0.0)), F.lit(604800.0))
-    verdict = F.when(F.col("chapter").isNull(), "unknown chapter").when(F.col("event_type") == "error", "rejected").otherwise("ok")
-    return plays(spark, d).select("event_id", "profile", t.alias("t"), verdict.alias("verdict"))
+    """Seconds are clamped to a week; writes are rejected without a known series, a proper profile name, or a chapter of that series."""
+    named = table(spark, d, "customer").select(F.col("c_custkey").alias("profile"), F.col("c_name").alias("name"))
+    known = chapters(spark, d).select(F.col("series").alias("profile"), F.col("ord").alias("chapter"), F.lit(True).alias("held"))
+    j = plays(spark, d).join(named, "profile", "left").join(known, ["profile", "chapter"], "left")
+    verdict = F.when(F.col("name").isNull(), "unknown series").when(~F.col("name").rlike("^[A-Za-z0-9#][A-Za-z0-9 #._-]{0,39}$"), "bad name").when(F.col("held").isNull(), "unknown chapter").otherwise("ok")
+    return j.select("event_id", "profile", F.least(F.greatest("seconds", F.lit(0.0)), F.lit(WEEK)).alias("t"), verdict.alias("verdict"))
 
 
 @query("stm1_positions", _with("""SELECT profile, arg_max(chapter, (ts, event_id)) AS chapter, arg_max(seconds, (ts, event_id)) AS t, max(chapter) AS furthest, arg_max(seconds, (chapter, ts, event_id)) AS furthest_t,
@@ -185,11 +193,23 @@ def error_triage(spark, d):
     return plays(spark, d).where("event_type = 'error'").groupBy("profile").agg(F.count("*").alias("n_errors"), F.max_by(message, F.struct("ts", "event_id")).alias("last_message"))
 
 
-@query("agg13_progress", _with("""SELECT profile, count(*) FILTER (event_type = 'view') AS outstanding, count(*) FILTER (event_type = 'purchase') AS done, median(seconds) FILTER (event_type = 'purchase') AS cost_s FROM plays GROUP BY ROLLUP (profile)"""))
+@query("agg13_progress", _with("""
+, r AS (SELECT *, ts + INTERVAL 60 SECOND AS ended FROM plays WHERE event_type = 'purchase')
+, c AS (SELECT *, coalesce(epoch(lag(ts) OVER (PARTITION BY profile ORDER BY ended DESC, event_id DESC)) - epoch(ended) > 864000, false) AS brk FROM r)
+, s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY profile ORDER BY ended DESC, event_id DESC) AS breaks FROM c)
+, g AS (SELECT p.profile, count(*) FILTER (event_type = 'view') AS outstanding, count(*) FILTER (event_type = 'purchase') AS done, (SELECT count(*) FROM s WHERE s.profile = p.profile AND breaks = 0) AS done_in_run,
+  round(median(seconds) FILTER (event_type = 'purchase') * 1000)::BIGINT AS cost_ms FROM plays p GROUP BY p.profile)
+SELECT profile, sum(outstanding)::BIGINT AS outstanding, sum(done)::BIGINT AS done, sum(done_in_run)::BIGINT AS done_in_run, CASE WHEN grouping(profile) = 0 THEN any_value(cost_ms) END AS cost_ms, sum(outstanding * cost_ms)::BIGINT AS eta_ms
+FROM g GROUP BY ROLLUP (profile)"""))
 def progress(spark, d):
-    """Outstanding, done and median cost of each series, with the grand total."""
-    e = F.col("event_type")
-    return plays(spark, d).rollup("profile").agg(F.count_if(e == "view").alias("outstanding"), F.count_if(e == "purchase").alias("done"), F.median(F.when(e == "purchase", F.col("seconds"))).alias("cost_s"))
+    """Outstanding and done, of these in the current run, the median cost of a chapter and the time left, for each series and in all."""
+    e, kind = plays(spark, d), F.col("event_type")
+    cost = F.round(F.median(F.when(kind == "purchase", F.col("seconds"))) * 1000).cast("bigint")
+    g = e.groupBy("profile").agg(F.count_if(kind == "view").alias("outstanding"), F.count_if(kind == "purchase").alias("done"), cost.alias("cost_ms"))
+    g = g.join(current_run(spark, d).select("profile", F.col("n_in_run").alias("done_in_run")), "profile", "left").withColumn("done_in_run", F.coalesce("done_in_run", F.lit(0)))
+    total = lambda c: F.sum(c).cast("bigint")
+    sums = [total("outstanding").alias("outstanding"), total("done").alias("done"), total("done_in_run").alias("done_in_run"), F.when(F.grouping("profile") == 0, F.any_value("cost_ms")).alias("cost_ms"), total(F.col("outstanding") * F.col("cost_ms")).alias("eta_ms")]
+    return g.rollup("profile").agg(*sums)
 
 
 @query("srt3_newest_started", _with("SELECT profile, event_id, ts FROM (SELECT * FROM plays WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY profile ORDER BY ts DESC, event_id DESC) <= 400) ORDER BY ts DESC, event_id DESC LIMIT 25"))

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from serialmill.functions import text as T
-from serialmill.operators.corpus import NAMES_SQL, TOKENS_SQL, names, tokens, word_counts
+from serialmill.functions.speakers import FEMALE, MALE
+from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, TOKENS_SQL, names, tokens, word_counts
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
-from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, table
+from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, lines, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -66,23 +67,27 @@ def position_rows(spark, d):
     return p.join(chapters(spark, d), ["series", "ord"]).select("profile", "chapter", "source_id", "status")
 
 
+_PRONOUNS = "'" + "', '".join([*MALE, *FEMALE]) + "'"
+
+
 @query("joi19_name_before_pronoun", f"""WITH {TOKENS_SQL}, n AS (SELECT doc_id, line_no, pos, lower(token) AS w, CASE WHEN regexp_matches(token, '^[A-Z][a-z]+$') THEN token END AS name FROM tokens),
 a AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS named FROM n)
-SELECT named AS name, w AS pronoun, count(*) AS n FROM a WHERE w IN ('he', 'her') AND named IS NOT NULL GROUP BY named, w""")
+SELECT named AS name, w AS pronoun, count(*) AS n FROM a WHERE w IN ({_PRONOUNS}) AND named IS NOT NULL GROUP BY named, w""")
 def name_before_pronoun(spark, d):
     """As-of: the latest name before each pronoun of a chapter."""
     w = Window.partitionBy("doc_id").orderBy("line_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
     t = tokens(spark, d).select("doc_id", "line_no", "pos", F.lower("token").alias("w"), F.when(F.col("token").rlike("^[A-Z][a-z]+$"), F.col("token")).alias("name"))
-    a = t.withColumn("named", F.last("name", ignorenulls=True).over(w)).where(F.col("w").isin("he", "her") & F.col("named").isNotNull())
+    t = t.where(F.col("name").isNotNull() | F.col("w").isin(*MALE, *FEMALE))  # only these rows are sorted
+    a = t.withColumn("named", F.last("name", ignorenulls=True).over(w)).where(F.col("w").isin(*MALE, *FEMALE) & F.col("named").isNotNull())
     return a.groupBy(F.col("named").alias("name"), F.col("w").alias("pronoun")).agg(F.count("*").alias("n"))
 
 
-@query("agg4_gender_guess", f"""WITH {TOKENS_SQL} SELECT prev AS name, arg_max(CASE lower(token) WHEN 'he' THEN 'm' ELSE 'f' END, (doc_id, line_no, pos)) AS gender, count(*) AS evidence
-FROM tokens WHERE lower(token) IN ('he', 'her') AND regexp_matches(prev, '^[A-Z][a-z]+$') GROUP BY prev""")
+@query("agg4_gender_guess", f"""WITH {TOKENS_SQL} SELECT prev AS name, arg_max(CASE WHEN lower(token) IN ({", ".join(f"'{w}'" for w in MALE)}) THEN 'm' ELSE 'f' END, (doc_id, line_no, pos)) AS gender, count(*) AS evidence
+FROM tokens WHERE lower(token) IN ({_PRONOUNS}) AND regexp_matches(prev, '^[A-Z][a-z]+$') GROUP BY prev""")
 def gender_guess(spark, d):
-    """The last evidence (a pronoun right after the name) wins."""
-    e = tokens(spark, d).where(F.lower("token").isin("he", "her") & F.col("prev").rlike("^[A-Z][a-z]+$"))
-    g = F.max_by(F.when(F.lower("token") == "he", "m").otherwise("f"), F.struct("doc_id", "line_no", "pos"))
+    """The last evidence (a pronoun right after the name) wins; the fold of speakers looks further."""
+    e = tokens(spark, d).where(F.lower("token").isin(*MALE, *FEMALE) & F.col("prev").rlike("^[A-Z][a-z]+$"))
+    g = F.max_by(F.when(F.lower("token").isin(*MALE), "m").otherwise("f"), F.struct("doc_id", "line_no", "pos"))
     return e.groupBy(F.col("prev").alias("name")).agg(g.alias("gender"), F.count("*").alias("evidence"))
 
 
@@ -110,30 +115,58 @@ def system_clauses(spark, d):
     return table(spark, d, "documents").where(F.size(parts) > 0).select("doc_id", F.trim(F.array_join(closed, "")).alias("body"))
 
 
-@query("str2_paragraphs", r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(x) <> ''))::INT AS n_paragraphs FROM documents")
+@query("str2_paragraphs", r"""WITH p AS (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n') AS ps, list_transform(regexp_extract_all(text, '\n[ \t]*\n'), lambda x: length(x)) AS gaps FROM documents), i AS (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p)
+SELECT doc_id, (list_sum(list_prepend(0, list_transform(ps[:i - 1], lambda x: length(x)))) + list_sum(list_prepend(0, gaps[:i - 1])))::INT AS start, ps[i] AS body FROM i WHERE trim(ps[i], ' ' || chr(9) || chr(10)) <> ''""")
 def paragraphs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\n[ \t]*\n"), lambda x: F.trim(x) != "")).alias("n_paragraphs"))
+    """Paragraphs at blank lines, with their places in the chapter, so that spans can be re-based."""
+    bits = F.split(F.regexp_replace("text", r"(\n[ \t]*\n)", "\u0001$1\u0001"), "\u0001", -1)  # text and gaps in turn
+    docs = table(spark, d, "documents").select("doc_id", bits.alias("bits")).select("doc_id", "bits", F.posexplode("bits").alias("i", "body"))
+    start = F.aggregate(F.slice("bits", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + F.length(x))
+    return docs.where((F.col("i") % 2 == 0) & F.col("body").rlike(r"[^ \t\n]")).select("doc_id", start.alias("start"), "body")
 
 
-@query("str20_match_case", f"""WITH {TOKENS_SQL}, {NAMES_SQL} SELECT word, CASE WHEN upper(word) = word THEN upper(reverse(lower(word))) ELSE upper(left(reverse(lower(word)), 1)) || substr(reverse(lower(word)), 2) END AS respell, count(*) AS n FROM names GROUP BY word""")
+@query("str20_match_case", f"""WITH {TOKENS_SQL}, {NAMES_SQL} SELECT word, upper(left(reverse(lower(word)), 1)) || substr(reverse(lower(word)), 2) AS respell, count(*) AS n FROM names GROUP BY word""")
 def match_case(spark, d):
-    """A respelling takes over the capitals of the word (here every name is respelled backwards)."""
+    """A respelling takes over a leading capital, and only that (here every name is respelled backwards)."""
     low = F.reverse(F.lower("word"))
-    said = F.when(F.upper("word") == F.col("word"), F.upper(low)).otherwise(F.concat(F.upper(F.left(low, F.lit(1))), F.expr("substring(reverse(lower(word)), 2)")))
+    said = F.when(F.col("word").rlike(r"^\p{Lu}"), F.concat(F.upper(F.left(low, F.lit(1))), F.expr("substring(reverse(lower(word)), 2)"))).otherwise(low)
     return names(spark, d).groupBy("word", said.alias("respell")).agg(F.count("*").alias("n"))
 
 
+@query("str20_trimmed_edges", rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\S+')) AS token FROM lines)
+SELECT regexp_replace(token, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') AS word, length(regexp_extract(token, '^[^\p{{L}}\p{{N}}_]*')) AS moved, count(*) AS n FROM t WHERE regexp_matches(token, '[\p{{L}}\p{{N}}_]') GROUP BY 1, 2""")
+def trimmed_edges(spark, d):
+    """Punctuation at a token's edges is no part of the word; the word's place moves by what is cut before it."""
+    t = lines(spark, d).select(F.explode(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))).alias("token")).where(F.col("token").rlike(r"[\p{L}\p{N}_]"))
+    word = F.regexp_replace("token", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
+    moved = F.length(F.regexp_extract("token", r"^[^\p{L}\p{N}_]*", 0)).cast("bigint")
+    return t.groupBy(word.alias("word"), moved.alias("moved")).agg(F.count("*").alias("n"))
+
+
+BLOCK = 256  # references that a word meets at once
+
+
+def nearest_of(words, refs):
+    """STR23: (word) and (ref) -> the nearest reference of each word by edit distance, the first of equals; ``margin``: how much further the next one is;
+    ``fit``: 1 less the distance by the longer length. Every word meets every reference: references are dealt to blocks, and a word visits each block."""
+    n = -(-refs.count() // BLOCK)
+    blocks = refs.groupBy(F.pmod(F.xxhash64("ref"), F.lit(max(n, 1))).cast("int").alias("block")).agg(F.collect_list("ref").alias("refs"))
+    sent = words.select("word", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("block"))
+    best = F.slice(F.array_sort(F.transform("refs", lambda r: F.struct(F.levenshtein("word", r).alias("dist"), r.alias("ref")))), 1, 2)
+    two = sent.join(blocks, "block").select("word", best.alias("b")).groupBy("word").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, 2).alias("b"))
+    one, dist, ref = F.get("b", F.lit(1)), F.get("b", F.lit(0))["dist"], F.get("b", F.lit(0))["ref"]
+    fit = F.round(1 - dist / F.greatest(F.length("word"), F.length(ref)), 6)
+    return two.select("word", ref.alias("nearest"), dist.cast("bigint").alias("dist"), (one["dist"] - dist).cast("bigint").alias("margin"), fit.alias("fit"))
+
+
 @query("str23_nearest_word", """WITH v AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 40),
 b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS ref FROM benchmark),
-m AS (SELECT word, ref, levenshtein(word, ref) AS dist FROM v JOIN b ON left(v.word, 2) = left(b.ref, 2) AND abs(length(v.word) - length(b.ref)) <= 2)
-SELECT word, ref AS nearest, dist FROM m QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, ref) = 1""")
+m AS (SELECT word, ref, levenshtein(word, ref) AS dist FROM v, b), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, ref) AS k, lead(dist) OVER (PARTITION BY word ORDER BY dist, ref) - dist AS margin FROM m)
+SELECT word, ref AS nearest, dist, margin, round(1 - dist / greatest(length(word), length(ref))::DOUBLE, 6) AS fit FROM r WHERE k = 1""")
 def nearest_word(spark, d):
-    """The nearest reference word by edit distance among those of the same start and like length."""
-    v = word_counts(spark, d).where("n >= 40").select("word", F.left("word", F.lit(2)).alias("k"))
-    b = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("ref")).distinct().withColumn("k", F.left("ref", F.lit(2)))
-    m = v.join(b, "k").where(F.abs(F.length("word") - F.length("ref")) <= 2)
-    best = F.min(F.struct(F.levenshtein("word", "ref").alias("dist"), "ref"))
-    return m.groupBy("word").agg(best.alias("m")).select("word", F.col("m.ref").alias("nearest"), F.col("m.dist").cast("bigint").alias("dist"))
+    """The vocabulary (AGG6) against the benchmark's words."""
+    refs = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("ref")).distinct()
+    return nearest_of(word_counts(spark, d).where(F.col("n") >= LEAST_USES).select("word"), refs)
 
 
 @query("dat2_site_dates", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('day', ts) ELSE TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 1 HOUR * (event_id % 50) END AS published FROM events")

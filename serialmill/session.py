@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -26,4 +27,5 @@ def ship_code(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
     context.addPyFile(path)
+    atexit.register(os.remove, path)  # executors that join later still fetch it
     _sent.add(context.applicationId)
