@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from serialmill.functions.runs import without_title
 from serialmill.operators.registry import registry
 from serialmill.session import ship_code
 from serialmill.sources.bindings import table
@@ -271,6 +272,24 @@ def blocks_of_pages(spark, d):
     return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, block_no int, kind string, body string")
 
 
+@query("win15_page_texts")
+def texts_of_pages(spark, d):
+    """WIN15: typed blocks of each page without the leading ones that repeat its heading; one pass of the HTML parser."""
+    ship_code(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blocks = page_blocks(h)
+                title = next((t for kind, t in blocks if kind == "heading"), "")
+                rows += [(i, k, *x) for k, x in enumerate(without_title(blocks, title))]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["page_id", "block_no", "kind", "body"])
+
+    return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, block_no int, kind string, body string")
+
+
 @query("win15_title_echo", r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<p><b>(.*?)<br>', 1) AS p1 FROM pages)
 SELECT page_id, p1 <> '' AND length(p1) <= 120 AND 1 - levenshtein(lower(h1), lower(p1)) / greatest(length(h1), length(p1), 1)::DOUBLE >= 0.85 AS echoes FROM t""")
 def title_echo(spark, d):

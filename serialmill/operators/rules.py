@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from serialmill.functions import runs
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
 from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, TOKENS_SQL, names, tokens, word_counts
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
+from serialmill.session import ship_code
 from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, lines, table
 
 QUERIES, ORACLES, query = registry()
@@ -233,6 +236,22 @@ def phrase_rules(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)(?:^|[^\p{L}])(of the|in the|and the|de la|in der)(?:$|[^\p{L}])"), F.lit(1))).alias("n_phrases"))
 
 
+@query("win11_machine_pieces")
+def machine_pieces(spark, d, marker: str = "***"):
+    """WIN11: pieces of chapters with a marker and whether the machine voice reads them; a chapter is one row, others never leave the JVM."""
+    ship_code(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in runs.machine_runs([("paragraph", x) for x in t.split("\n") if x.strip()], marker)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "block_no", "piece", "kind", "machine", "body"])
+
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit(marker))).select("doc_id", "text")
+    return docs.mapInArrow(run, "doc_id bigint, block_no int, piece int, kind string, machine boolean, body string")
+
+
 @query("win11_machine_runs", """WITH p AS (SELECT doc_id, string_split(text, '*') AS ps FROM documents WHERE contains(text, '*')), q AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
 SELECT doc_id, count(*) FILTER (i % 2 = 0 AND trim(ps[i]) <> '') AS n_machine, count(*) FILTER (i % 2 = 1 AND trim(ps[i]) <> '') AS n_plain, len(any_value(ps)) % 2 = 0 AS unclosed FROM q GROUP BY doc_id""")
 def machine_runs(spark, d):
