@@ -478,11 +478,18 @@ def feed_order(spark, d):
     return chapters(spark, d).where("status = 'rendered'").groupBy("series").agg(F.array_join(F.transform(items, lambda x: x["source_id"].cast("string")), ",").alias("newest_first"))
 
 
-@query("snk3_state_export")
+@query("snk3_state_export", _with(CHAPTERS_SQL) + """, v AS (SELECT series, to_json(list(volume ORDER BY volume)) AS volumes FROM (SELECT DISTINCT series, volume FROM chapters WHERE volume NOT LIKE '5%') GROUP BY series),
+c AS (SELECT series, list({'ord': ord, 'source_id': source_id, 'status': status, 'volume': volume, 'audio': CASE WHEN status = 'rendered' THEN 'audio/' || source_id || '.opus' END} ORDER BY ord) AS cs FROM chapters GROUP BY series)
+SELECT c.series, '{"schema":3,"volumes":' || coalesce(v.volumes::VARCHAR, '[]') || ',"chapters":' || to_json(cs)::VARCHAR || '}' AS state FROM c LEFT JOIN v ON v.series = c.series""")
 def state_export(spark, d):
-    """One JSON document a series with its ordered chapters."""
-    item = F.struct("ord", "source_id", "status", "volume")
-    return chapters(spark, d).groupBy("series").agg(F.to_json(F.struct(F.lit(3).alias("schema"), F.array_sort(F.collect_list(item)).alias("chapters"))).alias("state"))
+    """One JSON document a series with its volumes and chapters in order; paths are relative to the series' folder."""
+    path = F.concat(F.lit("/library/"), F.col("series").cast("string"), F.lit("/audio/"), F.col("source_id").cast("string"), F.lit(".opus"))
+    audio = F.when(F.col("status") == "rendered", F.expr("replace(path, concat('/library/', series, '/'), '')")).alias("audio")
+    c = chapters(spark, d).withColumn("path", path)
+    item = F.struct("ord", "source_id", "status", "volume", audio)
+    volumes = F.array_sort(F.collect_set(F.when(~F.col("volume").startswith("5"), F.col("volume"))))
+    whole = F.struct(F.lit(3).alias("schema"), volumes.alias("volumes"), F.array_sort(F.collect_list(item)).alias("chapters"))
+    return c.groupBy("series").agg(F.to_json(whole, {"ignoreNullFields": "false"}).alias("state"))
 
 
 @query("str27_tag_map", _with(CHAPTERS_SQL) + """

@@ -247,10 +247,11 @@ def resume(spark, d, length: float = 100.0, slack: float = 8.0):
     return p.select("profile", F.when(over, F.col("chapter") + 1).otherwise(F.col("chapter")).alias("resume_chapter"), F.when(over, 0.0).otherwise(F.col("t")).alias("resume_t"), F.greatest(F.lit(0), 99 - F.col("furthest")).alias("n_new"))
 
 
-@query("snk5_progress_ndjson")
+@query("snk5_progress_ndjson", _with("""SELECT event_id, to_json({'event_type': event_type, 'profile': profile, 'chapter': chapter, 'ms': round(seconds * 1000)::BIGINT})::VARCHAR AS value FROM plays"""))
 def progress_ndjson(spark, d):
     """Events as lines of JSON, ready for a text or Kafka sink."""
-    return plays(spark, d).select("event_id", F.to_json(F.struct("event_type", "profile", "chapter", "seconds")).alias("value"))
+    ms = F.round(F.col("seconds") * 1000).cast("bigint").alias("ms")
+    return plays(spark, d).select("event_id", F.to_json(F.struct("event_type", "profile", "chapter", ms), {"ignoreNullFields": "false"}).alias("value"))
 
 
 @query("win21_interval_union", _with("""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from serialmill.functions import runs
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
-from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, TOKENS_SQL, names, tokens, word_counts
+from serialmill.operators import corpus
+from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, PAUSES, SENTENCES_SQL, TOKENS_SQL, names, tokens, word_counts
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
 from serialmill.session import ship_code
@@ -190,19 +191,27 @@ def fingerprints(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.left(F.sha2(F.array_join(pairs, ","), 256), F.lit(12)).alias("fingerprint"))
 
 
-@query("snk1_segment_json")
+@query("snk1_segment_json", f"""WITH {SENTENCES_SQL}, g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sent_no) - 1 AS seg_no, sentence, lead(sent_no) OVER (PARTITION BY doc_id, line_no ORDER BY sent_no) IS NULL AS para_end FROM sentences)
+SELECT doc_id, to_json(list({{'seg_no': seg_no::INT, 'kind': CASE WHEN regexp_matches(sentence, '[\\p{{L}}\\p{{N}}]') THEN 'speech' ELSE 'pause' END, 'text': sentence, 'style': CASE WHEN starts_with(sentence, '"') THEN 'dialogue' ELSE 'narration' END,
+  'voice': CASE WHEN starts_with(sentence, '"') THEN 'dialogue' ELSE 'narrator' END, 'pause_ms': (CASE WHEN para_end THEN {PAUSES["paragraph"]} ELSE {PAUSES["sentence"]} END)::INT}} ORDER BY seg_no))::VARCHAR AS segments FROM g GROUP BY doc_id""")
 def segment_json(spark, d):
-    """One ordered list of segments for each chapter, as JSON."""
-    item = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct(i.alias("seg_no"), s.alias("text"), F.lit("narration").alias("style")))
-    return table(spark, d, "documents").select("doc_id", F.to_json(item).alias("segments"))
+    """One ordered list of segments for each chapter, as JSON, built on the chapter's own row."""
+    quoted = lambda s, a, b: F.when(s.startswith('"'), a).otherwise(b)
+    ended = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("text"), (i == F.size(s) - 1).alias("end")))
+    whole = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: T.bound(T.sentences(x), ended)))
+    item = lambda x, i: F.struct(
+        i.alias("seg_no"), F.when(x["text"].rlike(r"[\p{L}\p{N}]"), "speech").otherwise("pause").alias("kind"), x["text"].alias("text"), quoted(x["text"], "dialogue", "narration").alias("style"),
+        quoted(x["text"], "dialogue", "narrator").alias("voice"), F.when(x["end"], PAUSES["paragraph"]).otherwise(PAUSES["sentence"]).alias("pause_ms"),
+    )
+    docs = table(spark, d, "documents").select("doc_id", whole.alias("s")).where(F.size("s") > 0)
+    return docs.select("doc_id", F.to_json(F.transform("s", item)).alias("segments"))
 
 
-@query("snk6_proposed_rules")
+@query("snk6_proposed_rules", f"SELECT word AS surface, '' AS pos, left_part || '-' || right_part AS respell, 'used ' || n || ' in ' || labels AS notes FROM ({corpus.ORACLES['agg7_compounds']})")
 def proposed_rules(spark, d):
     """Rows of a rule file for flagged compounds, ready for ``write.csv``."""
-    from serialmill.operators.corpus import compounds
-
-    return compounds(spark, d).select(F.col("word").alias("surface"), F.lit("").alias("pos"), F.concat_ws("-", "left_part", "right_part").alias("respell"), F.concat(F.lit("used "), F.col("n").cast("string")).alias("notes"))
+    notes = F.concat(F.lit("used "), F.col("n").cast("string"), F.lit(" in "), "labels")
+    return corpus.compounds(spark, d).select(F.col("word").alias("surface"), F.lit("").alias("pos"), F.concat_ws("-", "left_part", "right_part").alias("respell"), notes.alias("notes"))
 
 
 @query("joi22_config_overlay", """SELECT c_custkey AS series, CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS rate, CASE WHEN c_custkey % 5 = 0 THEN 'de' ELSE 'en' END AS lang,
