@@ -22,7 +22,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(id_bucket("doc_id", 5) != 0)
     model = toxicity.fit(docs.join(labels, "doc_id"))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (F.coalesce(id_bucket("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"))
+    spans = F.array_join(F.transform("toxic_spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    held_out = F.coalesce(id_bucket("doc_id", 5), F.lit(1)) == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"), spans.alias("spans"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

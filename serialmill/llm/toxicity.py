@@ -3,13 +3,16 @@
 Words of a text are tagged clean or toxic. Training tokens come from labelled documents: a greedy
 cover picks the words and word beginnings that explain the toxic documents and (almost) never occur in
 clean ones; their occurrences in toxic documents are the toxic tokens, all others clean ones. The field
-has word, prefix and suffix weights and free transitions, fitted by gradient ascent. Forward-backward marginals
-give a toxic probability for each word; a logistic layer over their sum and maximum gives the
-document's score, and words over one half give the offending offsets.
+has word, prefix and suffix weights, transitions and a start weight, all fitted by gradient ascent on the
+likelihood: labelled less expected counts, from forward-backward marginals of words and of neighbours.
+The marginals give a toxic probability for each word; a logistic layer over their sum and maximum gives
+the document's score, and words over one half give the offending offsets.
 
 The fit takes at most ``sample_toxic`` + ``sample_clean`` labelled rows; scoring reads whole texts.
 Defined results: null and empty texts have no words and score as a clean text without evidence;
-without toxic or without clean labels every text scores 0.
+without toxic or without clean labels every text scores 0; repeated rows get equal rows (the sample holds one
+of each id); very long texts are read whole; columns named like a result are replaced by it; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -44,15 +47,17 @@ def features(word: str) -> list[str]:
     return [f"w:{w}", *(f"p:{w[:n]}" for n in PREFIXES if len(w) > n), *([f"s:{w[-SUFFIX:]}"] if len(w) > SUFFIX else [])]
 
 
-def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, lane: int = 512) -> np.ndarray:
-    """P(toxic) of each word. ``e``: emission log odds of all texts in a row; ``first`` marks where a text starts.
+def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, lane: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of toxic at each word, given it and the words before, and the odds that the words after add.
+
+    ``e``: emission log odds of all texts in a row; ``first`` marks where a text starts.
 
     The recursions run over the odds of the two tags, which a step maps by a 2x2 matrix. The row is cut
     into blocks: block matrices first, then the odds entering each block, then all blocks abreast.
     """
     n = len(e)
     if n == 0:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     t = np.exp(trans - trans.max())
     size = max(1, min(lane, int(np.sqrt(n)) or 1))
     blocks = -(-n // size)
@@ -89,8 +94,22 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float,
     back = lambda v: v[::-1].reshape(blocks, size)
     nx, end = back(nx), back(end)
     bwd = sweep(np.where(end, 1, t[0, 0]), np.where(end, 0, t[0, 1] * nx), np.where(end, 1, t[1, 0] * one), np.where(end, 0, t[1, 1] * nx)).reshape(-1)[::-1]
+    return fwd[:n], bwd[:n]
+
+
+def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, lane: int = 512) -> np.ndarray:
+    """P(toxic) of each word."""
+    fwd, bwd = forward_backward(e, first, trans, start, lane)
     odds = fwd * bwd
-    return (odds / (1 + odds))[:n]
+    return odds / (1 + odds)
+
+
+def expected_pairs(e: np.ndarray, first: np.ndarray, trans: np.ndarray, fwd: np.ndarray, bwd: np.ndarray) -> np.ndarray:
+    """Expected counts of neighbouring tags, (before, after), over all texts."""
+    k = np.flatnonzero(~first)
+    t, now = np.exp(trans - trans.max()), np.exp(np.clip(e[k], -40, 40)) * bwd[k]
+    w = np.array([[np.full(len(k), t[0, 0]), t[0, 1] * now], [t[1, 0] * fwd[k - 1], t[1, 1] * fwd[k - 1] * now]])
+    return (w / w.sum((0, 1))).sum(2)
 
 
 def _cover(toxic: list[set[str]], clean: Counter, n_clean: int, times: int = 2) -> list[str]:
@@ -151,31 +170,33 @@ def fit_rows(texts: list[str | None], toxic: list[int], weights: list[float], st
                 rows.append(i)
                 cols.append(fid.setdefault(f, len(fid)))
     rows_a, cols_a = np.array(rows), np.array(cols)
-    theta, bias, trans, start = np.zeros(len(fid)), -3.0, np.zeros((2, 2)), -3.0
-    # coordinates with Adam-like steps; the gradient of the likelihood is (tag - marginal)
-    m1, m2 = np.zeros(len(fid)), np.zeros(len(fid))
-    freq = np.bincount(cols_a, weights=np.bincount(ids, minlength=len(vocab))[rows_a], minlength=len(fid))
-    inner = ~first
-    pair = np.flatnonzero(inner)
+    # Adam on the likelihood's gradient, which is labelled less expected counts; the parameters: features, bias, start, four transitions
+    pair = np.flatnonzero(~first)
+    labelled = np.zeros((2, 2))
+    np.add.at(labelled, (tags[pair - 1].astype(int), tags[pair].astype(int)), 1)
+    smooth = labelled + 1
+    near = np.log(smooth / smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0) / smooth.sum())[None]  # how far a neighbour moves the odds
+    n_f = len(fid)
+    x = np.concatenate([np.zeros(n_f), [-3.0, 0.0], near.reshape(-1)])
+    freq = np.bincount(cols_a, weights=np.bincount(ids, minlength=len(vocab))[rows_a], minlength=n_f)
+    scale = 1 / np.sqrt(np.concatenate([freq, [len(ids), len(low)], [len(ids)] * 4]) + 1)
+    rate = np.concatenate([np.full(n_f, 0.25), [0.25, 0.05], np.full(4, 0.05)])
+    m1, m2 = np.zeros(len(x)), np.zeros(len(x))
     for s in range(1, steps + 1):
-        emit = np.bincount(rows_a, weights=theta[cols_a], minlength=len(vocab)) + bias
-        p = marginals(emit[ids], first, trans, start)
-        diff = tags - p
-        g = np.bincount(cols_a, weights=np.bincount(ids, weights=diff, minlength=len(vocab))[rows_a], minlength=len(fid)) / np.sqrt(freq + 1) - 0.002 * theta
+        emit = (np.bincount(rows_a, weights=x[:n_f][cols_a], minlength=len(vocab)) + x[n_f])[ids]
+        trans, start = x[n_f + 2 :].reshape(2, 2), float(x[n_f + 1])
+        fwd, bwd = forward_backward(emit, first, trans, start)
+        diff = tags - fwd * bwd / (1 + fwd * bwd)
+        words = np.bincount(cols_a, weights=np.bincount(ids, weights=diff, minlength=len(vocab))[rows_a], minlength=n_f)
+        pairs = labelled - expected_pairs(emit, first, trans, fwd, bwd)
+        g = np.concatenate([words, [diff.sum(), diff[first].sum()], pairs.reshape(-1)]) * scale - np.where(np.arange(len(x)) < n_f, 0.002 * x, 0)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        theta += 0.25 * (m1 / (1 - 0.9**s)) / (np.sqrt(m2 / (1 - 0.99**s)) + 1e-3)
-        bias += 0.5 * np.sign(diff.sum()) / s
-        # transitions: matched to the labelled bigrams, smoothed
-        if s == 1 and len(pair):
-            c = np.ones((2, 2))
-            np.add.at(c, (tags[pair - 1].astype(int), tags[pair].astype(int)), 1)
-            trans = np.log(c / c.sum(1, keepdims=True))
-            trans -= np.log(c.sum(0) / c.sum())[None]  # how far a neighbour moves the odds; the words carry the rest
-            start = 0.0
+        x = x + rate * (m1 / (1 - 0.9**s)) / (np.sqrt(m2 / (1 - 0.99**s)) + 1e-3)
+    theta, bias, start, trans = x[:n_f], float(x[n_f]), float(x[n_f + 1]), x[n_f + 2 :].reshape(2, 2)
     emit = np.bincount(rows_a, weights=theta[cols_a], minlength=len(vocab)) + bias
     p = marginals(emit[ids], first, trans, start)
-    x = _doc_features(p, doc, len(low))
-    return ToxicityModel({f: float(theta[i]) for f, i in fid.items() if abs(theta[i]) > 1e-3}, float(bias), trans, float(start), _logistic(x, y, np.array(weights)))
+    doc_layer = _logistic(_doc_features(p, doc, len(low)), y, np.array(weights))
+    return ToxicityModel({f: float(theta[i]) for f, i in fid.items() if abs(theta[i]) > 1e-3}, bias, trans, start, doc_layer)
 
 
 def _doc_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -200,7 +221,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     """``labelled``: rows with key, text and a 0/1 label."""
     known = labelled.where(F.col(label).isin(0, 1)).select(key, text, label)
     n = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
-    rows = bounded_sample(known.where(F.col(label) == 1), key, sample_toxic) + bounded_sample(known.where(F.col(label) == 0), key, sample_clean)
+    pick = lambda y, rows: bounded_sample(known.where(F.col(label) == y), key, rows, total=n.get(y, 0))
+    rows = pick(1, sample_toxic) + pick(0, sample_clean)
     got = Counter(r[label] for r in rows)
     return fit_rows([r[text] for r in rows], [r[label] for r in rows], [n[r[label]] / got[r[label]] for r in rows])
 
