@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from serialmill.session import ship_code
 
@@ -49,19 +50,41 @@ def id_bucket(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0) -> list:
-    """At most ``n`` rows with the smallest key hash, one for each key. Only keys are sorted; the rows are fetched by a join with those n keys."""
-    order = F.xxhash64(F.col(key), F.lit(salt))
-    ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(order, key).limit(n)
-    chosen = [r[0] for r in ids.collect()]
+def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0, total: int | None = None) -> list:
+    """The rows of the ``n`` keys with the smallest hashes, one for each key: of rows with equal keys the least by its other columns.
+
+    Keys above a bar on their hash are left out before anything is shuffled; the bar is raised in the rare case that too few
+    remain, so it never changes the result. The rows are fetched by a join with those n keys. ``total``: the rows of ``df``, if known.
+    """
+    keyed = df.select(key, F.xxhash64(F.col(key), F.lit(salt)).alias("h")).where(F.col(key).isNotNull())
+    total = df.count() if total is None else total
+    share = min(1.0, 4 * n / max(total, 1))
+    while True:
+        few = keyed if share >= 1 else keyed.where(F.col("h") < int(-(2**63) + share * 2**64))
+        chosen = few.distinct().orderBy("h", key).limit(n).select(key).collect()
+        if len(chosen) >= n or share >= 1:
+            break
+        share = min(1.0, 8 * share)
     if not chosen:
         return []
-    spark = df.sparkSession
-    small = spark.createDataFrame(pa.table({key: pa.array(chosen, pa.int64())}))
-    rows = df.join(F.broadcast(small), key, "left_semi").dropDuplicates([key]).collect()
+    small = df.sparkSession.createDataFrame([(r[0],) for r in chosen], StructType([StructField(key, df.schema[key].dataType)]))
+    others = [c for c in df.columns if c != key]
+    rows = df.join(F.broadcast(small), key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("r")).select(key, "r.*").collect()
     return sorted(rows, key=lambda r: (r[key], str(r)))
 
 
+#: Bytes of text that become Python strings at once.
+SLICE_BYTES = 16_000_000
+
+
+def slices(batch: pa.RecordBatch, at: int):
+    """A batch in runs of rows whose column ``at`` has about SLICE_BYTES; a longer text stands alone."""
+    n, size = batch.num_rows, batch.column(at).nbytes
+    step = max(1, n * SLICE_BYTES // size) if size > SLICE_BYTES else n
+    for lo in range(0, n, step or 1):
+        yield batch.slice(lo, step)
+
+
 def append_by_text(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, str]], make) -> DataFrame:
     """Append columns computed from one text column, an Arrow batch at a time.
 
@@ -80,7 +103,7 @@ def append_by_text(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType
 
     def run(batches):
         fn = make()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             made = fn(b.column(at).to_pylist())
             cols = [b.column(i) for i in range(n_kept)] + [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:n_kept], *names])

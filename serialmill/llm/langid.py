@@ -8,7 +8,8 @@ batch of texts is scored by two matrix products.
 The model is fitted on at most ``sample_rows`` labelled rows (smallest key hashes) so the driver's
 work is bounded; every text is scored whole. Defined results: null text, or one without any letter,
 gives ``und`` with score 0; without labelled rows every text is ``und``; ties go to the language
-that sorts first.
+that sorts first; repeated rows get equal rows (the sample holds one of each id); very long texts are read
+whole; columns named like a result are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ search starts at the smallest room that fits and goes from successor to successo
 conflict is found, which is the tightest compatible one; if there is none, a bin is opened.
 
 Defined results: null and empty texts have no words and go nowhere (no row); null sources and null
-clusters conflict with nothing; repeated rows are pieces of their own; an empty table gives no rows.
+clusters conflict with nothing; repeated rows are pieces of their own; pieces of equal length are taken by
+id, then place, then cluster; very long texts are cut, never shortened; only the named columns are read,
+whatever others are called; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,13 +12,16 @@ spans of up to LONGEST characters are seen whole, and text beyond cannot hold on
 
 Trained in numpy on labelled spans: the patterns' spans in at most ``sample_rows`` documents, and variants
 of them (other separators, no country code), which have no pattern, and cut-outs of invented addresses of
-all lengths, with and without digits. Defined results: null counts as empty; without any labelled span in
-the sample the templates alone train the model.
+all lengths, with and without digits. Defined results: null counts as empty and is masked as null; without any
+labelled span in the sample the templates alone train the model; of overlapping added spans that are equally
+sure the first stays; repeated rows get equal rows; very long texts are read whole, in time near linear in
+their length and spans; columns named like a result are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -139,8 +142,8 @@ def _lstm(x, w, c0, keep):
     """x: (T, B, D). Returns hidden states (T, B, H) and, if ``keep``, what the way back needs."""
     t, b, _ = x.shape
     h_n = w.shape[1] // 4
-    h, c = np.zeros((b, h_n), np.float32), np.zeros((b, h_n), np.float32)
-    hs, cache = np.empty((t, b, h_n), np.float32), []
+    h, c = np.zeros((b, h_n), x.dtype), np.zeros((b, h_n), x.dtype)
+    hs, cache = np.empty((t, b, h_n), x.dtype), []
     for k in range(t):
         z = np.concatenate([x[k], h], 1)
         a = z @ w + c0
@@ -157,9 +160,9 @@ def _lstm(x, w, c0, keep):
 
 def _lstm_back(dhs, cache, w):
     t, b, h_n = dhs.shape
-    dw, dc0 = np.zeros_like(w), np.zeros(4 * h_n, np.float32)
-    dx = np.empty((t, b, w.shape[0] - h_n), np.float32)
-    dh, dc = np.zeros((b, h_n), np.float32), np.zeros((b, h_n), np.float32)
+    dw, dc0 = np.zeros_like(w), np.zeros(4 * h_n, w.dtype)
+    dx = np.empty((t, b, w.shape[0] - h_n), w.dtype)
+    dh, dc = np.zeros((b, h_n), w.dtype), np.zeros((b, h_n), w.dtype)
     for k in range(t - 1, -1, -1):
         z, s, g, was, th = cache[k]
         i, f, o = s[:, :h_n], s[:, h_n : 2 * h_n], s[:, 2 * h_n :]
@@ -218,6 +221,26 @@ def viterbi(e, trans, start) -> np.ndarray:
     return out
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean loss (negative log likelihood of the tags) of windows (B, T) and its gradient by every parameter."""
+    y, n = tags.T, len(x)
+    e, (h, cf, cb) = emissions(p, x, True)
+    z, marg, pair = forward_backward(e, p["T"], p["S"])
+    gold = np.eye(TAGS, dtype=e.dtype)[y]
+    labelled = np.zeros((TAGS, TAGS))
+    np.add.at(labelled, (y[:-1].reshape(-1), y[1:].reshape(-1)), 1)
+    score = (e * gold).sum() + (p["T"] * labelled).sum() + p["S"][y[0]].sum()
+    de = ((marg - gold) / n).astype(e.dtype)
+    g = {"T": (pair - labelled) / n, "S": (marg[0] - gold[0]).mean(0), "o": de.sum((0, 1)), "O": np.einsum("tbh,tbk->hk", h, de)}
+    dh = de @ p["O"].T
+    half = dh.shape[2] // 2
+    dxf, g["Wf"], g["cf"] = _lstm_back(dh[:, :, :half], cf, p["Wf"])
+    dxb, g["Wb"], g["cb"] = _lstm_back(dh[::-1, :, half:], cb, p["Wb"])
+    g["E"] = np.zeros_like(p["E"])
+    np.add.at(g["E"], x.T, dxf + dxb[::-1])
+    return float((z.sum() - score) / n), g
+
+
 def train(ids: np.ndarray, tags: np.ndarray, embed: int = 12, hidden: int = 16, epochs: int = 16, batch: int = 64, rate: float = 0.02) -> SpanModel:
     p = _init(embed, hidden)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
@@ -227,22 +250,7 @@ def train(ids: np.ndarray, tags: np.ndarray, embed: int = 12, hidden: int = 16,
         order = rng.permutation(len(ids))
         for lo in range(0, len(order), batch):
             take = order[lo : lo + batch]
-            x, y = ids[take], tags[take].T
-            e, (h, cf, cb) = emissions(p, x, True)
-            _, marg, pair = forward_backward(e, p["T"], p["S"])
-            gold = np.eye(TAGS, dtype=np.float32)[y]
-            n = len(take)
-            de = ((marg - gold) / n).astype(np.float32)
-            gt = np.zeros((TAGS, TAGS))
-            np.add.at(gt, (y[:-1].reshape(-1), y[1:].reshape(-1)), 1)
-            g = {"T": (pair - gt) / n, "S": (marg[0] - gold[0]).mean(0), "o": de.sum((0, 1)), "O": np.einsum("tbh,tbk->hk", h, de)}
-            dh = de @ p["O"].T
-            half = dh.shape[2] // 2
-            dxf, g["Wf"], g["cf"] = _lstm_back(dh[:, :, :half], cf, p["Wf"])
-            dxb, g["Wb"], g["cb"] = _lstm_back(dh[::-1, :, half:], cb, p["Wb"])
-            ge = np.zeros_like(p["E"])
-            np.add.at(ge, x.T, dxf + dxb[::-1])
-            g["E"] = ge
+            _, g = gradients(p, ids[take], tags[take])
             step += 1
             lr = rate * 0.5 ** (ep / 5)
             for k in p:
@@ -440,7 +448,7 @@ def _blocks(queue, block: int):
 
 def _added(model: SpanModel, texts, base, block: int = 1024):
     found: list[dict] = [{} for _ in texts]
-    p = model.p
+    p, taken = model.p, [_Taken(b) for b in base]
     for part in _blocks([(i, a, b) for i, t in enumerate(texts) if t for a, b in _stretches(t)], block):
         ids = np.full((len(part), max(b - a for _, a, b in part)), PAD, np.int64)
         for r, (i, a, b) in enumerate(part):
@@ -448,7 +456,7 @@ def _added(model: SpanModel, texts, base, block: int = 1024):
         e, _ = emissions(p, ids)
         tags = viterbi(e, p["T"], p["S"])
         spans = [(w, x) for w in np.flatnonzero((tags > 0).any(0)) for x in _collect(tags[:, w], *part[w][1:], len(texts[part[w][0]]))]
-        spans = [(w, x) for w, x in spans if _checks(x[1], texts[part[w][0]], x[0], x[2]) and not _overlaps(base[part[w][0]], x)]
+        spans = [(w, x) for w, x in spans if _checks(x[1], texts[part[w][0]], x[0], x[2]) and not taken[part[w][0]].meets(x)]
         if not spans:
             continue
         hit = sorted({w for w, _ in spans})
@@ -462,8 +470,28 @@ def _added(model: SpanModel, texts, base, block: int = 1024):
     return [sorted([*b, *_reconcile(f)]) for b, f in zip(base, found, strict=True)]
 
 
-def _overlaps(spans, x) -> bool:
-    return any(x[0] < hi and x[2] > lo for lo, _, hi in spans)
+class _Taken:
+    """Ranges that are taken, merged and in order, so a question costs a binary search."""
+
+    def __init__(self, spans=()):
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        for lo, _, hi in sorted(spans):
+            if self.hi and lo <= self.hi[-1]:
+                self.hi[-1] = max(self.hi[-1], hi)
+            else:
+                self.lo.append(lo)
+                self.hi.append(hi)
+
+    def meets(self, span) -> bool:
+        at = bisect_right(self.hi, span[0])
+        return at < len(self.lo) and self.lo[at] < span[2]
+
+    def take(self, span) -> None:
+        """Add a span that meets none."""
+        at = bisect_right(self.lo, span[0])
+        self.lo.insert(at, span[0])
+        self.hi.insert(at, span[2])
 
 
 def _collect(tags, lo, hi, size):
@@ -483,10 +511,12 @@ def _collect(tags, lo, hi, size):
 
 
 def _reconcile(found: dict) -> list[tuple[int, int, int]]:
-    out: list[tuple[int, int, int]] = []
+    """Of overlapping spans the surest, of equals the first."""
+    out, taken = [], _Taken()
     for x, score in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if score >= SURE and not _overlaps(out, x):
+        if score >= SURE and not taken.meets(x):
             out.append(x)
+            taken.take(x)
     return out
 
 
@@ -517,7 +547,7 @@ def detect(docs: DataFrame, model: SpanModel, text: str = "text", out: str = "pi
         def run(texts):
             base = [base_spans(t) for t in texts]
             every = _added(shared.value, texts, base)
-            spans = [[{"kind": KINDS[x[1]], "start": x[0], "end": x[2], "base": x in b} for x in s] for s, b in zip(every, base, strict=True)]
+            spans = [[{"kind": KINDS[x[1]], "start": x[0], "end": x[2], "base": x in held} for x in s] for s, held in zip(every, map(set, base), strict=True)]
             if masked:
                 return spans, [mask(t, s) for t, s in zip(texts, every, strict=True)]
             return (spans,)

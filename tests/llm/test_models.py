@@ -32,6 +32,24 @@ def test_kernel_is_normalised():
     assert np.allclose(langid.kernel(rows, rows), 1)
 
 
+def test_nystroem_with_all_landmarks_is_kernel_ridge():
+    """With every row a landmark, the fit equals weighted kernel ridge regression in closed form, on kernels of plain sets of n-grams."""
+    texts, labels = [sentence(i, 6, A if i % 3 else B) for i in range(30)], ["aa" if i % 3 else "bb" for i in range(30)]
+    model = langid.fit_rows(texts, labels, landmarks_each=30, ridge=0.5)
+    rows = np.zeros((30, langid.DIM), np.uint8)
+    for r, t in zip(rows, texts, strict=True):
+        langid.presence(t, r)
+    sets = [set(np.flatnonzero(r).tolist()) for r in rows]
+    grams = lambda t: {f" {' '.join(t.lower().split())} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    assert all(len(s) <= len(grams(t)) and len(s) > 0.95 * len(grams(t)) for s, t in zip(sets, texts, strict=True))  # few hashes meet
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[1.0 if x == n else -1.0 for n in model.labels] for x in labels])
+    weight = np.array([1 / labels.count(x) for x in labels])
+    exact = k @ np.linalg.solve(k + 0.5 / 2 * np.diag(1 / weight), y)
+    order = [i for n in model.labels for i, x in enumerate(labels) if x == n]
+    assert np.allclose(langid.kernel(rows, rows[order]) @ model.weights, exact, atol=1e-3)
+
+
 def brute_marginals(e, trans, start):
     """By summing over all tag sequences."""
     n, total, on = len(e), 0.0, np.zeros(len(e))
@@ -54,6 +72,21 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(got, np.concatenate([brute_marginals(t, trans, start) for t in texts]))
 
 
+def test_expected_pairs_match_enumeration():
+    """Neighbouring tags of one text, by summing over all tag sequences."""
+    rng = np.random.default_rng(6)
+    e, trans, start = rng.normal(0, 2, 7), rng.normal(0, 1, (2, 2)), -0.4
+    first = np.arange(7) == 0
+    total, want = 0.0, np.zeros((2, 2))
+    for bits in range(1 << 7):
+        y = [(bits >> i) & 1 for i in range(7)]
+        w = np.exp(start * y[0] + e @ y + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += w
+        for a, b in zip(y, y[1:], strict=False):
+            want[a, b] += w
+    assert np.allclose(toxicity.expected_pairs(e, first, trans, *toxicity.forward_backward(e, first, trans, start)), want / total)
+
+
 def test_toxicity(spark):
     bad = ["loser", "moron", "veqis", "veqor", "veqim"]
     texts, labels = [], []
@@ -122,15 +155,82 @@ def test_pii_keeps_base_and_adds_variants(spark, spans_model):
     assert masked[5] == "mail [EMAIL]\nip [IP] card [CARD]" and masked[2] is None and masked[4] == plain
 
 
-def test_crf_marginals_and_viterbi():
+def test_crf_against_all_paths():
+    """Log partition, marginals and the best path, by listing every path."""
+    import itertools
+
     rng = np.random.default_rng(0)
-    e, trans, start = rng.normal(0, 1, (5, 3, pii.TAGS)), rng.normal(0, 1, (pii.TAGS, pii.TAGS)), rng.normal(0, 1, pii.TAGS)
+    e, trans, start = rng.normal(0, 1, (4, 2, pii.TAGS)), rng.normal(0, 1, (pii.TAGS, pii.TAGS)), rng.normal(0, 1, pii.TAGS)
     z, marg, _ = pii.forward_backward(e, trans, start)
-    assert np.allclose(marg.sum(2), 1)
-    y = pii.viterbi(e, trans, start)
-    score = lambda y: start[y[0]] + sum(e[i, 0, y[i]] for i in range(5)) + sum(trans[y[i], y[i + 1]] for i in range(4))
-    best = max(score(rng.integers(0, pii.TAGS, 5)) for _ in range(3000))
-    assert score(y[:, 0]) >= best and score(y[:, 0]) <= z[0]
+    best = pii.viterbi(e, trans, start)
+    paths = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+    for w in range(2):
+        score = start[paths[:, 0]] + sum(e[i, w, paths[:, i]] for i in range(4)) + sum(trans[paths[:, i], paths[:, i + 1]] for i in range(3))
+        assert paths[score.argmax()].tolist() == best[:, w].tolist()
+        p = np.exp(score - score.max())
+        assert np.isclose(z[w], score.max() + np.log(p.sum()))
+        assert np.allclose(marg[2, w], np.bincount(paths[:, 2], weights=p / p.sum(), minlength=pii.TAGS))
+
+
+def test_lstm_crf_gradient_is_numeric():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in pii._init(3, 4).items()}
+    x, tags = rng.integers(0, pii.CHARS, (3, 6)), rng.integers(0, pii.TAGS, (3, 6))
+    _, g = pii.gradients(p, x, tags)
+    for name in p:
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in p[name].shape) if name != "E" else (int(x[0, 0]), 1)
+            loss = []
+            for step in (1e-5, -1e-5):
+                q = {k: v.copy() for k, v in p.items()}
+                q[name][at] += step
+                loss.append(pii.gradients(q, x, tags)[0])
+            assert np.isclose((loss[0] - loss[1]) / 2e-5, g[name][at], atol=1e-6), name
+
+
+def test_recall_of_unseen_variants(spans_model):
+    """Data in forms that no pattern has, in texts that no training window comes from: most are found, and clean texts stay clean."""
+    rng = np.random.default_rng(77)
+    say = {1: lambda: ".".join(map(str, rng.integers(1, 256, 4))), 2: lambda: pii._invented(2, rng), 3: lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}", 0: lambda: f"{sentence(int(rng.integers(999)), 1)}.{sentence(int(rng.integers(999)), 1)}@{sentence(int(rng.integers(999)), 1)}.example.org"}
+    for kind, least in ((0, 0.6), (1, 0.5), (2, 0.5), (3, 0.5)):
+        data = [pii._variant(kind, say[kind](), rng) for _ in range(60)]
+        texts = [f"{sentence(2000 + i, 15)} {v} {sentence(3000 + i, 15)}" for i, v in enumerate(data)]
+        found = pii.find_spans(spans_model, texts)
+        hit = [any(v in t[a:b] or t[a:b] in v and b - a >= 0.8 * len(v) for a, _, b in spans) for v, t, spans in zip(data, texts, found, strict=True)]
+        assert np.mean(hit) >= least, (kind, np.mean(hit))
+    clean = [sentence(4000 + i, 40) for i in range(200)] + [f"{sentence(5000 + i, 10)} {i} of {i * 7} at {i % 12}:30 in {1900 + i}, {sentence(6000 + i, 10)}" for i in range(100)]
+    assert sum(map(bool, pii.find_spans(spans_model, clean))) <= 3
+
+
+def test_very_long_text_of_addresses(spans_model):
+    """Thousands of spans in one text cost little more than they are many."""
+    import time
+
+    text = " ".join(f"a{i}.b@mail.example.com" for i in range(12_000))
+    began = time.time()
+    taken = pii._Taken(pii.base_spans(text))
+    assert not any(taken.meets((m.start(), 0, m.end())) for m in re.finditer(" ", text))
+    chosen = pii._reconcile({(3 * i, 0, 3 * i + 4): 0.95 for i in range(30_000)})
+    assert len(chosen) == 15_000 and time.time() - began < 5
+
+
+def test_clashing_columns(spark, spans_model, languages):
+    df = spark.createDataFrame([(1, "mail a.b@c.org", "x", 7, "y", 0.5)], "doc_id bigint, text string, spans string, n_email int, pii_spans string, score double")
+    r = pii.digest(df, spans_model).first()
+    assert (r["spans"], r["n_email"], r["score"]) == ("email:5:14", 1, 0.5)
+    assert pii.detect(df, spans_model).first()["pii_spans"][0]["start"] == 5
+    assert toxicity.score(df, None).first()["score"] == 0 and langid.predict(df, languages).first()["spans"] == "x"
+
+
+def test_sample_is_the_same_however_rows_lie(spark):
+    from serialmill.llm.common import bounded_sample
+
+    rows = [(f"k{i % 50}", f"text {i}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, text string, n int")
+    got = bounded_sample(df, "k", 20)
+    assert len(got) == 20 and got == bounded_sample(df.repartition(7, "n"), "k", 20) == bounded_sample(df, "k", 20, total=10**9)
+    assert all(r["text"] == min(t for k, t, _ in rows if k == r["k"]) for r in got)
+    assert bounded_sample(df.where("n < 0"), "k", 5) == []
 
 
 def test_added_spans(spans_model):
