@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from serialmill.functions import runs
+from serialmill.functions import spoken as S
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
 from serialmill.operators import corpus
@@ -239,10 +240,27 @@ def speech_tags(spark, d):
     return t.groupBy(F.lower("token").alias("verb"), F.col("prev").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("joi2_phrase_rules", """SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^\\p{L}])(of the|in the|and the|de la|in der)(?:$|[^\\p{L}])'))::INT AS n_phrases FROM documents""")
+#: Phrases of the rule table with their respellings.
+PHRASES = {"and the": "an thuh", "in der": "in dare", "of the": "uv thuh", "in the": "in thuh", "de la": "duh lah"}
+
+
+def _phrase_sql() -> str:
+    out, letter = "text", "[^\\p{L}]"
+    for phrase, said in PHRASES.items():
+        for first, to in ((phrase[0].upper(), said.capitalize()), (phrase[0], said)):
+            for _ in range(2):  # a phrase right after another shares the character between them
+                out = f"regexp_replace({out}, '(^|{letter}){first}(?i:{phrase[1:]})($|{letter})', '\\1{to}\\2', 'g')"
+    return out
+
+
+@query("joi2_phrase_rules", f"SELECT doc_id, {_phrase_sql()} AS body FROM documents")
 def phrase_rules(spark, d):
-    """Phrases of the rule table, longest first, in one alternation; whole phrases only."""
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)(?:^|[^\p{L}])(of the|in the|and the|de la|in der)(?:$|[^\p{L}])"), F.lit(1))).alias("n_phrases"))
+    """Phrases of the rule table in one alternation, longest first; whole phrases only, none is matched again, and a leading capital is kept."""
+    table_ = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
+    lead = lambda x, said: F.when(x.rlike(r"^\p{Lu}"), F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 100))).otherwise(said)
+    said = lambda x: lead(x, F.element_at(table_, F.lower(x)))
+    pattern = rf"(?i)(?<!\p{{L}})({'|'.join(sorted(PHRASES, key=len, reverse=True))})(?!\p{{L}})"
+    return table(spark, d, "documents").select("doc_id", S.each_match(F.translate("text", S.CUT, ""), pattern, "$1", said).alias("body"))
 
 
 @query("win11_machine_pieces")
@@ -270,6 +288,18 @@ def machine_runs(spark, d):
     return table(spark, d, "documents").where(F.contains("text", F.lit("*"))).select("doc_id", full(1).alias("n_machine"), full(0).alias("n_plain"), (F.size(ps) % 2 == 0).alias("unclosed"))
 
 
+@query("win20_emphasis_blocks", r"""WITH p AS (SELECT page_id, string_split(html, '<p>')[2:] AS ps FROM pages), b AS (SELECT page_id, unnest(range(len(ps)))::INT AS block_no, unnest(ps) AS x FROM p),
+n AS (SELECT page_id, block_no, length(regexp_replace(x, '<[^>]*>', '', 'g')) AS n_chars, length(array_to_string(regexp_extract_all(x, '<b>([^<]*)', 1), '')) AS n_bold FROM b)
+SELECT *, n_chars > 0 AND 10 * n_bold >= 6 * n_chars AS thought FROM n""")
+def emphasis_blocks(spark, d):
+    """How much of each block is emphasised; six tenths or more make it a thought."""
+    parts = F.split("html", "<p>", -1)
+    b = table(spark, d, "pages").select("page_id", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("block_no", "x"))
+    chars, bold = F.length(F.regexp_replace("x", "<[^>]*>", "")).cast("bigint"), F.length(F.array_join(F.regexp_extract_all("x", F.lit("<b>([^<]*)"), F.lit(1)), "")).cast("bigint")
+    n = b.select("page_id", "block_no", chars.alias("n_chars"), bold.alias("n_bold"))
+    return n.withColumn("thought", (F.col("n_chars") > 0) & (10 * F.col("n_bold") >= 6 * F.col("n_chars")))
+
+
 @query("win20_emphasis_share", r"""SELECT page_id, length(regexp_replace(array_to_string(regexp_extract_all(html, '<b>([^<]*)', 1), ''), '\s', '', 'g')) AS n_bold, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS n_article FROM pages""")
 def emphasis_share(spark, d):
     """Characters under emphasis beside the article's length."""
