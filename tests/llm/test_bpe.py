@@ -110,3 +110,12 @@ def test_memo_survives_its_limit(lib):
     texts = [f"{sentence(i, 30)},{'  ' * (i % 2)} w{'y' * (70 * (i % 3))}. <|endoftext|>{i}" if i % 5 else sentence(i, 20) for i in range(60)]
     for t, got in zip(texts, coder.encode(texts), strict=True):
         assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_clashing_columns(spark):
+    """Columns named like a result are replaced by it, others are kept or not read; repeated rows give a row each."""
+    df = spark.createDataFrame([(1, "a b", "x", 7, "y")] * 2, "doc_id bigint, text string, n_tokens string, ids int, file string")
+    rows = bpe.round_trip(df, byte_bpe_path()).collect()
+    assert [(r["n_tokens"], r["ids"], r["file"]) for r in rows] == [(2, 7, "y")] * 2
+    got = tokenbin.round_trip(df, byte_bpe_path()).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in got) == [(1, 0, 3), (1, 3, 3)]
