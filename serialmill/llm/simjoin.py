@@ -44,9 +44,9 @@ FREQUENT = 0.002  # of the documents; at most (mean set size / FREQUENT) shingle
 LEAST_FREQUENT = 8
 MOST_FREQUENT = 1 << 20  # entries of the broadcast table of frequent shingles; which shingles it holds never changes a result
 PART = 1024  # nodes of a group that are searched at once
-BLOCK_PART = 256  # nodes of a block, half of what one task compares
+BLOCK_PART = 64  # nodes of a block, half of what is compared at once
 CHUNK_SHINGLES = 2_000_000
-WORD_MEMO = 1_000_000
+WORD_MEMO = 300_000
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 
