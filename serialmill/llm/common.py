@@ -74,7 +74,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, salt: int = 0, total: int |
 
 
 #: Bytes of text that become Python strings at once.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 
 
 def slices(batch: pa.RecordBatch, at: int):

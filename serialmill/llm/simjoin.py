@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serialmill.llm.common import materialise
+from serialmill.llm.common import materialise, slices
 from serialmill.llm.components import connected_components
 from serialmill.session import ship_code
 
@@ -46,6 +46,8 @@ MOST_FREQUENT = 1 << 20  # entries of the broadcast table of frequent shingles;
 PART = 1024  # nodes of a group that are searched at once
 BLOCK_PART = 64  # nodes of a block, half of what is compared at once
 CHUNK_SHINGLES = 2_000_000
+CHUNK_POSTINGS = 1_000_000
+PAIR_BYTES = 8_000_000  # bitmaps that are compared at once
 WORD_MEMO = 300_000
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +134,7 @@ def _describe(batches):
         big = np.flatnonzero(count >= max(2, FREQUENT / 2 * docs))
         return batch([all_h[edge[big]].view(np.int64), [None] * len(big), [None] * len(big), [None] * len(big), count[big], [None] * len(big)])
 
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 2)):
         rk, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
         ns, nodes, sigs = [], [], []
         for t in b.column(2).to_pylist():
@@ -177,7 +179,7 @@ def _postings(shared, buckets: int, part: int):
             rows = [{"bucket": i, "keys": k[order[lo:hi]].tobytes(), "nodes": v[order[lo:hi]].tobytes()} for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
             yield pa.RecordBatch.from_pylist(rows, schema=_BLOB_ARROW)
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if not len(s):
@@ -191,7 +193,7 @@ def _postings(shared, buckets: int, part: int):
                 keys.append(p)
                 nodes.append(np.full(len(p), node, np.int64))
                 size += len(p)
-                if size >= CHUNK_SHINGLES:
+                if size >= CHUNK_POSTINGS:
                     yield from flush()
                     keys, nodes, size = [], [], 0
         if keys:
@@ -287,8 +289,9 @@ def _may_link(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Pairs of tree nodes some members of which could link: by sizes, then by the greatest possible overlap."""
     ok = (5 * x[2][i] >= 4 * y[1][j]) & (5 * y[2][j] >= 4 * x[1][i])
     at = np.flatnonzero(ok)
-    for lo in range(0, len(at), 100_000):
-        p = at[lo : lo + 100_000]
+    step = max(1, min(100_000, PAIR_BYTES // x[0][:1].nbytes)) if len(at) else 1
+    for lo in range(0, len(at), step):
+        p = at[lo : lo + step]
         a, b = i[p], j[p]
         most = np.bitwise_count(x[0][a] & y[0][b]).sum(1, dtype=np.int64) + np.minimum(x[3][a], y[3][b])
         most = np.minimum(most, np.minimum(x[2][a], y[2][b]))
@@ -408,7 +411,7 @@ def _by_group(n_keys: int, work):
 
     def run(batches):
         now, rows = None, []
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r[:n_keys] != now:
                     if len(rows) > 1:
@@ -444,7 +447,7 @@ def _verify(rows):
 
 def _sets(batches):
     """(grp, parts, node, copies, text) -> (grp, parts, node, copies, s); a text of another node (repeated ids) is left out."""
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 4)):
         out = [(*x, s.tobytes()) for *x, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(s := shingles(t)) and set_id(s) == x[2]]
         cols = list(zip(*out, strict=True)) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["grp", "parts", "node", "copies", "s"])
