@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import ann, bpe, langid, packing, pii, quality, simjoin, tokenbin, toxicity, warc
+from serialmill.llm import ann, bpe, langid, packing, piecebpe, pii, quality, simjoin, tokenbin, toxicity, warc
 from serialmill.llm.common import id_bucket, table
 
 
@@ -70,6 +70,16 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path())
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe_path())
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -82,6 +92,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_piece_round_trip": op11_piece_round_trip,
 }
 ORACLE_SQL = {
     "op6_nearest_neighbours": ann.ORACLE,
