@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import ann, bpe, langid, packing, piecebpe, pii, quality, simjoin, tokenbin, toxicity, warc
+from serialmill.llm import ann, bpe, langid, packing, piecebpe, pii, quality, resample, simjoin, tokenbin, toxicity, warc
 from serialmill.llm.common import id_bucket, table
 
 
@@ -80,6 +80,11 @@ def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe_path())
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_piece_round_trip": op11_piece_round_trip,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 ORACLE_SQL = {
     "op6_nearest_neighbours": ann.ORACLE,
