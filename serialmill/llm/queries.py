@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialmill.llm import ann, bpe, langid, packing, piecebpe, pii, quality, resample, simjoin, tokenbin, toxicity, warc
+from serialmill.llm import ann, bpe, langid, packing, piecebpe, pii, quality, resample, simjoin, tokenbin, toxicity, veccode, warc
 from serialmill.llm.common import id_bucket, table
 
 
@@ -85,6 +85,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccode.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("n_evaluated")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -99,6 +103,7 @@ QUERIES = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_piece_round_trip": op11_piece_round_trip,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {
     "op6_nearest_neighbours": ann.ORACLE,
@@ -106,4 +111,5 @@ ORACLE_SQL = {
     "op3_ngram_jaccard_join": simjoin.ORACLE,
     "op3_ngram_jaccard_links": simjoin.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op13_vector_codes": veccode.oracle(),
 }
