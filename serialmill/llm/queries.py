@@ -95,7 +95,6 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_warc_audit": op7_warc_audit,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op3_ngram_jaccard_links": op3_ngram_jaccard_join,  # the name under which the number of links came first
     "op4_token_binary": op4_token_binary,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
@@ -109,7 +108,7 @@ ORACLE_SQL = {
     "op6_nearest_neighbours": ann.ORACLE,
     "op7_warc_audit": warc.ORACLE,
     "op3_ngram_jaccard_join": simjoin.ORACLE,
-    "op3_ngram_jaccard_links": simjoin.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op12_importance_resampling": resample.ORACLE,
     "op13_vector_codes": veccode.oracle(),
 }

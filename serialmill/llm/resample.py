@@ -273,3 +273,34 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: s
     drawn = ranked(scored.where(long_enough), order, lambda n: percent * n // 100)
     rest = scored.where(~long_enough).withColumn("rank", F.lit(None).cast("bigint"))
     return drawn.unionByName(rest).select(id_col, "n_features", "weight", "score", "rank")
+
+
+#: The query in SQL, with the CRC written out byte by byte over the distinct features.
+ORACLE = rf"""
+WITH words AS (
+  SELECT src, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT 0 AS src, row_number() OVER () AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+), runs AS (
+  SELECT src, id, array_to_string(w[i : i + k - 1], ' ') AS f
+  FROM (SELECT src, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS t(k))
+), counts AS MATERIALIZED (SELECT src, id, f, count(*) AS n FROM runs GROUP BY ALL
+), crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) AS r(b)
+), bucketed AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket
+  FROM (SELECT DISTINCT f FROM counts), crc
+), totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (src = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (src = 1), 0)::BIGINT AS t FROM counts JOIN bucketed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM totals) + {BUCKETS}))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM totals) + {BUCKETS}))::DOUBLE))::BIGINT AS gain FROM totals
+), weights AS (
+  SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counts JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE src = 0 GROUP BY id
+), scored AS (
+  SELECT id, doc_id, len(w) >= {LEAST_WORDS} AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM (SELECT row_number() OVER () AS id, doc_id FROM documents) JOIN (SELECT id, w FROM words WHERE src = 0) USING (id) LEFT JOIN weights USING (id)
+), ordered AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE able
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {PERCENT} * n // 100 THEN r END AS rank FROM scored LEFT JOIN ordered USING (id)
+"""
