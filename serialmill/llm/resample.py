@@ -172,17 +172,20 @@ def _frequent(words: Words):
 
 
 def head(docs: DataFrame, text: str = "text") -> Head:
-    """The most frequent words, and the most frequent pairs of them."""
+    """The words and pairs that were counted as often as the shares ask for, so at most HEAD_WORDS and HEAD_PAIRS of them; pairs the most frequent first."""
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole, 0)):
-            rows = list(_frequent(Words(b.column(0))))
+            words = Words(b.column(0))
+            rows = [*_frequent(words), (None, None, len(words.code))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
 
     found = materialise(docs.select(text).mapInArrow(run, "a binary, b binary, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    words = [bytes(r[0]) for r in found.where("b IS NULL").orderBy(F.desc("n"), "a").limit(HEAD_WORDS).select("a").collect()]
+    n = found.where("a IS NULL").agg(F.sum("n")).first()[0] or 0
+    words = [bytes(r[0]) for r in found.where(F.col("b").isNull() & F.col("a").isNotNull() & (F.col("n") * HEAD_WORDS >= n)).select("a").collect()]
     known = set(words)
-    pairs = [(bytes(r[0]), bytes(r[1])) for r in found.where("b IS NOT NULL").orderBy(F.desc("n"), "a", "b").limit(HEAD_PAIRS).select("a", "b").collect()]
+    common = found.where(F.col("b").isNotNull() & (F.col("n") * HEAD_PAIRS >= n))
+    pairs = [(bytes(r[0]), bytes(r[1])) for r in common.orderBy(F.desc("n"), "a", "b").select("a", "b").collect()]
     return Head(words, [p for p in pairs if p[0] in known and p[1] in known])
 
 
