@@ -20,7 +20,7 @@ NOUNS = ["NOUN", "PROPN"]
 
 WORD = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
 _PIECE = rf"{WORD}|[^\p{{L}}\p{{N}}_]+"
-_IS_WORD = r"^[\p{L}\p{N}_]"
+IS_WORD = r"^[\p{L}\p{N}_]"
 
 #: Rules that are broadcast; beyond that both sides are shuffled by their keys.
 FEW_RULES = 100_000
@@ -92,8 +92,8 @@ def matches(lines: DataFrame, keys: list[str], line: str, rules: DataFrame, tags
     facts = table.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("phrase"), F.col("n_pieces"))).alias("sizes")).first()
     table = F.broadcast(table) if facts["n"] <= FEW_RULES else table
     cut = lines.select(*keys, pieces(F.col(line)).alias("_ps")).where(F.size("_ps") > 0)
-    lead = F.when(F.get("_ps", F.lit(0)).rlike(_IS_WORD), 0).otherwise(1)  # words are every second piece from here
-    words = F.filter("_ps", lambda p: p.rlike(_IS_WORD))
+    lead = F.when(F.get("_ps", F.lit(0)).rlike(IS_WORD), 0).otherwise(1)  # words are every second piece from here
+    words = F.filter("_ps", lambda p: p.rlike(IS_WORD))
     cut = cut.select(*keys, "_ps", lead.alias("_lead"), tags(words).alias("_tags"), words.alias("_words"))
     sizes = [1, *sorted(facts["sizes"])]
 

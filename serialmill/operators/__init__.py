@@ -1,5 +1,5 @@
 """Operators over libraries of serial fiction, by the tables they read."""
 
-from serialmill.operators import corpus, dialogue, library, listening, pages, rules, speech
+from serialmill.operators import corpus, dialogue, lexicon, library, listening, pages, rules, speech
 
-MODULES = [library, corpus, listening, dialogue, pages, rules, speech]
+MODULES = [library, corpus, listening, dialogue, pages, rules, speech, lexicon]

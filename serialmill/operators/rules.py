@@ -19,37 +19,6 @@ from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chap
 
 QUERIES, ORACLES, query = registry()
 
-#: A small rule table of our own: surface, part of speech (blank fits all), respelling (blank leaves the word alone).
-LEXICON = [("the", "", "thuh"), ("the", "LONG", "thee"), ("of", "", "ov"), ("and", "", ""), ("her", "SHORT", "hur"), ("la", "", "lah"), ("la", "SHORT", "law"), ("der", "LONG", "dair")]
-_LEX_SQL = "lex(surface, pos, respell) AS (VALUES " + ", ".join(f"('{s}', '{p}', '{r}')" for s, p, r in LEXICON) + ")"
-
-
-def lexicon(spark):
-    return spark.createDataFrame(LEXICON, "surface string, pos string, respell string")
-
-
-@query("joi1_rule_resolution", f"""WITH {TOKENS_SQL}, {_LEX_SQL}, t AS (SELECT doc_id, line_no, pos AS tok_no, lower(token) AS surface, CASE WHEN pos % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS tag FROM tokens),
-m AS (SELECT t.*, l.respell, l.pos FROM t JOIN lex l ON l.surface = t.surface AND (l.pos = '' OR l.pos = t.tag) QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, tok_no ORDER BY (l.pos <> '') DESC) = 1)
-SELECT surface, respell, count(*) AS n FROM m GROUP BY surface, respell""")
-def rule_resolution(spark, d):
-    """Tokens meet rules on their surface; a rule with a fitting part of speech beats one without. The rules are a fixed few rows."""
-    tag = F.when(F.col("pos") % 2 == 0, "LONG").otherwise("SHORT")
-    t = tokens(spark, d).select("doc_id", "line_no", F.col("pos").alias("at"), F.lower("token").alias("surface"), tag.alias("tag"))
-    lex = lexicon(spark)
-    plain = lex.where("pos = ''").select("surface", F.col("respell").alias("any_respell"), F.lit(True).alias("has_any"))
-    exact = lex.where("pos <> ''").select("surface", F.col("pos").alias("tag"), F.col("respell").alias("own_respell"), F.lit(True).alias("has_own"))
-    j = t.join(F.broadcast(plain), "surface", "left").join(F.broadcast(exact), ["surface", "tag"], "left").where("has_any OR has_own")
-    return j.groupBy("surface", F.coalesce("own_respell", "any_respell").alias("respell")).agg(F.count("*").alias("n"))
-
-
-@query("flt18_ignored_words", f"WITH {_LEX_SQL} SELECT l.surface, count(d.doc_id) AS n_docs FROM lex l LEFT JOIN documents d ON contains(d.text, l.surface) WHERE l.respell = '' GROUP BY l.surface")
-def ignored_words(spark, d):
-    """Rules with a blank respelling: the word is known and left alone."""
-    words = [s for s, _, r in LEXICON if r == ""]
-    hits = F.array(*[F.struct(F.lit(w).alias("surface"), F.contains("text", F.lit(w)).cast("bigint").alias("hit")) for w in words])
-    return table(spark, d, "documents").select(F.inline(hits)).groupBy("surface").agg(F.sum("hit").alias("n_docs"))
-
-
 @query("joi23_layering", "SELECT p_type AS surface, arg_max(p_name, (p_brand, p_partkey)) AS respell, count(*) AS n_rules FROM part GROUP BY p_type")
 def layering(spark, d):
     """The same surface in several layers (brands): the last layer wins."""
@@ -240,29 +209,6 @@ def speech_tags(spark, d):
     return t.groupBy(F.lower("token").alias("verb"), F.col("prev").alias("name")).agg(F.count("*").alias("n"))
 
 
-#: Phrases of the rule table with their respellings.
-PHRASES = {"and the": "an thuh", "in der": "in dare", "of the": "uv thuh", "in the": "in thuh", "de la": "duh lah"}
-
-
-def _phrase_sql() -> str:
-    out, letter = "text", "[^\\p{L}]"
-    for phrase, said in PHRASES.items():
-        for first, to in ((phrase[0].upper(), said.capitalize()), (phrase[0], said)):
-            for _ in range(2):  # a phrase right after another shares the character between them
-                out = f"regexp_replace({out}, '(^|{letter}){first}(?i:{phrase[1:]})($|{letter})', '\\1{to}\\2', 'g')"
-    return out
-
-
-@query("joi2_phrase_rules", f"SELECT doc_id, {_phrase_sql()} AS body FROM documents")
-def phrase_rules(spark, d):
-    """Phrases of the rule table in one alternation, longest first; whole phrases only, none is matched again, and a leading capital is kept."""
-    table_ = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
-    lead = lambda x, said: F.when(x.rlike(r"^\p{Lu}"), F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 100))).otherwise(said)
-    said = lambda x: lead(x, F.element_at(table_, F.lower(x)))
-    pattern = rf"(?i)(?<!\p{{L}})({'|'.join(sorted(PHRASES, key=len, reverse=True))})(?!\p{{L}})"
-    return table(spark, d, "documents").select("doc_id", S.each_match(F.translate("text", S.CUT, ""), pattern, "$1", said).alias("body"))
-
-
 @query("win11_machine_pieces")
 def machine_pieces(spark, d, marker: str = "***"):
     """WIN11: pieces of chapters with a marker and whether the machine voice reads them; a chapter is one row, others never leave the JVM."""
