@@ -10,11 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from serialmill.session import ship_code
+from serialmill import session
 
 #: White space that separates words: ``[\x20\x09-\x0D]``.
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
 
+#: Bytes of rows that Spark hands to a Python worker at once; set where the session has no limit of its own.
+BATCH_BYTES = 8_000_000
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Executors get this package, and their Python workers batches of bounded size."""
+    session.ship_code(spark)
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)

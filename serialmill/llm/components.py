@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Rows with a null end are ignored; an empty table gives no nodes.
     """
     e = edges.select("a", "b").where("a <> b")
-    both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = materialise(e.select(ends.alias("e")).select("e.*").distinct())  # one pass over what made the edges
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("bigint").alias("was"))

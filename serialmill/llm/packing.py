@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serialmill.llm.common import words
-from serialmill.session import ship_code
+from serialmill.llm.common import ship_code, words
 
 CAPACITY = 2048
 GROUP = 2048

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serialmill.llm.bpe import PieceMemo, byte_alphabet, read_spec
-from serialmill.llm.common import materialise, work_dir
-from serialmill.session import ship_code
+from serialmill.llm.common import materialise, ship_code, work_dir
 
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = np.uint64(1 << 31)
