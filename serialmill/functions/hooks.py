@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +38,23 @@ VOWELS = "aeiouɐəɚɪɛʌʊɔɑæɜᵻɒ"
 FUSING = {"tʃ": "t+sh -> ch", "dʒ": "d+zh -> j", "tj": "t+y -> ch", "dj": "d+y -> j"}
 
 
-def difference(parts: str, whole: str) -> str:
-    """STR22: how the phonemes of two halves differ from those of the word: n→ng, s/z, vowel or differs."""
-    matched = difflib.SequenceMatcher(None, parts, whole, autojunk=False).get_opcodes()
-    changed = [(parts[a:b], whole[c:d]) for tag, a, b, c, d in matched if tag != "equal"]
-    classes = [("n→ng", lambda x, y: (x, y) == ("n", "ŋ")), ("s/z", lambda x, y: set(x + y) <= set("sz")), ("vowel", lambda x, y: set(x + y) <= set(VOWELS))]
-    return next((name for name, fits in classes if changed and all(fits(x, y) for x, y in changed)), "differs")
+def difference(parts: Column, whole: Column) -> Column:
+    """STR22: how the phonemes of two halves differ from those of the word: n→ng (only n became ŋ, in place), s/z or vowel (the same but for
+    signs of that kind, wherever they are), else differs. Each class is an equality of what is left when its signs are made alike."""
+    drop = lambda c, signs: F.translate(c, signs, "")
+    level = lambda c: F.translate(c, "ŋ", "n")
+    raised = F.forall(F.zip_with(F.split(parts, ""), F.split(whole, ""), lambda x, y: (x == y) | ((x == "n") & (y == "ŋ"))), lambda ok: ok)
+    same = parts == whole
+    return F.when(~same & (level(parts) == level(whole)) & raised, "n→ng").when(~same & (drop(parts, "sz") == drop(whole, "sz")), "s/z").when(~same & (drop(parts, VOWELS) == drop(whole, VOWELS)), "vowel").otherwise("differs")
 
 
 def judged(splits: DataFrame, phonemes: DataFrame) -> DataFrame:
     """``splits`` (word, left_part, right_part, ...) with ``whole`` and ``split`` phonemes and ``why``: ok, joins (two sounds fuse) or the class of the difference."""
-    ship_code(splits.sparkSession)
-    kind = F.pandas_udf(lambda a, b: pd.Series([difference(x, y) for x, y in zip(a, b, strict=True)]), "string")
     bare = lambda c: F.regexp_replace(c, "[ˈˌː ]", "")
     table = lambda key, out: phonemes.select(F.col("word").alias(key), F.col("phonemes").alias(out))
     j = splits.join(table("word", "whole"), "word").join(table("left_part", "_a"), "left_part").join(table("right_part", "_b"), "right_part")
     j = j.withColumn("_w", bare("whole")).withColumn("_p", F.concat(bare("_a"), bare("_b")))
     seam: Column = F.concat(F.right(bare("_a"), F.lit(1)), F.left(bare("_b"), F.lit(1)))
     same = j.where(F.col("_w") == F.col("_p")).withColumn("why", F.when(seam.isin(*FUSING), "joins").otherwise("ok"))
-    other = j.where(F.col("_w") != F.col("_p")).withColumn("why", kind("_p", "_w"))
+    other = j.where(F.col("_w") != F.col("_p")).withColumn("why", difference(F.col("_p"), F.col("_w")))
     return same.unionByName(other).withColumn("split", F.concat_ws(" ", "_a", "_b")).drop("_a", "_b", "_w", "_p")

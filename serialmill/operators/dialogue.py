@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from serialmill.functions import speakers
 from serialmill.functions import text as T
-from serialmill.functions.speakers import attribute
+from serialmill.operators.corpus import text_blocks
 from serialmill.operators.registry import registry
-from serialmill.session import ship_code
 from serialmill.sources.bindings import table, turns
 
 QUERIES, ORACLES, query = registry()
@@ -56,19 +55,6 @@ def chat_runs(spark, d):
     return turns(spark, d).select("conv_id", "turn", (~F.col("speaker").eqNullSafe(prev)).alias("run_start"), first.alias("first_seen"))
 
 
-@query("win8_bracket_runs", f"""WITH {_T}, k AS (SELECT conv_id, turn, length(text) % 3 AS kind FROM turns), g AS (SELECT *, sum((kind = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM k)
-SELECT conv_id, turn, CASE WHEN kind = 1 THEN 'system' WHEN kind = 0 THEN 'plain' WHEN count(*) FILTER (kind = 1) OVER r >= 2 AND count(*) FILTER (kind = 1) OVER r >= count(*) FILTER (kind = 2) OVER r THEN 'system' ELSE 'chat' END AS typed
-FROM g WINDOW r AS (PARTITION BY conv_id, run)""")
-def bracket_runs(spark, d):
-    """In a run of bracketed lines, two or more system lines outvote as many ambiguous ones."""
-    k = turns(spark, d).select("conv_id", "turn", (F.length("text") % 3).alias("kind"))
-    g = k.withColumn("run", F.sum((F.col("kind") == 0).cast("int")).over(Window.partitionBy("conv_id").orderBy("turn")))
-    r = Window.partitionBy("conv_id", "run")
-    n = lambda v: F.count_if(F.col("kind") == v).over(r)
-    typed = F.when(F.col("kind") == 1, "system").when(F.col("kind") == 0, "plain").when((n(1) >= 2) & (n(1) >= n(2)), "system").otherwise("chat")
-    return g.select("conv_id", "turn", typed.alias("typed"))
-
-
 # Labels that are no handles.
 SYSTEM_WORDS = """target objective quest mission system warning alert error notice status update analysis scan scanning
 affirmative negative ping alarm note task designation species race class rank level skill title""".split()
@@ -109,6 +95,34 @@ def chat_lines(spark, d):
     return p.select("conv_id", "turn", F.col("c.user").alias("handle"), F.col("c.location").alias("location"))
 
 
+#: Lines as they stand in a text: plain ones, readouts (a label that is no handle, several words without a colon), and lines that may be chat.
+_LINE_SQL = """CASE (conv_id * 7 + turn * 3) % 8 WHEN 0 THEN 'They went on.' WHEN 1 THEN '[Quest: find ' || turn || ']' WHEN 2 THEN '[A door opens]' WHEN 3 THEN '[System: go]'
+  WHEN 4 THEN '[' || role || conv_id || ': well said]' WHEN 5 THEN '[' || role || conv_id || ' (Earth): hi]' ELSE '[Host: ' || role || ']' END"""
+
+
+@query("win8_bracket_runs", f"""WITH l AS (SELECT conv_id, turn, {_LINE_SQL} AS line FROM conversations),
+k AS (SELECT *, starts_with(line, '[') AS bracket, CASE WHEN NOT starts_with(line, '[') THEN 'plain' WHEN starts_with(line, '[Quest') OR starts_with(line, '[System') OR NOT contains(line, ':') THEN 'system' ELSE 'chat' END AS kind, contains(line, '(') AS placed FROM l),
+g AS (SELECT *, count(*) FILTER (NOT bracket) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM k)
+SELECT conv_id, turn, CASE WHEN kind = 'chat' AND NOT placed AND count(*) FILTER (kind = 'system') OVER r >= 2 AND count(*) FILTER (kind = 'system') OVER r >= count(*) FILTER (kind = 'chat' AND NOT placed) OVER r THEN 'system' ELSE kind END AS typed
+FROM g WINDOW r AS (PARTITION BY conv_id, run)""")
+def bracket_runs(spark, d):
+    """Bracketed lines are chat if they parse as it, else system. In a run of them two system lines or more outvote as many that may be chat; a line with a place is always chat."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_LINE_SQL).alias("line"))
+    return bracket_kinds(lines, "conv_id", "turn").select("conv_id", "turn", "typed")
+
+
+def bracket_kinds(lines, key: str, order: str):
+    """WIN8: ``lines`` (key, order, line) with ``typed``: plain, system or chat."""
+    k = lines.withColumn("_chat", parse_chat(F.col("line"))).withColumn("_bracket", F.coalesce(F.trim("line").rlike(r"(?s)^\[.*\]$"), F.lit(False)))
+    k = k.withColumn("_kind", F.when(~F.col("_bracket"), "plain").when(F.col("_chat").isNull(), "system").otherwise("chat"))
+    k = k.withColumn("_run", F.count_if(~F.col("_bracket")).over(Window.partitionBy(key).orderBy(order)))
+    run = Window.partitionBy(key, "_run")
+    open_ = (F.col("_kind") == "chat") & (F.col("_chat.location") == "")
+    n_system, n_open = F.count_if(F.col("_kind") == "system").over(run), F.count_if(F.coalesce(open_, F.lit(False))).over(run)
+    typed = F.when(open_ & (n_system >= 2) & (n_system >= n_open), "system").otherwise(F.col("_kind"))
+    return k.withColumn("typed", typed).drop("_chat", "_bracket", "_kind", "_run")
+
+
 POOL = 7
 _HEX = "0123456789abcdef"
 
@@ -124,6 +138,47 @@ def voice_pick(spark, d, pool: int = POOL):
     return h.select("conv_id", "handle", mod.alias("voice"))
 
 
+def chat_voices(handles, key: str, pool: int):
+    """WIN19: (key, handle, place, pin) -> (key, handle, voice). In the order of their places: a pinned handle has its pin; another one the voice of its hash, or, if that is taken
+    while a voice is free, the first free one. Once as many handles without a pin came as there are voices, none is free; so only those before are folded, with the
+    taken voices as bits, and all later ones have their hash."""
+    digits = F.filter(F.split(F.sha1("handle"), ""), lambda c: c != "")
+    value = lambda c: F.call_function("instr", F.lit(_HEX), c) - 1
+    hashed = F.aggregate(digits, F.lit(0), lambda a, c: ((a * 16 + value(c)) % pool).cast("int"))
+    along = Window.partitionBy(key).orderBy("place", "handle").rowsBetween(Window.unboundedPreceding, 0)
+    h = handles.withColumn("_hash", hashed).withColumn("_free", F.count_if(F.col("pin").isNull()).over(along))
+    late = h.where(F.col("_free") > pool).select(key, "handle", F.coalesce("pin", "_hash").alias("voice"))
+    g = h.where(F.col("_free") <= pool).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "handle", "pin", "_hash"))).alias("h"))
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v)
+    taken = lambda used, v: F.call_function("getbit", used, v) == 1
+    first = lambda used: F.get(F.filter(F.sequence(F.lit(0), F.lit(pool - 1)), lambda v: ~taken(used, v)), F.lit(0))
+
+    def step(a, x):
+        voice = F.coalesce(x["pin"], F.when(taken(a["used"], x["_hash"]) & (F.bit_count(a["used"]) < pool), first(a["used"])).otherwise(x["_hash"]))
+        return F.struct(a["used"].bitwiseOR(bit(voice)).alias("used"), F.concat(a["voices"], F.array(voice)).alias("voices"))
+
+    voices = F.aggregate("h", F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("voices")), step)["voices"]
+    early = g.select(key, F.inline(F.zip_with("h", voices, lambda x, v: F.struct(x["handle"].alias("handle"), v.alias("voice")))))
+    return early.unionByName(late)
+
+
+@query("win19_first_voices", f"""WITH RECURSIVE t AS (SELECT conv_id % 20 AS chapter, role || conv_id % 60 AS handle, conv_id * 1000 + turn AS place, conv_id % 60 AS k FROM conversations),
+h AS (SELECT chapter, handle, min(place) AS place, CASE WHEN min(k) % 12 = 0 AND starts_with(handle, 'user') THEN (min(k) % {POOL})::INT END AS pin,
+  list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1(handle), ''), lambda c: (strpos('{_HEX}', c) - 1)::BIGINT)), lambda a, x: (a * 16 + x) % {POOL})::INT AS pick FROM t GROUP BY chapter, handle),
+o AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY place, handle) AS n FROM h),
+r AS (SELECT chapter, 0::BIGINT AS n, ''::VARCHAR AS handle, NULL::INT AS voice, []::INT[] AS used FROM (SELECT DISTINCT chapter FROM h)
+  UNION ALL SELECT chapter, n, handle, voice, list_distinct(list_append(used, voice)) FROM (
+    SELECT r.chapter, o.n, o.handle, r.used, CASE WHEN o.pin IS NOT NULL THEN o.pin WHEN list_contains(r.used, o.pick) AND len(r.used) < {POOL} THEN list_filter(range({POOL}), lambda v: NOT list_contains(r.used, v::INT))[1]::INT ELSE o.pick END AS voice
+    FROM r JOIN o ON o.chapter = r.chapter AND o.n = r.n + 1))
+SELECT chapter, handle, voice FROM r WHERE n > 0""")
+def first_voices(spark, d, pool: int = POOL):
+    """The first distinct handles of a chapter have distinct voices; some users are pinned. Here twenty chapters share the conversations."""
+    t = turns(spark, d).select((F.col("conv_id") % 20).alias("chapter"), F.concat("speaker", (F.col("conv_id") % 60).cast("string")).alias("handle"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), (F.col("conv_id") % 60).alias("k"))
+    h = t.groupBy("chapter", "handle").agg(F.min("place").alias("place"), F.min("k").alias("k"))
+    pin = F.when((F.col("k") % 12 == 0) & F.col("handle").startswith("user"), (F.col("k") % pool).cast("int"))
+    return chat_voices(h.select("chapter", "handle", "place", pin.alias("pin")), "chapter", pool)
+
+
 @query("joi20_voice_assignment", f"""WITH {_T}, c AS (SELECT conv_id AS speaker, conv_id % 3 AS gender, count(*) AS n FROM turns GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY gender ORDER BY n DESC, speaker) AS k FROM c WHERE gender < 2),
 v AS (SELECT s_suppkey % 2 AS gender, s_name, row_number() OVER (PARTITION BY s_suppkey % 2 ORDER BY s_name) AS k FROM supplier WHERE s_suppkey % 5 <> 0)
@@ -131,10 +186,15 @@ SELECT c.speaker, CASE WHEN c.gender = 2 THEN '' ELSE coalesce(v.s_name, 'defaul
 def voice_assignment(spark, d):
     """Speakers by number of lines take the free voices of their gender in turn; unknown gender stays empty, and past the pool's end there is the default."""
     c = turns(spark, d).groupBy(F.col("conv_id").alias("speaker")).agg(F.count("*").alias("n")).withColumn("gender", F.col("speaker") % 3)
-    ranked = c.withColumn("k", F.row_number().over(Window.partitionBy("gender").orderBy(F.col("n").desc(), "speaker")))
     s = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select((F.col("s_suppkey") % 2).alias("gender"), "s_name")
     pool = s.withColumn("k", F.row_number().over(Window.partitionBy("gender").orderBy("s_name")))
-    j = ranked.join(pool, ["gender", "k"], "left")
+    most = pool.groupBy("gender").agg(F.max("k").alias("most"))
+    # only as many speakers as there are voices can have one: they are ranked within slices of the speakers first, so no task sorts all of a gender
+    order = [F.col("n").desc(), F.col("speaker")]
+    cut = c.join(F.broadcast(most), "gender").withColumn("k", F.row_number().over(Window.partitionBy("gender", F.pmod(F.xxhash64("speaker"), F.lit(64))).orderBy(*order))).where("k <= most")
+    ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy("gender").orderBy(*order))).where("k <= most").select("speaker", "gender", "k")
+    voiced = ranked.join(pool, ["gender", "k"]).select("speaker", "s_name")
+    j = c.join(voiced, "speaker", "left")
     return j.select("speaker", F.when(F.col("gender") == 2, "").otherwise(F.coalesce("s_name", F.lit("default"))).alias("voice"))
 
 
@@ -170,16 +230,8 @@ def quote_split(spark, d):
 
 @query("win9_speaker_fold")
 def speaker_fold(spark, d):
-    """Each quote and stretch of narration of a chapter with its speaker: tag, pronoun by gender, subject, last speaker, vocative guard. A chapter is one
-    row, and its fold carries a few names; chapters without a quote never leave the JVM."""
-    ship_code(spark)
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in attribute(t.split("\n"))]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "block_no", "piece", "kind", "speaker", "body"])
-
-    docs = table(spark, d, "documents").select("doc_id", T.straight_quotes(F.col("text")).alias("t")).where(F.contains("t", F.lit('"')))
-    return docs.mapInArrow(run, "doc_id bigint, block_no int, piece int, kind string, speaker string, body string")
+    """Each quote and stretch of narration of a chapter with its speaker: tag, pronoun by gender, subject, last speaker, vocative guard. Blocks are
+    paragraphs (SRC2); chapters without a quote are left out before anything is shuffled."""
+    text = T.straight_quotes(F.col("text"))
+    b = table(spark, d, "documents").where(F.contains(text, F.lit('"'))).select("doc_id", F.posexplode(text_blocks(text)).alias("block_no", "b"))
+    return speakers.attribute(b.where("b.kind = 'paragraph'").select("doc_id", "block_no", "b.body"))

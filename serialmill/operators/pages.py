@@ -8,16 +8,13 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from serialmill.functions.runs import without_title
+from serialmill.functions.runs import squash, title_forms, without_title
 from serialmill.operators.registry import registry
 from serialmill.session import ship_code
 from serialmill.sources.bindings import table
 
 QUERIES, ORACLES, query = registry()
 
-HEAD = 20000  # typing looks at the head of a page only, as the rule says
-
-
 @query("src1_page_scan", "SELECT page_id, url, octet_length(encode(html)) AS n_bytes, contains(html, '<article>') AS is_chapter FROM pages")
 def page_scan(spark, d):
     return table(spark, d, "pages").select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"), F.contains("html", F.lit("<article>")).alias("is_chapter"))
@@ -120,9 +117,21 @@ def url_norm(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.lower("url"), "[?#].*$", ""), "/+$", "").alias("url"))
 
 
-@query("str21_title_squash", r"SELECT page_id, regexp_replace(lower(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '[^a-z0-9]+', '', 'g') AS squashed FROM pages")
+@query("str21_title_squash", r"SELECT page_id, trim(regexp_replace(lower(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '[^a-z0-9]+', ' ', 'g')) AS squashed FROM pages")
 def title_squash(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower(_first("h1")), "[^a-z0-9]+", "").alias("squashed"))
+    """One space for every run of what is no letter or digit."""
+    return table(spark, d, "pages").select("page_id", squash(_first("h1")).alias("squashed"))
+
+
+@query("str21_title_forms", r"""WITH t AS (SELECT page_id, 5 + page_id % 15 AS n, trim(regexp_replace(lower(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '[^a-z0-9]+', ' ', 'g')) AS name FROM pages),
+w AS (SELECT *, [n::VARCHAR, ['five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'][n - 4]] AS ns FROM t),
+h AS (SELECT page_id, name, list_concat(ns, list_transform(ns, lambda x: 'chapter ' || x)) AS hs FROM w)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([name], hs, list_transform(hs, lambda x: trim(x || ' ' || name))), lambda f: f <> ''))), '|') AS forms FROM h""")
+def forms_of_titles(spark, d):
+    """All ways to write a page's heading with a chapter number before it: in digits or words, with and without "chapter", alone and before the name."""
+    title = F.concat(F.lit("Ch. "), (5 + F.col("page_id") % 15).cast("string"), F.lit(": "), _first("h1"))
+    trimmed = F.transform(title_forms(title), lambda f: F.trim(f))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(trimmed)), "|").alias("forms"))
 
 
 @query("joi5_page_filing", rf"""WITH t AS (SELECT page_id, try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS chapter_id FROM pages)
@@ -272,22 +281,25 @@ def blocks_of_pages(spark, d):
     return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, block_no int, kind string, body string")
 
 
-@query("win15_page_texts")
-def texts_of_pages(spark, d):
-    """WIN15: typed blocks of each page without the leading ones that repeat its heading; one pass of the HTML parser."""
+def page_block_arrays(spark, d):
+    """(page_id, blocks array<struct<kind, body>>): the HTML pass with a page's blocks on its own row."""
     ship_code(spark)
+    block = pa.struct([("kind", pa.string()), ("body", pa.string())])
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                blocks = page_blocks(h)
-                title = next((t for kind, t in blocks if kind == "heading"), "")
-                rows += [(i, k, *x) for k, x in enumerate(without_title(blocks, title))]
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["page_id", "block_no", "kind", "body"])
+            found = [[{"kind": k, "body": t} for k, t in page_blocks(h)] for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(block))], names=["page_id", "blocks"])
 
-    return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, block_no int, kind string, body string")
+    return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id bigint, blocks array<struct<kind:string,body:string>>")
+
+
+@query("win15_page_texts")
+def texts_of_pages(spark, d):
+    """WIN15: typed blocks of each page without the leading ones that repeat its heading; after the HTML pass all is columns."""
+    title = F.get(F.filter("blocks", lambda b: b["kind"] == "heading"), F.lit(0))["body"]
+    p = page_block_arrays(spark, d).withColumn("blocks", without_title(F.col("blocks"), F.coalesce(title, F.lit(""))))
+    return p.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", "b.kind", "b.body")
 
 
 @query("win15_title_echo", r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<p><b>(.*?)<br>', 1) AS p1 FROM pages)

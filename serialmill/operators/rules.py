@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from serialmill.functions import runs
-from serialmill.functions import spoken as S
+from serialmill.functions import hooks, runs
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
 from serialmill.operators import corpus
 from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, PAUSES, SENTENCES_SQL, TOKENS_SQL, names, tokens, word_counts
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
-from serialmill.session import ship_code
 from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, lines, table
 
 QUERIES, ORACLES, query = registry()
@@ -81,12 +78,14 @@ def lead_from_tags(spark, d):
 # --- normalisation steps
 
 
-@query("str15_system_clauses", f"""WITH {LINES_SQL} SELECT doc_id, trim(string_agg(trim(line) || CASE WHEN regexp_matches(trim(line), '[.!?:,;]$') THEN ' ' ELSE '. ' END, '' ORDER BY line_no)) AS body FROM lines GROUP BY doc_id""")
+@query("str15_system_clauses", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]{2,}', ' ', 'g'), ' ' || chr(9))), lambda x: x <> '') AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || CASE WHEN i = len(ls) THEN '' WHEN ends_with(ls[i], ':') THEN ' ' ELSE '. ' END), '') AS body FROM l WHERE len(ls) > 0""")
 def system_clauses(spark, d):
-    """Lines of a box become clauses; a line without closing punctuation gets a period."""
-    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    closed = F.transform(parts, lambda x: F.concat(x, F.when(x.rlike("[.!?:,;]$"), " ").otherwise(". ")))
-    return table(spark, d, "documents").where(F.size(parts) > 0).select("doc_id", F.trim(F.array_join(closed, "")).alias("body"))
+    """Lines of a box become clauses; a header line that ends with a colon is bound to the next, and the last line is left as it is."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}", " "), r"^[ \t]+|[ \t]+$", "")
+    ls = F.filter(F.transform(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1), clean), lambda x: x != "")
+    joined = lambda a: F.array_join(F.transform(a, lambda x, i: F.concat(x, F.when(i == F.size(a) - 1, "").when(x.endswith(":"), " ").otherwise(". "))), "")
+    return table(spark, d, "documents").select("doc_id", ls.alias("ls")).where(F.size("ls") > 0).select("doc_id", joined(F.col("ls")).alias("body"))
 
 
 @query("str2_paragraphs", r"""WITH p AS (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n') AS ps, list_transform(regexp_extract_all(text, '\n[ \t]*\n'), lambda x: length(x)) AS gaps FROM documents), i AS (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p)
@@ -211,18 +210,11 @@ def speech_tags(spark, d):
 
 @query("win11_machine_pieces")
 def machine_pieces(spark, d, marker: str = "***"):
-    """WIN11: pieces of chapters with a marker and whether the machine voice reads them; a chapter is one row, others never leave the JVM."""
-    ship_code(spark)
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in runs.machine_runs([("paragraph", x) for x in t.split("\n") if x.strip()], marker)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "block_no", "piece", "kind", "machine", "body"])
-
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit(marker))).select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id bigint, block_no int, piece int, kind string, machine boolean, body string")
+    """WIN11: pieces of chapters with a marker and whether the machine voice reads them. Lines are the blocks here, typed, so that scene breaks end a run."""
+    has = lines(spark, d).join(table(spark, d, "documents").where(F.contains("text", F.lit(marker))).select("doc_id"), "doc_id", "left_semi")
+    kind = F.when(T.is_scene_break(F.col("line")), "scene_break").otherwise("paragraph")
+    b = has.select("doc_id", F.col("line_no").alias("block_no"), kind.alias("kind"), F.col("line").alias("body"), F.lit(False).alias("emphasised"))
+    return runs.machine_runs(b, marker=marker)
 
 
 @query("win11_machine_runs", """WITH p AS (SELECT doc_id, string_split(text, '*') AS ps FROM documents WHERE contains(text, '*')), q AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
@@ -253,17 +245,35 @@ def emphasis_share(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(bold).cast("bigint").alias("n_bold"), F.length(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)).cast("bigint").alias("n_article"))
 
 
-@query("str22_sound_classes", """WITH p AS (SELECT p_partkey, p_name AS whole, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'n', 'ng') WHEN 1 THEN replace(p_name, 's', 'z') WHEN 2 THEN replace(p_name, 'e', 'a') ELSE p_name || 't' END AS parts FROM part)
-SELECT p_partkey, CASE WHEN parts = whole THEN 'same' WHEN replace(parts, 'ng', 'n') = replace(whole, 'ng', 'n') THEN 'n/ng' WHEN replace(parts, 'z', 's') = replace(whole, 'z', 's') THEN 's/z'
-  WHEN translate(parts, 'aeiou', '') = translate(whole, 'aeiou', '') THEN 'vowel' ELSE 'other' END AS difference FROM p""")
+#: Letters to sounds, roughly, in place of a phonemizer: pattern and replacement, in order.
+SOUNDS = [("n([kg])", "ŋ$1"), ("([aeiou])s$", "$1z"), ("e$", ""), ("er$", "ɚ"), ("^([a-z]{1,2})o", "$1ʌ"), ("a([a-z]{6,})", "ə$1")]
+
+
+def sounds(word):
+    for pattern, to in SOUNDS:
+        word = F.regexp_replace(word, pattern, to)
+    return word
+
+
+def _sounds_sql(word: str) -> str:
+    for pattern, to in SOUNDS:
+        word = f"regexp_replace({word}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return word
+
+
+_BARE = "regexp_replace({0}, '[aeiouɐəɚɪɛʌʊɔɑæɜᵻɒ]', '', 'g')"
+
+
+@query("str22_sound_classes", rf"""WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), s AS (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)),
+p AS (SELECT a || b AS word, a AS left_part, b AS right_part, {_sounds_sql("a")} AS pa, {_sounds_sql("b")} AS pb, {_sounds_sql("a || b")} AS whole FROM s),
+q AS (SELECT *, pa || pb AS parts FROM p)
+SELECT word, left_part, right_part, whole, pa || ' ' || pb AS split, CASE WHEN parts = whole THEN CASE WHEN right(pa, 1) || left(pb, 1) IN ('tʃ', 'dʒ', 'tj', 'dj') THEN 'joins' ELSE 'ok' END
+  WHEN replace(parts, 'ŋ', 'n') = replace(whole, 'ŋ', 'n') AND len(list_filter(range(1, length(whole) + 1), lambda i: parts[i] <> whole[i] AND NOT (parts[i] = 'n' AND whole[i] = 'ŋ'))) = 0 THEN 'n→ng'
+  WHEN regexp_replace(parts, '[sz]', '', 'g') = regexp_replace(whole, '[sz]', '', 'g') THEN 's/z' WHEN {_BARE.format("parts")} = {_BARE.format("whole")} THEN 'vowel' ELSE 'differs' END AS why FROM q""")
 def sound_classes(spark, d):
-    """How two phoneme strings differ; here a part's name and a changed copy stand for them."""
-    n = F.col("p_name")
-    rep = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
-    k = F.col("p_partkey") % 4
-    parts = F.when(k == 0, rep(n, "n", "ng")).when(k == 1, rep(n, "s", "z")).when(k == 2, rep(n, "e", "a")).otherwise(F.concat(n, F.lit("t")))
-    p = table(spark, d, "part").select("p_partkey", n.alias("whole"), parts.alias("parts"))
-    a, b = F.col("parts"), F.col("whole")
-    same = lambda f: f(a) == f(b)
-    out = F.when(a == b, "same").when(same(lambda x: rep(x, "ng", "n")), "n/ng").when(same(lambda x: rep(x, "z", "s")), "s/z").when(same(lambda x: F.translate(x, "aeiou", "")), "vowel").otherwise("other")
-    return p.select("p_partkey", out.alias("difference"))
+    """STR22, UDF2: words put together from two neighbours of ``benchmark``: how the sounds of the whole differ from those of its halves, over a table of words and sounds."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pair = lambda w, i: F.struct(w.alias("left_part"), F.get(ws, i + 1).alias("right_part"))
+    s = table(spark, d, "benchmark").select(F.inline(F.transform(ws, pair))).where("right_part IS NOT NULL").distinct().withColumn("word", F.concat("left_part", "right_part"))
+    known = s.select(F.explode(F.array("word", "left_part", "right_part")).alias("word")).distinct()
+    return hooks.judged(s, known.withColumn("phonemes", sounds(F.col("word"))))

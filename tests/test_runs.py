@@ -1,27 +1,44 @@
 """Machine-voice runs and title echoes on literal blocks."""
 
-from serialmill.functions.runs import machine_runs, title_forms, without_title
+from pyspark.sql import functions as F
 
+from serialmill.functions import runs
 
-def voices(*texts, kinds=None, **kw):
-    return [(t.strip(), m) for _, _, _, m, t in machine_runs([(kinds[i] if kinds else "paragraph", t) for i, t in enumerate(texts)], **kw)]
+# The cases of this file fix the behaviour of the rules.
+RUNS = [
+    (["She answered. //5B.//"], [("She answered.", False), ("5B.", True)]),
+    (["//Status:", ("system", "HP 5"), "Report//.", "Plain"], [("Status:", True), ("HP 5", True), ("Report", True), ("Plain", False)]),
+    (["//Never closed", "plain text", "more"], [("Never closed", True), ("plain text", False), ("more", False)]),
+    (["//Open", ("emphasised", "in italics"), "x"], [("Open", True), ("in italics", True), ("x", False)]),
+    (["//Open", ("heading", "Head"), ("system", "tail")], [("Open", True), ("Head", False), ("tail", False)]),
+    (["see http://a.b/c", "a //b// c"], [("see http://a.b/c", False), ("a", False), ("b", True), ("c", False)]),
+    ([""], [("", False)]),
+    (["// // foo", ("system", "bar")], [("foo", False), ("bar", False)]),  # opens, then turns
+    (["a // b // c // d //."], [("a", False), ("b", True), ("c", False), ("d", True)]),
+]
 
 
-def test_machine_runs():
-    assert voices("She answered. //5B.//") == [("She answered.", False), ("5B.", True)]
-    assert voices("//Status:", "HP 5", "Report//.", "Plain", kinds=["paragraph", "system", "paragraph", "paragraph"]) == [("Status:", True), ("HP 5", True), ("Report", True), ("Plain", False)]
-    assert voices("//Never closed", "plain text", "more") == [("Never closed", True), ("plain text", False), ("more", False)]
-    assert voices("//Open", "in italics", "x", emphasised=frozenset({1})) == [("Open", True), ("in italics", True), ("x", False)]
-    assert voices("//Open", "Head", "tail", kinds=["paragraph", "heading", "system"]) == [("Open", True), ("Head", False), ("tail", False)]
-    assert voices("see http://a.b/c", "a //b// c") == [("see http://a.b/c", False), ("a", False), ("b", True), ("c", False)]
-    assert voices("") == [("", False)]
+def test_machine_runs(spark):
+    rows = []
+    for k, (blocks, _) in enumerate(RUNS):
+        for n, b in enumerate(blocks):
+            kind, text = b if isinstance(b, tuple) else ("paragraph", b)
+            rows.append((k, n, "paragraph" if kind == "emphasised" else kind, text, kind == "emphasised"))
+    got = runs.machine_runs(spark.createDataFrame(rows, "doc_id int, block_no int, kind string, body string, emphasised boolean")).collect()
+    for k, (_, want) in enumerate(RUNS):
+        mine = sorted((r["block_no"], r["piece"], r["body"].strip(), r["machine"]) for r in got if r["doc_id"] == k)
+        assert [m[2:] for m in mine] == want
 
 
-def test_title_echo():
-    spell = {17: "seventeen"}.get
-    assert title_forms("Chapter 17 - Plans Manifest", spell) >= {"17", "chapter 17", "seventeen", "plans manifest", "chapter 17 plans manifest", "chapter seventeen plans manifest"}
+def test_title_echo(spark):
+    forms = spark.createDataFrame([("Chapter 17 - Plans Manifest",)], "t string").select(runs.title_forms(F.col("t"))).first()[0]
+    assert {"17", "chapter 17", "seventeen", "plans manifest", "chapter 17 plans manifest", "chapter seventeen plans manifest"} <= set(forms)
     text = [("heading", "Chapter 17"), ("paragraph", "Plans Manfiest"), ("paragraph", "It rained."), ("paragraph", "17")]
-    assert without_title(text, "Chapter 17 - Plans Manifest", spell=spell) == text[2:]
-    assert without_title(text, "Other") == text and without_title([], "x") == [] and without_title(text, "") == text
-    long = [("paragraph", "x" * 121)]
-    assert without_title(long, "x" * 121) == long
+    cases = [
+        (text, "Chapter 17 - Plans Manifest", text[2:]), (text, "Other", text), ([], "x", []), (text, "", text), ([("paragraph", "x" * 121)], "x" * 121, [("paragraph", "x" * 121)]),
+        ([("paragraph", "Chapter Seventeen"), ("paragraph", "The Gate"), ("paragraph", "On.")], "Chapter 17: The Gate", [("paragraph", "On.")]), ([("paragraph", "17")] * 6, "17", [("paragraph", "17")] * 2),
+        ([("system", "17")], "17", [("system", "17")]),
+    ]
+    df = spark.createDataFrame([(b, t) for b, t, _ in cases], "blocks array<struct<kind:string,body:string>>, title string")
+    got = [[tuple(b) for b in r[0]] for r in df.select(runs.without_title(F.col("blocks"), F.col("title"))).collect()]
+    assert got == [want for _, _, want in cases]
