@@ -211,21 +211,26 @@ GRAM = 8
 def resolve(keys: DataFrame, known: DataFrame, alias: DataFrame) -> DataFrame:
     """Each key's series and the rank of its match: exact slug 0, alias 1, prefix 2, part of the slug 3, part of the title 4; the best, then the lowest id.
 
-    ``keys``: want, key; ``known``: series, slug, title; ``alias``: series, slug. All by equal values: a key that is part of a name has
-    its last GRAM characters (all, if it has fewer) among the name's grams of that length, and is compared only with those names.
+    ``keys``: want, key; ``known``: series, slug, title; ``alias``: series, slug. Each distinct key is resolved once, all by equal values: by slug, by alias, and
+    only then as a part of a name. Such a key is compared with the names that hold the rarest of its own grams of GRAM characters (of the key itself, if it has fewer).
     """
-    gram = F.lower(F.right("key", F.lit(GRAM)))
-    asked = keys.where("key <> ''").select("want", "key", gram.alias("gram"))
-    exact = asked.join(known.select("series", F.col("slug").alias("key")), "key").select("want", "key", F.lit(0).alias("r"), "series")
-    former = asked.join(alias.select("series", F.col("slug").alias("key")), "key").select("want", "key", F.lit(1).alias("r"), "series")
-    sizes = F.broadcast(asked.select(F.length("gram").alias("n")).distinct())  # GRAM rows at most
+    asked = keys.where("key <> ''").select("key").distinct()
+    exact = asked.join(known.select("series", F.col("slug").alias("key")), "key").groupBy("key").agg(F.min("series").alias("series")).select("key", F.lit(0).alias("r"), "series")
+    former = asked.join(alias.select("series", F.col("slug").alias("key")), "key").groupBy("key").agg(F.min("series").alias("series")).select("key", F.lit(1).alias("r"), "series")
+    sure = exact.unionByName(former)
+    left = asked.join(sure, "key", "left_anti").withColumn("n", F.least(F.length("key"), F.lit(GRAM)))
+    cut = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.lower(F.substring(c, i, n))))
+    own = left.select("key", F.explode(cut(F.col("key"), F.col("n"))).alias("gram"))
+    sizes = F.broadcast(left.select("n").distinct())  # GRAM rows at most
     name = F.lower(F.concat_ws("\u0001", "slug", "title"))
     spread = known.select("series", "slug", "title", name.alias("name")).join(sizes, F.length("name") >= F.col("n"))
-    grams = spread.select("series", "slug", "title", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring("name", i, F.col("n"))))).alias("gram"))
+    grams = spread.select("series", "slug", "title", F.explode(cut(F.col("name"), F.col("n"))).alias("gram"))
+    count = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    rarest = own.join(count, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("m")).where("m.names > 0").select("key", "m.gram")
     rank = F.when(F.col("slug").startswith(F.col("key")), 2).when(F.contains("slug", "key"), 3).when(F.contains(F.lower("title"), F.lower("key")), 4)
-    part = asked.join(grams, "gram").select("want", "key", rank.alias("r"), "series").where("r IS NOT NULL")
-    best = exact.unionByName(former).unionByName(part).groupBy("want", "key").agg(F.min(F.struct("r", "series")).alias("m"))
-    return best.select("want", "key", F.col("m.series").alias("found"), F.col("m.r").alias("match_rank"))
+    part = rarest.join(grams, "gram").select("key", rank.alias("r"), "series").where("r IS NOT NULL")
+    best = sure.unionByName(part).groupBy("key").agg(F.min(F.struct("r", "series")).alias("m"))
+    return keys.join(best, "key").select("want", "key", F.col("m.series").alias("found"), F.col("m.r").alias("match_rank"))
 
 
 @query("joi15_alias_resolution", _with(SERIES_SQL, ALIAS_SQL) + """,
@@ -265,18 +270,69 @@ def rename(spark, d):
     return s.select("series", F.col("now").alias("slug"), F.array_join(F.array_sort(F.array_distinct(kept)), ",").alias("aliases"))
 
 
-@query("joi24_toc_merge", _with(CHAPTERS_SQL) + """
-SELECT series, count(*) AS n_rows, count(*) FILTER (old) AS n_known, min(ord) = 0 AND max(ord) = count(*) - 1 AND count(DISTINCT ord) = count(*) AS complete
-FROM (SELECT coalesce(a.series, b.series) AS series, coalesce(a.ord, b.ord) AS ord, b.series IS NOT NULL AS old
-  FROM (SELECT * FROM chapters WHERE n % 4 <> 0) a FULL JOIN (SELECT * FROM chapters WHERE n % 3 = 0) b ON a.series = b.series AND a.source_id = b.source_id) GROUP BY series""")
-def toc_merge(spark, d):
-    """Rows of listed pages merged with the known list; complete when places run from 0 without a gap."""
+PAGE_ROWS = 4
+
+#: A walk over listed pages: most lists have grown by a few chapters, some were renumbered, some are not known at all, some are said to be longer than they are.
+WALK_SQL = CHAPTERS_SQL + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY series) AS total FROM chapters),
+listed AS (SELECT series, source_id, ord, (total - 1 - ord) // {PAGE_ROWS} AS page FROM sized),
+known AS (SELECT series, source_id, CASE WHEN series % 7 = 3 AND ord >= 2 THEN ord + 1 ELSE ord END AS ord FROM sized WHERE series % 7 <> 5 AND ord < total - series % 5),
+said AS (SELECT series, max(total) + (series % 11 = 0)::INT AS total FROM sized GROUP BY series)"""
+
+
+def walked(spark, d: str):
+    """(listed: series, source_id, ord, page), (known: series, source_id, ord), (said: series, total)."""
     ch = chapters(spark, d)
-    a = ch.where("n % 4 <> 0").select("series", "source_id", F.col("ord").alias("a"))
-    b = ch.where("n % 3 = 0").select("series", "source_id", F.col("ord").alias("b"))
-    m = a.join(b, ["series", "source_id"], "full").select("series", F.coalesce("a", "b").alias("ord"), F.col("b").isNotNull().alias("old"))
-    whole = (F.min("ord") == 0) & (F.max("ord") == F.count("*") - 1) & (F.count_distinct("ord") == F.count("*"))
-    return m.groupBy("series").agg(F.count("*").alias("n_rows"), F.count_if("old").alias("n_known"), whole.alias("complete"))
+    sized = ch.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("series")))
+    listed = sized.select("series", "source_id", "ord", F.floor((F.col("total") - 1 - F.col("ord")) / PAGE_ROWS).cast("int").alias("page"))
+    place = F.when((F.col("series") % 7 == 3) & (F.col("ord") >= 2), F.col("ord") + 1).otherwise(F.col("ord"))
+    known = sized.where("series % 7 <> 5 AND ord < total - series % 5").select("series", "source_id", place.alias("ord"))
+    return listed, known, ch.groupBy("series").agg((F.count(F.lit(1)) + F.when(F.col("series") % 11 == 0, 1).otherwise(0)).alias("total"))
+
+
+def toc_walk(listed: DataFrame, known: DataFrame, said: DataFrame) -> DataFrame:
+    """JOI24: (series, outcome, pages_read, n_chapters), pages newest first. The walk ends at the first page that is settled (it overlaps what is known, and all its
+    chapters are where they were or past the end) if what is known and seen then adds up to ``total`` places without a gap: ``early``. Else all pages must add up by themselves: ``full``, or it is ``incomplete``.
+
+    Whether the places add up is followed page by page without looking at a list twice: every page moves chapters out of places and into others, and
+    running sums along the pages of a place, then of a series, tell how many places hold exactly one."""
+    k = known.select("series", "source_id", F.col("ord").alias("was"))
+    top = known.groupBy("series").agg(F.max("ord").alias("top"))
+    rows = listed.join(k, ["series", "source_id"], "left").join(top, "series", "left")
+    fits = F.when(F.col("was").isNotNull(), F.col("was") == F.col("ord")).otherwise(F.col("ord") > F.coalesce("top", F.lit(-1)))
+    pages = rows.groupBy("series", "page").agg((F.bool_or(F.col("was").isNotNull()) & F.bool_and(fits)).alias("settled"))
+    into = rows.select("series", "page", F.col("ord").alias("place"), F.lit(1).alias("moved"))
+    out = rows.where("was IS NOT NULL").select("series", "page", F.col("was").alias("place"), F.lit(-1).alias("moved"))
+    before = k.select("series", F.lit(-1).alias("page"), F.col("was").alias("place"), F.lit(1).alias("moved"))
+    moves = into.unionByName(out).unionByName(before).groupBy("series", "place", "page").agg(F.sum("moved").alias("moved")).join(said, "series")
+    at = Window.partitionBy("series", "place").orderBy("page")
+    held = F.sum("moved").over(at.rowsBetween(Window.unboundedPreceding, 0))
+    one = ((held == 1) & F.col("place").between(0, F.col("total") - 1)).cast("int")
+    steps = moves.withColumn("one", one)
+    steps = steps.withColumn("gained", F.col("one") - F.coalesce(F.lag("one").over(at), F.lit(0))).groupBy("series", "page").agg(F.sum("moved").alias("moved"), F.sum("gained").alias("gained"))
+    along = Window.partitionBy("series").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select("series", "page", F.sum("moved").over(along).alias("n"), F.sum("gained").over(along).alias("n_single"))
+    stops = pages.join(sums, ["series", "page"]).join(said, "series").where("settled AND n = total AND n_single = total")
+    early = stops.groupBy("series").agg(F.min("page").alias("page"))
+    whole = listed.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("places"), F.min("ord").alias("lo"), F.max("ord").alias("hi"), (F.max("page") + 1).alias("pages"))
+    j = said.join(whole, "series", "left").join(early, "series", "left")
+    full = (F.col("n") == F.col("total")) & (F.col("places") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
+    outcome = F.when(F.col("page").isNotNull(), "early").when(F.coalesce(full, F.lit(False)), "full").otherwise("incomplete")
+    read = F.coalesce(F.col("page") + 1, F.col("pages"), F.lit(0)).cast("int")
+    return j.select("series", outcome.alias("outcome"), read.alias("pages_read"), F.when(outcome != "incomplete", F.col("total")).alias("n_chapters"))
+
+
+@query("joi24_toc_merge", "WITH " + WALK_SQL + """,
+p AS (SELECT l.series, l.page, bool_or(k.ord IS NOT NULL) AND bool_and(CASE WHEN k.ord IS NOT NULL THEN k.ord = l.ord ELSE l.ord > coalesce((SELECT max(ord) FROM known x WHERE x.series = l.series), -1) END) AS settled
+  FROM listed l LEFT JOIN known k ON k.series = l.series AND k.source_id = l.source_id GROUP BY l.series, l.page),
+m AS (SELECT p.series, p.page, l.ord FROM p JOIN listed l ON l.series = p.series AND l.page <= p.page WHERE settled
+  UNION ALL SELECT p.series, p.page, k.ord FROM p JOIN known k ON k.series = p.series WHERE settled AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.series = k.series AND l.source_id = k.source_id AND l.page <= p.page)),
+e AS (SELECT series, min(page) AS page FROM (SELECT series, page FROM m JOIN said USING (series) GROUP BY series, page, total HAVING count(*) = total AND count(DISTINCT ord) = total AND min(ord) = 0 AND max(ord) = total - 1) GROUP BY series),
+f AS (SELECT series, count(*) = any_value(total) AND count(DISTINCT ord) = count(*) AND min(ord) = 0 AND max(ord) = count(*) - 1 AS whole, max(page) + 1 AS pages FROM listed JOIN said USING (series) GROUP BY series)
+SELECT series, CASE WHEN page IS NOT NULL THEN 'early' WHEN whole THEN 'full' ELSE 'incomplete' END AS outcome, coalesce(page + 1, pages)::INT AS pages_read, CASE WHEN page IS NOT NULL OR whole THEN total END AS n_chapters
+FROM said LEFT JOIN e USING (series) LEFT JOIN f USING (series)""")
+def toc_merge(spark, d):
+    """Listed pages merged with the known list, read only as far as needed."""
+    return toc_walk(*walked(spark, d))
 
 
 # --- aggregates
