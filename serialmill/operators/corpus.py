@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from serialmill.functions import spans
 from serialmill.functions import text as T
 from serialmill.operators.registry import registry
 from serialmill.sources.bindings import LINES_SQL, lines, table
@@ -257,10 +258,10 @@ _HOLD = "\u0002"  # stands for an abbreviation's period where a pattern cannot l
 
 SENTENCES_SQL = LINES_SQL + f""", cut AS (
   SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(line, '\\b({"|".join(T.ABBREVIATIONS)})\\.', '\\1{_HOLD}', 'g'),
-    '([.!?…][.!?…"'')\\]]*)[ \\t\\n]*([\\p{{Lu}}"''(\\[])', '\\1{T.CUT}\\2', 'g'), '{T.CUT}') AS parts FROM lines
+    '([.!?…][.!?…"'')\\]]*)([ \\t\\n]*)([\\p{{Lu}}"''(\\[])', '\\1\\2{T.CUT}\\3', 'g'), '{T.CUT}') AS parts FROM lines
 ), sentences AS (
-  SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS sent_no, s AS sentence
-  FROM (SELECT doc_id, line_no, k, trim(replace(parts[k], '{_HOLD}', '.')) AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut)) WHERE s <> ''
+  SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS sent_no, s AS sentence, start
+  FROM (SELECT doc_id, line_no, k, trim(replace(parts[k], '{_HOLD}', '.')) AS s, (length(array_to_string(parts[1:k - 1], '')) + length(parts[k]) - length(ltrim(parts[k])))::INT AS start FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut)) WHERE s <> ''
 )"""
 
 
@@ -268,9 +269,11 @@ def sentence_rows(spark, d: str) -> DataFrame:
     return lines(spark, d).select("doc_id", "source", "line_no", F.posexplode(T.sentences(F.col("line"))).alias("sent_no", "sentence"))
 
 
-@query("str1_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, line_no, sent_no, sentence FROM sentences")
+@query("str1_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, line_no, sent_no, start, sentence FROM sentences")
 def sentence_split(spark, d):
-    return sentence_rows(spark, d).select("doc_id", "line_no", "sent_no", "sentence")
+    """Sentences with their places in the line."""
+    s = lines(spark, d).select("doc_id", "line_no", F.posexplode(spans.sentences(F.col("line"))).alias("sent_no", "s"))
+    return s.select("doc_id", "line_no", "sent_no", "s.start", F.col("s.body").alias("sentence"))
 
 
 PAUSES = {"sentence": 250, "paragraph": 600, "ellipsis": 300}

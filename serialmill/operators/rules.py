@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from serialmill.functions import hooks, runs
+from serialmill.functions import hooks, runs, spans
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
 from serialmill.operators import corpus
@@ -238,6 +238,42 @@ def emphasis_blocks(spark, d):
     return n.withColumn("thought", (F.col("n_chars") > 0) & (10 * F.col("n_bold") >= 6 * F.col("n_chars")))
 
 
+def emphasised_blocks(spark, d):
+    """(page_id, block_no, text, spans): what follows each <p> of a page, without tags, with the spans of its emphasis."""
+    parts = F.split("html", "<p>", -1)
+    b = table(spark, d, "pages").select("page_id", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("block_no", "x"))
+    return b.select("page_id", "block_no", spans.tagged_text(F.col("x")).alias("t")).select("page_id", "block_no", "t.text", "t.spans")
+
+
+#: The same blocks, with a span's place as the length of all text before it.
+_SPANS_SQL = rf"""ps AS (SELECT page_id, string_split(html, '<p>')[2:] AS ps FROM pages), xs AS (SELECT page_id, unnest(range(len(ps)))::INT AS block_no, unnest(ps) AS x FROM ps),
+bits AS (SELECT page_id, block_no, regexp_extract_all(x, '<[^>]*>|[^<]+|<') AS bs FROM xs),
+blocks AS (SELECT page_id, block_no, array_to_string(list_filter(bs, lambda y: NOT regexp_matches(y, '^<[^>]*>$')), '') AS line FROM bits),
+bold AS (SELECT page_id, block_no, length(array_to_string(list_filter(bs[:i - 1], lambda y: NOT regexp_matches(y, '^<[^>]*>$')), ''))::INT AS a, length(bs[i])::INT AS n
+  FROM (SELECT *, unnest(range(2, len(bs) + 1)) AS i FROM bits) WHERE bs[i - 1] = '<b>' AND NOT regexp_matches(bs[i], '^<[^>]*>$')),
+cut AS (SELECT page_id, block_no, string_split(regexp_replace(regexp_replace(line, '\b({"|".join(T.ABBREVIATIONS)})\.', '\1{corpus._HOLD}', 'g'), '([.!?…][.!?…"'')\]]*)([ \t\n]*)([\p{{Lu}}"''(\[])', '\1\2{T.CUT}\3', 'g'), '{T.CUT}') AS parts FROM blocks),
+sents AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_no ORDER BY k)::INT - 1 AS sent_no FROM (
+  SELECT page_id, block_no, k, (length(array_to_string(parts[1:k - 1], '')) + length(parts[k]) - length(ltrim(parts[k])))::INT AS start, length(trim(parts[k]))::INT AS n_chars FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut)) WHERE n_chars > 0),
+inside AS (SELECT s.page_id, s.block_no, s.sent_no, s.start, s.n_chars, CASE WHEN b.a IS NOT NULL THEN greatest(b.a, s.start) - s.start END AS a, CASE WHEN b.a IS NOT NULL THEN least(b.a + b.n, s.start + s.n_chars) - s.start END AS b
+  FROM sents s LEFT JOIN bold b ON b.page_id = s.page_id AND b.block_no = s.block_no AND least(b.a + b.n, s.start + s.n_chars) > greatest(b.a, s.start))"""
+
+
+@query("win20_emphasis_sentences", f"""WITH {_SPANS_SQL} SELECT page_id, block_no, sent_no, start, n_chars, coalesce(sum(b - a), 0)::INT AS n_bold, 10 * coalesce(sum(b - a), 0) >= 6 * n_chars AS thought FROM inside GROUP BY page_id, block_no, sent_no, start, n_chars""")
+def emphasis_sentences(spark, d):
+    """How much of each sentence is emphasised: the block's spans are clipped and re-based to the sentence. Six tenths or more make it a thought."""
+    s = emphasised_blocks(spark, d).select("page_id", "block_no", "spans", F.posexplode(spans.sentences(F.col("text"))).alias("sent_no", "s"))
+    n = F.length("s.body")
+    bold = spans.covered(spans.rebased(F.col("spans"), F.col("s.start"), F.col("s.start") + n))
+    return s.select("page_id", "block_no", "sent_no", "s.start", n.alias("n_chars"), bold.alias("n_bold")).withColumn("thought", 10 * F.col("n_bold") >= 6 * F.col("n_chars"))
+
+
+@query("win21_text_spans", f"WITH {_SPANS_SQL} SELECT page_id, block_no, sent_no, a, b FROM inside WHERE b IS NOT NULL")
+def text_spans(spark, d):
+    """WIN21, STR1: emphasis spans merged in a block, then clipped and re-based onto its sentences."""
+    s = emphasised_blocks(spark, d).where(F.size("spans") > 0).select("page_id", "block_no", "spans", F.posexplode(spans.sentences(F.col("text"))).alias("sent_no", "s"))
+    return s.select("page_id", "block_no", "sent_no", F.inline(spans.rebased(F.col("spans"), F.col("s.start"), F.col("s.start") + F.length("s.body"))))
+
+
 @query("win20_emphasis_share", r"""SELECT page_id, length(regexp_replace(array_to_string(regexp_extract_all(html, '<b>([^<]*)', 1), ''), '\s', '', 'g')) AS n_bold, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS n_article FROM pages""")
 def emphasis_share(spark, d):
     """Characters under emphasis beside the article's length."""
