@@ -42,12 +42,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: one with the smallest id (null ids last; of rows with equal ids that with the smallest hash).
-    Rows that agree in id and text are one. Documents without words, null texts among them, all stay."""
+    Rows that agree in id and text are one: the least by language, source and n_chars, nulls first. Documents without words, null texts among them, all stay."""
     classes = simjoin.near_duplicates(docs.select("doc_id", "text"))
     first = classes.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m"))
     keyed = docs.select(*COLUMNS, simjoin.row_key("doc_id", "text").alias("_key"), F.size(quality.words(F.col("text"))).alias("_words"))
-    kept = keyed.where("_words > 0").join(first.select(F.col("m.row_key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.unionByName(keyed.where("_words = 0")).select(*COLUMNS)
+    kept = keyed.where("_words > 0").join(first.select(F.col("m.row_key").alias("_key")), "_key", "left_semi")
+    kept = kept.groupBy("_key", "_words").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("r")).select("r.*", "_words")
+    return kept.select(*COLUMNS, "_words").unionByName(keyed.where("_words = 0").drop("_key")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables here")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = entry.queries()[name](spark, DATA)
     r = con.execute(entry.oracle_sql()[name])
@@ -34,6 +34,7 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     rows = [
         (1, base, "aa", "s", 1), (2, base + " end", "aa", "s", 1), (2, base + " end", "aa", "s", 1), (3, None, "aa", "s", 0), (4, "1 2 3 " * 40, "aa", "s", 1), (5, "too short", "aa", "s", 1),
         (6, sentence(2, 80) + " mail me@host.example.com", "bb", None, 1), (None, sentence(3, 70), None, "s", None), (None, sentence(3, 70), None, "s", None), (8, sentence(4, 6000), "bb", "t", 1),
+        (1, base, "aa", "r", 5), (1, base, "aa", "r", None),
     ]
     df = docs(spark, rows)
     df.write.parquet(str(tmp_path / "documents.parquet"))
@@ -46,7 +47,8 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert 3 not in ids("language_id") and 4 not in ids("language_id") and 5 in ids("language_id")
     assert 5 not in ids("quality_rules") and 8 in ids("quality_rules")
     assert ids("ngram_jaccard_join") == [1, 6, 8] and sum(null for null, _ in kept["ngram_jaccard_join"]) == 1
-    texts = {r["doc_id"]: r["text"] for r in now.collect()}
+    texts, sources = ({r["doc_id"]: r[c] for r in now.collect()} for c in ("text", "source"))
+    assert sources[1] == "r"  # of rows that agree in id and text, the least by language, source and size
     assert texts[6].endswith("mail [EMAIL]") and not any(pii.base_spans(t) for t in texts.values())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r["n_words"] for r in out) == sum(len(t.split()) for t in texts.values())
