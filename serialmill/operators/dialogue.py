@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from serialmill.functions import speakers
+from serialmill.functions import script, spans, speakers
 from serialmill.functions import text as T
 from serialmill.operators.corpus import text_blocks
 from serialmill.operators.registry import registry
@@ -235,3 +235,85 @@ def speaker_fold(spark, d):
     text = T.straight_quotes(F.col("text"))
     b = table(spark, d, "documents").where(F.contains(text, F.lit('"'))).select("doc_id", F.posexplode(text_blocks(text)).alias("block_no", "b"))
     return speakers.attribute(b.where("b.kind = 'paragraph'").select("doc_id", "block_no", "b.body"))
+
+
+# --- the script of chapters that mix prose, boxes and chat
+
+
+def chapter_blocks(spark, d: str, pool: int = POOL):
+    """Conversations as chapters: a heading, then for each turn a bracketed or plain line, typed by its run, and the lines of its text as paragraphs."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(_LINE_SQL).alias("line"))
+    typed = bracket_kinds(t, "conv_id", "turn")
+    c = parse_chat(F.col("line"))
+    kind = F.when(F.col("typed") == "plain", "paragraph").otherwise(F.col("typed"))
+    body = F.when(kind == "chat", c["message"]).when(kind == "system", F.regexp_replace("line", r"^\[+|\]+$", "")).otherwise(F.col("line"))
+    chat = kind == "chat"
+    block = lambda k, x, u="", p="": F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), x.alias("body"), (F.lit(u) if isinstance(u, str) else u).alias("user"), (F.lit(p) if isinstance(p, str) else p).alias("location"))
+    texts = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.when(T.is_scene_break(x), block("scene_break", F.lit(""))).otherwise(block("paragraph", x)))
+    head = F.when(F.col("turn") == 0, F.array(block("heading", F.concat(F.lit("Chapter "), F.col("conv_id").cast("string")))))
+    own = F.array(block(kind, body, F.when(chat, c["user"]).otherwise(""), F.when(chat, c["location"]).otherwise("")))
+    every = F.concat(F.coalesce(head, F.slice(own, 1, F.lit(0))), own, texts)
+    b = typed.select("conv_id", "turn", F.posexplode(every).alias("k", "b")).select("conv_id", (F.col("turn") * 10_000 + F.col("k")).alias("block_no"), "b.*")
+    handles = b.where("user <> ''").groupBy("conv_id", F.col("user").alias("handle")).agg(F.min("block_no").alias("place")).withColumn("pin", F.lit(None).cast("int"))
+    voices = chat_voices(handles, "conv_id", pool).withColumnRenamed("handle", "user")
+    return b.join(voices, ["conv_id", "user"], "left")
+
+
+_SENT = f"""string_split(regexp_replace(regexp_replace(part, '\\b({"|".join(T.ABBREVIATIONS)})\\.', '\\1\u0002', 'g'), '([.!?…][.!?…"'')\\]]*)[ \\t\\n]*([\\p{{Lu}}"''(\\[])', '\\1{T.CUT}\\2', 'g'), '{T.CUT}')"""
+_P = script.PAUSES
+SCRIPT_SQL = rf"""l AS (SELECT conv_id, turn, text, role, {_LINE_SQL} AS line FROM conversations),
+lk AS (SELECT *, starts_with(line, '[') AS bracket, CASE WHEN NOT starts_with(line, '[') THEN 'paragraph' WHEN starts_with(line, '[Quest') OR starts_with(line, '[System') OR NOT contains(line, ':') THEN 'system' ELSE 'chat' END AS kind, contains(line, '(') AS placed FROM l),
+lg AS (SELECT *, count(*) FILTER (NOT bracket) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM lk),
+lt AS (SELECT *, CASE WHEN kind = 'chat' AND NOT placed AND count(*) FILTER (kind = 'system') OVER r >= 2 AND count(*) FILTER (kind = 'system') OVER r >= count(*) FILTER (kind = 'chat' AND NOT placed) OVER r THEN 'system' ELSE kind END AS typed FROM lg WINDOW r AS (PARTITION BY conv_id, run)),
+tl AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM l),
+blocks AS (
+  SELECT conv_id, 0 AS block_no, 'heading' AS kind, 'Chapter ' || conv_id AS body, '' AS usr FROM l WHERE turn = 0
+  UNION ALL SELECT conv_id, turn * 10000 + (turn = 0)::INT, typed, CASE typed WHEN 'chat' THEN regexp_extract(line, ': (.*)\]$', 1) WHEN 'system' THEN regexp_replace(line, '^\[+|\]+$', '', 'g') ELSE line END, CASE typed WHEN 'chat' THEN regexp_extract(line, '^\[([A-Za-z0-9]+)', 1) ELSE '' END FROM lt
+  UNION ALL SELECT conv_id, turn * 10000 + (turn = 0)::INT + i, CASE WHEN brk THEN 'scene_break' ELSE 'paragraph' END, CASE WHEN brk THEN '' ELSE x END, '' FROM (
+    SELECT conv_id, turn, i, ls[i] AS x, trim(ls[i]) IN ('***', '* * *', '---', '###', '• • •', '· · ·', '= = =') OR (length(trim(ls[i])) <= 12 AND regexp_matches(trim(ls[i]), '^\s*([*#~•·\-—–_=]\s*){{3,}}\s*$')) AS brk FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM tl))),
+handles AS (SELECT conv_id, usr, min(block_no) AS place FROM blocks WHERE usr <> '' GROUP BY ALL),
+ho AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, usr) AS n, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha1(usr), ''), lambda c: (strpos('{_HEX}', c) - 1)::BIGINT)), lambda a, x: (a * 16 + x) % {POOL})::INT AS pick FROM handles),
+hr AS (SELECT conv_id, 0::BIGINT AS n, ''::VARCHAR AS usr, NULL::INT AS voice, []::INT[] AS used FROM (SELECT DISTINCT conv_id FROM handles)
+  UNION ALL SELECT conv_id, n, usr, voice, list_distinct(list_append(used, voice)) FROM (
+    SELECT hr.conv_id, ho.n, ho.usr, hr.used, CASE WHEN list_contains(hr.used, ho.pick) AND len(hr.used) < {POOL} THEN list_filter(range({POOL}), lambda v: NOT list_contains(hr.used, v::INT))[1]::INT ELSE ho.pick END AS voice FROM hr JOIN ho ON ho.conv_id = hr.conv_id AND ho.n = hr.n + 1)),
+bv AS (SELECT b.*, 'chat-' || v.voice AS chat_voice, kind = 'chat' AND lag(kind) OVER (PARTITION BY b.conv_id ORDER BY block_no) IS DISTINCT FROM 'chat' AS cue, kind = 'chat' AND row_number() OVER (PARTITION BY b.conv_id, b.usr ORDER BY block_no) = 1 AS fresh
+  FROM blocks b LEFT JOIN hr v ON v.conv_id = b.conv_id AND v.usr = b.usr AND v.n > 0),
+pt AS (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, CASE WHEN kind = 'paragraph' THEN string_split(body, '"') ELSE [body] END AS ps FROM bv WHERE kind IN ('paragraph', 'chat', 'system'))),
+st AS (SELECT *, {_SENT} AS cut FROM (SELECT *, ps[i] AS part, kind = 'paragraph' AND i % 2 = 0 AS quote FROM pt) WHERE trim(part) <> ''),
+sx AS (SELECT *, trim(replace(cut[k], chr(2), '.')) AS x FROM (SELECT *, unnest(range(1, len(cut) + 1)) AS k FROM st) WHERE trim(cut[k]) <> ''),
+sl AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block_no ORDER BY i DESC, k DESC) = 1 AS last FROM sx),
+rows AS (
+  SELECT conv_id, block_no, 0 AS i, 0 AS k, 'cue' AS kind, 'chat' AS style, '' AS voice, '' AS speaker, 1.1::DOUBLE AS rate, '' AS body, {_P["cue"]} AS pause_ms FROM bv WHERE cue
+  UNION ALL SELECT conv_id, block_no, 0, 1, 'speech', 'chat', chat_voice, usr, 1.1, regexp_replace(regexp_replace(usr, '([A-Za-z])([0-9])', ' ', 'g'), '([a-z])([A-Z])', ' ', 'g'), {_P["lead"]} FROM bv WHERE fresh
+  UNION ALL SELECT conv_id, block_no, 0, 0, 'speech', 'heading', 'narrator', '', 1.0, body || '.', {_P["scene_break"]} FROM bv WHERE kind = 'heading'
+  UNION ALL SELECT conv_id, block_no, 0, 0, 'pause', 'narration', '', '', 1.0, '', {_P["scene_break"]} FROM bv WHERE kind = 'scene_break'
+  UNION ALL SELECT conv_id, block_no, i, k, 'speech', CASE WHEN kind = 'chat' THEN 'chat' WHEN kind = 'system' THEN 'system' WHEN quote THEN 'dialogue' ELSE 'narration' END,
+    CASE WHEN kind = 'chat' THEN chat_voice WHEN kind = 'system' THEN 'interface' WHEN quote THEN 'dialogue' ELSE 'narrator' END, CASE WHEN kind = 'chat' THEN usr ELSE '' END, CASE kind WHEN 'chat' THEN 1.1::DOUBLE WHEN 'system' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END, x,
+    CASE WHEN kind = 'chat' THEN CASE WHEN last THEN {_P["chat"]} ELSE {_P["sentence"]} END WHEN last THEN {_P["paragraph"]} WHEN quote THEN {_P["dialogue"]} ELSE {_P["sentence"]} END
+      + CASE WHEN kind = 'paragraph' AND regexp_matches(x, '(…|\.\.\.)$') THEN {_P["ellipsis"]} ELSE 0 END FROM sl),
+script AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block_no, i, k) - 1 AS seg_no, block_no, CASE WHEN kind = 'speech' AND NOT regexp_matches(body, '[\p{{L}}\p{{N}}]') THEN 'pause' ELSE kind END AS kind, style, voice, speaker, rate::DOUBLE AS rate, body, pause_ms FROM rows)"""
+
+
+@query("win22_script", f"WITH RECURSIVE {SCRIPT_SQL} SELECT * FROM script")
+def chapter_script(spark, d):
+    """WIN22, SNK1, AGG18: the script of chapters of all kinds of blocks."""
+    flags = {"emphasised": F.lit(False), "machine": F.lit(False)}
+    return script.script(chapter_blocks(spark, d).withColumns(flags), "conv_id")
+
+
+@query("agg18_style_histogram", rf"""WITH RECURSIVE {SCRIPT_SQL} SELECT kind, style, count(*) AS n, sum(length(body))::BIGINT AS n_chars, round(sum(len(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')) / 2.7 / rate), 3)::DOUBLE AS seconds, sum(pause_ms)::BIGINT AS pause_ms FROM script GROUP BY kind, style""")
+def style_histogram(spark, d):
+    """Segments and characters of each kind and style, and the seconds they take at 2.7 words a second and their rate."""
+    words = F.size(F.array_remove(F.split("body", r"\s+"), ""))
+    g = chapter_script(spark, d).groupBy("kind", "style").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("n_chars"), F.sum(words / 2.7 / F.col("rate")).alias("s"), F.sum("pause_ms").alias("pause_ms"))
+    return g.select("kind", "style", "n", "n_chars", F.round("s", 3).alias("seconds"), "pause_ms")
+
+
+@query("snk2_chapter_markdown")
+def chapter_markdown(spark, d):
+    """SNK2: front matter, headings, boxes, chat lines and paragraphs of each chapter."""
+    b = chapter_blocks(spark, d)
+    md = script.markdown(F.col("kind"), F.col("body"), F.col("user"), F.col("location"), spans.none())
+    parts = F.array_sort(F.collect_list(F.struct("block_no", md.alias("md"))))
+    head = F.concat(F.lit("---\ntitle: Chapter "), F.col("conv_id").cast("string"), F.lit("\nstage: parsed\n---\n\n"))
+    return b.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.concat(head, F.array_join("p.md", "\n\n")).alias("markdown"))
