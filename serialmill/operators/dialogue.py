@@ -284,7 +284,7 @@ sx AS (SELECT *, trim(replace(cut[k], chr(2), '.')) AS x FROM (SELECT *, unnest(
 sl AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block_no ORDER BY i DESC, k DESC) = 1 AS last FROM sx),
 rows AS (
   SELECT conv_id, block_no, 0 AS i, 0 AS k, 'cue' AS kind, 'chat' AS style, '' AS voice, '' AS speaker, 1.1::DOUBLE AS rate, '' AS body, {_P["cue"]} AS pause_ms FROM bv WHERE cue
-  UNION ALL SELECT conv_id, block_no, 0, 1, 'speech', 'chat', chat_voice, usr, 1.1, regexp_replace(regexp_replace(usr, '([A-Za-z])([0-9])', ' ', 'g'), '([a-z])([A-Z])', ' ', 'g'), {_P["lead"]} FROM bv WHERE fresh
+  UNION ALL SELECT conv_id, block_no, 0, 1, 'speech', 'chat', chat_voice, usr, 1.1, regexp_replace(regexp_replace(usr, '([A-Za-z])([0-9])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), {_P["lead"]} FROM bv WHERE fresh
   UNION ALL SELECT conv_id, block_no, 0, 0, 'speech', 'heading', 'narrator', '', 1.0, body || '.', {_P["scene_break"]} FROM bv WHERE kind = 'heading'
   UNION ALL SELECT conv_id, block_no, 0, 0, 'pause', 'narration', '', '', 1.0, '', {_P["scene_break"]} FROM bv WHERE kind = 'scene_break'
   UNION ALL SELECT conv_id, block_no, i, k, 'speech', CASE WHEN kind = 'chat' THEN 'chat' WHEN kind = 'system' THEN 'system' WHEN quote THEN 'dialogue' ELSE 'narration' END,
