@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -29,3 +30,13 @@ def ship_code(spark: SparkSession) -> None:
     context.addPyFile(path)
     atexit.register(os.remove, path)  # executors that join later still fetch it
     _sent.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share. Only a local session (tests) may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+        base = f"/tmp/spark-{os.getuid()}-checkpoints"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
