@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from serialmill.functions.order import placed
 from serialmill.sources import files
 from serialmill.sources.bindings import CACHE_SQL, CHAPTERS_SQL, SERIES_SQL, cache_entries, chapters, series, stage_rank, table
 
@@ -524,8 +525,9 @@ def first_outstanding(spark, d):
 
 @query("srt5_title_order", _with(SERIES_SQL) + "SELECT series, lower(title) AS sort_title, row_number() OVER (PARTITION BY provider ORDER BY lower(title), series) AS place FROM series")
 def title_order(spark, d):
-    w = Window.partitionBy("provider").orderBy(F.lower("title"), "series")
-    return series(spark, d).select("series", F.lower("title").alias("sort_title"), F.row_number().over(w).alias("place"))
+    """Titles in order without regard to case, within each provider."""
+    rows = series(spark, d).select("series", F.lower("title").alias("sort_title"), "provider")
+    return placed(rows, "provider", [F.asc("sort_title"), F.asc("series")]).select("series", "sort_title", "place")
 
 
 @query("sel8_feed_order", _with(CHAPTERS_SQL) + "SELECT series, string_agg(source_id::VARCHAR, ',' ORDER BY ord DESC) AS newest_first FROM chapters WHERE status = 'rendered' GROUP BY series")

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from serialmill.functions.order import placed
 from serialmill.operators.registry import registry
 from serialmill.session import ship_code
 from serialmill.sources.bindings import PLAYS_SQL, chapters, plays, table
@@ -225,8 +226,9 @@ SELECT c_custkey AS profile, row_number() OVER (PARTITION BY c_nationkey ORDER B
 def continue_list(spark, d):
     e = plays(spark, d).groupBy("profile").agg(F.max("ts").alias("updated"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("profile"), "c_name", "c_nationkey")
-    w = Window.partitionBy("c_nationkey").orderBy(F.col("updated").desc_nulls_last(), "c_name")
-    return c.join(e, "profile", "left").select("profile", F.row_number().over(w).alias("place"), F.when(F.col("updated").isNull(), "never started").otherwise("started").alias("state"))
+    rows = c.join(e, "profile", "left").select("profile", "c_name", "c_nationkey", "updated")
+    out = placed(rows, "c_nationkey", [F.desc_nulls_last("updated"), F.asc("c_name"), F.asc("profile")])
+    return out.select("profile", "place", F.when(F.col("updated").isNull(), "never started").otherwise("started").alias("state"))
 
 
 @query("jsn1_json_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE len(json_keys(props)) END AS n_keys FROM events")
