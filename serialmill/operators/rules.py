@@ -9,7 +9,7 @@ from serialmill.functions import hooks, runs, spans
 from serialmill.functions import text as T
 from serialmill.functions.speakers import FEMALE, MALE
 from serialmill.operators import corpus
-from serialmill.operators.corpus import LEAST_USES, NAMES_SQL, PAUSES, SENTENCES_SQL, TOKENS_SQL, names, tokens, word_counts
+from serialmill.operators.corpus import NAMES_SQL, PAUSES, SENTENCES_SQL, TOKENS_SQL, names, tokens
 from serialmill.operators.listening import positions
 from serialmill.operators.registry import registry
 from serialmill.sources.bindings import CHAPTERS_SQL, LINES_SQL, PLAYS_SQL, chapters, lines, table
@@ -116,32 +116,6 @@ def trimmed_edges(spark, d):
     return t.groupBy(word.alias("word"), moved.alias("moved")).agg(F.count("*").alias("n"))
 
 
-BLOCK = 256  # references that a word meets at once
-
-
-def nearest_of(words, refs):
-    """STR23: (word) and (ref) -> the nearest reference of each word by edit distance, the first of equals; ``margin``: how much further the next one is;
-    ``fit``: 1 less the distance by the longer length. Every word meets every reference: references are dealt to blocks, and a word visits each block."""
-    n = -(-refs.count() // BLOCK)
-    blocks = refs.groupBy(F.pmod(F.xxhash64("ref"), F.lit(max(n, 1))).cast("int").alias("block")).agg(F.collect_list("ref").alias("refs"))
-    sent = words.select("word", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("block"))
-    best = F.slice(F.array_sort(F.transform("refs", lambda r: F.struct(F.levenshtein("word", r).alias("dist"), r.alias("ref")))), 1, 2)
-    two = sent.join(blocks, "block").select("word", best.alias("b")).groupBy("word").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, 2).alias("b"))
-    one, dist, ref = F.get("b", F.lit(1)), F.get("b", F.lit(0))["dist"], F.get("b", F.lit(0))["ref"]
-    fit = F.round(1 - dist / F.greatest(F.length("word"), F.length(ref)), 6)
-    return two.select("word", ref.alias("nearest"), dist.cast("bigint").alias("dist"), (one["dist"] - dist).cast("bigint").alias("margin"), fit.alias("fit"))
-
-
-@query("str23_nearest_word", """WITH v AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 40),
-b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS ref FROM benchmark),
-m AS (SELECT word, ref, levenshtein(word, ref) AS dist FROM v, b), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, ref) AS k, lead(dist) OVER (PARTITION BY word ORDER BY dist, ref) - dist AS margin FROM m)
-SELECT word, ref AS nearest, dist, margin, round(1 - dist / greatest(length(word), length(ref))::DOUBLE, 6) AS fit FROM r WHERE k = 1""")
-def nearest_word(spark, d):
-    """The vocabulary (AGG6) against the benchmark's words."""
-    refs = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("ref")).distinct()
-    return nearest_of(word_counts(spark, d).where(F.col("n") >= LEAST_USES).select("word"), refs)
-
-
 @query("dat2_site_dates", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('day', ts) ELSE TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 1 HOUR * (event_id % 50) END AS published FROM events")
 def site_dates(spark, d, now: str = "2024-02-01 00:00:00"):
     """Absolute dates, or "N hours ago" against a given now."""
