@@ -19,8 +19,8 @@ QUERIES, ORACLES, query = registry()
 
 #: Letters left out in the first index, and the longest string that it holds (a string of n letters has about n^2 / 2 keys); longer ones are found by cells.
 EDITS, LONGEST_KEYED = 2, 24
-#: Letters whose total, with the length, parts the cells; letters that are counted each. All other characters are one more class.
-VOWELS, LETTERS = "aeiou", list("aeiotnhrsdlc")
+#: Letters whose total, with the length, parts the cells; letters that are counted each, all vowels among them (so a pair never has fewer least edits than its cells). All other characters are one class more.
+VOWELS, LETTERS = "aeiou", list("aeioutnhrsdlc")
 #: References of one part of a word's candidates, whose best two are taken before the parts meet.
 PART = 4096
 #: Shares that the words of a cell are dealt to.

@@ -40,6 +40,12 @@ def test_against_every_pair(spark):
     assert found(spark, [*words, None, words[5]], [*refs, None, refs[3]]) == brute(words, refs)
 
 
+def test_vowels_that_differ_more_than_the_other_counts(spark):
+    """Cells three edits apart by vowels and length: the pair must be met in the round of its cells."""
+    refs = ["augeer", "beber", "gebe", "ster"]
+    assert found(spark, ["stgeber"], refs) == brute(["stgeber"], refs)
+
+
 def test_few_references(spark):
     assert found(spark, ["cat", ""], ["cart"]) == brute(["cat", ""], ["cart"])
     assert found(spark, ["cat"], []) == {} and found(spark, [], ["cat"]) == {}
