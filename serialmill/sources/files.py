@@ -49,9 +49,9 @@ def toc_rows(html: Column) -> Column:
 STATE = "schema int, uuid string, source_id string, rr_id string, provider string, title string, chapters array<struct<ord:int,source_id:string,status:string>>"
 
 
-def read_state(spark: SparkSession, path: str, newest: int = 3) -> DataFrame:
-    """SRC7: state documents. The legacy id is taken over; newer schemas and documents without a uuid are marked, not read."""
-    return state_rows(spark.read.schema(STATE).option("multiLine", True).json(path), newest)
+def read_state(spark: SparkSession, path: str, newest: int = 3, by_line: bool = False) -> DataFrame:
+    """SRC7: state documents, one a file or (``by_line``) one a line. The legacy id is taken over; newer schemas and documents without a uuid are marked, not read."""
+    return state_rows(spark.read.schema(STATE).option("multiLine", not by_line).json(path), newest)
 
 
 def state_rows(raw: DataFrame, newest: int = 3) -> DataFrame:

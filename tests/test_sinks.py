@@ -1,9 +1,12 @@
 """What is written is read back; a run that fails leaves nothing behind; snapshots join without shuffling the stored side."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from serialmill.sinks import files, snapshots
+from serialmill.sources import files as readers
 
 SCRIPT = "ch bigint, seg_no int, body string"
 
@@ -45,3 +48,29 @@ def test_snapshots(spark, tmp_path):
     spark.sql(f"DROP TABLE {snapshots._table(path, 2)}")  # as in a new session, whose catalog does not know it
     assert snapshots.changed(now, snapshots.load(spark, path), "k", "mark").count() == 0
     assert snapshots.load(spark, path, 1).count() == 900
+
+
+def test_shelves_hold_a_library_in_few_files(spark, tmp_path):
+    """Many series make no more files than shelves and tasks; every row is read again, with its null and empty fields, and a store is not written over."""
+    rows = [(c, f"text {c}\n\nend" if c % 3 else (None if c % 2 else "")) for c in range(500)]
+    df, path = spark.createDataFrame(rows, "ch bigint, md string"), str(tmp_path / "t")
+    files.write_texts(df, path, "ch", "md", shelves=8)
+    assert sorted((r["ch"], r["md"]) for r in files.read_texts(spark, path, "md", df.schema).collect()) == rows
+    stored = list((tmp_path / "t").glob("shelf=*/*.json"))
+    assert 0 < len(stored) <= 8
+    at = df.where("ch = 7").select(files.shelf(F.col("ch"), 8)).first()[0]
+    assert any('"ch":7,' in f.read_text() for f in (tmp_path / "t" / f"shelf={at}").glob("*.json"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.write_texts(df, path, "ch", "md", shelves=8)
+
+
+def test_states_and_feeds_on_shelves(spark, tmp_path):
+    states = spark.range(300).select(F.col("id").alias("s"), F.to_json(F.struct(F.lit(3).alias("schema"), F.md5(F.col("id").cast("string")).alias("uuid"), F.col("id").cast("string").alias("source_id"))).alias("state"))
+    files.write_states(states, str(tmp_path / "s"), "s", "state", shelves=8)
+    assert sorted(int(r["source_id"]) for r in readers.read_state(spark, str(tmp_path / "s"), by_line=True).collect()) == list(range(300))
+    feed = spark.range(300).select((F.col("id") % 100).alias("series"), F.when(F.col("id") < 100, "channel").otherwise("item").alias("kind"), F.current_date().alias("feed_date"), F.col("id").cast("string").alias("guid"))
+    files.write_feeds(feed, str(tmp_path / "f"), "series", shelves=8)
+    assert sorted(map(tuple, spark.read.schema(feed.schema).json(str(tmp_path / "f")).select(*feed.columns).collect())) == sorted(map(tuple, feed.collect()))
+    assert all(len(list(tmp_path.glob(f"{x}/shelf=*/part-*"))) <= 8 for x in "sf")
+    lines = [json.loads(x) for x in next(iter((tmp_path / "f").glob("shelf=*/*.json"))).read_text().splitlines()]
+    assert [x["series"] for x in lines] == sorted(x["series"] for x in lines) and lines[0]["kind"] == "channel"
