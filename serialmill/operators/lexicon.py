@@ -80,13 +80,7 @@ def corpus_edits(spark, d: str) -> DataFrame:
 def rule_resolution(spark, d):
     """Which rule each word or phrase of the corpus meets: phrases first, then by coarse mark, fine mark and lemma, with the fallback to a lone rule for a noun."""
     e = corpus_edits(spark, d)
-    surface = F.when(F.col("phrase"), F.lit(None)).otherwise(F.lower("word"))
-    named = e.select(surface.alias("surface"), "rule.pos", "rule.respell", "phrase", "first", "last", *KEYS)
-    words = named.where("NOT phrase").groupBy("surface", "pos", "respell").agg(F.count("*").alias("n"))
-    ps = lines(spark, d).select(*KEYS, L.pieces(F.col("line")).alias("ps"))
-    text = F.lower(F.array_join(F.slice("ps", F.col("first") + 1, F.col("last") - F.col("first") + 1), ""))
-    phrases = named.where("phrase").drop("surface").join(ps, KEYS).groupBy(text.alias("surface"), "pos", "respell").agg(F.count("*").alias("n"))
-    return words.unionByName(phrases)
+    return e.groupBy(F.col("key").alias("surface"), "rule.pos", "rule.respell").agg(F.count("*").alias("n"))
 
 
 @query("joi2_lexicon_pass", f"""WITH {MATCHES_SQL}, after AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY doc_id, line_no ORDER BY first) + 1, 0) AS lo FROM edits WHERE respell <> ''),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from serialmill.functions import lexicon
 
 RULES = "surface string, pos string, lemma string, respell string, ord int"
@@ -81,3 +82,36 @@ def test_lone_rule_for_a_noun(spark):
 def test_many_rules_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "FEW_RULES", 0)
     assert said(spark, "a tear in the tear", ("tear", "", "tare"), ("a tear in", "", "a tair in")) == "a tair in the tare"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_work_goes_with_the_words_of_a_line(spark):
+    """No step copies a line for each of its words, and a long line is said right."""
+    n = 20_000
+    assert said(spark, "a tear in the tear. " * n, ("tear", "", "tare"), ("a tear in", "", "a tair in")) == "a tair in the tare. " * n
+    lines = spark.createDataFrame([(1, "a b")], "id int, line string")
+    plan = _plan(lexicon.respelled(lines, ["id"], "line", rules(spark, ("a b", "", "x"), ("a", "", "y")), lexicon.suffix_tags))
+    assert "slice(" not in plan
+    assert plan.count("regexp_extract_all(line") == 2  # for the matches, and to put the edits in
+
+
+@pytest.mark.parametrize(("name", "scans"), [("joi1_rule_resolution", 1), ("joi2_phrase_rules", 1), ("joi2_lexicon_pass", 2)])
+def test_texts_are_cut_once(spark, name, scans):
+    plan = _plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("posexplode(split(text") == scans
+
+
+def test_phrases_that_hold_and_words_beside_them(spark):
+    """Overlapping phrases are chosen from the left; a word that only a phrase which does not hold would cover is said by its own rule."""
+    found = [("b c", "", "Y"), ("a b", "", "X"), ("c", "", "see"), ("c d e", "", "Z"), ("e", "", "ee"), ("d", "", "dee")]
+    assert said(spark, "a b c d e, b c d e d", *found) == "X Z, Y dee ee dee"
+    assert said(spark, "a b c d. c", ("a b", "", "X"), ("b c d", "", "Y"), ("c", "", "see"), ("d", "", "dee")) == "X see dee. see"
+
+
+def test_marks_of_endings_beyond_ascii(spark):
+    words = ["Él", "Él", "été", "ÉTÉ", "Running", "12", "１２", "1a", "ǅ", "_x"]
+    r = spark.createDataFrame([(words,)], "w array<string>").select(lexicon.suffix_tags(F.col("w")).alias("t")).first()["t"]
+    assert [x["tag"] for x in r] == ["NN", "NNP", "NN", "NNP", "NNP", "CD", "NN", "NN", "NN", "NN"]
