@@ -96,10 +96,8 @@ def lexicon_pass(spark, d):
 @query("joi2_phrase_rules", f"WITH {MATCHES_SQL} SELECT surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM edits WHERE contains(surface, ' ') GROUP BY surface")
 def phrase_rules(spark, d):
     """Phrases of the rule table that hold, whole phrases only, none inside another."""
-    e = corpus_edits(spark, d).where("phrase")
-    ps = lines(spark, d).select(*KEYS, L.pieces(F.col("line")).alias("ps"))
-    text = F.lower(F.array_join(F.slice("ps", F.col("first") + 1, F.col("last") - F.col("first") + 1), ""))
-    return e.join(ps, KEYS).groupBy(text.alias("surface")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    found = L.matches(lines(spark, d).select(*KEYS, "line"), KEYS, "line", corpus_rules(spark, d), L.suffix_tags).where("phrase")  # words decide nothing about phrases
+    return L.edits(found, KEYS).groupBy(F.col("key").alias("surface")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query("flt18_ignored_words", f"WITH {MATCHES_SQL} SELECT r.surface, count(DISTINCT t.doc_id) AS n_docs FROM rules r LEFT JOIN tok t ON lower(t.word) = r.surface WHERE r.respell = '' AND NOT r.phrase GROUP BY r.surface")
