@@ -1,6 +1,9 @@
 """STR23: the nearest references of words by edit distance, found through an index of the references.
 
-References are entered twice. Under the hashes of their deletion neighbourhoods (a string with up to EDITS letters left out): two strings within EDITS of each
+Few references (FEW_REFS, of LONGEST_BITS letters at most) are broadcast as columns of bits. Words are dealt by ranges and sorted, so a task walks them as a tree of prefixes: a letter is one
+step of the edit distance to all references at once, and a word begins where it leaves the word before it. So the work goes with the letters that are new, not with the pairs.
+
+More references are entered twice. Under the hashes of their deletion neighbourhoods (a string with up to EDITS letters left out): two strings within EDITS of each
 other share one, so an equality join finds all such pairs. And under cells of length and vowel count, with the counts of their letters: no edit changes a
 count by more than one, so counts that differ by k are at least k edits apart. Words whose two nearest the first index did not prove look into cells ever
 further away, until their second nearest is no further than the cells that were not looked into.
@@ -8,12 +11,14 @@ further away, until their second nearest is no further than the cells that were
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serialmill.operators.corpus import dictionary, word_counts
 from serialmill.operators.registry import registry
-from serialmill.session import shared_folder
+from serialmill.session import shared_folder, ship_code
 
 QUERIES, ORACLES, query = registry()
 
@@ -26,6 +31,11 @@ PART = 4096
 #: Shares that the words of a cell are dealt to.
 SALTS = 16
 
+#: References that are broadcast, and the longest of them: a row of the distance is a word of so many bits.
+FEW_REFS, LONGEST_BITS = 20_000, 64
+#: Letters of a word whose states are kept for the words after it.
+DEPTH = 32
+
 _BEST = "array<struct<dist:int,ref:string>>"
 
 
@@ -86,6 +96,68 @@ def cell_pairs(rest: DataFrame, refs: DataFrame, prev: int, upto: int) -> DataFr
     return pairs.where(F.abs(2 * least - first - last) <= last - first).select("word", "ref", "most")  # least is between the two, named once
 
 
+def walk(words, refs: list[str]):
+    """(dist, ref) of the two nearest of ``refs`` (sorted) for each of ``words``, fastest where these are sorted: the rows of the edit distance as differences in bits (Myers, Hyyrö)."""
+    one, n = np.uint64(1), len(refs)
+    sizes = np.array([len(r) for r in refs], np.uint64)
+    at, place, none = {}, np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64)
+    for k, r in enumerate(refs):
+        for i, c in enumerate(r):
+            at.setdefault(c, np.zeros(n, np.uint64))[k] |= one << np.uint64(i)
+    last = np.maximum(sizes, one) - one
+    empty = bool(refs) and refs[0] == ""
+    states, before = [(np.full(n, ~np.uint64(0)), none, sizes)], ""  # higher, lower, distance after each letter
+    for w in words:
+        same = 0
+        while same < min(len(w), len(before), len(states) - 1) and w[same] == before[same]:
+            same += 1
+        del states[same + 1 :]
+        up, down, dist = states[same]
+        for depth, c in enumerate(w[same:], same + 1):
+            x = at.get(c, none) | down
+            diagonal = (((x & up) + up) ^ up) | x
+            less, more = up & diagonal, down | ~(up | diagonal)
+            dist = dist + ((more >> last) & one) - ((less >> last) & one)
+            if empty:
+                dist[0] = depth
+            more = (more << one) | one
+            up, down = (less << one) | ~(more | diagonal), more & diagonal
+            if depth <= DEPTH and depth == len(states):
+                states.append((up, down, dist))
+        before, order = w, dist * np.uint64(n) + place
+        best = [int(order.argmin())]
+        if n > 1:
+            order[best[0]] = ~np.uint64(0)
+            best.append(int(order.argmin()))
+        yield [(int(dist[k]), refs[k]) for k in best]
+
+
+def by_prefix(words: DataFrame, refs: list[str], parts: int) -> DataFrame:
+    """(word, b): the two nearest of a few references, as ``_best_two``."""
+    spark = words.sparkSession
+    ship_code(spark)
+    known = spark.sparkContext.broadcast(sorted(refs))
+    kind = pa.list_(pa.struct([("dist", pa.int32()), ("ref", pa.string())]))
+
+    def found(batches):
+        ws = []
+
+        def each():
+            for batch in batches:
+                ws.append(batch.column(0))
+                yield from batch.column(0).to_pylist()
+
+        made, out = walk(each(), known.value), []
+        for b in made:
+            out.append([{"dist": d, "ref": r} for d, r in b])
+            if len(out) == len(ws[0]):
+                yield pa.RecordBatch.from_arrays([ws.pop(0), pa.array(out, kind)], ["word", "b"])
+                out = []
+
+    dealt = words.select("word").repartitionByRange(parts, "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(found, f"word string, b {_BEST}")
+
+
 def nearest_of(words: DataFrame, refs: DataFrame) -> DataFrame:
     """(word) and (ref) -> the nearest reference of each word by edit distance, the first of equals; ``margin``: how much further the next one is (null with one
     reference); ``fit``: 1 less the distance by the longer length. Exact for words of any length. Null words and references and repeated ones are left out; without
@@ -103,6 +175,8 @@ def nearest_of(words: DataFrame, refs: DataFrame) -> DataFrame:
     n_refs, longest = refs.agg(F.count("*"), F.max(F.length("ref"))).first()
     if not n_refs:
         return spark.createDataFrame([], "word string, nearest string, dist bigint, margin bigint, fit double")
+    if n_refs <= FEW_REFS and longest <= LONGEST_BITS:
+        return _margins(by_prefix(words, [r["ref"] for r in refs.toLocalIterator()], 4 * parts))
     longest = max(longest, words.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0])
     keyed = lambda df, c: df.where(F.length(c) <= LONGEST_KEYED).select(c, F.explode(deletion_keys(F.col(c))).alias("key"))
     met = keyed(words, "word").join(keyed(refs, "ref"), "key").select("word", "ref", F.levenshtein("word", "ref", EDITS).alias("dist")).where("dist >= 0")
@@ -121,6 +195,10 @@ def nearest_of(words: DataFrame, refs: DataFrame) -> DataFrame:
     out = proved[0]
     for p in proved[1:]:
         out = out.unionByName(p)
+    return _margins(out)
+
+
+def _margins(out: DataFrame) -> DataFrame:
     one, first = F.get("b", F.lit(1)), F.get("b", F.lit(0))
     fit = F.round(1 - first["dist"] / F.greatest(F.length("word"), F.length(first["ref"]), F.lit(1)), 6)
     return out.select("word", first["ref"].alias("nearest"), first["dist"].cast("bigint").alias("dist"), (one["dist"] - first["dist"]).cast("bigint").alias("margin"), fit.alias("fit"))

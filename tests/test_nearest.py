@@ -55,3 +55,22 @@ def test_two_strings_within_two_edits_share_a_key(spark):
     rows = [("other", "mother"), ("abcd", "badc"), ("night", "nihgt"), ("aa", ""), ("abc", "axc")]
     df = spark.createDataFrame(rows, "a string, b string").select(F.arrays_overlap(nearest.deletion_keys(F.col("a")), nearest.deletion_keys(F.col("b"))).alias("met"), F.levenshtein("a", "b").alias("d"))
     assert all(r["met"] for r in df.collect() if r["d"] <= 2)
+
+
+def test_few_references_are_walked_and_many_are_indexed(spark, monkeypatch):
+    """Few references need no rounds over cells; with none allowed to be few, or with a longer one, the index gives the same rows."""
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choice("etaonhxé") for _ in range(k))
+    refs = sorted({some(k % 12) for k in range(60)} | {some(64), some(63)})
+    words = sorted({some(k % 13) for k in range(80)} | {some(70), "", refs[-1]})
+    want, cells = brute(words, refs), nearest.cell_pairs
+    monkeypatch.setattr(nearest, "cell_pairs", None)
+    assert found(spark, words, refs) == want
+    monkeypatch.setattr(nearest, "cell_pairs", cells)
+    assert found(spark, words[:20], [*refs, "a" * 65]) == brute(words[:20], [*refs, "a" * 65])
+
+
+def test_walk_in_any_order():
+    words = ["cart", "carts", "car", "", "x" * 100, "x" * 100 + "y", "cart", "dog"]
+    refs = sorted(["", "cat", "dog", "xx"])
+    assert list(nearest.walk(words, refs)) == [sorted((edits(w, r), r) for r in refs)[:2] for w in words]
