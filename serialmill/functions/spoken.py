@@ -48,17 +48,31 @@ _FOLDED = {c: "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not uni
 _NO_ROOM = dict.fromkeys(map(ord, ZERO_WIDTH))
 
 
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
+_ANY_MARK = re.compile(f"[{_m}]")
+
+
+def _settled(m: re.Match) -> str:
+    whole = unicodedata.normalize("NFC", m[0])
+    return "" if not m[1] else whole if len(whole) == 1 else m[1]
+
+
+def _plain_run(s: str) -> str:
+    s = unicodedata.normalize("NFD", unicodedata.normalize("NFC", s).translate(_NO_ROOM).translate(_FOLDED))
+    return _MARKED.sub(_settled, s) if _ANY_MARK.search(s) else s
+
+
 def plain_letters(s: str | None) -> str | None:
-    """NFC; letters of Latin Extended Additional lose their marks; a letter under more marks than make one character loses all of them; lone marks go."""
+    """NFC; letters of Latin Extended Additional lose their marks; a letter under more marks than make one character loses all of them; lone marks go.
+    ASCII takes part only as the letter before a run of other characters, so no more of it is looked at."""
     if s is None or s.isascii():
         return s
-    s = unicodedata.normalize("NFC", s).translate(_NO_ROOM).translate(_FOLDED)
-
-    def settled(m: re.Match) -> str:
-        whole = unicodedata.normalize("NFC", m[0])
-        return "" if not m[1] else whole if len(whole) == 1 else m[1]
-
-    return _MARKED.sub(settled, unicodedata.normalize("NFD", s))
+    out, at = [], 0
+    for m in _BEYOND_ASCII.finditer(s):
+        start = max(m.start() - 1, 0)
+        out += [s[at:start], _plain_run(s[start : m.end()])]
+        at = m.end()
+    return "".join([*out, s[at:]])
 
 
 def with_plain_letters(df: DataFrame, text: str = "text") -> DataFrame:
@@ -74,9 +88,10 @@ def with_plain_letters(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def latin_only(t: Column) -> Column:
-    """Emoji and letters of other scripts become spaces."""
+    """Emoji and letters of other scripts become spaces; neither is in a text of the Latin blocks alone."""
     emoji = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]+"
-    return F.regexp_replace(F.regexp_replace(t, emoji, " "), r"[\p{L}&&[^\x{0}-\x{2AF}\x{1E00}-\x{1EFF}]]", " ")
+    beyond = r"[^\x{0}-\x{2AF}\x{1E00}-\x{1EFF}]"
+    return when_has(t, beyond, lambda x: F.regexp_replace(F.regexp_replace(x, emoji, " "), rf"[{beyond}&&\p{{L}}]", " "))
 
 
 # --- helpers
@@ -87,6 +102,14 @@ def when_has(t: Column, pattern: str, step: Callable[[Column], Column]) -> Colum
     return T.bound(t, lambda x: F.when(x.rlike(pattern), step(x)).otherwise(x))
 
 
+#: Looked at first, as one range is cheaper than a class of many characters.
+_RARE = r"(?=[\x01\x02\x{80}-\x{FFFF}])"
+
+
+def without(t: Column, chars: str) -> Column:
+    return when_has(t, f"{_RARE}[{chars}]", lambda x: F.translate(x, chars, ""))
+
+
 def _subs(t: Column, *pairs: tuple[str, str]) -> Column:
     for pattern, said in pairs:
         t = F.regexp_replace(t, pattern, said)
@@ -130,7 +153,7 @@ def tildes(t: Column) -> Column:
 
 def arrows(t: Column) -> Column:
     arrow = r"\s*(?:->|=>|→|➔|➜)\s*"
-    return when_has(t, "->|=>|[→➔➜]", lambda x: _subs(x, (arrow + r"\z", ""), (arrow, " to ")))
+    return when_has(t, "[-=]>|[→➔➜]", lambda x: _subs(x, (arrow + r"\z", ""), (arrow, " to ")))
 
 
 _COUNTS = "one two three four five six seven eight nine ten".split()
@@ -165,7 +188,8 @@ def ranks(t: Column) -> Column:
     said = lambda x: F.when((_part(x, 1) == "") & _part(x, 0).isin(*WITH_PERIOD), _part(x, 0)).otherwise(F.element_at(table, _part(x, 0)))
     longest = "|".join(sorted(RANKS, key=len, reverse=True))
     whole = lambda x: each_match(_subs(x, *graded, *petty, (rf"(?<![{_W}.])LT{_NAME_NEXT}", "lieutenant"), colonel), rf"(?<![{_W}.])({longest})(\.|{_NAME_NEXT}){_E}", f"$1{PART}$2", said)
-    return when_has(t, rf"{_B}(?:[12](?:st|nd|d)?\s?(?:L[tT]|S)|PO[123]|LT|{longest})", whole)
+    first = "".join(sorted({r[0] for r in RANKS}))  # looked at before anything else: few characters of a text are one of these
+    return when_has(t, rf"(?=[12P{first}]){_B}(?:[12](?:st|nd|d)?\s?(?:L[tT]|S)|PO[123]|LT|{longest})", whole)
 
 
 def romans(t: Column) -> Column:
@@ -179,7 +203,7 @@ def romans(t: Column) -> Column:
     label = rf"{_B}((?:[Mm]ark|[Mm]odel|[Cc]lass|[Ll]evel|[Cc]hapter)\s+)([IVX]{{1,6}})(-(?=[A-Z]{_E})|(?![{_W}'’]))"
     paren = lambda x: F.concat(F.lit("("), F.coalesce(T.number_words(T.roman_value(x)), x), F.lit(")"))
     whole = lambda x: each_match(each_match(x, label, f"$1{PART}$2{PART}$3", labelled), r"\(([IVX]{1,6})\)", "$1", paren)
-    return when_has(t, r"\([IVX]+\)|(?:ark|odel|lass|evel|hapter)\s+[IVX]", whole)
+    return when_has(t, r"(?=[\s(])(?:\([IVX]+\)|(?=\s+[IVX])(?<=ark|odel|lass|evel|hapter))", whole)
 
 
 def joined_y(t: Column) -> Column:
@@ -223,15 +247,21 @@ def dashes(t: Column) -> Column:
     return when_has(t, "[—–]|--", lambda x: F.replace(F.replace(F.replace(x, F.lit("—"), F.lit(" — ")), F.lit("–"), F.lit(" – ")), F.lit("--"), F.lit(" — ")))
 
 
-# Abbreviations and symbols with what is said for them, in order.
+# Abbreviations and symbols with what is said for them, in order; each after what a text must hold for it.
 SAID = [
-    (rf"(?i){_B}e\.g\.", "for example"), (rf"(?i){_B}i\.e\.", "that is"), (rf"(?i){_B}etc\.(?=\s|$)", "et cetera"), (rf"(?i){_B}vs\.?(?=\s|$)", "versus"), (rf"(?i){_B}w/o{_E}", "without"),
-    (rf"(?i){_B}w/(?=[{_W}])", "with"), (rf"(?i){_B}a\.m\.", " AM"), (rf"(?i){_B}p\.m\.", " PM"), (r"\s*&\s*", " and "), (r"(?<=[0-9])\s*%", " percent"), (r"(?<=[0-9])\s*°", " degrees"),
+    (r"[eE]\.[gG]\.", rf"(?i){_B}e\.g\.", "for example"), (r"[iI]\.[eE]\.", rf"(?i){_B}i\.e\.", "that is"), (r"[eE][tT][cC]\.", rf"(?i){_B}etc\.(?=\s|$)", "et cetera"),
+    (r"[vV][sS](?:\.|\s|$)", rf"(?i){_B}vs\.?(?=\s|$)", "versus"), ("[wW]/[oO]", rf"(?i){_B}w/o{_E}", "without"), ("[wW]/", rf"(?i){_B}w/(?=[{_W}])", "with"),
+    (r"[aA]\.[mM]\.", rf"(?i){_B}a\.m\.", " AM"), (r"[pP]\.[mM]\.", rf"(?i){_B}p\.m\.", " PM"), ("&", r"\s*&\s*", " and "), ("%", r"(?<=[0-9])\s*%", " percent"), ("°", r"(?<=[0-9])\s*°", " degrees"),
 ]
 
 
 def symbols(t: Column) -> Column:
-    return when_has(t, r"(?i)[&%°]|w/|[egiapcm]\.|\bvs", lambda x: _subs(x, *SAID))
+    def each(x: Column) -> Column:
+        for has, pattern, said in SAID:
+            x = when_has(x, has, lambda x, pattern=pattern, said=said: F.regexp_replace(x, pattern, said))
+        return x
+
+    return when_has(t, r"(?=[&%°/.cCvV])(?:[&%°/]|\.[gGeEmM]\.|[cC]\.|[vV][sS](?:\.|\s|$))", each)
 
 
 def signs(t: Column) -> Column:
@@ -254,17 +284,33 @@ def numbers(t: Column) -> Column:
 
 
 def tidy(t: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\n\r]+", " "), " +([,.;:!?])", "$1"))
+    """White space to single spaces, none before punctuation. A space by itself, as most are, is no match."""
+    single = F.regexp_replace(t, r"[\t\n\r][ \t\n\r]*+| [ \t\n\r]++", " ")
+    return F.trim(F.regexp_replace(single, " +([,.;:!?])", "$1"))
+
+
+#: Characters that some step other than those of words looks for; beyond the Latin blocks any character is one.
+MARKS = r"[\x01\x02~>*\-0-9#+¡¿«»]"
+
+
+def has_marks(t: Column) -> Column:
+    return t.rlike(MARKS) | ((F.octet_length(t) != F.length(t)) & t.rlike(r"[\x{2B0}-\x{10FFFF}]"))
 
 
 def spoken(t: Column, damp: bool = True) -> Column:
     """The whole pass over a text whose letters are plain (``with_plain_letters``)."""
-    t = F.translate(t, ZERO_WIDTH + CUT + PART, "")
-    steps = [tildes, arrows, latin_only, lambda x: F.translate(x, INVERTED, ""), T.straight_quotes, stars, ranks, romans, joined_y, without_italics]
-    steps += [damped_capitals] if damp else []
-    for step in [*steps, ellipses, number_marks, dashes, symbols, signs, levels, numbers, tidy]:
-        t = step(t)
-    return t
+    curly = lambda x: when_has(x, f"{_RARE}[{T.CURLY}]", T.straight_quotes)
+    lowered = [damped_capitals] if damp else []
+    words = [ranks, romans, *lowered, ellipses, symbols, levels, tidy]
+    every = [lambda x: without(x, ZERO_WIDTH + CUT + PART), tildes, arrows, latin_only, lambda x: without(x, INVERTED), curly, stars, ranks, romans, joined_y, without_italics]
+    every += [*lowered, ellipses, number_marks, dashes, symbols, signs, levels, numbers, tidy]
+
+    def chain(x: Column, steps: list[Callable[[Column], Column]]) -> Column:
+        for step in steps:
+            x = step(x)
+        return x
+
+    return T.bound(t, lambda x: F.when(has_marks(x), chain(x, every)).otherwise(chain(x, words)))
 
 
 def stat_line(t: Column) -> Column:
