@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,9 @@ def _plain_run(s: str) -> str:
     return _MARKED.sub(_settled, s) if _ANY_MARK.search(s) else s
 
 
+_short_run = lru_cache(1 << 16)(lambda s: _plain_run(s))  # an accented letter and the one before it come again and again
+
+
 def plain_letters(s: str | None) -> str | None:
     """NFC; letters of Latin Extended Additional lose their marks; a letter under more marks than make one character loses all of them; lone marks go.
     ASCII takes part only as the letter before a run of other characters, so no more of it is looked at."""
@@ -70,7 +74,7 @@ def plain_letters(s: str | None) -> str | None:
     out, at = [], 0
     for m in _BEYOND_ASCII.finditer(s):
         start = max(m.start() - 1, 0)
-        out += [s[at:start], _plain_run(s[start : m.end()])]
+        out += [s[at:start], _short_run(run) if len(run := s[start : m.end()]) <= 8 else _plain_run(run)]
         at = m.end()
     return "".join([*out, s[at:]])
 
