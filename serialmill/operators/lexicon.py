@@ -72,14 +72,14 @@ edits AS MATERIALIZED (
   UNION ALL SELECT doc_id, line_no, first, last, word, surface, pos, respell FROM single s WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = s.doc_id AND h.line_no = s.line_no AND s.first BETWEEN h.e.first AND h.e.last))"""
 
 
-def corpus_edits(spark, d: str) -> DataFrame:
-    return L.edits(L.matches(lines(spark, d).select(*KEYS, "line"), KEYS, "line", corpus_rules(spark, d), L.suffix_tags), KEYS)
+def corpus_matches(spark, d: str) -> DataFrame:
+    return L.matches(lines(spark, d).select(*KEYS, "line"), KEYS, "line", corpus_rules(spark, d), L.suffix_tags)
 
 
 @query("joi1_rule_resolution", f"WITH {MATCHES_SQL} SELECT surface, pos, respell, count(*) AS n FROM edits GROUP BY surface, pos, respell")
 def rule_resolution(spark, d):
     """Which rule each word or phrase of the corpus meets: phrases first, then by coarse mark, fine mark and lemma, with the fallback to a lone rule for a noun."""
-    e = corpus_edits(spark, d)
+    e = L.edits(corpus_matches(spark, d), KEYS)
     return e.groupBy(F.col("key").alias("surface"), "rule.pos", "rule.respell").agg(F.count("*").alias("n"))
 
 
@@ -90,13 +90,13 @@ SELECT doc_id, line_no, CASE WHEN head IS NULL THEN line ELSE head || array_to_s
 def lexicon_pass(spark, d):
     """JOI1, JOI2, STR20: every line of the corpus as the rules say it."""
     rows = lines(spark, d).select(*KEYS, "line")
-    return L.applied(rows, KEYS, "line", corpus_edits(spark, d)).select(*KEYS, "body")
+    return L.applied(rows, KEYS, "line", corpus_matches(spark, d)).select(*KEYS, "body")
 
 
 @query("joi2_phrase_rules", f"WITH {MATCHES_SQL} SELECT surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM edits WHERE contains(surface, ' ') GROUP BY surface")
 def phrase_rules(spark, d):
     """Phrases of the rule table that hold, whole phrases only, none inside another."""
-    found = L.matches(lines(spark, d).select(*KEYS, "line"), KEYS, "line", corpus_rules(spark, d), L.suffix_tags).where("phrase")  # words decide nothing about phrases
+    found = corpus_matches(spark, d).where("phrase")  # words decide nothing about phrases
     return L.edits(found, KEYS).groupBy(F.col("key").alias("surface")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 

@@ -115,3 +115,49 @@ def test_marks_of_endings_beyond_ascii(spark):
     words = ["Él", "Él", "été", "ÉTÉ", "Running", "12", "１２", "1a", "ǅ", "_x"]
     r = spark.createDataFrame([(words,)], "w array<string>").select(lexicon.suffix_tags(F.col("w")).alias("t")).first()["t"]
     assert [x["tag"] for x in r] == ["NN", "NNP", "NN", "NNP", "NNP", "CD", "NN", "NN", "NN", "NN"]
+
+
+def test_found_is_gathered_where_its_line_lies(spark):
+    """One walk along a line in place of windows, folds and lists of pieces; what is found is neither sorted by place nor shuffled on its own."""
+    df = entry.queries()["joi2_lexicon_pass"](spark, "/root/testdata/sf0.001")
+    plan = _plan(df)
+    assert not [step for step in ("Window", "aggregate(", "array_except(", "sort_array(") if step in plan]
+    assert plan.count("RepartitionByExpression [doc_id") == 1
+
+
+def test_generated_methods_stay_compiled(spark):
+    """A generated method of more than 8,000 bytes is not compiled by the JVM."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entry.queries()["joi2_lexicon_pass"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lines_of_one_batch(spark):
+    """Lines with, without and with many edits, an empty and a null one, letters of more than one byte: each keeps its own text."""
+    texts = ["a b c", "x", None, "", "é b, Ünï b ü", "b c a b", "... b", "ΟΔΟΣ α", "ΟΔΟΣ.α"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id int, line string").coalesce(1)
+    table = rules(spark, ("b", "", "bée"), ("b c", "", "Y"), ("a b", "", "X"), ("ünï b", "", "ö"), ("ΟΔΟΣ α", "", "way"), ("οδος", "", "road"))
+    got = {r["id"]: r["body"] for r in lexicon.respelled(lines, ["id"], "line", table).collect()}
+    assert [got[i] for i in range(len(texts))] == ["X c", "x", None, "", "é bée, Ö ü", "Y X", "... bée", "Way", "Road.α"]
+
+
+def test_what_holds_by_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(300):
+        found = [(i, a, a + 2 * n, n > 0) for i in range(4) for a in range(0, 24, 2) for n in range(3) if rng.random() < 0.3]
+        rng.shuffle(found)
+        want, end = [], {}
+        for x in sorted(found, key=lambda x: (x[0], x[1], not x[3], -x[2])):
+            if x[1] > end.get(x[0], -1):
+                want.append(x)
+                end[x[0]] = x[2] if x[3] else end.get(x[0], -1)
+        kept = lexicon._held(*(np.array([x[k] for x in found], dtype=bool if k == 3 else int) for k in range(4)))
+        assert [found[k] for k in kept] == want
